@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from causeway.llm import mixing, packing, secrets
+from causeway.llm import mixing, packing, secrets, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,6 +20,11 @@ def op3_secret_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", count("assign"), count("access"), count("hex"), F.sha2(secrets.joined(F.col("strong")), 256).alias("base_sha256"), secrets.joined(F.concat("strong", "linked")).alias("spans"))
 
 
+def op4_toxicity_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = toxicity.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return scored.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op6_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(table(spark, sf_dir, "documents"))
 
@@ -31,7 +36,7 @@ def op8_packed_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_secret_spans, op6_source_mix, op8_packed_pieces)}
+    return {f.__name__: f for f in (op3_secret_spans, op4_toxicity_scores, op6_source_mix, op8_packed_pieces)}
 
 
 def oracle_sql() -> dict[str, str]:
