@@ -7,13 +7,24 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from causeway.llm import mixing, packing, secrets, toxicity
+from causeway.llm import fingerprints, mixing, packing, secrets, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_winnowed_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pairs = fingerprints.compare_with_next(table(spark, sf_dir, "documents"))
+    hashes = {c: F.transform(c, lambda g: g["hash"]) for c in ("grams", "next_grams", "edited_grams")}
+    sets = {c: F.array_distinct(h) for c, h in hashes.items()}
+    shown = lambda c: F.array_join(F.transform(c, lambda g: F.hex(g["hash"])), ",")
+    return pairs.select(
+        F.col("id").alias("doc_id"), F.char_length("text").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"), shown("grams").alias("fingerprint"), shown("edited_grams").alias("edited_fingerprint"),
+        fingerprints.likeness(sets["grams"], sets["edited_grams"]).alias("near_edited"), fingerprints.likeness(sets["grams"], sets["next_grams"]).alias("near_next"), F.transform("grams", lambda g: g["place"]).alias("places"),
+    )
+
+
 def op3_secret_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secrets.scan_secrets(table(spark, sf_dir, "documents"))
     count = lambda name: F.size(F.filter("strong", lambda p: p["kind"] == [k[0] for k in secrets.KINDS].index(name))).cast("long").alias(f"n_{name}")
@@ -36,7 +47,7 @@ def op8_packed_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_secret_spans, op4_toxicity_scores, op6_source_mix, op8_packed_pieces)}
+    return {f.__name__: f for f in (op1_winnowed_fingerprints, op3_secret_spans, op4_toxicity_scores, op6_source_mix, op8_packed_pieces)}
 
 
 def oracle_sql() -> dict[str, str]:
