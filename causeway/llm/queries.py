@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from causeway.llm import fingerprints, mixing, packing, secrets, toxicity
+from causeway.llm import fingerprints, licenses, mixing, packing, secrets, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,6 +25,12 @@ def op1_winnowed_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_license_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licenses.scan_licenses(table(spark, sf_dir, "documents"))
+    spans = F.array_join(F.transform(F.array_sort("found"), lambda m: F.concat_ws(":", m["name"], m["first"].cast("string"), m["last"].cast("string"))), ",")
+    return found.select("doc_id", F.size("found").cast("long").alias("n_matches"), F.array_join(F.array_sort(F.array_distinct(F.transform("found", lambda m: m["name"]))), ",").alias("licenses"), spans.alias("spans"))
+
+
 def op3_secret_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secrets.scan_secrets(table(spark, sf_dir, "documents"))
     count = lambda name: F.size(F.filter("strong", lambda p: p["kind"] == [k[0] for k in secrets.KINDS].index(name))).cast("long").alias(f"n_{name}")
@@ -47,7 +53,7 @@ def op8_packed_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_winnowed_fingerprints, op3_secret_spans, op4_toxicity_scores, op6_source_mix, op8_packed_pieces)}
+    return {f.__name__: f for f in (op1_winnowed_fingerprints, op2_license_matches, op3_secret_spans, op4_toxicity_scores, op6_source_mix, op8_packed_pieces)}
 
 
 def oracle_sql() -> dict[str, str]:
