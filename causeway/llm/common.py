@@ -33,4 +33,6 @@ def checkpointed(df: DataFrame) -> DataFrame:
     context = df.sparkSession.sparkContext
     if not context.getCheckpointDir():
         context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints")
-    return df.checkpoint()
+    out = df.checkpoint()
+    context._jvm.System.gc()  # lets Spark remove the shuffle files that only the lineage held
+    return out

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from causeway.llm import fingerprints, licenses, mixing, packing, secrets, toxicity
+from causeway.llm import fingerprints, licenses, mixing, ngram_join, packing, secrets, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -52,8 +52,12 @@ def op8_packed_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path(packing.TOKENIZER))
 
 
+def op9_jaccard_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.jaccard_components(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_winnowed_fingerprints, op2_license_matches, op3_secret_spans, op4_toxicity_scores, op6_source_mix, op8_packed_pieces)}
+    return {f.__name__: f for f in (op1_winnowed_fingerprints, op2_license_matches, op3_secret_spans, op4_toxicity_scores, op6_source_mix, op8_packed_pieces, op9_jaccard_components)}
 
 
 def oracle_sql() -> dict[str, str]:
