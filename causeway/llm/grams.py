@@ -108,7 +108,7 @@ class Outbox:
     def flush(self) -> Iterator[tuple[int, bytes]]:
         if self.held:
             keys, values = np.concatenate(self.keys), np.concatenate(self.values)
-            part = part_of(values, self.parts)
+            part = part_of(values, self.parts).astype(np.uint16)  # so that the stable sort is a radix sort
             order = np.argsort(part, kind="stable")
             ends = np.searchsorted(part[order], np.arange(self.parts + 1))
             keys, values = keys[order], values[order]
@@ -143,3 +143,23 @@ def unpacked(message: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray | None]
     high = np.frombuffer(message, "<u2", n, at := at + 4 * n)
     extra = np.frombuffer(message, "<u4", n, at + 2 * n) if more else None
     return np.repeat(keys, counts), low.astype(np.uint64) | (high.astype(np.uint64) << np.uint64(32)), extra
+
+
+def groups(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The order that sorts values, and where each distinct one starts in it, and the end."""
+    order = np.argsort(values)
+    ordered = values[order]
+    return order, np.append(np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]])), len(values))
+
+
+def homed(keys: np.ndarray, values: np.ndarray, homes: int, extra: np.ndarray | None = None) -> Iterator[tuple[int, bytes]]:
+    """Answers, packed by the home of their key."""
+    home = (keys.astype(np.uint64) % np.uint64(homes)).astype(np.uint16)
+    order = np.lexsort((keys, home))
+    keys, values, home = keys[order], values[order], home[order]
+    extra = None if extra is None else extra[order]
+    ends = np.searchsorted(home, np.arange(homes + 1))
+    for h in range(homes):
+        if ends[h] < ends[h + 1]:
+            a, b = ends[h], ends[h + 1]
+            yield h, packed(keys[a:b], values[a:b], None if extra is None else extra[a:b])

@@ -81,20 +81,12 @@ def shared_shingles(docs: DataFrame, id_col: str, text_col: str, words: int, per
         read = [grams.unpacked(m.as_py()) for m in group.column(1)]
         keys, values = np.concatenate([r[0] for r in read]), np.concatenate([r[1] for r in read])
         del read
-        order = np.lexsort((keys, values))
+        order, at = grams.groups(values)
         keys, values = keys[order], values[order]
-        new = np.concatenate([[True], (values[1:] != values[:-1]) | (keys[1:] != keys[:-1])])  # repeated rows count once
-        keys, values = keys[new], values[new]
-        at = np.flatnonzero(np.concatenate([[True], values[1:] != values[:-1]]))
-        often = np.diff(np.append(at, len(values)))
-        df = np.repeat(often, often)
-        some = df > 1
-        keys, values, df = keys[some], values[some], df[some]
-        home = keys.astype(np.uint64) % np.uint64(homes)
-        order = np.lexsort((keys, home))
-        keys, values, df, home = keys[order], values[order], df[order], home[order]
-        ends = np.searchsorted(home, np.arange(homes + 1))
-        sent = [(h, grams.packed(keys[ends[h] : ends[h + 1]], values[ends[h] : ends[h + 1]], df[ends[h] : ends[h + 1]])) for h in range(homes) if ends[h] < ends[h + 1]]
+        many = np.minimum.reduceat(keys, at[:-1]) != np.maximum.reduceat(keys, at[:-1])  # not from one text's repeated rows alone
+        often = np.diff(at)
+        some, df = np.repeat(many, often), np.repeat(often, often)
+        sent = list(grams.homed(keys[some], values[some], homes, df[some]))
         return pa.table({"home": pa.array([h for h, _ in sent], pa.int32()), "kind": pa.array([part] * len(sent), pa.int32()), "message": pa.array([m for _, m in sent], pa.binary())})
 
     def gather(group: pa.Table) -> pa.Table:
@@ -110,6 +102,8 @@ def shared_shingles(docs: DataFrame, id_col: str, text_col: str, words: int, per
         value, df = np.concatenate([*values, np.zeros(0, np.uint64)]), np.concatenate([*dfs, np.zeros(0, np.uint32)])
         order = np.lexsort((value, df, key))
         key, value = key[order], value[order].view(np.int64)
+        new = np.concatenate([[True], (value[1:] != value[:-1]) | (key[1:] != key[:-1])])[: len(key)]  # repeated rows say the same
+        key, value = key[new], value[new]
         n = info[:, 2]
         first, last = np.searchsorted(key, info[:, 0]), np.searchsorted(key, info[:, 0], "right")
         single = n - (last - first)
