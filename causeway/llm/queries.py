@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from causeway.llm import fingerprints, licenses, mixing, ngram_join, packing, repeats, secrets, toxicity
+from causeway.llm import embedding_join, fingerprints, licenses, mixing, ngram_join, packing, repeats, secrets, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -46,6 +46,11 @@ def op6_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(table(spark, sf_dir, "documents"))
 
 
+def op7_embedding_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = embedding_join.embedding_links(table(spark, sf_dir, "embeddings"))
+    return found.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))
+
+
 def op8_packed_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -63,7 +68,7 @@ def op10_exact_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_winnowed_fingerprints, op2_license_matches, op3_secret_spans, op4_toxicity_scores, op6_source_mix, op8_packed_pieces, op9_jaccard_components, op10_exact_repeats)}
+    return {f.__name__: f for f in (op1_winnowed_fingerprints, op2_license_matches, op3_secret_spans, op4_toxicity_scores, op6_source_mix, op7_embedding_components, op8_packed_pieces, op9_jaccard_components, op10_exact_repeats)}
 
 
 def oracle_sql() -> dict[str, str]:
