@@ -73,21 +73,25 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mark: str = "[REDACTED]", scope: int = 200, length_col: str | None = "n_chars") -> DataFrame:
-    """docs with every reported span, overlapping ones together, replaced by mark; the columns stay, length_col becomes the new length."""
-    rest = tuple(c for c in docs.columns if c != id_col)
-    found = scan_secrets(docs, id_col, text_col, scope, carry=rest)
+    """docs with every reported span, overlapping and touching ones together, replaced by mark; length_col becomes the new length.
+
+    All columns and rows stay. The spans of the texts that have any are joined back by a 64-bit hash of id and text.
+    """
+    keyed = docs.withColumn("__key", F.xxhash64(F.col(f"`{id_col}`"), F.col(f"`{text_col}`")))
+    found = scan_secrets(keyed, id_col, text_col, scope, carry=("__key",))
+    spans = found.select(F.col("__key"), F.array_sort(F.concat("strong", "linked")).alias("__spans")).where(F.size("__spans") > 0).dropDuplicates(["__key"])
     text = F.col(f"`{text_col}`")
 
     def step(state: Column, p: Column) -> Column:
-        fresh = p["first"] > state["at"]
         first = F.greatest(p["first"], state["at"])
         piece = F.substring(text, state["at"] + 1, first - state["at"])
-        return F.struct(F.greatest(p["last"], state["at"]).alias("at"), F.concat(state["out"], piece, F.when(fresh | (state["at"] == 0) & (p["first"] == 0), F.lit(mark)).otherwise("")).alias("out"))
+        fresh = (p["first"] > state["at"]) | (p["first"] == 0) & (state["at"] == 0)
+        return F.struct(F.greatest(p["last"], state["at"]).alias("at"), F.concat(state["out"], piece, F.when(fresh, F.lit(mark)).otherwise("")).alias("out"))
 
-    parts = F.array_sort(F.concat("strong", "linked"))
-    done = F.aggregate(parts, F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step)
-    clean = F.when(F.size(F.concat("strong", "linked")) == 0, text).otherwise(let(done, lambda s: F.concat(s["out"], F.substring(text, s["at"] + 1, F.char_length(text)))))
-    out = found.withColumn(text_col, clean)
+    done = F.aggregate("__spans", F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step)
+    clean = let(done, lambda s: F.concat(s["out"], F.substring(text, s["at"] + 1, F.char_length(text))))
+    joined_back = keyed.join(spans, "__key", "left").withColumn("__clean", F.when(F.col("__spans").isNotNull(), clean))
+    out = {text_col: F.coalesce(F.col("__clean"), text)}
     if length_col and length_col in docs.columns:
-        out = out.withColumn(length_col, F.when(F.size(F.concat("strong", "linked")) == 0, F.col(length_col)).otherwise(F.char_length(F.col(f"`{text_col}`"))).cast(docs.schema[length_col].dataType))
-    return out.select(*[F.col(f"`{c}`") for c in docs.columns])
+        out[length_col] = F.when(F.col("__clean").isNull(), F.col(length_col)).otherwise(F.char_length("__clean")).cast(docs.schema[length_col].dataType)
+    return joined_back.select(*[out.get(c, F.col(f"`{c}`")).alias(c) for c in docs.columns])
