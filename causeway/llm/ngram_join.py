@@ -189,9 +189,9 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 75) -> DataFrame:
-    """One row of each component: the smallest id's, of repeated rows one. Rows without an id are kept unless a smaller id is linked."""
-    out = jaccard_components(docs, id_col, text_col, words, percent)
-    first = out.where(F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("__id")).distinct()
-    kept = docs.join(first, docs[id_col].eqNullSafe(first["__id"]), "left_semi")
-    with_id = kept.where(F.col(f"`{id_col}`").isNotNull()).dropDuplicates([id_col])
-    return with_id.unionByName(kept.where(F.col(f"`{id_col}`").isNull()))
+    """One row of each component: the smallest id's, of repeated rows one. Rows without an id, which nothing could name, are all kept."""
+    named = docs.where(F.col(f"`{id_col}`").isNotNull())
+    out = jaccard_components(named, id_col, text_col, words, percent)
+    first = out.where(F.col(id_col) == F.col("component_id")).select(F.col(id_col).alias("__id")).distinct()
+    kept = named.join(first, named[id_col] == first["__id"], "left_semi").dropDuplicates([id_col])
+    return kept.unionByName(docs.where(F.col(f"`{id_col}`").isNull()))
