@@ -4,11 +4,11 @@
    Shingles of one text alone, the most of them, can match nothing; the others come back to their text with that count.
 2. In the order of count and hash, singles first, a text of n shingles can only link with another if they share one of its first
    n - ceil(t n) + 1. Texts whose prefix is all singles are done. Texts with equal sets become one class.
-3. Classes are joined on prefix shingles. Rounds in which each class tries only the likeliest partner of another component keep large
-   groups of near copies from forming all pairs: all that must be known is components. A last join takes every pair of classes in
-   different components that share a prefix shingle, under the length and positional filters and once per run of shared shingles, so no
-   link that could join components is lost. Before a pair's sets are compared it must pass the suffix filter: by ranges of the hash, the
-   sizes of the two sets differ by at most what the threshold allows. Each pair is verified once, on the whole sets.
+3. Classes are joined on prefix shingles, in packed messages to hash partitions. In a few rounds each class tries only its likeliest partner
+   of another component, which keeps large groups of near copies from forming all pairs: all that must be known is components. A last
+   round takes every pair of classes in different components that share a prefix shingle, under the length, positional and suffix
+   filters and once per run of shared shingles, so no link that could join components is lost. Each pair is verified once, on the
+   whole sets.
 
 Shingles are told apart by 48 bits within a hash partition, texts by 64 bits of a hash of id and text.
 
@@ -23,7 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from causeway.llm import grams
@@ -33,7 +33,6 @@ from causeway.llm.components import components
 by_value(__name__)
 
 LAST = (1 << 63) - 1
-RANGES = 16
 
 
 def shared_shingles(docs: DataFrame, id_col: str, text_col: str, words: int, percent: int, fold: bool) -> DataFrame:
@@ -119,50 +118,147 @@ def shared_shingles(docs: DataFrame, id_col: str, text_col: str, words: int, per
     return counted.groupBy("home").applyInArrow(gather, "key long, id long, n long, singles long, tokens array<long>")
 
 
-def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 75, fold: bool = True, rounds: int = 8) -> DataFrame:
+BITS = 512  # of a set's parity signature
+
+
+def posted(sets: DataFrame, percent: int, parts: int) -> DataFrame:
+    """Each class's prefix, packed by hash partition of the shingle: part, message. sets: key, n, singles, tokens, comp."""
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        runs: list[tuple] = []
+        columns: list[list[np.ndarray]] = [[], [], []]  # shingle, place, the shingle before
+        held = 0
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            if not runs:
+                return
+            of = np.repeat(np.arange(len(runs)), [r[5] for r in runs])
+            token, at, prior = (np.concatenate(c) for c in columns)
+            part = (token >> np.uint64(48)).astype(np.uint16)  # the upper bits of a shingle name its partition
+            order = np.argsort(part, kind="stable")
+            ends = np.searchsorted(part[order], np.arange(parts + 1))
+            meta = np.array([r[:4] for r in runs], np.int64)
+            signs = np.stack([r[4] for r in runs])
+            for p in np.flatnonzero(ends[:-1] < ends[1:]):
+                own = order[ends[p] : ends[p + 1]]
+                which, local = np.unique(of[own], return_inverse=True)
+                message = b"".join(x.tobytes() for x in (np.array([len(which), len(own)], "<i8"), meta[which], signs[which], local.astype("<u4"), at[own].astype("<u4"), token[own], prior[own]))
+                yield pa.RecordBatch.from_arrays([pa.array([p], pa.int32()), pa.array([message], pa.binary())], ["part", "message"])
+            runs.clear()
+            for c in columns:
+                c.clear()
+
+        for b in batches:
+            for key, n, singles, tokens, comp in zip(*[b.column(i) for i in range(5)], strict=True):
+                n, singles = n.as_py(), singles.as_py()
+                own = tokens.values.to_numpy(zero_copy_only=False).view(np.uint64)
+                many = min(len(own), n - -(-percent * n // 100) + 1 - singles)
+                sign = np.packbits((np.bincount((own >> np.uint64(20)).astype(np.int64) & (BITS - 1), minlength=BITS) & 1).astype(np.uint8)).view(np.uint64)
+                runs.append((key.as_py(), n, singles, comp.as_py(), sign, many))
+                columns[0].append(own[:many])
+                columns[1].append(np.arange(singles, singles + many))
+                columns[2].append(np.concatenate([np.zeros(1, np.uint64), own[: many - 1]]))
+                held += many
+                if held > 1 << 19:
+                    yield from flush()
+                    held = 0
+        yield from flush()
+
+    return sets.select("key", "n", "singles", "tokens", "comp").mapInArrow(send, "part int, message binary")
+
+
+def received(group: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of posted(): a row (key, n, singles, comp) and a signature for each class and message, then for each shingle its class, place, itself and the one before."""
+    meta, signs, of, at, token, prior, base = [], [], [], [], [], [], 0
+    for m in group.column(1):
+        data = m.as_py()
+        runs, n = (int(x) for x in np.frombuffer(data, "<i8", 2))
+        meta.append(np.frombuffer(data, np.int64, 4 * runs, 16).reshape(-1, 4))
+        signs.append(np.frombuffer(data, np.uint64, runs * BITS // 64, k := 16 + 32 * runs).reshape(-1, BITS // 64))
+        of.append(np.frombuffer(data, "<u4", n, k := k + runs * BITS // 8).astype(np.int64) + base)
+        at.append(np.frombuffer(data, "<u4", n, k := k + 4 * n).astype(np.int64))
+        token.append(np.frombuffer(data, np.uint64, n, k := k + 4 * n))
+        prior.append(np.frombuffer(data, np.uint64, n, k + 8 * n))
+        base += runs
+    return tuple(np.concatenate(x) for x in (meta, signs, of, at, token, prior))
+
+
+def likeliest(posts: DataFrame, percent: int, turn: int) -> DataFrame:
+    """u, v: each class with the class of another component that is first in most of the lists of its prefix: the one with the fewest shingles of its own, in later turns another order."""
+
+    def pivots(group: pa.Table) -> pa.Table:
+        meta, _, of, _, token, _ = received(group)
+        key, n, comp = meta[of, 0], meta[of, 1], meta[of, 3]
+        rank = meta[of, 2].astype(np.uint64) if turn == 0 else grams.mix(key.view(np.uint64) + np.uint64(turn))
+        order = np.lexsort((key, rank, token))
+        token, key, n, comp = token[order], key[order], n[order], comp[order]
+        first = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
+        pivot = np.repeat(first, np.diff(np.append(first, len(token))))
+        ok = (comp != comp[pivot]) & (np.minimum(n, n[pivot]) * 100 >= np.maximum(n, n[pivot]) * percent)
+        pairs, times = np.unique(np.stack([key[ok], key[pivot[ok]]], 1), axis=0, return_counts=True)
+        return pa.table({"u": pairs[:, 0], "v": pairs[:, 1], "times": times})
+
+    tried = posts.groupBy("part").applyInArrow(pivots, "u long, v long, times long").groupBy("u", "v").agg(F.sum("times").alias("times"))
+    best = tried.groupBy("u").agg(F.max_by("v", F.struct("times", "v")).alias("v"))
+    return best.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
+
+
+def candidates(posts: DataFrame, percent: int) -> DataFrame:
+    """u, v: all pairs of classes of different components that share a prefix shingle and pass the length, positional and suffix filters.
+
+    A pair that shares the shingle before too was met there already. The suffix filter bounds what two sets share by their parity
+    signatures: each bit in which they differ is a shingle that only one of them holds.
+    """
+
+    def pairs(group: pa.Table) -> pa.Table:
+        meta, signs, of, at, token, prior = received(group)
+        order = np.lexsort((meta[of, 0], meta[of, 1], token))
+        of, at, token, prior = of[order], at[order], token[order], prior[order]
+        first = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
+        end = np.repeat(np.append(first[1:], len(token)), np.diff(np.append(first, len(token))))
+        comp, n, single = meta[of, 3], meta[of, 1], meta[of, 2]
+        mixed = np.repeat(np.minimum.reduceat(comp, first) != np.maximum.reduceat(comp, first), np.diff(np.append(first, len(token))))
+        found, held, d = [np.zeros((0, 2), np.int64)], 0, 1
+        i = np.flatnonzero(mixed)
+        while len(i := i[i + d < end[i]]):
+            i = i[n[i] * 100 >= n[i + d] * percent]  # lists are in order of n: a pair too unlike in length has none behind it either
+            j = i + d
+            need = (n[i] + n[j]) * percent
+            ok = (comp[i] != comp[j]) & ((prior[i] != prior[j]) | (prior[i] == 0)) & ((np.minimum(at[i], at[j]) + np.minimum(n[i] - at[i], n[j] - at[j])) * (100 + percent) >= need)
+            a, b, need = of[i[ok]], of[j[ok]], need[ok]
+            differ = np.bitwise_count(signs[a] ^ signs[b]).sum(1, dtype=np.int64)
+            ok = (meta[a, 1] - meta[a, 2] + meta[b, 1] - meta[b, 2] - differ) * (100 + percent) >= 2 * need
+            u, v = meta[a[ok], 0], meta[b[ok], 0]
+            found.append(np.stack([np.minimum(u, v), np.maximum(u, v)], 1))
+            held += len(u)
+            if held > 1 << 20:
+                found = [np.unique(np.concatenate(found), axis=0)]
+                held = 0
+            d += 1
+        out = np.unique(np.concatenate(found), axis=0)
+        return pa.table({"u": out[:, 0], "v": out[:, 1]})
+
+    return posts.groupBy("part").applyInArrow(pairs, "u long, v long").distinct()
+
+
+def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 75, fold: bool = True, rounds: int = 1) -> DataFrame:
     """id_col, n_shingles and component_id for each row; texts link where 100 * shared >= percent * all of their shingles."""
+    parts = partitions(docs.sparkSession)
     found = checkpointed(shared_shingles(docs, id_col, text_col, words, percent, fold))
-    live = found.where("tokens is not null").select("key", "id", "n", "singles", "tokens", F.struct("n", F.xxhash64("tokens"), F.when(F.col("singles") > 0, F.col("key")).otherwise(F.hash("tokens"))).alias("set"))  # a shingle of its own makes a set unlike any other
+    # a shingle of its own makes a set unlike any other
+    live = found.where("tokens is not null").select("key", "id", "n", "singles", "tokens", F.struct("n", F.xxhash64("tokens"), F.when(F.col("singles") > 0, F.col("key")).otherwise(F.hash("tokens"))).alias("set"))
     classes = checkpointed(live.groupBy("set").agg(F.min("key").alias("class"), F.min("id").alias("least")))
     member = live.select("key", "set").join(classes, "set").select("key", "class")
-    histogram = _histogram(F.col("tokens"))
-    one = live.join(classes.select(F.col("class").alias("key")), "key", "left_semi").dropDuplicates(["key"])
-    sets = checkpointed(one.select("key", "n", "singles", "tokens", histogram.alias("ranges")))
-    prefix = (F.col("n") - F.ceil(F.col("n") * percent / F.lit(100)) + 1 - F.col("singles")).cast("int")
-    slim = sets.select("key", "n", "singles", F.slice("tokens", F.lit(1), F.least(prefix, F.size("tokens"))).alias("some"))
-    posts = slim.select("key", "n", "singles", "some", F.posexplode("some").alias("i", "token")).select("token", "key", "n", "singles", (F.col("i") + F.col("singles")).alias("at"), F.when(F.col("i") > 0, F.get("some", F.col("i") - 1)).alias("prior"))
-    shared = posts.groupBy("token").agg(F.count("*").alias("many")).where("many > 1").select("token")
-    posts = checkpointed(posts.join(shared, "token"))
-    state = posts.select("key", "n", "singles").distinct().select("key", F.col("key").alias("comp"))
-    edges = None
-    open_posts = posts.withColumn("comp", F.col("key"))
-    cost = None
-    for turn in range(rounds):
-        again = open_posts.groupBy("token", "comp").agg(F.count("*").alias("c")).groupBy("token").agg(F.sum("c").alias("t"), F.sum(F.col("c") * F.col("c")).alias("q")).agg(F.sum((F.col("t") * F.col("t") - F.col("q")) / 2).alias("pairs"), F.sum("t").alias("posts")).first()
-        pairs, size = again["pairs"] or 0, again["posts"] or 0
-        if pairs <= 4 * size + 1000 or (cost is not None and pairs > 0.9 * cost):
-            break
-        cost = pairs
-        order = F.struct("singles", "key", "n", "comp") if turn == 0 else F.struct(F.xxhash64("key", F.lit(turn)).alias("singles"), "key", "n", "comp")
-        pivots = open_posts.groupBy("token").agg(F.min(order).alias("p"))
-        tried = open_posts.join(pivots, "token").where("comp <> p.comp").where(F.least("n", "p.n") * 100 >= F.greatest("n", "p.n") * percent)
-        best = tried.groupBy("key", F.col("p.key").alias("other")).agg(F.count("*").alias("c")).groupBy("key").agg(F.max_by("other", F.struct("c", "other")).alias("other"))
-        linked = verified(best.select(F.least("key", "other").alias("u"), F.greatest("key", "other").alias("v")).distinct(), sets, percent)
+    sets = checkpointed(live.join(classes.select(F.col("class").alias("key")), "key", "left_semi").dropDuplicates(["key"]).select("key", "n", "singles", "tokens"))
+    edges, labelled = None, sets.withColumn("comp", F.col("key"))
+    for turn in range(rounds + 1):
+        posts = posted(labelled, percent, parts)
+        pairs = candidates(posts, percent) if turn == rounds else likeliest(posts, percent, turn)
+        linked = verified(pairs, sets, percent)
         edges = checkpointed(linked if edges is None else edges.unionByName(linked))
-        state = components(edges).select(F.col("node").alias("key"), F.col("component").alias("comp"))
-        labelled = posts.join(state, "key", "left").withColumn("comp", F.coalesce("comp", "key"))
-        mixed = labelled.groupBy("token").agg(F.min("comp").alias("a"), F.max("comp").alias("b")).where("a <> b").select("token")
-        open_posts = checkpointed(labelled.join(mixed, "token"))
-    a, b = (open_posts.select("token", *[F.col(c).alias(f"{c}_{s}") for c in ("key", "n", "at", "prior", "comp")]) for s in "ab")
-    bound = F.least("at_a", "at_b") + 1 + F.least(F.col("n_a") - F.col("at_a"), F.col("n_b") - F.col("at_b")) - 1
-    near = (F.col("n_a") < F.col("n_b")) | ((F.col("n_a") == F.col("n_b")) & (F.col("key_a") < F.col("key_b")))
-    near &= (F.col("comp_a") != F.col("comp_b")) & (F.col("n_a") * 100 >= F.col("n_b") * percent) & (bound * (100 + percent) >= (F.col("n_a") + F.col("n_b")) * percent)
-    near &= F.col("prior_a").isNull() | F.col("prior_b").isNull() | (F.col("prior_a") != F.col("prior_b"))
-    pairs = a.join(b, "token").where(near).select(F.least("key_a", "key_b").alias("u"), F.greatest("key_a", "key_b").alias("v")).distinct()
-    linked = verified(pairs, sets, percent)
-    edges = linked if edges is None else edges.unionByName(linked)
-    joined = components(edges).select(F.col("node").alias("class"), F.col("component").alias("root"))
-    grouped = checkpointed(classes.select("class", "least").join(joined, "class", "left").withColumn("root", F.coalesce("root", "class")))
+        state = components(edges)
+        labelled = sets.join(state.select(F.col("node").alias("key"), "component"), "key", "left").withColumn("comp", F.coalesce("component", "key")).drop("component")
+    grouped = checkpointed(classes.select("class", "least").join(state.select(F.col("node").alias("class"), F.col("component").alias("root")), "class", "left").withColumn("root", F.coalesce("root", "class")))
     least = grouped.groupBy("root").agg(F.min("least").alias("component"))
     labels = grouped.join(least, "root").select("class", "component").join(member, "class").select("key", "component").distinct()
     out = found.select("key", "id", "n").join(labels, "key", "left")
@@ -170,22 +266,12 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     return out.select(null(F.col("id")).alias(id_col), F.col("n").alias("n_shingles"), null(F.coalesce("component", "id")).alias("component_id"))
 
 
-def _histogram(tokens: Column) -> Column:
-    """How many of the tokens lie in each range of the hash, range by range."""
-    where = lambda t: F.shiftright(t, 44).bitwiseAND(F.lit(RANGES - 1))
-    return F.transform(F.sequence(F.lit(0), F.lit(RANGES - 1)), lambda i: F.size(F.filter(tokens, lambda t: where(t) == i)))
-
-
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs u, v of classes that link."""
-    need = lambda shared: shared * (100 + percent) >= (F.col("n_u") + F.col("n_v")) * percent
-    for s in "uv":
-        pairs = pairs.join(sets.select(F.col("key").alias(s), F.col("n").alias(f"n_{s}"), F.col("singles").alias(f"singles_{s}"), F.col("ranges").alias(f"ranges_{s}")), s)
-    most = F.aggregate(F.zip_with("ranges_u", "ranges_v", lambda x, y: F.least(x, y)), F.lit(0), lambda x, y: x + y)
-    some = pairs.where(need(most)).select("u", "v", "n_u", "n_v")
+    """The pairs u, v of classes that link, by their whole sets."""
     for s in "uv":
-        some = some.join(sets.select(F.col("key").alias(s), F.col("tokens").alias(f"tokens_{s}")), s)
-    return some.where(need(F.size(F.array_intersect("tokens_u", "tokens_v")))).select("u", "v")
+        pairs = pairs.join(sets.select(F.col("key").alias(s), F.col("n").alias(f"n_{s}"), F.col("tokens").alias(f"tokens_{s}")), s)
+    shared = F.size(F.array_intersect("tokens_u", "tokens_v"))
+    return pairs.where(shared * (100 + percent) >= (F.col("n_u") + F.col("n_v")) * percent).select("u", "v")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 75) -> DataFrame:
