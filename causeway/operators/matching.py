@@ -24,3 +24,99 @@ def nearest(df: DataFrame, key: str, treatment: str, score: str, k: int = 1, cal
     """The k nearest controls of each treated row within caliper, with replacement; ties go to the smaller id. rank from 1."""
     order = Window.partitionBy("treated_id").orderBy("distance", "control_id")
     return band_pairs(df, key, treatment, score, caliper).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+
+
+def greedy(df: DataFrame, key: str, treatment: str, score: str, block: list[str], k: int = 1, caliper: float | None = None, seed: int = 42) -> DataFrame:
+    """Without replacement: within each block, treated rows in a hash order take their k nearest free controls within caliper. treated_id, control_id, distance, rank.
+
+    The order makes it sequential, so blocks (exact matches or score bands) bound the work and a task's memory; a block's rows go to one task.
+    """
+    import numpy as np
+    import pandas as pd
+
+    def run(pdf):
+        treated = pdf[pdf["__t"] == 1].sort_values(["__o", "__k"])
+        control = pdf[pdf["__t"] == 0].sort_values(["__s", "__k"])
+        scores, ids = control["__s"].to_numpy(), control["__k"].to_numpy()
+        left, right = np.arange(len(scores)) - 1, np.arange(len(scores)) + 1  # neighbours among the free
+        free = np.ones(len(scores), bool)
+
+        def seek(i, step):
+            path = []
+            links = left if step < 0 else right
+            while 0 <= i < len(scores) and not free[i]:
+                path.append(i)
+                i = links[i]
+            for p in path:
+                links[p] = i
+            return i
+
+        rows = []
+        for tid, s in zip(treated["__k"], treated["__s"], strict=True):
+            at = int(np.searchsorted(scores, s))
+            for rank in range(1, k + 1):
+                a, b = seek(at - 1, -1), seek(at, 1)
+                options = [(abs(scores[i] - s), ids[i], i) for i in (a, b) if 0 <= i < len(scores)]
+                if not options or caliper is not None and min(options)[0] > caliper:
+                    break
+                d, cid, i = min(options)
+                free[i] = False
+                rows.append((tid, cid, d, rank))
+        return pd.DataFrame(rows, columns=["treated_id", "control_id", "distance", "rank"])
+
+    from causeway.functions.hashrand import uniform
+
+    few = df.select(*block, F.col(key).cast("long").alias("__k"), F.col(treatment).cast("int").alias("__t"), F.col(score).cast("double").alias("__s"), uniform(F.lit(seed), F.col(key)).alias("__o"))
+    return few.groupBy(*block).applyInPandas(run, "treated_id long, control_id long, distance double, rank int")
+
+
+def assignment(cost) -> list[tuple[int, int]]:
+    """Pairs (row, column) of least total cost, rows no more than columns, by shortest augmenting paths."""
+    import numpy as np
+
+    cost = np.asarray(cost, float)
+    n, m = cost.shape
+    u, v, match = np.zeros(n + 1), np.zeros(m + 1), np.zeros(m + 1, int)
+    for i in range(1, n + 1):
+        match[0], j0 = i, 0
+        least, used, way = np.full(m + 1, np.inf), np.zeros(m + 1, bool), np.zeros(m + 1, int)
+        while True:
+            used[j0] = True
+            i0 = match[j0]
+            now = cost[i0 - 1] - u[i0] - v[1:]
+            better = ~used[1:] & (now < least[1:])
+            least[1:][better], way[1:][better] = now[better], j0
+            open_ = np.where(used, np.inf, least)
+            j1 = int(open_.argmin())
+            delta = open_[j1]
+            u[match[used]] += delta
+            v[used] -= delta
+            least[~used] -= delta
+            j0 = j1
+            if match[j0] == 0:
+                break
+        while j0:
+            match[j0] = match[way[j0]]
+            j0 = way[j0]
+    return [(int(match[j]) - 1, j - 1) for j in range(1, m + 1) if match[j]]
+
+
+def optimal(df: DataFrame, key: str, treatment: str, score: str, block: list[str], caliper: float | None = None, most: int = 2000) -> DataFrame:
+    """One to one with the least total distance within each block; pairs over caliper are dropped. A block with more than `most` rows in an arm raises: choose finer blocks."""
+    import numpy as np
+    import pandas as pd
+
+    def run(pdf):
+        a, b = (pdf[pdf["__t"] == x].sort_values("__k") for x in (1, 0))
+        if max(len(a), len(b)) > most:
+            raise ValueError(f"a block has {max(len(a), len(b))} rows in an arm; at most {most}")
+        rows = []
+        if len(a) and len(b):
+            d = np.abs(a["__s"].to_numpy()[:, None] - b["__s"].to_numpy()[None])
+            far = np.where(d > caliper, 1e10, d) if caliper is not None else d
+            pairs = assignment(far) if len(a) <= len(b) else [(i, j) for j, i in assignment(far.T)]
+            rows = [(a["__k"].iloc[i], b["__k"].iloc[j], d[i, j]) for i, j in pairs if far[i, j] < 1e9]
+        return pd.DataFrame(rows, columns=["treated_id", "control_id", "distance"])
+
+    few = df.select(*block, F.col(key).cast("long").alias("__k"), F.col(treatment).cast("int").alias("__t"), F.col(score).cast("double").alias("__s"))
+    return few.groupBy(*block).applyInPandas(run, "treated_id long, control_id long, distance double")

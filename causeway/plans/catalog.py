@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from causeway.functions import scalar
 from causeway.functions.hashrand import uniform
-from causeway.operators import cohort, effects, encoding, matching, metrics, simulation
+from causeway.operators import cohort, effects, encoding, matching, metrics, reports, simulation
 from causeway.plans import cohorts
 from causeway.plans.cohorts import LABELLED_SQL, ORDERS_SQL
 from causeway.sources.tables import table
@@ -372,3 +372,114 @@ def m14_r_learner(spark, d):
 @query(f"SELECT conv_id, turn FROM conversations WHERE {u('17', 'conv_id', 'turn')} < 0.1")
 def t7_sampled_turns(spark, d):
     return table(spark, d, "conversations").where(uniform(F.lit(17), F.col("conv_id"), F.col("turn")) < 0.1).select("conv_id", "turn")
+
+
+# reports
+
+
+@query("SELECT round(avg(e), 9) AS mean, round(stddev_samp(e), 9) AS std, round(min(e), 9) AS min, round(max(e), 9) AS max, round(avg(CAST(e - 0.35 > 0 OR e + 0.1 < 0 AS INTEGER)), 9) AS share_significant, round(avg(e), 9) AS mean_propensity FROM units", ORDERS_SQL)
+def s3_prediction_summary(spark, d):
+    df = cohorts.orders(spark, d).withColumns({"lo": F.col("e") - 0.35, "hi": F.col("e") + 0.1})
+    return rounded(reports.prediction_summary(df, "e", "lo", "hi", "e"), 9)
+
+
+@query("SELECT round(avg(x), 6) AS ate, round(stddev_pop(x), 6) AS std, round(min(x), 6) AS min, round(max(x), 6) AS max, round(quantile_cont(x, 0.5), 6) AS median, count(*) FILTER (x > 0) AS n_positive, count(*) FILTER (x < 0) AS n_negative FROM (SELECT e - 0.4 AS x FROM units)", ORDERS_SQL)
+def a33_effect_summary(spark, d):
+    return rounded(reports.effect_summary(cohorts.orders(spark, d).withColumn("x", F.col("e") - 0.4), "x"))
+
+
+@query("SELECT g, round(avg(y), 4) AS mean, round(stddev_samp(y), 4) AS std, count(*) AS n FROM (SELECT nullif(status, 'P') AS g, y FROM units) WHERE g IS NOT NULL GROUP BY g", ORDERS_SQL)
+def s11_strict_group_summary(spark, d):
+    return rounded(reports.strict_group_summary(cohorts.orders(spark, d).withColumn("g", F.nullif("status", F.lit("P"))), ["g"], "y"), 4)
+
+
+@query("SELECT feature, category, round(accuracy, 6) AS accuracy, n FROM (SELECT 'status' AS feature, status AS category, avg(CAST(found = status AS INTEGER)) AS accuracy, count(*) AS n FROM (SELECT status, CASE WHEN unit_id % 7 = 0 THEN 'unknown' WHEN unit_id % 5 = 0 THEN 'O' ELSE status END AS found FROM units) WHERE found <> 'unknown' GROUP BY GROUPING SETS ((status), ()))", ORDERS_SQL)
+def a19_extraction_accuracy(spark, d):
+    found = F.when(F.col("unit_id") % 7 == 0, "unknown").when(F.col("unit_id") % 5 == 0, "O").otherwise(F.col("status"))
+    return rounded(reports.extraction_accuracy(cohorts.orders(spark, d).withColumn("found", found), {"status": ("found", "status")}))
+
+
+@query("SELECT t, round(1 - sum(pow(y - p, 2)) / sum(pow(y - m, 2)), 6) AS r2, round(sqrt(avg(pow(y - p, 2))), 4) AS rmse FROM (SELECT t, y, 100000 + 10 * c_acctbal AS p, avg(y) OVER (PARTITION BY t) AS m FROM units) GROUP BY t", ORDERS_SQL)
+def a24_regression_by_arm(spark, d):
+    out = reports.regression_by_arm(cohorts.orders(spark, d).withColumn("p", 100000 + 10 * F.col("c_acctbal")), "t", "y", "p")
+    return out.withColumn("r2", F.round("r2", 6)).withColumn("rmse", F.round("rmse", 4))
+
+
+@query("SELECT round(stddev_samp(m), 4) AS std_of_means, round(avg(s), 4) AS mean_of_stds, count(*) AS n_groups FROM (SELECT avg(y) AS m, stddev_samp(y) AS s FROM units GROUP BY c_nationkey)", ORDERS_SQL)
+def a29_variability(spark, d):
+    return rounded(reports.variability(cohorts.orders(spark, d), "c_nationkey", "y"), 4)
+
+
+@query("SELECT member, round(avg(y) FILTER (has), 4) AS mean_with, round(avg(y) FILTER (NOT has), 4) AS mean_without FROM (SELECT member, y, list_contains([c_mktsegment, status], member) AS has FROM units, (SELECT DISTINCT unnest([c_mktsegment, status]) AS member FROM units)) GROUP BY member", ORDERS_SQL)
+def a28_member_contrast(spark, d):
+    return rounded(reports.member_contrast(cohorts.orders(spark, d).withColumn("members", F.array("c_mktsegment", "status")), "members", "y"), 4)
+
+
+@query("SELECT band, round(greatest(least(sum((t - e) * (y_high - 0.5)) / greatest(sum(pow(t - e, 2)), 1e-6), 0.02), -0.02), 6) AS contrast FROM units GROUP BY band", ORDERS_SQL)
+def a31_residual_contrast(spark, d):
+    return rounded(reports.residual_contrast(cohorts.orders(spark, d), "band", F.col("t") - F.col("e"), F.col("y_high") - 0.5, 0.02))
+
+
+@query("SELECT round((avg(b) - avg(c)) / greatest(abs(avg(b)), 1e-8), 6) AS gain, round(avg(CAST(c < b AS INTEGER)), 6) AS share_better, count(*) AS n_folds FROM (SELECT c_nationkey, avg(e) AS b, avg(CASE WHEN t = 1 THEN e ELSE 0.4 END) AS c FROM units GROUP BY c_nationkey)", ORDERS_SQL)
+def a17_candidate_gain(spark, d):
+    rows = cohorts.orders(spark, d).groupBy("c_nationkey").agg(F.avg("e").alias("b"), F.avg(F.when(F.col("t") == 1, F.col("e")).otherwise(0.4)).alias("c"))
+    return rounded(reports.candidate_gain(rows.withColumnRenamed("b", "loss"), rows.withColumnRenamed("c", "loss"), "c_nationkey", "loss"))
+
+
+@query("SELECT unit_id, y FROM units ORDER BY y DESC, unit_id LIMIT 10", ORDERS_SQL)
+def t2_top_rows(spark, d):
+    return reports.top_rows(cohorts.orders(spark, d), "y", 10, "unit_id").select("unit_id", "y")
+
+
+@query("SELECT label, CAST(dim - 1 AS INTEGER) AS dim, round(avg(x), 6) AS mean, round(stddev_pop(x), 6) AS std, round(max(x), 6) AS max, round(min(x), 6) AS min FROM (SELECT label, generate_subscripts(embedding, 1) AS dim, CAST(unnest(embedding) AS DOUBLE) AS x FROM embeddings) GROUP BY ALL")
+def m24_stat_pooling(spark, d):
+    return rounded(reports.stat_pooling(table(spark, d, "embeddings"), "label", "embedding"))
+
+
+@query("SELECT covariate, round(b, 6) AS smd_before, round(a, 6) AS smd_after, round(CASE WHEN b = 0 THEN 0 ELSE (b - a) / b END, 6) AS smd_reduction FROM (SELECT 'c_acctbal' AS covariate, (SELECT abs(avg(c_acctbal) FILTER (t = 1) - avg(c_acctbal) FILTER (t = 0)) / sqrt((var_samp(c_acctbal) FILTER (t = 1) + var_samp(c_acctbal) FILTER (t = 0)) / 2) FROM small) AS b, (SELECT abs(avg(x.c_acctbal) - avg(z.c_acctbal)) / sqrt((var_samp(x.c_acctbal) + var_samp(z.c_acctbal)) / 2) FROM pairs JOIN units x ON x.unit_id = treated_id JOIN units z ON z.unit_id = control_id) AS a)", ORDERS_SQL, SMALL, PAIRS.format(k=1))
+def a2_balance_change(spark, d):
+    units = _small(spark, d)
+    return rounded(effects.balance_change(units, matching.nearest(units, "unit_id", "t", "e", 1, 0.0005), "unit_id", "t", ["c_acctbal"]))
+
+
+@query("SELECT a.n_nationkey AS nation, b.r_regionkey AS region FROM nation a, region b WHERE NOT (a.n_nationkey % 3 = 0 AND b.r_regionkey < 2)")
+def j9_j10_open_jobs(spark, d):
+    n, r = table(spark, d, "nation").select(F.col("n_nationkey").alias("nation")), table(spark, d, "region").select(F.col("r_regionkey").alias("region"))
+    grid = n.crossJoin(r)  # a job grid: two short lists of options
+    return reports.open_jobs(grid, grid.where("nation % 3 = 0 AND region < 2"), ["nation", "region"])
+
+
+@query("SELECT unit_id, round(CASE WHEN t = 1 THEN greatest(least(0.5 + (1 - e) * 0.9, 1), 0) ELSE greatest(least(0.5 - e * 0.9, 1), 0) END, 9) AS factual, round(t / greatest(least(e, 0.999), 0.001) - (1 - t) / (1 - greatest(least(e, 0.999), 0.001)), 6) AS clever, round(greatest(e * (1 - e), 1e-4), 9) AS overlap_weight, round(t * 0.9 + 0.05, 9) AS smoothed, round(ln(e / (1 - e)), 6) AS logit FROM units", ORDERS_SQL)
+def g6_p9_arm_means(spark, d):
+    e, t = F.col("e"), F.col("t")
+    y0, y1 = scalar.arm_means(F.lit(0.5), e, F.lit(0.9), True)
+    out = cohorts.orders(spark, d).select("unit_id", F.round(scalar.factual(t, y1, y0), 9).alias("factual"), F.round(scalar.clever_covariate(t, e), 6).alias("clever"), F.round(effects.overlap_weights(e), 9).alias("overlap_weight"), F.round(scalar.smoothed_label(t, 0.1), 9).alias("smoothed"), F.round(scalar.logit(e), 6).alias("logit"))
+    return out
+
+
+@query("SELECT event_id, regexp_extract_all(lower('code ' || event_type || '_is_k ' || props), '[a-z]+(?:_[a-z0-9]+){2,}')[1] AS code FROM events")
+def f13_category_codes(spark, d):
+    return table(spark, d, "events").select("event_id", F.get(scalar.category_codes(F.concat(F.lit("code "), F.col("event_type"), F.lit("_is_k "), F.col("props"))), 0).alias("code"))
+
+
+@query("SELECT conv_id, turn, trim(substr(text, length('thoughts FINAL:') + 1)) AS answer FROM (SELECT conv_id, turn, 'thoughts FINAL:' || text AS text FROM conversations)")
+def f22_after_marker(spark, d):
+    return table(spark, d, "conversations").select("conv_id", "turn", scalar.after_marker(F.concat(F.lit("thoughts FINAL:"), F.col("text")), "final:").alias("answer"))
+
+
+@query()
+def j3_greedy_without_replacement(spark, d):
+    return matching.greedy(cohorts.orders(spark, d), "unit_id", "t", "e", ["c_mktsegment", "band"], caliper=0.01)
+
+
+@query()
+def j4_optimal_pairs(spark, d):
+    return matching.optimal(_small(spark, d), "unit_id", "t", "e", ["c_mktsegment", "band"], caliper=0.05)
+
+
+@query()
+def a9_a11_sensitivity(spark, d):
+    from causeway.functions import tails
+
+    n = _outcomes(spark, d, "y_high").agg(F.count_if(F.col("y1") > F.col("y0")).alias("up"), F.count_if(F.col("y1") < F.col("y0")).alias("down")).first()
+    return spark.createDataFrame(tails.rosenbaum(n["up"], n["down"]), "gamma double, p_plus double, p_minus double")
