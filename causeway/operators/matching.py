@@ -5,6 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from causeway.functions.workers import by_value
+
+by_value(__name__)
+
 
 def _sides(df: DataFrame, key: str, treatment: str, score: str) -> tuple[DataFrame, DataFrame]:
     pick = lambda value, name: df.where(F.col(treatment) == value).select(F.col(key).alias(f"{name}_id"), F.col(score).alias(f"{name}_score"))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from causeway.functions import scalar
 from causeway.functions.hashrand import uniform
-from causeway.operators import cohort, effects, encoding, matching, metrics, reports, simulation
+from causeway.operators import cohort, effects, encoding, forest, matching, metrics, reports, simulation
 from causeway.plans import cohorts
 from causeway.plans.cohorts import LABELLED_SQL, ORDERS_SQL
 from causeway.sources.tables import table
@@ -483,3 +483,15 @@ def a9_a11_sensitivity(spark, d):
 
     n = _outcomes(spark, d, "y_high").agg(F.count_if(F.col("y1") > F.col("y0")).alias("up"), F.count_if(F.col("y1") < F.col("y0")).alias("down")).first()
     return spark.createDataFrame(tails.rosenbaum(n["up"], n["down"]), "gamma double, p_plus double, p_minus double")
+
+
+@query()
+def m6_crossfit_nuisances(spark, d):
+    return forest.crossfit(_simulated(spark, d), "unit_id", "treatment", "outcome", ["x1", "x2"]).select("unit_id", "cv_fold", "e_hat", "m_hat")
+
+
+@query()
+def m7_causal_forest(spark, d):
+    fitted = forest.crossfit(_simulated(spark, d), "unit_id", "treatment", "outcome", ["x1", "x2"])
+    trees = forest.fit_forest(fitted, "unit_id", "outcome", "treatment", "m_hat", "e_hat", ["x1", "x2"], bags=8)
+    return forest.predict_forest(fitted.select("unit_id", "x1", "x2", "e_hat", "m_hat", "true_ite"), trees, ["x1", "x2"])
