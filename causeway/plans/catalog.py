@@ -7,9 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from causeway.functions import scalar
+from causeway.functions import notes, scalar
 from causeway.functions.hashrand import uniform
-from causeway.operators import cohort, effects, encoding, forest, matching, metrics, reports, simulation
+from causeway.operators import cohort, effects, encoding, extraction, forest, matching, metrics, reports, search, simulation
 from causeway.plans import cohorts
 from causeway.plans.cohorts import LABELLED_SQL, ORDERS_SQL
 from causeway.sources.tables import table
@@ -495,3 +495,43 @@ def m7_causal_forest(spark, d):
     fitted = forest.crossfit(_simulated(spark, d), "unit_id", "treatment", "outcome", ["x1", "x2"])
     trees = forest.fit_forest(fitted, "unit_id", "outcome", "treatment", "m_hat", "e_hat", ["x1", "x2"], bags=8)
     return forest.predict_forest(fitted.select("unit_id", "x1", "x2", "e_hat", "m_hat", "true_ite"), trees, ["x1", "x2"])
+
+
+@query()
+def f9_note_fields(spark, d):
+    """The parsers of clinical text over conversations, each of which returns null or empty where nothing fits."""
+    t = F.col("text")
+    out = table(spark, d, "conversations").select("conv_id", "turn", notes.timeline(t).alias("timeline"), notes.encounter(t).alias("encounter"), notes.hospitalization(t).alias("stay"), notes.lab_components(t).alias("labs"), notes.age(t).alias("age"), notes.percent_band(t).alias("band"), notes.mentions(t).alias("mentions"))
+    return out.select("conv_id", "turn", F.to_json(F.struct("timeline", "encounter", "stay", "labs", "age", "band", "mentions")).alias("fields"))
+
+
+@query()
+def v2_extracted_features(spark, d):
+    specs = [encoding.FeatureSpec("k", "continuous")]
+    return extraction.extract(table(spark, d, "events").select("event_id", "props"), "props", specs, extraction.KeywordProvider(specs))
+
+
+@query("SELECT part.p_partkey AS p_partkey, CASE WHEN contains(lower(p_name), 'survival') OR contains(lower(p_name), 'outcome') THEN 'name' END AS reason FROM (SELECT p_partkey, CASE WHEN p_partkey % 9 = 0 THEN 'overall_Survival' WHEN p_partkey % 7 = 0 THEN 'Outcome' ELSE 'ecog-status' END AS p_name FROM part) part")
+def p12_leakage_guard(spark, d):
+    name = F.when(F.col("p_partkey") % 9 == 0, "overall_Survival").when(F.col("p_partkey") % 7 == 0, "Outcome").otherwise("ecog-status")
+    return table(spark, d, "part").select("p_partkey", search.leakage(name, F.lit("at baseline")).alias("reason"))
+
+
+@query("SELECT conv_id, turn, 'Ask: ' || substr(text, 1, 200) AS prompt FROM conversations")
+def f23_prompt(spark, d):
+    return table(spark, d, "conversations").select("conv_id", "turn", F.concat(F.lit("Ask: "), F.substring("text", 1, 200)).alias("prompt"))
+
+
+@query(
+    "SELECT doc_id, bucket FROM (SELECT doc_id, bucket, count(*) OVER (PARTITION BY bucket) AS c FROM (SELECT DISTINCT doc_id, ((1 * 1000003::BIGINT + unnest(x)) % 2147483647) % 512 AS bucket FROM (SELECT doc_id, " + IDS + " AS x FROM documents WHERE lang = 'es') UNION SELECT doc_id, ((((2 * 1000003::BIGINT + x[i]) % 2147483647) * 1000003 + x[i + 1]) % 2147483647) % 512 FROM (SELECT doc_id, x, unnest(range(1, len(x))) AS i FROM (SELECT doc_id, " + IDS + " AS x FROM documents WHERE lang = 'es')))) WHERE c >= 2 AND c <= (SELECT count(*) FROM documents WHERE lang = 'es') - 2"
+)
+def m4_hashed_ngrams(spark, d):
+    docs = table(spark, d, "documents").where("lang = 'es'").select("doc_id", ids().alias("x"))
+    return encoding.hashed_ngrams(docs, "doc_id", "x", 512, (1, 2), 2)
+
+
+@query("SELECT covariate, mean, std, n FROM (SELECT 'y' AS covariate, round(avg(y), 4) AS mean, round(greatest(stddev_pop(y), 1e-6), 4) AS std, count(*) AS n FROM units UNION ALL SELECT 'e', round(avg(e), 4), round(greatest(stddev_pop(e), 1e-6), 4), count(*) FROM units)", ORDERS_SQL)
+def a22_normalization(spark, d):
+    df = cohorts.orders(spark, d)
+    stats, n = encoding.normalization(df, ["y", "e"]), df.count()
+    return spark.createDataFrame([(c, round(m, 4), round(s, 4), n) for c, (m, s) in sorted(stats.items())], "covariate string, mean double, std double, n long")
