@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from causeway.functions import notes, scalar
 from causeway.functions.hashrand import uniform
-from causeway.operators import cohort, effects, encoding, extraction, forest, matching, metrics, reports, search, simulation
+from causeway.operators import cohort, effects, encoding, extraction, forest, matching, metrics, reports, search, simulation, tables
 from causeway.plans import cohorts
 from causeway.plans.cohorts import LABELLED_SQL, ORDERS_SQL
 from causeway.sources.tables import table
@@ -535,3 +535,75 @@ def a22_normalization(spark, d):
     df = cohorts.orders(spark, d)
     stats, n = encoding.normalization(df, ["y", "e"]), df.count()
     return spark.createDataFrame([(c, round(m, 4), round(s, 4), n) for c, (m, s) in sorted(stats.items())], "covariate string, mean double, std double, n long")
+
+
+# shapes of tables
+
+
+@query("SELECT doc_id, to_json(list_transform(list_transform(x, w -> coalesce(m[w], 1)), i -> i)) AS ids FROM (SELECT doc_id, TOKENS[1:20] AS x FROM documents WHERE lang = 'fr'), (SELECT map_from_entries(list({k: token, v: token_id})) AS m FROM vocab)".replace("TOKENS", TOKENS).replace("w ->", "lambda w:").replace("i -> i", "lambda i: i"), VOCABULARY)
+def f2_token_ids(spark, d):
+    docs = table(spark, d, "documents")
+    out = tables.token_ids(docs.where("lang = 'fr'").select("doc_id", scalar.tokens(F.col("text")).alias("x")), "doc_id", "x", encoding.vocabulary(docs, "text", 500), 20)
+    return out.select("doc_id", F.concat(F.lit("["), F.array_join(F.col("ids").cast("array<string>"), ","), F.lit("]")).alias("ids"))
+
+
+@query("SELECT conv_id, turn, sum(b) AS checksum FROM (SELECT conv_id, turn, CAST('0x' || substr(hex(encode(text)), CAST(2 * i + 1 AS BIGINT), 2) AS INTEGER) + 1 AS b FROM (SELECT conv_id, turn, text, unnest(range(0, least(octet_length(encode(text)), 50))) AS i FROM conversations WHERE turn = 0)) GROUP BY ALL")
+def f25_byte_ids(spark, d):
+    x = table(spark, d, "conversations").where("turn = 0").select("conv_id", "turn", F.explode(tables.byte_ids(F.col("text"), 50)).alias("b"))
+    return x.groupBy("conv_id", "turn").agg(F.sum("b").alias("checksum"))
+
+
+@query("SELECT unit_id, round(c_acctbal * c_nationkey, 4) AS c_acctbal_x_c_nationkey, round(c_acctbal * e, 4) AS c_acctbal_x_e, round(c_nationkey * e, 6) AS c_nationkey_x_e FROM units", ORDERS_SQL)
+def h12_interactions(spark, d):
+    out = cohorts.orders(spark, d).select("unit_id", *tables.interactions(["c_acctbal", "c_nationkey", "e"]))
+    return out.select("unit_id", F.round("c_acctbal_x_c_nationkey", 4).alias("c_acctbal_x_c_nationkey"), F.round("c_acctbal_x_e", 4).alias("c_acctbal_x_e"), F.round("c_nationkey_x_e", 6).alias("c_nationkey_x_e"))
+
+
+@query("SELECT * FROM (VALUES ('p_name', false), ('p_brand', false), ('p_type', false), ('p_size', true), ('p_partkey', true), ('p_retailprice', true)) AS t(\"column\", \"numeric\")")
+def h11_discovered_columns(spark, d):
+    return tables.discovered(table(spark, d, "part"), "p_")
+
+
+@query("SELECT status AS category, round(count(*) / sum(count(*)) OVER (), 6) AS share FROM units WHERE status IN ('F', 'O', 'P') GROUP BY status", ORDERS_SQL)
+def a20_category_shares(spark, d):
+    return rounded(tables.category_shares(cohorts.orders(spark, d), "status", ["F", "O", "P"]))
+
+
+@query("SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events")
+def h3_tolerant_json(spark, d):
+    p = F.col("props")
+    text = F.when(F.col("event_id") % 3 == 0, p).when(F.col("event_id") % 3 == 1, F.concat(F.lit("Sure:\n```json\n"), p, F.lit("\n```"))).otherwise(F.concat(F.lit("The answer is "), p, F.lit(".")))
+    return table(spark, d, "events").select("event_id", tables.tolerant_json(text, "k long")["k"].alias("k"))
+
+
+@query("SELECT c_custkey, CASE lower(c_mktsegment) WHEN 'building' THEN 'Building' WHEN 'furniture' THEN 'FURNITURE' END AS category FROM customer")
+def j8_normalized_category(spark, d):
+    return table(spark, d, "customer").select("c_custkey", tables.normalized_category(F.concat(F.lit(" "), F.col("c_mktsegment")), ["Building", "FURNITURE"]).alias("category"))
+
+
+@query("SELECT user_id, event_type, round(exp(-s * s) / sum(exp(-s * s)) OVER (PARTITION BY user_id), 6) AS weight FROM (SELECT user_id, event_type, d / 100 AS s, row_number() OVER (PARTITION BY user_id ORDER BY d / 100, event_type) AS r FROM (SELECT user_id, event_type, avg(value) AS d FROM events GROUP BY ALL)) WHERE r <= 2")
+def w7_soft_assignment(spark, d):
+    each = table(spark, d, "events").groupBy("user_id", "event_type").agg((F.avg("value") / 100).alias("s"))
+    return rounded(tables.soft_assignment(each, "user_id", "event_type", "s", 2))
+
+
+@query("SELECT o_custkey, o_orderkey FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS r FROM orders) WHERE r = 1")
+def u5_first_rows(spark, d):
+    return tables.first_rows(table(spark, d, "orders").select("o_custkey", "o_orderkey", "o_orderdate"), ["o_custkey"], ["o_orderdate", "o_orderkey"]).select("o_custkey", "o_orderkey")
+
+
+@query()
+def y1_balanced_batches(spark, d):
+    return tables.balanced_batches(cohort.propensity_bins(cohorts.orders(spark, d), "unit_id", "t", "e", 8), "unit_id", "bin", "t", 32)
+
+
+@query("SELECT a.doc_id AS doc_id, a.quality AS quality_a, b.quality AS quality_b FROM labels a JOIN labels b ON a.doc_id = b.doc_id AND a.toxic = b.toxic")
+def j1_result_join(spark, d):
+    a, b = (table(spark, d, "labels").select("doc_id", "toxic", F.col("quality").alias(f"quality_{s}")) for s in "ab")
+    return a.join(b, ["doc_id", "toxic"]).select("doc_id", "quality_a", "quality_b")
+
+
+@query("SELECT count(*) AS n, round(avg(t), 6) AS treatment_rate, round(avg(y), 6) AS outcome_rate, round(avg(length(text)), 4) AS mean_chars, round(stddev_samp(length(text)), 4) AS std_chars FROM labelled", LABELLED_SQL)
+def a23_dataset_statistics(spark, d):
+    n = F.char_length("text").cast("double")
+    return cohorts.labelled(spark, d).agg(F.count("*").alias("n"), F.round(F.avg("t"), 6).alias("treatment_rate"), F.round(F.avg("y"), 6).alias("outcome_rate"), F.round(F.avg(n), 4).alias("mean_chars"), F.round(F.stddev_samp(n), 4).alias("std_chars"))
