@@ -607,3 +607,10 @@ def j1_result_join(spark, d):
 def a23_dataset_statistics(spark, d):
     n = F.char_length("text").cast("double")
     return cohorts.labelled(spark, d).agg(F.count("*").alias("n"), F.round(F.avg("t"), 6).alias("treatment_rate"), F.round(F.avg("y"), 6).alias("outcome_rate"), F.round(F.avg(n), 4).alias("mean_chars"), F.round(F.stddev_samp(n), 4).alias("std_chars"))
+
+
+@query()
+def a35_matching_report(spark, d):
+    from causeway.plans import psm
+
+    return psm.report(_small(spark, d), "unit_id", "t", "y_high", "e", ["c_acctbal"], caliper=0.0005, effect="e").estimates
