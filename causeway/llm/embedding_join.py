@@ -154,7 +154,11 @@ def embedding_links(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     boxes = intervals.select("grp", "seq", "low", "high").orderBy("grp", "seq").collect()  # a box for every INTERVAL vectors
     spark = vectors.sparkSession
     low, high = (np.array([b[k] for b in boxes]).reshape(len(boxes), grid) for k in ("low", "high"))
-    wanted = sorted({(boxes[i]["grp"], boxes[j]["grp"]) for i, j in interval_pairs(low, high, side)}) if boxes else []
+    numbers = sorted({b["grp"] for b in boxes})
+    at = [x for x in np.split(np.arange(len(boxes)), np.flatnonzero(np.diff([b["grp"] for b in boxes])) + 1) if len(x)]
+    near = lambda x, y: ((low[x][:, None] - high[y][None] <= side) & (low[y][None] - high[x][:, None] <= side)).all(2).any()
+    group_low, group_high = (np.array([f(v[x], 0) for x in at]).reshape(len(at), grid) for f, v in ((np.min, low), (np.max, high)))
+    wanted = [(numbers[i], numbers[j]) for i, j in sorted(interval_pairs(group_low, group_high, side)) if near(at[i], at[j])]
     deals = spark.createDataFrame([(g, n, int(g == b and a != b)) for n, (a, b) in enumerate(wanted) for g in sorted({a, b})], "grp int, task int, second int")
 
     def tile(group: pa.Table) -> pa.Table:
