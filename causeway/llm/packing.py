@@ -15,6 +15,7 @@ length is cut; other columns are neither read nor returned; an empty table gives
 
 from __future__ import annotations
 
+import struct
 import zlib
 from collections.abc import Iterator
 
@@ -32,26 +33,57 @@ TOKENIZER = "word_bpe_49k.json"
 
 
 class Words:
-    """Ids of a text, word by word. The vocabulary's rules never cross white space, so each distinct word is encoded once while it is kept."""
+    """Ids of a text, word by word. The vocabulary's rules never cross white space, so each distinct word is encoded once while it is kept.
 
-    def __init__(self, path: str, keep: int = 200_000):
+    A word of Latin-1 characters is lower-cased and cut into pieces here, as the vocabulary's file asks, and only unseen pieces go to its
+    merges; any other word goes through the whole tokenizer.
+    """
+
+    PIECE = r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+"
+
+    def __init__(self, path: str, keep: int = 300_000):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        import regex
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.keep, self.known = Tokenizer.from_file(path), keep, {}
+        self.tokenizer, self.keep, self.known, self.pieces = Tokenizer.from_file(path), keep, {}, {}
+        self.merge, self.cut = self.tokenizer.model.tokenize, regex.compile(self.PIECE).findall
+        plain = [*range(33, 127), *range(161, 173), *range(174, 256)]  # bytes that stand for themselves; the others follow from 256
+        self.byte = {b: b for b in plain} | {b: 256 + i for i, b in enumerate(x for x in range(256) if x not in plain)}
+
+    def piece(self, p: str) -> bytes:
+        if (own := self.pieces.get(p)) is None:
+            ids = [t.id for t in self.merge(p if p.isascii() and p.isalnum() else p.encode().decode("latin-1").translate(self.byte))]
+            own = self.pieces[p] = struct.pack(f"<{len(ids)}I", *ids)
+        return own
+
+    def word(self, w: bytes) -> bytes:
+        text = w.decode()
+        if not w.isascii() and max(text) > "\xff" or "<|" in text:
+            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        text = text.lower()
+        if text.isalpha():
+            return self.piece(text)
+        if text[-1] in ".,;:!?" and text[:-1].isalpha():
+            return self.piece(text[:-1]) + self.piece(text[-1])
+        return b"".join([self.piece(p) for p in self.cut(text)])
 
     def encode(self, text: bytes) -> bytes:
         """Little-endian unsigned 32-bit ids."""
         words, known = text.split(), self.known
-        if missing := list({w for w in words if w not in known}):
-            if len(known) + len(missing) > self.keep:
-                known.clear()
-                missing = list(set(words))
-            for w, e in zip(missing, self.tokenizer.encode_batch_fast([w.decode() for w in missing], add_special_tokens=False), strict=True):
-                known[w] = np.array(e.ids, "<u4").tobytes()
-        return b"".join([known[w] for w in words])
+        if len(known) > self.keep:
+            known.clear()
+        if len(self.pieces) > self.keep:
+            self.pieces.clear()
+        word = self.word
+        out = []
+        for w in words:
+            if (own := known.get(w)) is None:
+                own = known[w] = word(w)
+            out.append(own)
+        return b"".join(out)
 
 
 class Packer:
