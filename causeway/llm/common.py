@@ -28,11 +28,18 @@ def partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
-    """df written to the shared checkpoint folder, so a lost executor costs no recomputation."""
-    context = df.sparkSession.sparkContext
+    """df written to the shared checkpoint folder, so a lost executor costs no recomputation; the shuffle files behind it go when it is written."""
+    spark = df.sparkSession
+    context = spark.sparkContext
     if not context.getCheckpointDir():
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints")
-    out = df.checkpoint()
-    context._jvm.System.gc()  # lets Spark remove the shuffle files that only the lineage held
-    return out
+        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints")
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        return df.select("*").checkpoint()  # select: a plan of its own, made under the setting
+    finally:
+        spark.conf.set(CLEANUP, before)
