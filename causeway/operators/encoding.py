@@ -8,6 +8,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from causeway.functions.scalar import ngram_buckets, tokens
+from causeway.functions.workers import by_value
+
+by_value(__name__)
 
 
 @dataclass(frozen=True)
