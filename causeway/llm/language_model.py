@@ -2,7 +2,7 @@
 
 Count tables are partitioned by hash and joined to exploded n-grams, as packed messages: each text asks the hash partitions for its distinct
 words and bigrams, with how often it holds each; a partition adds them up over all texts and answers with the totals, in the order of the
-question, so an answer is little more than a byte. Only trigrams both of whose bigrams other texts hold can be held by other texts, so only
+question, so an answer is little more than a byte. Words are asked in one turn and bigrams in the next. Only trigrams both of whose bigrams other texts hold can be held by other texts, so only
 these are asked, in a second turn. At last the texts, which are shuffled once, meet their answers and the scores are summed per document.
 
 A text's own occurrences are taken off every count, else no n-gram would ever be unseen. The score of a word after two words is
@@ -72,39 +72,38 @@ def stupid_backoff(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     everything = rows.select("text").mapInArrow(lengths, "n long").agg(F.sum("n")).first()[0] or 0
 
-    def low(words: np.ndarray) -> np.ndarray:
-        return np.concatenate([grams.grams(words, 1), grams.grams(words, 2)])
-
     def sent(box: Question) -> Iterator[pa.RecordBatch]:
         for p, m in box.flush():
             yield pa.RecordBatch.from_arrays([pa.array([p], pa.int32()), pa.array([m], pa.binary())], ["part", "message"])
 
-    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher, box = grams.Hasher(), Question(parts)
-        for batch in batches:
-            for part, data, bounds in grams.slices(batch, 2):
-                words, ends = hasher.words(data, bounds)
-                for i, key in enumerate(part.column(1).to_pylist()):
-                    values, _, often = distinct(low(words[ends[i] : ends[i + 1]]), parts)
-                    if box.add(key, values, often):
-                        yield from sent(box)
-        yield from sent(box)
+    def ask(n: int):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            hasher, box = grams.Hasher(), Question(parts)
+            for batch in batches:
+                for part, data, bounds in grams.slices(batch, 2):
+                    words, ends = hasher.words(data, bounds)
+                    for i, key in enumerate(part.column(1).to_pylist()):
+                        values, _, often = distinct(grams.grams(words[ends[i] : ends[i + 1]], n), parts)
+                        if len(values) and box.add(key, values, often):
+                            yield from sent(box)
+            yield from sent(box)
+
+        return run
 
-    def others(words: np.ndarray, counts: bytes) -> tuple[np.ndarray, np.ndarray]:
-        """Of each word and bigram of a text in turn, how often other texts hold it."""
-        values, kind, often = distinct(low(words), parts)
-        own = (large(counts, len(values))[0] - often)[kind]
-        return own[: len(words)], own[len(words) :]
+    def others(words: np.ndarray, n: int, counts: pa.Scalar) -> np.ndarray:
+        """Of each n-gram of a text in turn, how often other texts hold it."""
+        values, kind, often = distinct(grams.grams(words, n), parts)
+        return (large(counts.as_py(), len(values))[0] - often)[kind] if len(values) else np.zeros(0, np.int64)
 
     def ask_again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher, box = grams.Hasher(), Question(parts)
         for batch in batches:
             for part, data, bounds in grams.slices(batch, 2):
                 words, ends = hasher.words(data, bounds)
-                for i, (key, counts) in enumerate(zip(part.column(1).to_pylist(), part.column(3), strict=True)):
+                for i, (key, counts) in enumerate(zip(part.column(1).to_pylist(), part.column(4), strict=True)):
                     own = words[ends[i] : ends[i + 1]]
                     if len(own) > 2:
-                        two = others(own, counts.as_py())[1] > 0
+                        two = others(own, 2, counts) > 0
                         values, _, often = distinct(grams.grams(own, 3)[two[:-1] & two[1:]], parts)
                         if len(values) and box.add(key, values, often):
                             yield from sent(box)
@@ -152,14 +151,14 @@ def stupid_backoff(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             for part, data, bounds in grams.slices(batch, 2):
                 words, ends = hasher.words(data, bounds)
                 logs, sizes = [], []
-                for i, (counts, more) in enumerate(zip(part.column(3), part.column(4), strict=True)):
+                for i, (singles, pairs, more) in enumerate(zip(*[part.column(c) for c in (3, 4, 5)], strict=True)):
                     own = words[ends[i] : ends[i + 1]]
                     n = len(own)
                     sizes.append(n)
                     if not n:
                         logs.append(0.0)
                         continue
-                    one, two = others(own, counts.as_py())
+                    one, two = others(own, 1, singles), others(own, 2, pairs)
                     rest = max(1, everything - n)
                     p = BACKOFF**2 * np.where(one > 0, one, BACKOFF) / rest
                     p[0] /= BACKOFF**2
@@ -178,10 +177,11 @@ def stupid_backoff(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sizes, pa.int64()), pa.array(logs, pa.float64())], ["id", "n_words", "log_score"])
 
     answered = lambda asked: asked.groupBy("part").applyInArrow(add_up, "home int, part int, message binary").groupBy("home").applyInArrow(gather, "key long, counts binary")
-    first = checkpointed(answered(rows.mapInArrow(ask, MESSAGE)))
-    known = rows.join(first.hint("shuffle_hash"), "key", "left").select("id", "key", "text", "counts")
-    second = answered(known.where("counts is not null").mapInArrow(ask_again, MESSAGE)).withColumnRenamed("counts", "more")
-    out = known.join(second.hint("shuffle_hash"), "key", "left").select("id", "key", "text", "counts", "more").mapInArrow(score, "id long, n_words long, log_score double")
+    # a turn for words and one for bigrams: what a turn holds on disk goes before the next
+    singles, pairs = (checkpointed(answered(rows.mapInArrow(ask(n), MESSAGE)).withColumnRenamed("counts", c)) for n, c in ((1, "singles"), (2, "pairs")))
+    known = rows.join(singles.hint("shuffle_hash"), "key", "left").join(pairs.hint("shuffle_hash"), "key", "left").select("id", "key", "text", "singles", "pairs")
+    second = answered(known.where("pairs is not null").mapInArrow(ask_again, MESSAGE)).withColumnRenamed("counts", "more")
+    out = known.join(second.hint("shuffle_hash"), "key", "left").select("id", "key", "text", "singles", "pairs", "more").mapInArrow(score, "id long, n_words long, log_score double")
     return out.select(F.col("id").alias(id_col), "n_words", "log_score", F.when(F.col("n_words") > 0, F.col("log_score") / F.col("n_words")).alias("mean_log"))
 
 
