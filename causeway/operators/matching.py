@@ -25,9 +25,15 @@ def band_pairs(df: DataFrame, key: str, treatment: str, score: str, caliper: flo
 
 
 def nearest(df: DataFrame, key: str, treatment: str, score: str, k: int = 1, caliper: float = 0.05) -> DataFrame:
-    """The k nearest controls of each treated row within caliper, with replacement; ties go to the smaller id. rank from 1."""
+    """The k nearest controls of each treated row within caliper, with replacement; ties go to the smaller id. rank from 1.
+
+    Of controls with one score only the k smallest ids can be among them, so no more of each score are joined.
+    """
+    first = Window.partitionBy(score).orderBy(key)
+    control = df.where(F.col(treatment) == 0).select(key, treatment, score).withColumn("__r", F.row_number().over(first)).where(F.col("__r") <= k).drop("__r")
+    few = df.where(F.col(treatment) == 1).select(key, treatment, score).unionByName(control)
     order = Window.partitionBy("treated_id").orderBy("distance", "control_id")
-    return band_pairs(df, key, treatment, score, caliper).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    return band_pairs(few, key, treatment, score, caliper).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
 def greedy(df: DataFrame, key: str, treatment: str, score: str, block: list[str], k: int = 1, caliper: float | None = None, seed: int = 42) -> DataFrame:
@@ -105,21 +111,58 @@ def assignment(cost) -> list[tuple[int, int]]:
     return [(int(match[j]) - 1, j - 1) for j in range(1, m + 1) if match[j]]
 
 
-def optimal(df: DataFrame, key: str, treatment: str, score: str, block: list[str], caliper: float | None = None, most: int = 2000) -> DataFrame:
-    """One to one with the least total distance within each block; pairs over caliper are dropped. A block with more than `most` rows in an arm raises: choose finer blocks."""
+def line_assignment(a, b, caliper: float | None = None) -> list[tuple[int, int]]:
+    """Pairs (i, j) of ascending scores a and b: as many within caliper as can be, of those the ones with the least total distance.
+
+    On a line pairs need not cross, so one row of the table of best costs follows from the row before. Rows are kept at stripes of the
+    square root of their number and those between are computed again on the way back: memory is 2 sqrt(n) rows.
+    """
     import numpy as np
+
+    a, b = np.asarray(a, float), np.asarray(b, float)
+    if len(a) > len(b):
+        return [(i, j) for j, i in line_assignment(b, a, caliper)]
+    n, m = len(a), len(b)
+    if not n:
+        return []
+    reach = max(a[-1], b[-1]) - min(a[0], b[0])
+    alone = n * (reach if caliper is None else min(caliper, reach)) + 1.0  # more than all pairs together can cost
+
+    def step(above, i):
+        d = np.abs(a[i] - b)
+        taken = above[:-1] + (d if caliper is None else np.where(d <= caliper, d, np.inf))
+        here = above + alone
+        here[1:] = np.minimum(here[1:], taken)
+        return np.minimum.accumulate(here), taken
+
+    width = int(np.ceil(np.sqrt(n)))
+    kept, row = [], np.zeros(m + 1)
+    for i in range(n):
+        if i % width == 0:
+            kept.append(row)
+        row = step(row, i)[0]
+    pairs, j = [], m
+    for stripe in range(len(kept) - 1, -1, -1):
+        rows, takes = [kept[stripe]], []
+        for i in range(stripe * width, min(n, (stripe + 1) * width)):
+            best, taken = step(rows[-1], i)
+            rows.append(best), takes.append(taken)
+        for at in range(len(takes) - 1, -1, -1):
+            j = int(np.searchsorted(-rows[at + 1][: j + 1], -rows[at + 1][j]))  # the first place with this cost: costs fall with j
+            if j and takes[at][j - 1] <= rows[at][j] + alone:
+                pairs.append((stripe * width + at, j - 1))
+                j -= 1
+    return pairs[::-1]
+
+
+def optimal(df: DataFrame, key: str, treatment: str, score: str, block: list[str], caliper: float | None = None) -> DataFrame:
+    """One to one within each block: as many pairs within caliper as can be, with the least total distance. Rows without a score stay alone; a block is one task, its time grows with the product of its arms."""
     import pandas as pd
 
     def run(pdf):
-        a, b = (pdf[pdf["__t"] == x].sort_values("__k") for x in (1, 0))
-        if max(len(a), len(b)) > most:
-            raise ValueError(f"a block has {max(len(a), len(b))} rows in an arm; at most {most}")
-        rows = []
-        if len(a) and len(b):
-            d = np.abs(a["__s"].to_numpy()[:, None] - b["__s"].to_numpy()[None])
-            far = np.where(d > caliper, 1e10, d) if caliper is not None else d
-            pairs = assignment(far) if len(a) <= len(b) else [(i, j) for j, i in assignment(far.T)]
-            rows = [(a["__k"].iloc[i], b["__k"].iloc[j], d[i, j]) for i, j in pairs if far[i, j] < 1e9]
+        a, b = (pdf[pdf["__t"] == x].dropna(subset=["__s"]).sort_values(["__s", "__k"]) for x in (1, 0))
+        s, z = a["__s"].to_numpy(), b["__s"].to_numpy()
+        rows = [(a["__k"].iloc[i], b["__k"].iloc[j], abs(s[i] - z[j])) for i, j in line_assignment(s, z, caliper)]
         return pd.DataFrame(rows, columns=["treated_id", "control_id", "distance"])
 
     few = df.select(*block, F.col(key).cast("long").alias("__k"), F.col(treatment).cast("int").alias("__t"), F.col(score).cast("double").alias("__s"))

@@ -165,8 +165,8 @@ def j3_nearest_controls(spark, d):
     return rounded(matching.nearest(_small(spark, d), "unit_id", "t", "e", 3, 0.0005).select("treated_id", "control_id", "distance", "rank"), 9)
 
 
-def _outcomes(spark, d, y):
-    units = _small(spark, d)
+def _outcomes(spark, d, y, cohort=_small):
+    units = cohort(spark, d)
     return effects.pair_outcomes(matching.nearest(units, "unit_id", "t", "e", 1, 0.0005), units, "unit_id", y)
 
 
@@ -184,6 +184,36 @@ def a9_mcnemar(spark, d):
     return rounded(effects.mcnemar(_outcomes(spark, d, "y_high")))
 
 
+# the same over all orders: their SQL would be a join of all pairs, so tests hold them against brute force
+
+
+@query()
+def j6_band_pairs_all(spark, d):
+    return rounded(matching.band_pairs(cohorts.orders(spark, d), "unit_id", "t", "e", 0.0005).agg(F.count("*").alias("n"), F.sum("distance").alias("total")))
+
+
+@query()
+def j3_nearest_controls_all(spark, d):
+    return rounded(matching.nearest(cohorts.orders(spark, d), "unit_id", "t", "e", 3, 0.0005).select("treated_id", "control_id", "distance", "rank"), 9)
+
+
+@query()
+def a4_att_matched_all(spark, d):
+    out = effects.att_matched(_outcomes(spark, d, "y", cohorts.orders))
+    return out.withColumn("att", F.round("att", 4)).withColumn("t_statistic", F.round("t_statistic", 6))
+
+
+@query()
+def a9_mcnemar_all(spark, d):
+    return rounded(effects.mcnemar(_outcomes(spark, d, "y_high", cohorts.orders)))
+
+
+@query()
+def a2_balance_change_all(spark, d):
+    units = cohorts.orders(spark, d)
+    return rounded(effects.balance_change(units, matching.nearest(units, "unit_id", "t", "e", 1, 0.0005), "unit_id", "t", ["c_acctbal"]))
+
+
 # metrics
 
 
@@ -474,14 +504,14 @@ def j3_greedy_without_replacement(spark, d):
 
 @query()
 def j4_optimal_pairs(spark, d):
-    return matching.optimal(_small(spark, d), "unit_id", "t", "e", ["c_mktsegment", "band"], caliper=0.05)
+    return matching.optimal(cohorts.orders(spark, d), "unit_id", "t", "e", ["c_mktsegment", "band"], caliper=0.05)
 
 
 @query()
 def a9_a11_sensitivity(spark, d):
     from causeway.functions import tails
 
-    n = _outcomes(spark, d, "y_high").agg(F.count_if(F.col("y1") > F.col("y0")).alias("up"), F.count_if(F.col("y1") < F.col("y0")).alias("down")).first()
+    n = _outcomes(spark, d, "y_high", cohorts.orders).agg(F.count_if(F.col("y1") > F.col("y0")).alias("up"), F.count_if(F.col("y1") < F.col("y0")).alias("down")).first()
     return spark.createDataFrame(tails.rosenbaum(n["up"], n["down"]), "gamma double, p_plus double, p_minus double")
 
 
@@ -613,4 +643,4 @@ def a23_dataset_statistics(spark, d):
 def a35_matching_report(spark, d):
     from causeway.plans import psm
 
-    return psm.report(_small(spark, d), "unit_id", "t", "y_high", "e", ["c_acctbal"], caliper=0.0005, effect="e").estimates
+    return psm.report(cohorts.orders(spark, d), "unit_id", "t", "y_high", "e", ["c_acctbal"], caliper=0.0005, effect="e").estimates
