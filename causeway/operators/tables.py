@@ -27,7 +27,9 @@ def padded(ids: Column, length: int, pad: int = PADDING) -> tuple[Column, Column
 
 def byte_ids(text: Column, most: int) -> Column:
     """UTF-8 bytes plus 1, 0 being for padding."""
-    return F.transform(F.sequence(F.lit(1), F.least(F.octet_length(text), F.lit(most))), lambda i: F.conv(F.hex(F.substring(F.encode(text, "UTF-8"), i, F.lit(1))), 16, 10).cast("int") + 1)
+    digits = F.hex(F.substring(F.encode(text, "UTF-8"), 1, most))
+    each = F.regexp_extract_all(digits, F.lit(".."), F.lit(0))  # one pass; a lambda would encode the text again for each byte
+    return F.transform(each, lambda x: F.conv(x, 16, 10).cast("int") + 1)
 
 
 def normalized_category(value: Column, categories: list[str]) -> Column:

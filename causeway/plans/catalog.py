@@ -331,6 +331,54 @@ def m1_tfidf(spark, d):
     return rounded(encoding.tfidf(table(spark, d, "documents").where("lang = 'en'"), "doc_id", "text", size=300))
 
 
+# text queries over all documents and turns with the reference's own limits; too slow or too large for SQL, so tests hold them against brute force
+
+
+@query()
+def f4_text_hash_all(spark, d):
+    return table(spark, d, "documents").select("doc_id", scalar.normalized_hash(F.col("text")).alias("text_hash"))
+
+
+@query()
+def w4_chunks_all(spark, d):
+    each = table(spark, d, "documents").select("doc_id", ids().alias("x")).select("doc_id", F.posexplode(scalar.chunks(F.col("x"), 64, 16)).alias("i", "c"))
+    return each.select("doc_id", (F.col("i") * 48).cast("long").alias("i"), F.concat(F.lit("["), F.array_join(F.col("c").cast("array<string>"), ","), F.lit("]")).alias("chunk"))
+
+
+@query()
+def p10_token_window_all(spark, d):
+    x = table(spark, d, "documents").select("doc_id", ids().alias("x"))
+    return x.select("doc_id", F.aggregate(scalar.token_window(F.col("x"), 32, "head_tail"), F.lit(0).cast("long"), lambda a, b: a + b).alias("checksum"))
+
+
+@query()
+def m1_tfidf_all(spark, d):
+    return rounded(encoding.tfidf(table(spark, d, "documents"), "doc_id", "text", size=10_000))
+
+
+@query()
+def m4_hashed_ngrams_all(spark, d):
+    return encoding.hashed_ngrams(table(spark, d, "documents").select("doc_id", ids().alias("x")), "doc_id", "x", 32_768, (1, 2, 3), 5)
+
+
+@query()
+def f2_token_ids_all(spark, d):
+    docs = table(spark, d, "documents")
+    out = tables.token_ids(docs.select("doc_id", scalar.tokens(F.col("text")).alias("x")), "doc_id", "x", encoding.vocabulary(docs, "text", 50_000))
+    return out.select("doc_id", F.concat(F.lit("["), F.array_join(F.col("ids").cast("array<string>"), ","), F.lit("]")).alias("ids"))
+
+
+@query()
+def f25_byte_ids_all(spark, d):
+    x = table(spark, d, "conversations").select("conv_id", "turn", tables.byte_ids(F.col("text"), 512 * 128).alias("b"))
+    return x.select("conv_id", "turn", F.aggregate("b", F.lit(0).cast("long"), lambda a, b: a + b).alias("checksum"))
+
+
+@query()
+def f23_prompt_all(spark, d):
+    return table(spark, d, "conversations").select("conv_id", "turn", F.concat(F.lit("Ask: "), F.substring("text", 1, 8000)).alias("prompt"))
+
+
 # encoding
 
 SPECS = [encoding.FeatureSpec("c_mktsegment", "categorical", ("automobile", "building", "furniture", "machinery", "household")), encoding.FeatureSpec("c_acctbal", "continuous", roles=("confounder",))]

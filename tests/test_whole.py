@@ -1,9 +1,16 @@
 """Queries over whole tables, without SQL, against brute force."""
 
+import hashlib
+import json
+import math
+import re
+from collections import Counter
+
 import numpy as np
 import pytest
-from causeway.operators import matching
+from causeway.operators import matching, tables
 from causeway.plans import catalog, cohorts
+from pyspark.sql import functions as F
 
 from tests.conftest import SF
 
@@ -63,3 +70,65 @@ def test_line_assignment_is_the_best_assignment():
             best = [d[i, j] for i, j in every if cost[i, j] < 999]
             assert len(pairs) == len(best) and sum(d[i, j] for i, j in pairs) == pytest.approx(sum(best))
             assert caliper is None or all(d[i, j] <= caliper for i, j in pairs)
+
+
+def tokens_of(text):
+    return re.findall(r"[a-z0-9]+|[^\t\n\x0b\f\r ]", text.lower())
+
+
+def ids_of(text):
+    return [int(hashlib.md5(w.encode()).hexdigest()[:6], 16) % 1000 for w in tokens_of(text)]
+
+
+def all_of(spark, name):
+    return catalog.QUERIES[name](spark, SF).collect()
+
+
+@pytest.fixture(scope="module")
+def texts(spark):
+    return {r.doc_id: r.text for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()}
+
+
+def test_document_queries_cover_all_texts(spark, texts):
+    assert {r.doc_id: r.text_hash for r in all_of(spark, "f4_text_hash_all")} == {i: hashlib.sha1(re.sub(r"[\t\n\x0b\f\r ]+", " ", t).strip(" ").encode()).hexdigest() for i, t in texts.items()}
+    ids = {i: ids_of(t) for i, t in texts.items()}
+    chunks = {(r.doc_id, r.i): r.chunk for r in all_of(spark, "w4_chunks_all")}
+    assert chunks == {(i, k): json.dumps(x[k : k + 64], separators=(",", ":")) for i, x in ids.items() for k in range(0, max(len(x), 1), 48)}
+    assert {r.doc_id: r.checksum for r in all_of(spark, "p10_token_window_all")} == {i: sum(x if len(x) <= 32 else x[:16] + x[-16:]) for i, x in ids.items()}
+
+    def bucket(gram):
+        h = len(gram)
+        for g in gram:
+            h = (h * 1_000_003 + g) % 2_147_483_647
+        return h % 32_768
+
+    found = {i: {bucket(x[k : k + n]) for n in (1, 2, 3) for k in range(len(x) - n + 1)} for i, x in ids.items()}
+    often = Counter(b for x in found.values() for b in x)
+    assert {(r.doc_id, r.bucket) for r in all_of(spark, "m4_hashed_ngrams_all")} == {(i, b) for i, x in found.items() for b in x if 5 <= often[b] <= len(ids) - 5}
+    words = {i: tokens_of(t) for i, t in texts.items()}
+    counts = Counter(w for x in words.values() for w in x)
+    known = sorted((w for w, n in counts.items() if n >= 2), key=lambda w: (-counts[w], w.encode()))[:49_998]
+    place = {w: k + 2 for k, w in enumerate(known)}
+    assert {r.doc_id: json.loads(r.ids) for r in all_of(spark, "f2_token_ids_all")} == {i: [place.get(w, 1) for w in x] for i, x in words.items()}
+
+
+def test_tfidf_covers_all_texts(spark, texts):
+    tf = {}
+    for i, t in texts.items():
+        w = re.findall(r"[a-z0-9_]{2,}", t.lower())
+        tf[i] = Counter(w + [f"{a} {b}" for a, b in zip(w, w[1:])])
+    df, total = Counter(k for x in tf.values() for k in x), sum(tf.values(), Counter())
+    n = len(texts)
+    kept = set(sorted((k for k, c in df.items() if 5 <= c <= 0.95 * n), key=lambda k: (-total[k], k))[:10_000])
+    raw = {i: {k: (1 + math.log(c)) * (math.log((1 + n) / (1 + df[k])) + 1) for k, c in x.items() if k in kept} for i, x in tf.items()}
+    got = {(r.doc_id, r.term): r.weight for r in all_of(spark, "m1_tfidf_all")}
+    want = {(i, k): v / math.sqrt(sum(z * z for z in x.values())) for i, x in raw.items() for k, v in x.items()}
+    assert got.keys() == want.keys() and all(abs(got[k] - v) < 2e-6 for k, v in want.items()) and len(kept) > 300
+
+
+def test_turn_queries_cover_all_turns(spark):
+    turns = {(r.conv_id, r.turn): r.text for r in spark.read.parquet(f"{SF}/conversations.parquet").select("conv_id", "turn", "text").collect()}
+    assert {(r.conv_id, r.turn): r.checksum for r in all_of(spark, "f25_byte_ids_all")} == {k: sum(b + 1 for b in t.encode()[: 512 * 128]) for k, t in turns.items()}
+    assert {(r.conv_id, r.turn): r.prompt for r in all_of(spark, "f23_prompt_all")} == {k: "Ask: " + t[:8000] for k, t in turns.items()}
+    few = spark.createDataFrame([("",), ("aé",)], "t string").select(tables.byte_ids(F.col("t"), 2).alias("b")).collect()
+    assert [r.b for r in few] == [[], [98, 196]]
