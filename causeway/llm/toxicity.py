@@ -3,7 +3,8 @@
 A document is the set of its lower-case words and of their first three to seven letters, which catch inflected forms. Those that enough
 documents of the labelled sample hold, the most telling `vocabulary` of them, make the vocabulary. The weights minimise logistic loss plus an L2 penalty plus `fairness` times the mean squared change of the score's
 logit when each identity term in a labelled text gives way to another of its group, so a neutral mention of a group moves the score as
-little as any other: the terms of one group end at one weight, near 0 unless all of them tell something.
+little as any other. The change is that of the whole text's logit: over all features that the swap takes away or brings in, first letters
+included and those that another word of the text holds too left out; terms outside the vocabulary count with weight 0.
 
 Training reads labelled rows alone, at most about `bound` of each class (a documented sample: rows whose hash falls under a rate; the
 rate comes from counts over all labelled rows). Only the ids of that sample are broadcast, only its word counts and word ids reach the
@@ -19,6 +20,7 @@ from __future__ import annotations
 
 import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -51,21 +53,38 @@ def features_of(word: str) -> list[str]:
     return [word, *(word[:k] + "*" for k in PREFIXES if k < len(word))]
 
 
+def swaps_of(features: list[str], place: dict[str, int]) -> Iterator[tuple[tuple[int, ...], int]]:
+    """For each identity term of a text and each other term of its group, what the swap brings in and takes away, as fit() has it, and the number of those others."""
+    whole = set(features)
+    held = None
+    for group in IDENTITY:
+        for w in group:
+            if w not in whole:
+                continue
+            held = held or Counter(f for v in whole if not v.endswith("*") for f in features_of(v))
+            lost = {f for f in features_of(w) if held[f] == 1}
+            for o in group:
+                if o != w:
+                    new = features_of(o)
+                    ids = [1 + place[f] for f in new if f not in whole and f in place] + [-1 - place[f] for f in lost.difference(new) if f in place]
+                    if ids:
+                        yield tuple(sorted(ids)), len(group) - 1
+
+
 def held_out(id_col: Column) -> Column:
     return F.coalesce(F.crc32(id_col.cast("string").cast("binary")) % FOLDS == 0, F.lit(False))
 
 
-def fit(x: list[np.ndarray], y: np.ndarray, swaps: list[tuple[int, list[int]]], size: int, weight: np.ndarray, ridge: float = 0.7, fairness: float = 10.0, steps: int = 300) -> tuple[np.ndarray, float]:
-    """Weights of `size` words and the intercept. x: ids of the words in each text. swaps: word id, ids that may replace it."""
+def fit(x: list[np.ndarray], y: np.ndarray, swaps: list[tuple[list[int], float]], size: int, weight: np.ndarray, ridge: float = 0.7, fairness: float = 10.0, steps: int = 300) -> tuple[np.ndarray, float]:
+    """Weights of `size` words and the intercept. x: ids of the words in each text. swaps: the ids that a swap brings in, as 1 + id, and takes away, as -1 - id, and how many times it may happen."""
     index, of = np.concatenate([*x, np.zeros(0, np.int64)]).astype(np.int64), np.repeat(np.arange(len(x)), [len(a) for a in x])
     n = len(x)
     pos, neg = (np.bincount(index, (weight * side)[of], size) for side in (y, 1 - y))
     ratio = np.log((pos + 0.5) / ((weight * y).sum() + 1)) - np.log((neg + 0.5) / ((weight * (1 - y)).sum() + 1))
     scale = np.abs(ratio)  # words that tell nothing can't add up over a long text
-    pairs = [(i, j) for i, others in swaps for j in others]
-    seen = np.bincount(index, minlength=size) / max(1, n)
-    a, b = (np.array([p[k] for p in pairs], np.int64) for k in (0, 1))
-    often = np.array([seen[i] / max(1, len([1 for p in pairs if p[0] == i])) for i in a]) if pairs else np.zeros(0)
+    changed = np.array([i for ids, _ in swaps for i in ids], np.int64)
+    swap, sign, changed = np.repeat(np.arange(len(swaps)), [len(ids) for ids, _ in swaps]), np.sign(changed), np.abs(changed) - 1
+    often = np.array([k for _, k in swaps], float) / max(1, n)
     u, c = np.sign(ratio) * 0.1, 0.0
     m, v = np.zeros(size + 1), np.zeros(size + 1)
     for t in range(1, steps + 1):
@@ -74,8 +93,9 @@ def fit(x: list[np.ndarray], y: np.ndarray, swaps: list[tuple[int, list[int]]],
         p = 1 / (1 + np.exp(-np.clip(z, -50, 50)))
         r = weight * (p - y)
         g = np.bincount(index, r[of], size)
-        change = fairness * often * (w[a] - w[b]) if pairs else np.zeros(0)
-        g += (np.bincount(a, change, size) - np.bincount(b, change, size)) * weight.sum()
+        if len(changed):
+            change = fairness * often * np.bincount(swap, sign * w[changed], len(swaps))
+            g += np.bincount(changed, sign * change[swap], size) * weight.sum()
         grad = np.append(g * scale + ridge * u, r.sum())
         m, v = 0.9 * m + 0.1 * grad, 0.99 * v + 0.01 * grad**2
         move = 0.05 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-9)
@@ -118,13 +138,19 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
                 found = [[place[w] for w in ws if w in place] for ws in b.column(1).to_pylist()]
                 yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found, pa.list_(pa.int32()))], ["y", "x"])
 
+        def swapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                many = Counter(swap for ws in b.column(1).to_pylist() for swap in swaps_of(ws, place))
+                yield pa.RecordBatch.from_arrays([pa.array([list(ids) for ids, _ in many], pa.list_(pa.int32())), pa.array([k for _, k in many], pa.int32()), pa.array(many.values(), pa.int64())], ["ids", "others", "times"])
+
         rows = bags.mapInArrow(number, "y int, x array<int>").toArrow()
+        counted = bags.mapInArrow(swapped, "ids array<int>, others int, times long").groupBy("ids", "others").agg(F.sum("times").alias("times")).collect() if fairness else []
     finally:
         bags.unpersist()
     y = np.array(rows.column("y").to_pylist(), float)
     x = [np.array(a, np.int64) for a in rows.column("x").to_pylist()]
     weight = np.where(y == 1, n1 / max(1.0, y.sum()), n0 / max(1.0, (1 - y).sum()))
-    swaps = [(place[w], [place[o] for o in group if o != w and o in place]) for group in IDENTITY for w in group if w in place]
+    swaps = [(r["ids"], r["times"] / r["others"]) for r in sorted(counted)]
     w, c = fit(x, y, swaps, len(place), weight * len(y) / weight.sum(), fairness=fairness)
     return {k: float(v) for k, v in zip(known, w, strict=True) if abs(v) > 1e-4}, c
 

@@ -148,6 +148,31 @@ def test_toxicity_learns_words_and_not_groups(spark):
     assert gap(fair) < 0.2 * gap(free) + 0.02 and score[9002] < 0.5
 
 
+def test_swapped_sentences_score_alike(spark):
+    rows, labels = [], []
+    for i in range(600):
+        bad = i % 3 == 0
+        group = ("muslims" if bad else "people") if i % 2 else ""  # no other term of the group is seen at all
+        rows.append((i, f"some {group} came here w{i % 50} {'vile' if bad and i % 4 else 'kind'} and left"))
+        labels.append((i, int(bad)))
+    docs, table = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")
+
+    def gap(w):
+        logit = lambda text: sum(w.get(f, 0.0) for f in {f for x in toxicity.words_of(text) for f in toxicity.features_of(x)})
+        return max(abs(logit("some muslims came here") - logit(f"some {o} came here")) for o in ("christians", "jews", "hindus"))
+
+    free, fair = toxicity.learn(docs, table, fairness=0.0)[0], toxicity.learn(docs, table)[0]
+    assert gap(free) > 1 and gap(fair) < 0.2 * gap(free)
+
+
+def test_swaps_change_what_no_other_word_holds():
+    features = sorted({f for w in ("muslims", "muslin", "women", "men") for f in toxicity.features_of(w)})
+    names = sorted({f for w in ("muslims", "muslin", "women", "men", "jews") for f in toxicity.features_of(w)})
+    place = {f: i for i, f in enumerate(names)}
+    found = {tuple(("+" if i > 0 else "-") + names[abs(i) - 1] for i in ids): k for ids, k in toxicity.swaps_of(features, place)}
+    assert {tuple(sorted(x)): k for x, k in found.items()} == {("-wom*", "-wome*", "-women"): 1, ("-men",): 1, ("+jew*", "+jews", "-muslim*", "-muslims"): 5, ("-muslim*", "-muslims"): 5}
+
+
 def test_toxicity_edges(docs, none, spark):
     labels = spark.createDataFrame([], "doc_id long, toxic int")
     assert len({r.score for r in toxicity.score_documents(docs, labels).collect()}) == 1
