@@ -1,9 +1,11 @@
 """Document fingerprints by winnowing. JVM expressions only.
 
-The units of a text are the pieces of up to three code points into which each run of non-blank characters is cut from its start, so an
-edit disturbs no unit before it and none in other words. A rolling window of k units is a gram; of each w neighbouring grams the one with
-the least hash is kept, the rightmost of equals. Any passage of w + k - 1 units that two texts share is thus found in both (the match
-guarantee), and the place of each kept gram tells where.
+The units of a text are pieces of up to three code points of its runs of non-blank characters, cut where content tells and not by count
+from a run's start: after each code point of END, which takes up to two others before it along; further ones before it stand alone, and so
+do those after the last of a run but for its final three, which are one unit. What a code point's unit is depends on the three code points
+on either side at most, so an edit disturbs no unit further away, in text without blanks either. A rolling window of k units is a gram; of
+each w neighbouring grams the one with the least hash is kept, the rightmost of equals. Any passage of w + k - 1 units that two texts share
+is thus found in both (the match guarantee), and the place of each kept gram tells where.
 
 A gram's 32-bit hash and its place are one long, hash first and the place counted backwards, so the minimum of a window is the least hash
 and the rightmost place; the minima of w = 2^m grams come from m rounds of pairwise minima of shifted arrays.
@@ -21,7 +23,9 @@ from pyspark.sql import functions as F
 from causeway.llm.common import let
 
 K, ROUNDS = 5, 3  # units in a gram; 2 ** ROUNDS grams in a window
-UNIT = r"[^\x20\x09-\x0D]{1,3}"
+#: About a third of letters and digits, and all code points beyond ASCII.
+END = r"cfiloruxCFILORUX258\x{80}-\x{10FFFF}"
+UNIT = r"N{0,2}[E]|N{1,3}(?![^B])|N".replace("N", "[^BE]").replace("E", END).replace("B", r"\x20\x09-\x0D")
 PLACES = (1 << 31) - 1
 
 

@@ -41,6 +41,18 @@ def test_equal_grams_keep_the_rightmost(spark):
     assert [g.place for g in grams] == list(range(7, 36)) and len({g.hash for g in grams}) == 1
 
 
+def test_text_without_blanks_survives_a_shift(spark):
+    r = np.random.default_rng(3)
+    kinds = {"chinese": [chr(c) for c in range(0x4E00, 0x5A00)], "base64": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", "digits": "0134679", "accents": "aeéüñzß"}
+    rows = [(k, "".join(r.choice(list(x), 3000)), n) for k, x in kinds.items() for n in (1, 2, 3)]
+    hashes = lambda c: F.array_distinct(F.transform(fingerprints.winnow(c), lambda g: g["hash"]))
+    df = spark.createDataFrame(rows, "kind string, t string, n int").withColumn("moved", F.concat(F.substring(F.lit("bbb"), F.lit(1), F.col("n")), "t"))
+    out = df.select("kind", "n", fingerprints.likeness(hashes(F.col("t")), hashes(F.col("moved"))).alias("alike"), F.size(F.regexp_extract_all("t", F.lit(fingerprints.UNIT), F.lit(0))).alias("units")).collect()
+    assert all(x.alike > 0.95 and x.units >= 1000 for x in out), out
+    parts = spark.createDataFrame([("bcbbcbbbcbbbb é中b \tcc",)], "t string").select(F.regexp_extract_all("t", F.lit(fingerprints.UNIT), F.lit(0))).first()[0]
+    assert parts == ["bc", "bbc", "b", "bbc", "b", "bbb", "é", "中", "b", "c", "c"]
+
+
 def test_edited_texts(docs, spark, tmp_path):
     rows = [(i, t) for i, t, _ in hard_rows() if i is not None and i not in (60, 61)]
     table = spark.createDataFrame(rows, "doc_id long, text string")
