@@ -266,6 +266,26 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     return out.select(null(F.col("id")).alias(id_col), F.col("n").alias("n_shingles"), null(F.coalesce("component", "id")).alias("component_id"))
 
 
+def jaccard_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 75, fold: bool = True) -> DataFrame:
+    """id_col, n_shingles and n_links for each row: the number of other rows that it links with.
+
+    Every pair of classes that shares a prefix shingle and passes the filters is verified, those of one component too, so the work grows
+    with the number of links, which in a group of n different near copies is n (n - 1) / 2.
+    """
+    found = checkpointed(shared_shingles(docs, id_col, text_col, words, percent, fold))
+    live = found.where("tokens is not null").select("key", "n", "singles", "tokens", F.struct("n", F.xxhash64("tokens"), F.when(F.col("singles") > 0, F.col("key")).otherwise(F.hash("tokens"))).alias("set"))
+    classes = checkpointed(live.groupBy("set").agg(F.min("key").alias("class"), F.count("*").alias("size")))
+    member = live.select("key", "set").distinct().join(classes, "set").select("key", "class", "size")
+    sets = checkpointed(live.join(classes.select(F.col("class").alias("key")), "key", "left_semi").dropDuplicates(["key"]).select("key", "n", "singles", "tokens"))
+    linked = verified(candidates(posted(sets.withColumn("comp", F.col("key")), percent, partitions(docs.sparkSession)), percent), sets, percent)
+    ends = linked.select(F.explode(F.array(F.struct(F.col("u").alias("class"), F.col("v").alias("other")), F.struct(F.col("v").alias("class"), F.col("u").alias("other")))).alias("x")).select("x.*")
+    outside = ends.join(classes.select(F.col("class").alias("other"), F.col("size").alias("many")), "other").groupBy("class").agg(F.sum("many").alias("outside"))
+    counts = member.join(outside, "class", "left").select("key", (F.col("size") - 1 + F.coalesce("outside", F.lit(0))).alias("links"))
+    alone = found.where("tokens is null and n > 0").groupBy("key").agg((F.count("*") - 1).alias("copies"))  # links with its repeated rows alone
+    out = found.select("key", "id", "n").join(counts, "key", "left").join(alone, "key", "left")
+    return out.select(F.when(F.col("id") != LAST, F.col("id")).alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("links", "copies", F.lit(0)).cast("long").alias("n_links"))
+
+
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs u, v of classes that link, by their whole sets."""
     for s in "uv":

@@ -66,6 +66,10 @@ def op9_jaccard_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.jaccard_components(table(spark, sf_dir, "documents"))
 
 
+def op9_jaccard_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.jaccard_links(table(spark, sf_dir, "documents"))
+
+
 def op10_exact_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = repeats.repeats(table(spark, sf_dir, "documents"))
     removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + (s["last"] - s["first"]))
@@ -73,7 +77,7 @@ def op10_exact_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_winnowed_fingerprints, op2_license_matches, op3_secret_spans, op4_toxicity_scores, op5_backoff_scores, op6_source_mix, op7_embedding_components, op8_packed_pieces, op9_jaccard_components, op10_exact_repeats)}
+    return {f.__name__: f for f in (op1_winnowed_fingerprints, op2_license_matches, op3_secret_spans, op4_toxicity_scores, op5_backoff_scores, op6_source_mix, op7_embedding_components, op8_packed_pieces, op9_jaccard_components, op9_jaccard_links, op10_exact_repeats)}
 
 
 def oracle_sql() -> dict[str, str]:

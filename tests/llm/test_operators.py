@@ -370,6 +370,24 @@ def test_jaccard_components(docs):
     assert Counter(r.doc_id for r in kept.collect()) == Counter({i for (i, _, _), c in zip(hard_rows(), label) if i == c}) + Counter([None, None])
 
 
+def test_jaccard_links_are_all_links(docs, none, spark):
+    r = np.random.default_rng(6)
+    group = []
+    for i in range(40):
+        w = [f"b{k}" for k in range(60)]
+        w[r.integers(60)] = f"n{i % 30}"
+        group.append((i, " ".join(w)))
+    for rows, table in (([(i, t) for i, t, _ in hard_rows()], docs), (group, spark.createDataFrame(group, "doc_id long, text string"))):
+        sets = []
+        for _, text in rows:
+            w = [x.lower() for x in words(text)]
+            sets.append({tuple(w[k : k + 5]) for k in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} if w else set())
+        links = [sum(a != b and bool(x) and 100 * len(x & y) >= 75 * len(x | y) for b, y in enumerate(sets)) for a, x in enumerate(sets)]
+        want = Counter((i, len(x), n) for (i, _), x, n in zip(rows, sets, links))
+        assert Counter((x.doc_id, x.n_shingles, x.n_links) for x in ngram_join.jaccard_links(table).collect()) == want and max(links) > 4
+    assert ngram_join.jaccard_links(none).count() == 0
+
+
 def test_groups_of_near_copies(spark):
     import random
 
