@@ -157,8 +157,11 @@ class Packer:
         return pieces
 
 
-def pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = 2, tokens: int = 4096, segments: int = 64, loss: int | None = None, pool: int = 256) -> DataFrame:
-    """A row for each piece, as in SCHEMA: positions start to start + length of a document's ids stand at `offset` of sequence_id."""
+def pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = 2, tokens: int = 4096, segments: int = 64, loss: int | None = None, pool: int = 256, loss_from_col: str | None = None) -> DataFrame:
+    """A row for each piece, as in SCHEMA: positions start to start + length of a document's ids stand at `offset` of sequence_id.
+
+    loss_from_col names the first position of each text's ids that bears loss, the end of its prompt; without it, or where it is null, all do.
+    """
     names = [x.split()[0] for x in SCHEMA.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -179,8 +182,8 @@ def pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col:
             return out
 
         for b in batches:
-            for key, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                for pieces in packer.add(key, words.encode(text.as_buffer().to_pybytes()) + end):
+            for key, text, bears in zip(b.column(0).to_pylist(), b.column(1), b.column(2).to_pylist(), strict=True):
+                for pieces in packer.add(key, words.encode(text.as_buffer().to_pybytes()) + end, bears):
                     note(pieces)
                 if len(rows) > 20_000:
                     yield batch()
@@ -190,4 +193,5 @@ def pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col:
             yield batch()
 
     text = F.encode(F.coalesce(F.col(f"`{text_col}`"), F.lit("")), "UTF-8")
-    return docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), text.alias("text")).mapInArrow(run, SCHEMA)
+    bears = F.coalesce(F.col(f"`{loss_from_col}`").cast("long"), F.lit(0)) if loss_from_col else F.lit(0)
+    return docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), text.alias("text"), bears.cast("long").alias("loss_from")).mapInArrow(run, SCHEMA)

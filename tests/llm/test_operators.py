@@ -333,6 +333,20 @@ def test_packing_is_a_partition_of_all_ids(docs):
         assert at <= 64 and at & (at - 1) == 0  # no padding
 
 
+def test_packing_takes_prompts(spark):
+    import public_tokenizers
+
+    rows = [(i, "word " * (5 + 3 * i), None if i == 0 else 4 * i) for i in range(30)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, prompt int").coalesce(1)
+    out = packing.pack(table, public_tokenizers.path(packing.TOKENIZER), tokens=64, segments=8, loss=16, pool=4, loss_from_col="prompt").collect()
+    assert all(r.loss_tokens == max(0, r.start + r.length - max(r.start, rows[r.doc_id][2] or 0)) for r in out)
+    sums = Counter()
+    for r in out:
+        sums[r.sequence_id] += r.loss_tokens
+    assert 0 < max(sums.values()) <= 16 and sum(r.length - r.loss_tokens for r in out) > 0
+    assert sum(r.length for r in out) == sum(n for n in {r.doc_id: r.doc_tokens for r in out}.values())
+
+
 def test_packing_limits_hold_at_once():
     packer = packing.Packer(tokens=128, segments=5, loss=50, pool=8)
     r = np.random.default_rng(1)
