@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import sys
+import tempfile
 from collections.abc import Callable
 
 from pyspark import cloudpickle
@@ -23,6 +24,14 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """A column name like `name` that df lacks, whatever its letters' case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def partitions(spark: SparkSession) -> int:
     """Reduce-side partitions for what a query gathers: the session's setting, which grows with the data."""
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
@@ -36,7 +45,10 @@ def checkpointed(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     context = spark.sparkContext
     if not context.getCheckpointDir():
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints")
+        shared = spark.conf.get("spark.checkpoint.dir", None)
+        if not shared and not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="checkpoints-"))  # local mode: one machine
     before = spark.conf.get(CLEANUP, "false")
     spark.conf.set(CLEANUP, "true")
     try:

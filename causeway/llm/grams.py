@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from causeway.llm.common import by_value
 
 by_value(__name__)
 
 BYTES = 1 << 20  # of text hashed at once, unless one text is longer
+FLUSH = 2 << 20  # values that a map task holds before it sends them
+HEAVY, FLOOR = 1 << 16, 1000
 BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -95,7 +99,7 @@ def slices(batch: pa.RecordBatch, text: int, most: int = BYTES) -> Iterator[tupl
 class Outbox:
     """Messages from a map task to hash partitions: for each key some 48-bit values, packed by partition, in bounded memory."""
 
-    def __init__(self, parts: int, most: int = 2 << 20):
+    def __init__(self, parts: int, most: int = FLUSH):
         self.parts, self.most, self.keys, self.values, self.held = parts, most, [], [], 0
 
     def add(self, keys: np.ndarray, counts: np.ndarray, values: np.ndarray) -> bool:
@@ -108,40 +112,70 @@ class Outbox:
     def flush(self) -> Iterator[tuple[int, bytes]]:
         if self.held:
             keys, values = np.concatenate(self.keys), np.concatenate(self.values)
-            part = part_of(values, self.parts).astype(np.uint16)  # so that the stable sort is a radix sort
-            order = np.argsort(part, kind="stable")
-            ends = np.searchsorted(part[order], np.arange(self.parts + 1))
-            keys, values = keys[order], values[order]
-            for p in range(self.parts):
-                if ends[p] < ends[p + 1]:
-                    yield p, packed(keys[ends[p] : ends[p + 1]], values[ends[p] : ends[p + 1]])
+            for p, own in dealt(part_of(values, self.parts), self.parts):
+                yield p, packed(keys[own], values[own])
         self.keys, self.values, self.held = [], [], 0
 
 
+def dealt(part: np.ndarray, parts: int) -> Iterator[tuple[int, np.ndarray]]:
+    """Each number in part with the places where it stands, in their order."""
+    part = part.astype(np.uint16 if parts <= 1 << 16 else np.uint32)  # 16 bits: the stable sort is a radix sort
+    order = np.argsort(part, kind="stable")
+    ordered = part[order]
+    at = np.append(np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]])), len(order)) if len(order) else np.zeros(1, np.int64)
+    for a, b in zip(at[:-1], at[1:], strict=True):
+        yield int(ordered[a]), order[a:b]
+
+
 def part_of(values: np.ndarray, parts: int) -> np.ndarray:
-    """By the upper 16 bits; the lower 48 stay to tell values of a part apart."""
-    return ((values >> np.uint64(48)) * np.uint64(parts)) >> np.uint64(16)
+    """By the upper 32 bits, for any number of partitions below 2^31."""
+    return ((values >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)
+
+
+def whole(low: np.ndarray, part: np.ndarray | int, parts: int) -> np.ndarray:
+    """What a packed value of a partition stands for: the partition's least 64-bit value with these lower 48 bits, which is the value itself from 2^16 partitions on."""
+    first = lambda p: ((p.astype(np.uint64) << np.uint64(32)) + np.uint64(parts - 1)) // np.uint64(parts)
+    start = first(np.arange(parts))[part] if np.ndim(part) and parts < len(part) else first(np.asarray(part))  # few divisions
+    top = start + (((low >> np.uint64(32)) - start) & np.uint64(0xFFFF))
+    return (top << np.uint64(32)) | (low & np.uint64(0xFFFFFFFF))
+
+
+def identity(values: np.ndarray, parts: int) -> np.ndarray:
+    """whole() of hashes that have not travelled."""
+    return whole(values & np.uint64((1 << 48) - 1), part_of(values, parts), parts)
+
+
+def small(counts: np.ndarray) -> bytes:
+    """Counts as a byte each, those from 255 on as four more behind."""
+    return np.minimum(counts, 255).astype(np.uint8).tobytes() + counts[counts >= 255].astype("<u4").tobytes()
+
+
+def large(data: bytes, n: int, at: int = 0) -> tuple[np.ndarray, int]:
+    """n counts that small() wrote at `at`, and where they end."""
+    out = np.frombuffer(data, np.uint8, n, at).astype(np.int64)
+    big = np.flatnonzero(out == 255)
+    out[big] = np.frombuffer(data, "<u4", len(big), at + n)
+    return out, at + n + 4 * len(big)
 
 
 def packed(keys: np.ndarray, values: np.ndarray, extra: np.ndarray | None = None) -> bytes:
-    """Runs of equal keys once each, with their lengths, and six bytes of each value; extra: an unsigned 32-bit number beside each value."""
+    """Runs of equal keys once each, with their lengths, and six bytes of each value; extra: a count beside each value."""
     at = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
-    counts = np.diff(np.append(at, len(keys))).astype("<u4")
+    counts = np.diff(np.append(at, len(keys)))
     low = (values & np.uint64(0xFFFFFFFF)).astype("<u4")
     high = ((values >> np.uint64(32)) & np.uint64(0xFFFF)).astype("<u2")
     head = np.array([len(at), len(keys), extra is not None], "<u4")
-    return b"".join(x.tobytes() for x in (head, keys[at].astype("<i8"), counts, low, high, *([extra.astype("<u4")] if extra is not None else [])))
+    return b"".join([head.tobytes(), keys[at].astype("<i8").tobytes(), small(counts), low.tobytes(), high.tobytes(), *([small(extra)] if extra is not None else [])])
 
 
-def unpacked(message: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray | None]:
+def unpacked(message) -> tuple[np.ndarray, np.ndarray, np.ndarray | None]:
     """keys, values of 48 bits, and extra if there is any; a key for each value."""
     runs, n, more = (int(x) for x in np.frombuffer(message, "<u4", 3))
-    at = 12
-    keys = np.frombuffer(message, "<i8", runs, at)
-    counts = np.frombuffer(message, "<u4", runs, at := at + 8 * runs)
-    low = np.frombuffer(message, "<u4", n, at := at + 4 * runs)
-    high = np.frombuffer(message, "<u2", n, at := at + 4 * n)
-    extra = np.frombuffer(message, "<u4", n, at + 2 * n) if more else None
+    keys = np.frombuffer(message, "<i8", runs, 12)
+    counts, at = large(message, runs, 12 + 8 * runs)
+    low = np.frombuffer(message, "<u4", n, at)
+    high = np.frombuffer(message, "<u2", n, at + 4 * n)
+    extra = large(message, n, at + 6 * n)[0] if more else None
     return np.repeat(keys, counts), low.astype(np.uint64) | (high.astype(np.uint64) << np.uint64(32)), extra
 
 
@@ -154,12 +188,88 @@ def groups(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def homed(keys: np.ndarray, values: np.ndarray, homes: int, extra: np.ndarray | None = None) -> Iterator[tuple[int, bytes]]:
     """Answers, packed by the home of their key."""
-    home = (keys.astype(np.uint64) % np.uint64(homes)).astype(np.uint16)
-    order = np.lexsort((keys, home))
-    keys, values, home = keys[order], values[order], home[order]
+    order = np.argsort(keys, kind="stable")
+    keys, values = keys[order], values[order]
     extra = None if extra is None else extra[order]
-    ends = np.searchsorted(home, np.arange(homes + 1))
-    for h in range(homes):
-        if ends[h] < ends[h + 1]:
-            a, b = ends[h], ends[h + 1]
-            yield h, packed(keys[a:b], values[a:b], None if extra is None else extra[a:b])
+    for h, own in dealt(keys.astype(np.uint64) % np.uint64(homes), homes):
+        yield h, packed(keys[own], values[own], None if extra is None else extra[own])
+
+
+def exchanged(messages: DataFrame, parts: int, answer: Callable[[int, list, list], Iterator[tuple]], schema: str) -> DataFrame:
+    """Messages (part, kind, message) meet those of their part, each part in the partition of its number: answer(part, kinds, messages) gives rows of schema."""
+    names = [x.split()[0] for x in schema.split(", ")]
+    kinds_of = {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary()}
+    types = [kinds_of.get(x.split()[1]) for x in schema.split(", ")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, tuple[list, list]] = {}
+        for b in batches:
+            for part, kind, message in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), strict=True):
+                kinds, read = held.setdefault(part, ([], []))
+                kinds.append(kind), read.append(message.as_buffer())
+        for part in sorted(held):
+            for out in answer(part, *held.pop(part)):
+                yield out if isinstance(out, pa.RecordBatch) else pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(out, types, strict=True)], names)
+
+    return messages.select("part", "kind", "message").repartitionById(parts, F.col("part")).mapInArrow(run, schema)
+
+
+def sent(rows: Iterator[tuple[int, int, bytes]]) -> Iterator[pa.RecordBatch]:
+    """(part, kind, message) each in a batch of its own."""
+    for part, kind, message in rows:
+        yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([kind], pa.int32()), pa.array([message], pa.binary())], ["part", "kind", "message"])
+
+
+def heavy(texts: DataFrame, sizes: tuple[int, ...], fold: bool = False, most: int = HEAVY, floor: int = FLOOR) -> dict[int, np.ndarray]:
+    """For each n the hashes, sorted, of the n-grams that make up about one of `most` or more of all, and at least `floor`: at most `most`, whatever the input.
+
+    texts: one string column without nulls. A map task counts what it holds at a time and reports what is frequent there; an n-gram with twice
+    the share is so counted by half at least. Operators keep these few n-grams out of their hash partitions, where one of them alone would
+    be a hot key, and treat them by broadcast instead, with equal results.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hasher = Hasher(fold)
+        held: dict[int, list[np.ndarray]] = {n: [] for n in sizes}
+        size = 0
+
+        def report() -> Iterator[pa.RecordBatch]:
+            for n in sizes:
+                values, counts = np.unique(np.concatenate([*held[n], np.zeros(0, np.uint64)]), return_counts=True)
+                total = int(counts.sum())
+                some = counts >= max(2, total // most)
+                yield pa.RecordBatch.from_arrays([pa.array(np.append(np.full(some.sum(), n), -n), pa.int32()), pa.array(np.append(values[some], np.uint64(0)).view(np.int64)), pa.array(np.append(counts[some], total), pa.int64())], ["n", "value", "times"])
+                held[n].clear()
+
+        for batch in batches:
+            for _, data, bounds in slices(batch, 0):
+                words, ends = hasher.words(data, bounds)
+                for n in sizes:
+                    held[n].append(grams(words, n)[own_windows(ends, n)[0]])
+                size += len(words)
+                if size >= FLUSH:
+                    yield from report()
+                    size = 0
+        yield from report()
+
+    counted = texts.mapInArrow(run, "n int, value long, times long").groupBy("n", "value").agg(F.sum("times").alias("times"))
+    total = counted.where("n < 0").select((-F.col("n")).alias("n"), F.col("times").alias("total"))
+    # no more than `most` values can have a share of one of `most`
+    often = counted.where((F.col("n") > 0) & (F.col("times") >= floor)).join(F.broadcast(total), "n").where(F.col("times") * most >= F.col("total"))  # total: a row for each n
+    found = often.select("n", "value").collect()
+    return {n: np.sort(np.array([r["value"] for r in found if r["n"] == n], np.int64).view(np.uint64)) for n in sizes}
+
+
+def among(values: np.ndarray, few: np.ndarray) -> np.ndarray:
+    """Of each value its place in few, which is sorted, or -1."""
+    if not len(few):
+        return np.full(len(values), -1, np.int64)
+    at = np.minimum(np.searchsorted(few, values), len(few) - 1)
+    return np.where(few[at] == values, at, -1)
+
+
+def own_windows(ends: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of windows of n words within one text each: their starts and how many each text has."""
+    counts = np.maximum(np.diff(ends) - n + 1, 0)
+    first = np.cumsum(counts) - counts
+    return np.arange(counts.sum()) - np.repeat(first, counts) + np.repeat(ends[:-1], counts), counts

@@ -1,15 +1,19 @@
 """Stupid-backoff scores of all documents under the n-gram counts of all others.
 
-Count tables are partitioned by hash and joined to exploded n-grams, as packed messages: each text asks the hash partitions for its distinct
-words and bigrams, with how often it holds each; a partition adds them up over all texts and answers with the totals, in the order of the
-question, so an answer is little more than a byte. Words are asked in one turn and bigrams in the next. Only trigrams both of whose bigrams other texts hold can be held by other texts, so only
-these are asked, in a second turn. At last the texts, which are shuffled once, meet their answers and the scores are summed per document.
+Count tables are partitioned by hash and joined to the texts' distinct n-grams. The few n-grams that make up a good part of the corpus
+(grams.heavy: at most 65,536 of each length, whatever the input) have a count table of their own, added up before the shuffle and
+broadcast, so no frequent word is a hot key and texts need not ask for it. For the others each text asks the hash partitions for its
+distinct words and bigrams, in packed messages, with how often it holds each; a partition adds them up over all texts to its part of the
+count table and answers with the totals, in the order of the question, so an answer is little more than a byte. Words are asked in one turn
+and bigrams in the next. Only trigrams both of whose bigrams other texts hold can be held by other texts, so only these are asked, in a
+third turn. At last the texts, which are shuffled once, meet their answers and the scores are summed per document.
 
 A text's own occurrences are taken off every count, else no n-gram would ever be unseen. The score of a word after two words is
 
     c(u v w) / c(u v)   or, where the count above is 0,   0.4 * c(v w) / c(v)   or   0.16 * c(w) / N   or   0.064 / N
 
-without the longer contexts at a text's start. Words are runs of bytes other than ASCII white space, told apart, as n-grams, by 48 bits within a hash partition.
+without the longer contexts at a text's start. Words are runs of bytes other than ASCII white space. N-grams are told apart by 48 bits within
+a hash partition (64 bits from 65,536 partitions on), texts by 64 bits of a hash of id and text.
 
 Edge cases: a null text is an empty one; a text without words has log_score 0 and no mean_log (null); where no other text has a word, N
 counts as 1; repeated rows are texts of their own, count for each other and are returned each for itself; a null id is returned as null;
@@ -31,50 +35,54 @@ from causeway.llm.common import by_value, checkpointed, partitions
 by_value(__name__)
 
 BACKOFF = 0.4
-MESSAGE = "part int, message binary"
+MESSAGE = "part int, kind int, message binary"
 
 
-def small(counts: np.ndarray) -> bytes:
-    """Counts as a byte each, those from 255 on as four more behind."""
-    return np.minimum(counts, 255).astype(np.uint8).tobytes() + counts[counts >= 255].astype("<u4").tobytes()
+def distinct(identities: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Where one of each kind stands, in order of what it is, the kind of each, and how often each occurs."""
+    _, first, kind, often = np.unique(identities, return_index=True, return_inverse=True, return_counts=True)
+    return first, kind, often
 
 
-def large(data: bytes, n: int, at: int = 0) -> tuple[np.ndarray, int]:
-    """n counts that small() wrote at `at`, and where they end."""
-    out = np.frombuffer(data, np.uint8, n, at).astype(np.int64)
-    big = np.flatnonzero(out == 255)
-    out[big] = np.frombuffer(data, "<u4", len(big), at + n)
-    return out, at + n + 4 * len(big)
+def hot_counts(texts: DataFrame, floor: int) -> tuple[int, dict[int, tuple[np.ndarray, np.ndarray]]]:
+    """The number of all words, and for each n the hashes, sorted, of the heavy n-grams and how often each occurs."""
+    few = grams.heavy(texts, (1, 2, 3), floor=floor)
 
-
-def distinct(values: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """One value of each kind in order of partition and low bits, the kind of each value, and how often each occurs."""
-    identity = (grams.part_of(values, parts) << np.uint64(48)) | (values & np.uint64((1 << 48) - 1))
-    _, first, kind, often = np.unique(identity, return_index=True, return_inverse=True, return_counts=True)
-    return values[first], kind, often
-
-
-def stupid_backoff(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id_col, n_words, log_score (natural, summed) and mean_log for each row."""
-    parts = homes = partitions(docs.sparkSession)
-    ids = F.col(f"`{id_col}`").cast("long")
-    rows = docs.select(ids.alias("id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text")).select("id", F.xxhash64("id", "text").alias("key"), "text")
-
-    def lengths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher, total = grams.Hasher(), 0
+        found = {n: np.zeros(len(v), np.int64) for n, v in few.items()}
         for batch in batches:
             for _, data, bounds in grams.slices(batch, 0):
-                solid = ~hasher.blank[data]
-                edge = np.zeros(len(data) + 1, bool)
-                edge[bounds] = True
-                total += int(np.count_nonzero(solid[1:] & (~solid[:-1] | edge[1:-1]))) + int(len(solid) > 0 and solid[0])
-        yield pa.RecordBatch.from_arrays([pa.array([total], pa.int64())], ["n"])
-
-    everything = rows.select("text").mapInArrow(lengths, "n long").agg(F.sum("n")).first()[0] or 0
+                words, ends = hasher.words(data, bounds)
+                total += len(words)
+                for n, v in few.items():
+                    if len(v):
+                        at = grams.among(grams.grams(words, n)[grams.own_windows(ends, n)[0]], v)
+                        found[n] += np.bincount(at[at >= 0], minlength=len(v))
+        rows = [(0, 0, total), *((n, int(i), int(c[i])) for n, c in found.items() for i in np.flatnonzero(c))]
+        yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*rows, strict=True)], ["n", "place", "times"])
+
+    rows = texts.mapInArrow(run, "n long, place long, times long").groupBy("n", "place").agg(F.sum("times").alias("times")).collect()  # 3 * 65,536 + 1 at most
+    counts = {n: np.zeros(len(v), np.int64) for n, v in few.items()}
+    for r in rows:
+        if r["n"]:
+            counts[r["n"]][r["place"]] = r["times"]
+    return sum(r["times"] for r in rows if not r["n"]), {n: (v, counts[n]) for n, v in few.items()}
+
+
+def stupid_backoff(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", floor: int = grams.FLOOR) -> DataFrame:
+    """id_col, n_words, log_score (natural, summed) and mean_log for each row. floor: n-grams that occur less often are never heavy."""
+    parts = homes = partitions(docs.sparkSession)
+    ids = F.col(f"`{id_col}`").cast("long")
+    rows = docs.select(ids.alias("id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text")).select("id", F.xxhash64("id", "text").alias("key"), "text")
+    everything, hot = hot_counts(rows.select("text"), floor)
 
-    def sent(box: Question) -> Iterator[pa.RecordBatch]:
-        for p, m in box.flush():
-            yield pa.RecordBatch.from_arrays([pa.array([p], pa.int32()), pa.array([m], pa.binary())], ["part", "message"])
+    def every(words: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of the n-grams at each place of many texts the hashes, what they stand for, and their broadcast counts or 0."""
+        values = grams.grams(words, n)
+        at = grams.among(values, hot[n][0])
+        known = np.where(at >= 0, hot[n][1][at], 0) if len(hot[n][0]) else np.zeros(len(values), np.int64)
+        return values, grams.identity(values, parts), known
 
     def ask(n: int):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -82,105 +90,116 @@ def stupid_backoff(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             for batch in batches:
                 for part, data, bounds in grams.slices(batch, 2):
                     words, ends = hasher.words(data, bounds)
+                    values, same, known = every(words, n)
                     for i, key in enumerate(part.column(1).to_pylist()):
-                        values, _, often = distinct(grams.grams(words[ends[i] : ends[i + 1]], n), parts)
-                        if len(values) and box.add(key, values, often):
-                            yield from sent(box)
-            yield from sent(box)
+                        own = slice(ends[i], max(ends[i], ends[i + 1] - n + 1))
+                        first, _, often = distinct(same[own])
+                        rest = known[own][first] == 0
+                        if rest.any() and box.add(key, values[own][first[rest]], often[rest]):
+                            yield from grams.sent(box.flush())
+            yield from grams.sent(box.flush())
 
         return run
 
-    def others(words: np.ndarray, n: int, counts: pa.Scalar) -> np.ndarray:
-        """Of each n-gram of a text in turn, how often other texts hold it."""
-        values, kind, often = distinct(grams.grams(words, n), parts)
-        return (large(counts.as_py(), len(values))[0] - often)[kind] if len(values) else np.zeros(0, np.int64)
+    def others(same: np.ndarray, known: np.ndarray, counts: pa.Scalar) -> np.ndarray:
+        """Of some n-grams of a text in turn, how often other texts hold each. same, known: as of every()."""
+        if not len(same):
+            return np.zeros(0, np.int64)
+        first, kind, often = distinct(same)
+        total = known[first]
+        rest = np.flatnonzero(total == 0)
+        if len(rest):
+            total[rest] = grams.large(counts.as_buffer(), len(rest))[0]
+        return (total - often)[kind]
 
     def ask_again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher, box = grams.Hasher(), Question(parts)
         for batch in batches:
             for part, data, bounds in grams.slices(batch, 2):
                 words, ends = hasher.words(data, bounds)
+                (_, same2, known2), (values3, same3, known3) = every(words, 2), every(words, 3)
                 for i, (key, counts) in enumerate(zip(part.column(1).to_pylist(), part.column(4), strict=True)):
-                    own = words[ends[i] : ends[i + 1]]
-                    if len(own) > 2:
-                        two = others(own, 2, counts) > 0
-                        values, _, often = distinct(grams.grams(own, 3)[two[:-1] & two[1:]], parts)
-                        if len(values) and box.add(key, values, often):
-                            yield from sent(box)
-        yield from sent(box)
-
-    def add_up(group: pa.Table) -> pa.Table:
-        part = group.column(0)[0].as_py()
-        read = [grams.unpacked(m.as_py()) for m in group.column(1)]
+                    a, b = ends[i], ends[i + 1]
+                    if b - a > 2:
+                        two = others(same2[a : b - 1], known2[a : b - 1], counts) > 0
+                        asked = a + np.flatnonzero(two[:-1] & two[1:])
+                        first, _, often = distinct(same3[asked])
+                        rest = known3[asked[first]] == 0
+                        if rest.any() and box.add(key, values3[asked[first[rest]]], often[rest]):
+                            yield from grams.sent(box.flush())
+        yield from grams.sent(box.flush())
+
+    def add_up(part: int, kinds: list, messages: list) -> Iterator[tuple]:
+        read = [grams.unpacked(m) for m in messages]
+        messages.clear()
         keys, values, often = (np.concatenate([r[i] for r in read]) for i in range(3))
         del read
+        values = grams.whole(values, part, parts)
         order, at = grams.groups(values)
         keys, values = keys[order], values[order]
-        total = np.repeat(np.add.reduceat(often[order].astype(np.int64), at[:-1]), np.diff(at))
-        home = (keys.astype(np.uint64) % np.uint64(homes)).astype(np.uint16)
-        order = np.lexsort((keys, home))  # stable: the values of a key stay in order
-        keys, values, total, home = keys[order], values[order], total[order], home[order]
+        total = np.repeat(np.add.reduceat(often[order], at[:-1]), np.diff(at))
+        order = np.argsort(keys, kind="stable")  # the values of a key stay in order
+        keys, values, total = keys[order], values[order], total[order]
         new = np.concatenate([[True], (keys[1:] != keys[:-1]) | (values[1:] != values[:-1])])  # repeated rows ask the same
-        keys, total, home = keys[new], total[new], home[new]
-        ends, out = np.searchsorted(home, np.arange(homes + 1)), []
-        for h in np.flatnonzero(ends[:-1] < ends[1:]):
-            own = keys[ends[h] : ends[h + 1]]
+        keys, total = keys[new], total[new]
+        for h, place in grams.dealt(keys.astype(np.uint64) % np.uint64(homes), homes):
+            own = keys[place]
             at = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
-            runs = np.diff(np.append(at, len(own))).astype("<u4")
-            out.append((int(h), np.array([len(at)], "<u4").tobytes() + own[at].astype("<i8").tobytes() + runs.tobytes() + small(total[ends[h] : ends[h + 1]])))
-        return pa.table({"home": pa.array([h for h, _ in out], pa.int32()), "part": pa.array([part] * len(out), pa.int32()), "message": pa.array([m for _, m in out], pa.binary())})
+            runs = np.diff(np.append(at, len(own)))
+            yield h, part, np.array([len(at)], "<u4").tobytes() + own[at].astype("<i8").tobytes() + grams.small(runs) + grams.small(total[place])
 
-    def gather(group: pa.Table) -> pa.Table:
+    def gather(home: int, kinds: list, messages: list) -> Iterator[pa.RecordBatch]:
         keys, counts = [], []
-        for _, message in sorted(zip(group.column(1).to_pylist(), group.column(2).to_pylist(), strict=True), key=lambda x: x[0]):
+        for k in np.argsort(kinds, kind="stable"):
+            message = messages[k]
             n = int(np.frombuffer(message, "<u4", 1)[0])
             own = np.frombuffer(message, "<i8", n, 4)
-            runs = np.frombuffer(message, "<u4", n, 4 + 8 * n)
+            runs, at = grams.large(message, n, 4 + 8 * n)
             keys.append(np.repeat(own, runs))
-            counts.append(large(message, int(runs.sum()), 4 + 12 * n)[0].astype(np.uint32))
+            counts.append(grams.large(message, int(runs.sum()), at)[0].astype(np.uint32))
+        messages.clear()
         key, count = np.concatenate(keys), np.concatenate(counts)
         del keys, counts
-        order = np.argsort(key, kind="stable")  # of one key, in order of partition and low bits
+        order = np.argsort(key, kind="stable")  # of one key, in order of partition and value
         key, count = key[order], count[order]
         at = np.append(np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])), len(key))
-        return pa.table({"key": key[at[:-1]], "counts": pa.array([small(count[a:b]) for a, b in zip(at[:-1], at[1:], strict=True)], pa.binary())})
+        yield pa.RecordBatch.from_arrays([pa.array(key[at[:-1]]), pa.array([grams.small(count[a:b]) for a, b in zip(at[:-1], at[1:], strict=True)], pa.binary())], ["key", "counts"])
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = grams.Hasher()
         for batch in batches:
             for part, data, bounds in grams.slices(batch, 2):
                 words, ends = hasher.words(data, bounds)
-                logs, sizes = [], []
+                (_, same1, known1), (_, same2, known2), (_, same3, known3) = (every(words, n) for n in (1, 2, 3))
+                one, two, three = (np.zeros(len(words), np.int64) for _ in range(3))  # what other texts hold, at the first word of each n-gram
                 for i, (singles, pairs, more) in enumerate(zip(*[part.column(c) for c in (3, 4, 5)], strict=True)):
-                    own = words[ends[i] : ends[i + 1]]
-                    n = len(own)
-                    sizes.append(n)
-                    if not n:
-                        logs.append(0.0)
-                        continue
-                    one, two = others(own, 1, singles), others(own, 2, pairs)
-                    rest = max(1, everything - n)
-                    p = BACKOFF**2 * np.where(one > 0, one, BACKOFF) / rest
-                    p[0] /= BACKOFF**2
-                    if n > 1:
-                        p[1] /= BACKOFF
-                        first = np.where(np.arange(n - 1) == 0, 1.0, BACKOFF)
-                        p[1:] = np.where(two > 0, first * two / np.maximum(one[:-1], 1), p[1:])
-                    if n > 2:
-                        asked = (two[:-1] > 0) & (two[1:] > 0)
-                        values, kind, often = distinct(grams.grams(own, 3)[asked], parts)
-                        if len(values):
-                            three = np.zeros(n - 2, np.int64)
-                            three[asked] = (large(more.as_py(), len(values))[0] - often)[kind]
-                            p[2:] = np.where(three > 0, three / np.maximum(two[:-1], 1), p[2:])
-                    logs.append(float(np.log(p).sum()))
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sizes, pa.int64()), pa.array(logs, pa.float64())], ["id", "n_words", "log_score"])
-
-    answered = lambda asked: asked.groupBy("part").applyInArrow(add_up, "home int, part int, message binary").groupBy("home").applyInArrow(gather, "key long, counts binary")
+                    a, b = ends[i], ends[i + 1]
+                    if b > a:
+                        one[a:b] = others(same1[a:b], known1[a:b], singles)
+                        two[a : b - 1] = others(same2[a : b - 1], known2[a : b - 1], pairs)
+                        asked = a + np.flatnonzero((two[a : b - 2] > 0) & (two[a + 1 : b - 1] > 0)) if b - a > 2 else np.zeros(0, np.int64)
+                        three[asked] = others(same3[asked], known3[asked], more)
+                sizes = np.diff(ends)
+                at = np.arange(len(words)) - np.repeat(ends[:-1], sizes)  # place in the text
+                rest = np.maximum(1, everything - np.repeat(sizes, sizes))
+                p = np.where(at == 0, 1.0, np.where(at == 1, BACKOFF, BACKOFF**2)) * np.where(one > 0, one, BACKOFF) / rest
+                if len(words) > 1:
+                    seen = (at[1:] > 0) & (two[:-1] > 0)
+                    p[1:] = np.where(seen, np.where(at[1:] == 1, 1.0, BACKOFF) * two[:-1] / np.maximum(one[:-1], 1), p[1:])
+                if len(words) > 2:
+                    seen = (at[2:] > 1) & (three[:-2] > 0)
+                    p[2:] = np.where(seen, three[:-2] / np.maximum(two[:-2], 1), p[2:])
+                logs = np.log(p)
+                sums = [float(logs[a:b].sum()) for a, b in zip(ends[:-1], ends[1:], strict=True)]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sizes.astype(np.int64)), pa.array(sums, pa.float64())], ["id", "n_words", "log_score"])
+
+    def answered(asked: DataFrame) -> DataFrame:
+        return grams.exchanged(grams.exchanged(asked, parts, add_up, MESSAGE), homes, gather, "key long, counts binary")
+
     # a turn for words and one for bigrams: what a turn holds on disk goes before the next
     singles, pairs = (checkpointed(answered(rows.mapInArrow(ask(n), MESSAGE)).withColumnRenamed("counts", c)) for n, c in ((1, "singles"), (2, "pairs")))
     known = rows.join(singles.hint("shuffle_hash"), "key", "left").join(pairs.hint("shuffle_hash"), "key", "left").select("id", "key", "text", "singles", "pairs")
-    second = answered(known.where("pairs is not null").mapInArrow(ask_again, MESSAGE)).withColumnRenamed("counts", "more")
+    second = answered(known.mapInArrow(ask_again, MESSAGE)).withColumnRenamed("counts", "more")
     out = known.join(second.hint("shuffle_hash"), "key", "left").select("id", "key", "text", "singles", "pairs", "more").mapInArrow(score, "id long, n_words long, log_score double")
     return out.select(F.col("id").alias(id_col), "n_words", "log_score", F.when(F.col("n_words") > 0, F.col("log_score") / F.col("n_words")).alias("mean_log"))
 
@@ -188,7 +207,7 @@ def stupid_backoff(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 class Question:
     """An Outbox of values with counts, text by text."""
 
-    def __init__(self, parts: int, most: int = 2 << 20):
+    def __init__(self, parts: int, most: int = grams.FLUSH):
         self.parts, self.most = parts, most
         self.keys, self.values, self.often, self.held = [], [], [], 0
 
@@ -197,14 +216,10 @@ class Question:
         self.held += len(values)
         return self.held >= self.most
 
-    def flush(self) -> Iterator[tuple[int, bytes]]:
+    def flush(self) -> Iterator[tuple[int, int, bytes]]:
         if self.held:
             keys = np.repeat(np.array(self.keys, np.int64), [len(v) for v in self.values])
             values, often = np.concatenate(self.values), np.concatenate(self.often)
-            part = grams.part_of(values, self.parts).astype(np.uint16)
-            order = np.argsort(part, kind="stable")
-            ends = np.searchsorted(part[order], np.arange(self.parts + 1))
-            for p in np.flatnonzero(ends[:-1] < ends[1:]):
-                own = order[ends[p] : ends[p + 1]]
-                yield int(p), grams.packed(keys[own], values[own], often[own])
+            for p, own in grams.dealt(grams.part_of(values, self.parts), self.parts):
+                yield p, 0, grams.packed(keys[own], values[own], often[own])
         self.keys, self.values, self.often, self.held = [], [], [], 0

@@ -1,20 +1,22 @@
 """N-gram Jaccard self-join: rare-first prefix filtering with length, positional and suffix filters.
 
 1. Each text's distinct word shingles, as 64-bit hashes, go in packed messages to hash partitions, which count in how many texts each stands.
-   Shingles of one text alone, the most of them, can match nothing; the others come back to their text with that count.
+   Shingles of one text alone, the most of them, can match nothing; the others come back to their text with that count. The few shingles
+   that make up a good part of the corpus (grams.heavy) are broadcast instead and stand last in every text's order, so that a line that all
+   texts share is no hot key.
 2. In the order of count and hash, singles first, a text of n shingles can only link with another if they share one of its first
    n - ceil(t n) + 1. Texts whose prefix is all singles are done. Texts with equal sets become one class.
 3. Classes are joined on prefix shingles, in packed messages to hash partitions. In a few rounds each class tries only its likeliest partner
    of another component, which keeps large groups of near copies from forming all pairs: all that must be known is components. A last
-   round takes every pair of classes in different components that share a prefix shingle, under the length, positional and suffix
-   filters and once per run of shared shingles, so no link that could join components is lost. Each pair is verified once, on the
-   whole sets.
+   round takes every pair of classes in different components that share a prefix shingle and was not tried before, under the length,
+   positional and suffix filters, so no link that could join components is lost. Each pair is verified once, on the whole sets. The suffix
+   filter is a parity signature of the whole set: each bit in which two sets differ is a shingle that only one of them holds.
 
-Shingles are told apart by 48 bits within a hash partition, texts by 64 bits of a hash of id and text.
+Shingles are told apart by 48 bits within a hash partition (64 bits from 65,536 partitions on), texts by 64 bits of a hash of id and text.
 
 Edge cases: null or empty texts have no shingle and link with nothing; a text with fewer words than a shingle has is one shingle; repeated
-rows are returned each for itself and linked; a null id counts as larger than any and is returned as null; other columns are neither read
-nor returned by jaccard_components; an empty table gives an empty result.
+rows are returned each for itself and linked; a null id, and 2^63 - 1, counts as larger than any and is returned as null; other columns are
+neither read nor returned by jaccard_components; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -27,31 +29,39 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from causeway.llm import grams
-from causeway.llm.common import by_value, checkpointed, partitions
+from causeway.llm.common import by_value, checkpointed, partitions, unused
 from causeway.llm.components import components
 
 by_value(__name__)
 
 LAST = (1 << 63) - 1
+MESSAGE = "part int, kind int, message binary"
 
 
-def shared_shingles(docs: DataFrame, id_col: str, text_col: str, words: int, percent: int, fold: bool) -> DataFrame:
+INFO, QUESTION, HOT = -1, 0, -2
+
+
+def shared_shingles(docs: DataFrame, id_col: str, text_col: str, words: int, percent: int, fold: bool, floor: int) -> DataFrame:
     """key, id, n, singles and tokens of each row: tokens are the shingles that other texts hold too, rarest first; null where nothing can link."""
     parts = homes = partitions(docs.sparkSession)
+    text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
+    ids = F.col(f"`{id_col}`").cast("long")
+    rows = docs.select(F.xxhash64(ids, text).alias("key"), F.coalesce(ids, F.lit(LAST)).alias("id"), text.alias("text"))
+    few = grams.heavy(rows.select("text"), (words,), fold, floor=floor)[words]
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher, out = grams.Hasher(fold), grams.Outbox(parts)
-        odd, infos = grams.constants(words, 99), []
+        odd, infos, frequent = grams.constants(words, 99), [], []
 
         def send() -> Iterator[pa.RecordBatch]:
-            sent = list(out.flush())
-            if infos:  # a row's id and number of shingles go to the home of its key
+            rows = [(p, QUESTION, m) for p, m in out.flush()]
+            if infos:  # a row's id and number of shingles, and its heavy shingles, go to the home of its key
                 info = np.concatenate(infos)
-                home = info[:, 0].astype(np.uint64) % np.uint64(homes)
-                sent += [(parts + int(h), info[home == h].tobytes()) for h in np.unique(home)]
-                infos.clear()
-            for p, m in sent:
-                yield pa.RecordBatch.from_arrays([pa.array([p], pa.int32()), pa.array([m], pa.binary())], ["part", "message"])
+                rows += [(h, INFO, info[own].tobytes()) for h, own in grams.dealt(info[:, 0].astype(np.uint64) % np.uint64(homes), homes)]
+                keys, at = (np.concatenate(x) for x in zip(*frequent, strict=True))
+                rows += [(h, HOT, m) for h, m in grams.homed(keys, at.astype(np.uint64), homes)]
+                infos.clear(), frequent.clear()
+            yield from grams.sent(rows)
 
         for batch in batches:
             for part, data, bounds in grams.slices(batch, 2):
@@ -69,36 +79,48 @@ def shared_shingles(docs: DataFrame, id_col: str, text_col: str, words: int, per
                 keys, ids = (part.column(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in (0, 1))
                 counts = np.array([len(x) for x in found], np.int64)
                 infos.append(np.stack([keys, ids, counts], 1))
-                if out.add(keys, counts, np.concatenate(found)) or len(infos) > 500:
+                values, of = np.concatenate(found), np.repeat(np.arange(len(part)), counts)
+                at = grams.among(values, few)
+                frequent.append((keys[of[at >= 0]], at[at >= 0]))
+                if out.add(keys, np.bincount(of[at < 0], minlength=len(part)), values[at < 0]) or len(infos) > 500:
                     yield from send()
         yield from send()
 
-    def count(group: pa.Table) -> pa.Table:
-        part = group.column(0)[0].as_py()
-        if part >= parts:
-            return pa.table({"home": pa.array([part - parts] * len(group), pa.int32()), "kind": pa.array([-1] * len(group), pa.int32()), "message": group.column(1)})
-        read = [grams.unpacked(m.as_py()) for m in group.column(1)]
-        keys, values = np.concatenate([r[0] for r in read]), np.concatenate([r[1] for r in read])
-        del read
+    def count(part: int, kinds: list, messages: list) -> Iterator[tuple]:
+        asked = []
+        for kind, message in zip(kinds, messages, strict=True):
+            if kind == QUESTION:
+                asked.append(grams.unpacked(message)[:2])
+            else:
+                yield part, kind, message.to_pybytes()
+        messages.clear()
+        if not asked:
+            return
+        keys, values = np.concatenate([r[0] for r in asked]), np.concatenate([r[1] for r in asked])
+        asked.clear()
         order, at = grams.groups(values)
         keys, values = keys[order], values[order]
         many = np.minimum.reduceat(keys, at[:-1]) != np.maximum.reduceat(keys, at[:-1])  # not from one text's repeated rows alone
         often = np.diff(at)
         some, df = np.repeat(many, often), np.repeat(often, often)
-        sent = list(grams.homed(keys[some], values[some], homes, df[some]))
-        return pa.table({"home": pa.array([h for h, _ in sent], pa.int32()), "kind": pa.array([part] * len(sent), pa.int32()), "message": pa.array([m for _, m in sent], pa.binary())})
+        for h, m in grams.homed(keys[some], values[some], homes, df[some]):
+            yield h, part, m
 
-    def gather(group: pa.Table) -> pa.Table:
+    def gather(home: int, sorts: list, messages: list) -> Iterator[pa.RecordBatch]:
         infos, keys, values, dfs = [], [], [], []
-        for kind, message in zip(group.column(1).to_pylist(), group.column(2), strict=True):
-            if kind < 0:
-                infos.append(np.frombuffer(message.as_py(), np.int64).reshape(-1, 3))
+        for kind, message in zip(sorts, messages, strict=True):
+            if kind == INFO:
+                infos.append(np.frombuffer(message, np.int64).reshape(-1, 3))
+            elif kind == HOT:
+                k, at, _ = grams.unpacked(message)
+                keys.append(k), values.append(few[at.astype(np.int64)]), dfs.append(np.full(len(k), np.iinfo(np.int64).max))  # last in the order, for every text
             else:
-                k, v, d = grams.unpacked(message.as_py())
-                keys.append(k), values.append(v | np.uint64(kind) << np.uint64(48)), dfs.append(d)
+                k, v, d = grams.unpacked(message)
+                keys.append(k), values.append(grams.whole(v, kind, parts)), dfs.append(d)
+        messages.clear()
         info = np.concatenate(infos) if infos else np.zeros((0, 3), np.int64)
         key = np.concatenate([*keys, np.zeros(0, np.int64)])
-        value, df = np.concatenate([*values, np.zeros(0, np.uint64)]), np.concatenate([*dfs, np.zeros(0, np.uint32)])
+        value, df = np.concatenate([*values, np.zeros(0, np.uint64)]), np.concatenate([*dfs, np.zeros(0, np.int64)])
         order = np.lexsort((value, df, key))
         key, value = key[order], value[order].view(np.int64)
         new = np.concatenate([[True], (value[1:] != value[:-1]) | (key[1:] != key[:-1])])[: len(key)]  # repeated rows say the same
@@ -108,21 +130,18 @@ def shared_shingles(docs: DataFrame, id_col: str, text_col: str, words: int, per
         single = n - (last - first)
         live = (n > 0) & (single <= n - -(-percent * n // 100))
         tokens = [value[a:b] if x else None for a, b, x in zip(first, last, live, strict=True)]
-        return pa.table({"key": info[:, 0], "id": info[:, 1], "n": n, "singles": single, "tokens": pa.array(tokens, pa.list_(pa.int64()))})
+        yield pa.RecordBatch.from_arrays([pa.array(info[:, 0]), pa.array(info[:, 1]), pa.array(n), pa.array(single), pa.array(tokens, pa.list_(pa.int64()))], ["key", "id", "n", "singles", "tokens"])
 
-    text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
-    ids = F.col(f"`{id_col}`").cast("long")
-    rows = docs.select(F.xxhash64(ids, text).alias("key"), F.coalesce(ids, F.lit(LAST)).alias("id"), text.alias("text"))
-    asked = rows.mapInArrow(ask, "part int, message binary")
-    counted = asked.groupBy("part").applyInArrow(count, "home int, kind int, message binary")
-    return counted.groupBy("home").applyInArrow(gather, "key long, id long, n long, singles long, tokens array<long>")
+    asked = grams.exchanged(rows.mapInArrow(ask, MESSAGE), parts, count, MESSAGE)
+    return grams.exchanged(asked, homes, gather, "key long, id long, n long, singles long, tokens array<long>")
 
 
 BITS = 512  # of a set's parity signature
+BLOCK = 1 << 19  # pairs looked at at once
 
 
 def posted(sets: DataFrame, percent: int, parts: int) -> DataFrame:
-    """Each class's prefix, packed by hash partition of the shingle: part, message. sets: key, n, singles, tokens, comp."""
+    """Each class's prefix, packed by hash partition of the shingle: part, kind, message. sets: key, n, singles, tokens, comp."""
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         runs: list[tuple] = []
@@ -134,16 +153,12 @@ def posted(sets: DataFrame, percent: int, parts: int) -> DataFrame:
                 return
             of = np.repeat(np.arange(len(runs)), [r[5] for r in runs])
             token, at, prior = (np.concatenate(c) for c in columns)
-            part = (token >> np.uint64(48)).astype(np.uint16)  # the upper bits of a shingle name its partition
-            order = np.argsort(part, kind="stable")
-            ends = np.searchsorted(part[order], np.arange(parts + 1))
             meta = np.array([r[:4] for r in runs], np.int64)
             signs = np.stack([r[4] for r in runs])
-            for p in np.flatnonzero(ends[:-1] < ends[1:]):
-                own = order[ends[p] : ends[p + 1]]
+            for p, own in grams.dealt(grams.part_of(token, parts), parts):
                 which, local = np.unique(of[own], return_inverse=True)
                 message = b"".join(x.tobytes() for x in (np.array([len(which), len(own)], "<i8"), meta[which], signs[which], local.astype("<u4"), at[own].astype("<u4"), token[own], prior[own]))
-                yield pa.RecordBatch.from_arrays([pa.array([p], pa.int32()), pa.array([message], pa.binary())], ["part", "message"])
+                yield from grams.sent([(p, 0, message)])
             runs.clear()
             for c in columns:
                 c.clear()
@@ -164,14 +179,13 @@ def posted(sets: DataFrame, percent: int, parts: int) -> DataFrame:
                     held = 0
         yield from flush()
 
-    return sets.select("key", "n", "singles", "tokens", "comp").mapInArrow(send, "part int, message binary")
+    return sets.select("key", "n", "singles", "tokens", "comp").mapInArrow(send, MESSAGE)
 
 
-def received(group: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def received(messages: list) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Of posted(): a row (key, n, singles, comp) and a signature for each class and message, then for each shingle its class, place, itself and the one before."""
     meta, signs, of, at, token, prior, base = [], [], [], [], [], [], 0
-    for m in group.column(1):
-        data = m.as_py()
+    for data in messages:
         runs, n = (int(x) for x in np.frombuffer(data, "<i8", 2))
         meta.append(np.frombuffer(data, np.int64, 4 * runs, 16).reshape(-1, 4))
         signs.append(np.frombuffer(data, np.uint64, runs * BITS // 64, k := 16 + 32 * runs).reshape(-1, BITS // 64))
@@ -180,14 +194,15 @@ def received(group: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nd
         token.append(np.frombuffer(data, np.uint64, n, k := k + 4 * n))
         prior.append(np.frombuffer(data, np.uint64, n, k + 8 * n))
         base += runs
+    messages.clear()
     return tuple(np.concatenate(x) for x in (meta, signs, of, at, token, prior))
 
 
-def likeliest(posts: DataFrame, percent: int, turn: int) -> DataFrame:
+def likeliest(posts: DataFrame, percent: int, parts: int, turn: int) -> DataFrame:
     """u, v: each class with the class of another component that is first in most of the lists of its prefix: the one with the fewest shingles of its own, in later turns another order."""
 
-    def pivots(group: pa.Table) -> pa.Table:
-        meta, _, of, _, token, _ = received(group)
+    def pivots(part: int, kinds: list, messages: list) -> Iterator[pa.RecordBatch]:
+        meta, _, of, _, token, _ = received(messages)
         key, n, comp = meta[of, 0], meta[of, 1], meta[of, 3]
         rank = meta[of, 2].astype(np.uint64) if turn == 0 else grams.mix(key.view(np.uint64) + np.uint64(turn))
         order = np.lexsort((key, rank, token))
@@ -196,88 +211,116 @@ def likeliest(posts: DataFrame, percent: int, turn: int) -> DataFrame:
         pivot = np.repeat(first, np.diff(np.append(first, len(token))))
         ok = (comp != comp[pivot]) & (np.minimum(n, n[pivot]) * 100 >= np.maximum(n, n[pivot]) * percent)
         pairs, times = np.unique(np.stack([key[ok], key[pivot[ok]]], 1), axis=0, return_counts=True)
-        return pa.table({"u": pairs[:, 0], "v": pairs[:, 1], "times": times})
+        yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1]), pa.array(times)], ["u", "v", "times"])
 
-    tried = posts.groupBy("part").applyInArrow(pivots, "u long, v long, times long").groupBy("u", "v").agg(F.sum("times").alias("times"))
+    tried = grams.exchanged(posts, parts, pivots, "u long, v long, times long").groupBy("u", "v").agg(F.sum("times").alias("times"))
     best = tried.groupBy("u").agg(F.max_by("v", F.struct("times", "v")).alias("v"))
     return best.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
 
 
-def candidates(posts: DataFrame, percent: int) -> DataFrame:
+def candidates(posts: DataFrame, percent: int, parts: int) -> DataFrame:
     """u, v: all pairs of classes of different components that share a prefix shingle and pass the length, positional and suffix filters.
 
-    A pair that shares the shingle before too was met there already. The suffix filter bounds what two sets share by their parity
-    signatures: each bit in which they differ is a shingle that only one of them holds.
+    In the list of a shingle, each class that isn't of the list's most frequent component meets all those of other components near enough in
+    length, so a long list of one component costs no pairs. A pair that shares the shingle before too was met there already. The suffix
+    filter bounds what two sets share by their parity signatures: each bit in which they differ is a shingle that only one of them holds.
     """
 
-    def pairs(group: pa.Table) -> pa.Table:
-        meta, signs, of, at, token, prior = received(group)
+    def pairs(part: int, kinds: list, messages: list) -> Iterator[pa.RecordBatch]:
+        meta, signs, of, at, token, prior = received(messages)
         order = np.lexsort((meta[of, 0], meta[of, 1], token))
         of, at, token, prior = of[order], at[order], token[order], prior[order]
+        key, n, single, comp = (meta[of, k] for k in range(4))
         first = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
-        end = np.repeat(np.append(first[1:], len(token)), np.diff(np.append(first, len(token))))
-        comp, n, single = meta[of, 3], meta[of, 1], meta[of, 2]
-        mixed = np.repeat(np.minimum.reduceat(comp, first) != np.maximum.reduceat(comp, first), np.diff(np.append(first, len(token))))
-        found, held, d = [np.zeros((0, 2), np.int64)], 0, 1
-        i = np.flatnonzero(mixed)
-        while len(i := i[i + d < end[i]]):
-            i = i[n[i] * 100 >= n[i + d] * percent]  # lists are in order of n: a pair too unlike in length has none behind it either
-            j = i + d
-            need = (n[i] + n[j]) * percent
-            ok = (comp[i] != comp[j]) & ((prior[i] != prior[j]) | (prior[i] == 0)) & ((np.minimum(at[i], at[j]) + np.minimum(n[i] - at[i], n[j] - at[j])) * (100 + percent) >= need)
-            a, b, need = of[i[ok]], of[j[ok]], need[ok]
-            differ = np.bitwise_count(signs[a] ^ signs[b]).sum(1, dtype=np.int64)
-            ok = (meta[a, 1] - meta[a, 2] + meta[b, 1] - meta[b, 2] - differ) * (100 + percent) >= 2 * need
-            u, v = meta[a[ok], 0], meta[b[ok], 0]
-            found.append(np.stack([np.minimum(u, v), np.maximum(u, v)], 1))
-            held += len(u)
-            if held > 1 << 20:
-                found = [np.unique(np.concatenate(found), axis=0)]
-                held = 0
-            d += 1
-        out = np.unique(np.concatenate(found), axis=0)
-        return pa.table({"u": out[:, 0], "v": out[:, 1]})
-
-    return posts.groupBy("part").applyInArrow(pairs, "u long, v long").distinct()
-
-
-def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 75, fold: bool = True, rounds: int = 1) -> DataFrame:
-    """id_col, n_shingles and component_id for each row; texts link where 100 * shared >= percent * all of their shingles."""
+        many = np.diff(np.append(first, len(token)))
+        which = np.repeat(np.arange(len(first)), many)
+        by = np.lexsort((comp, which))  # the components of each list in runs, the longest of them leads
+        start = np.flatnonzero(np.concatenate([[True], (comp[by][1:] != comp[by][:-1]) | (which[by][1:] != which[by][:-1])]))
+        long = np.diff(np.append(start, len(by)))
+        best = np.lexsort((-long, which[by][start]))
+        lead = np.zeros(len(first), np.int64)
+        lead[which[by][start][best][::-1]] = comp[by][start][best][::-1]  # the first of each list is written last
+        asks = np.flatnonzero(comp != lead[which])
+        # where in the list, which is in order of n, the sets near enough in length stand
+        place = which * (1 << 32) + np.minimum(n, (1 << 32) - 1)
+        low = np.searchsorted(place, which[asks] * (1 << 32) + -(-n[asks] * percent // 100))
+        high = np.searchsorted(place, which[asks] * (1 << 32) + np.minimum(n[asks] * 100 // percent, (1 << 32) - 1), "right")
+        width = high - low
+        upto = np.cumsum(width)
+        a = 0
+        while a < len(asks):  # some of those that ask at a time, a million pairs or one asker's own
+            b = max(a + 1, int(np.searchsorted(upto, (upto[a - 1] if a else 0) + BLOCK, "right")))
+            for lo in range(0, int(width[a]) if b == a + 1 else 1, BLOCK):
+                if b == a + 1:
+                    j = np.arange(low[a] + lo, min(high[a], low[a] + lo + BLOCK))
+                    i = np.full(len(j), asks[a])
+                else:
+                    i = np.repeat(asks[a:b], width[a:b])
+                    j = np.arange(len(i)) - np.repeat(upto[a:b] - width[a:b] - (upto[a - 1] if a else 0), width[a:b]) + np.repeat(low[a:b], width[a:b])
+                ok = (comp[i] != comp[j]) & ((comp[j] == lead[which[j]]) | (i < j)) & ((prior[i] != prior[j]) | (prior[i] == 0))
+                i, j = i[ok], j[ok]
+                need = (n[i] + n[j]) * percent
+                ok = (np.minimum(at[i], at[j]) + np.minimum(n[i] - at[i], n[j] - at[j])) * (100 + percent) >= need
+                i, j, need = i[ok], j[ok], need[ok]
+                differ = np.bitwise_count(signs[of[i]] ^ signs[of[j]]).sum(1, dtype=np.int64)
+                ok = (n[i] - single[i] + n[j] - single[j] - differ) * (100 + percent) >= 2 * need
+                u, v = key[i[ok]], key[j[ok]]
+                out = np.unique(np.stack([np.minimum(u, v), np.maximum(u, v)], 1), axis=0)
+                if len(out):
+                    yield pa.RecordBatch.from_arrays([pa.array(out[:, 0]), pa.array(out[:, 1])], ["u", "v"])
+            a = b
+
+    return grams.exchanged(posts, parts, pairs, "u long, v long").distinct()
+
+
+def labelled_rows(docs: DataFrame, id_col: str, text_col: str, words: int, percent: int, fold: bool, rounds: int, floor: int) -> DataFrame:
+    """key, id, n and first for each row; first: the (id, key) that is smallest in the row's component."""
     parts = partitions(docs.sparkSession)
-    found = checkpointed(shared_shingles(docs, id_col, text_col, words, percent, fold))
+    found = checkpointed(shared_shingles(docs, id_col, text_col, words, percent, fold, floor))
     # a shingle of its own makes a set unlike any other
     live = found.where("tokens is not null").select("key", "id", "n", "singles", "tokens", F.struct("n", F.xxhash64("tokens"), F.when(F.col("singles") > 0, F.col("key")).otherwise(F.hash("tokens"))).alias("set"))
-    classes = checkpointed(live.groupBy("set").agg(F.min("key").alias("class"), F.min("id").alias("least")))
+    classes = checkpointed(live.groupBy("set").agg(F.min("key").alias("class"), F.min(F.struct("id", "key")).alias("least")))
     member = live.select("key", "set").join(classes, "set").select("key", "class")
     sets = checkpointed(live.join(classes.select(F.col("class").alias("key")), "key", "left_semi").dropDuplicates(["key"]).select("key", "n", "singles", "tokens"))
-    edges, labelled = None, sets.withColumn("comp", F.col("key"))
+    edges, tried, labelled = None, None, sets.withColumn("comp", F.col("key"))
     for turn in range(rounds + 1):
         posts = posted(labelled, percent, parts)
-        pairs = candidates(posts, percent) if turn == rounds else likeliest(posts, percent, turn)
+        if turn == rounds:
+            pairs = candidates(posts, percent, parts)
+            pairs = pairs if tried is None else pairs.join(tried, ["u", "v"], "left_anti")
+        else:
+            pairs = checkpointed(likeliest(posts, percent, parts, turn))
+            tried = pairs if tried is None else tried.unionByName(pairs)
         linked = verified(pairs, sets, percent)
         edges = checkpointed(linked if edges is None else edges.unionByName(linked))
         state = components(edges)
         labelled = sets.join(state.select(F.col("node").alias("key"), "component"), "key", "left").withColumn("comp", F.coalesce("component", "key")).drop("component")
     grouped = checkpointed(classes.select("class", "least").join(state.select(F.col("node").alias("class"), F.col("component").alias("root")), "class", "left").withColumn("root", F.coalesce("root", "class")))
-    least = grouped.groupBy("root").agg(F.min("least").alias("component"))
-    labels = grouped.join(least, "root").select("class", "component").join(member, "class").select("key", "component").distinct()
-    out = found.select("key", "id", "n").join(labels, "key", "left")
+    least = grouped.groupBy("root").agg(F.min("least").alias("first"))
+    labels = grouped.join(least, "root").select("class", "first").join(member, "class").select("key", "first").distinct()
+    return found.select("key", "id", "n").join(labels, "key", "left").withColumn("first", F.coalesce("first", F.struct("id", "key")))
+
+
+def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 75, fold: bool = True, rounds: int = 1, floor: int = grams.FLOOR) -> DataFrame:
+    """id_col, n_shingles and component_id for each row; texts link where 100 * shared >= percent * all of their shingles. floor: shingles that occur less often are never heavy."""
+    out = labelled_rows(docs, id_col, text_col, words, percent, fold, rounds, floor)
     null = lambda c: F.when(c != LAST, c)
-    return out.select(null(F.col("id")).alias(id_col), F.col("n").alias("n_shingles"), null(F.coalesce("component", "id")).alias("component_id"))
+    return out.select(null(F.col("id")).alias(id_col), F.col("n").alias("n_shingles"), null(F.col("first.id")).alias("component_id"))
 
 
-def jaccard_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 75, fold: bool = True) -> DataFrame:
+def jaccard_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 75, fold: bool = True, floor: int = grams.FLOOR) -> DataFrame:
     """id_col, n_shingles and n_links for each row: the number of other rows that it links with.
 
     Every pair of classes that shares a prefix shingle and passes the filters is verified, those of one component too, so the work grows
     with the number of links, which in a group of n different near copies is n (n - 1) / 2.
     """
-    found = checkpointed(shared_shingles(docs, id_col, text_col, words, percent, fold))
+    parts = partitions(docs.sparkSession)
+    found = checkpointed(shared_shingles(docs, id_col, text_col, words, percent, fold, floor))
     live = found.where("tokens is not null").select("key", "n", "singles", "tokens", F.struct("n", F.xxhash64("tokens"), F.when(F.col("singles") > 0, F.col("key")).otherwise(F.hash("tokens"))).alias("set"))
     classes = checkpointed(live.groupBy("set").agg(F.min("key").alias("class"), F.count("*").alias("size")))
     member = live.select("key", "set").distinct().join(classes, "set").select("key", "class", "size")
     sets = checkpointed(live.join(classes.select(F.col("class").alias("key")), "key", "left_semi").dropDuplicates(["key"]).select("key", "n", "singles", "tokens"))
-    linked = verified(candidates(posted(sets.withColumn("comp", F.col("key")), percent, partitions(docs.sparkSession)), percent), sets, percent)
+    linked = verified(candidates(posted(sets.withColumn("comp", F.col("key")), percent, parts), percent, parts), sets, percent)
     ends = linked.select(F.explode(F.array(F.struct(F.col("u").alias("class"), F.col("v").alias("other")), F.struct(F.col("v").alias("class"), F.col("u").alias("other")))).alias("x")).select("x.*")
     outside = ends.join(classes.select(F.col("class").alias("other"), F.col("size").alias("many")), "other").groupBy("class").agg(F.sum("many").alias("outside"))
     counts = member.join(outside, "class", "left").select("key", (F.col("size") - 1 + F.coalesce("outside", F.lit(0))).alias("links"))
@@ -295,9 +338,15 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 75) -> DataFrame:
-    """One row of each component: the smallest id's, of repeated rows one. Rows without an id, which nothing could name, are all kept."""
-    named = docs.where(F.col(f"`{id_col}`").isNotNull())
-    out = jaccard_components(named, id_col, text_col, words, percent)
-    first = out.where(F.col(id_col) == F.col("component_id")).select(F.col(id_col).alias("__id")).distinct()
-    kept = named.join(first, named[id_col] == first["__id"], "left_semi").dropDuplicates([id_col])
-    return kept.unionByName(docs.where(F.col(f"`{id_col}`").isNull()))
+    """One row of each component: the smallest id's. All columns stay, whatever their names.
+
+    Unlike texts under one id are rows of their own: each is kept unless its own component has a smaller id, or the same id with a smaller
+    hash of the text. Of repeated rows (equal id and text) one is kept. Null and empty texts link with nothing, so each id's stays. Rows
+    without an id, which nothing could name, are all kept. An empty table gives an empty result.
+    """
+    key, ids = unused(docs, "key"), F.col(f"`{id_col}`").cast("long")
+    named = docs.where(ids.isNotNull()).withColumn(key, F.xxhash64(ids, F.coalesce(F.col(f"`{text_col}`"), F.lit(""))))
+    out = labelled_rows(named, id_col, text_col, words, percent, True, 1, grams.FLOOR)
+    first = out.where(F.col("first.key") == F.col("key")).select(F.col("key").alias(key)).distinct()
+    kept = named.join(first, key, "left_semi").dropDuplicates([key]).select(*[F.col(f"`{c}`") for c in docs.columns])
+    return kept.unionByName(docs.where(ids.isNull()))
