@@ -3,9 +3,11 @@
 The units of a text are pieces of up to three code points of its runs of non-blank characters, cut where content tells and not by count
 from a run's start: after each code point of END, which takes up to two others before it along; further ones before it stand alone, and so
 do those after the last of a run but for its final three, which are one unit. What a code point's unit is depends on the three code points
-on either side at most, so an edit disturbs no unit further away, in text without blanks either. A rolling window of k units is a gram; of
+on either side at most, so an edit disturbs no unit further away, in text without blanks either. A rolling window of k units is a gram (each is
+hashed from its k units, as array functions keep no state from one window to the next); of
 each w neighbouring grams the one with the least hash is kept, the rightmost of equals. Any passage of w + k - 1 units that two texts share
-is thus found in both (the match guarantee), and the place of each kept gram tells where.
+is thus found in both (the match guarantee), and the place of each kept gram, counted in units, and located() in code points,
+tell where.
 
 A gram's 32-bit hash and its place are one long, hash first and the place counted backwards, so the minimum of a window is the least hash
 and the rightmost place; the minima of w = 2^m grams come from m rounds of pairwise minima of shifted arrays.
@@ -17,10 +19,13 @@ fingerprinted each for itself; other columns are neither read nor returned; an e
 
 from __future__ import annotations
 
+import json
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from causeway.llm.common import let
+from causeway.llm.common import let, partitions
 
 K, ROUNDS = 5, 3  # units in a gram; 2 ** ROUNDS grams in a window
 #: About a third of letters and digits, and all code points beyond ASCII.
@@ -56,32 +61,46 @@ def winnow(text: Column, k: int = K, rounds: int = ROUNDS) -> Column:
     return F.transform(kept, lambda x: F.struct(F.shiftright(x, 31).cast("long").alias("hash"), (F.lit(PLACES) - x.bitwiseAND(F.lit(PLACES))).cast("int").alias("place")))
 
 
+def located(text: Column, grams: Column, k: int = K) -> Column:
+    """For each kept gram its hash and where it stands in the text: array<struct<hash, first, last>> in code points, last exclusive.
+
+    For texts whose fingerprints have matched: the work is the text's length for each gram.
+    """
+    pieces = F.split(F.regexp_replace(F.translate(text, "\x01", "\x02"), UNIT, "\x01$0\x01"), "\x01")  # units at odd places, from 0, what is between them at even ones
+    n = lambda p, upto: F.char_length(F.array_join(F.slice(p, F.lit(1), upto), ""))
+    units = lambda p: F.floor((F.size(p) - 1) / 2).cast("int")
+    span = lambda p, g: F.struct(g["hash"].alias("hash"), n(p, g["place"] * 2 + 1).alias("first"), n(p, F.least(g["place"] + k, units(p)) * 2).alias("last"))
+    return let(pieces, lambda p: F.transform(grams, lambda g: span(p, g)))
+
+
 def likeness(a: Column, b: Column) -> Column:
     """Jaccard likeness of two sets of hashes."""
     both = F.size(F.array_intersect(a, b))
     return F.when((F.size(a) == 0) & (F.size(b) == 0), 1.0).otherwise(both / F.greatest(F.size(a) + F.size(b) - both, F.lit(1)))
 
 
-def with_next(docs: DataFrame, id_col: str, text_col: str, rows_each: int = 4000) -> DataFrame:
+def with_next(docs: DataFrame, id_col: str, text_col: str, rows_each: int = 500) -> DataFrame:
     """id, text, and of the next document in descending order of id (after the last: the first) its text.
 
-    The table is dealt into ranges of ids by bounds from approximate percentiles, a few thousand numbers. The first row of a range follows
-    the last row of the range below, so it goes there too, and is answered there; the smallest id is answered in the highest range. Ties of
-    ids are ordered by text.
+    The table is dealt into ranges of ids by bounds from approximate percentiles, up to eight for each of the session's reduce partitions.
+    The first row of a range follows the last row of the range below, so it goes there too, and is answered there; the smallest id is answered
+    in the highest range. Ties of ids are ordered by text.
     """
     rows = docs.select(F.col(f"`{id_col}`").alias("id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text")).withColumn("key", F.coalesce(F.col("id"), F.lit(-(1 << 63))).cast("long"))
-    spark = docs.sparkSession
     n, low = rows.agg(F.count("*"), F.min("key")).first()
-    many = max(1, min(10_000, n // rows_each, 4 * int(spark.conf.get("spark.sql.shuffle.partitions")) if n else 1))
+    many = max(1, min(n // rows_each, 8 * partitions(docs.sparkSession)))
     bounds = [low]
     if many > 1:
         found = rows.agg(F.percentile_approx("key", [i / many for i in range(1, many)], 100 * many)).first()[0]
         bounds = sorted({low, *found})
     last = len(bounds) - 1
-    literal = F.array(*[F.lit(b).cast("long") for b in bounds])
-    bucket = F.size(F.filter(literal, lambda b: b <= F.col("key"))) - 1
-    dealt = rows.withColumn("bucket", bucket)
-    first = F.col("key") == F.element_at(literal, F.col("bucket") + 1)
+    # bounds in runs: a row compares with each run's first, then within one run
+    width = max(1, math.isqrt(len(bounds)))
+    runs = F.from_json(F.lit(json.dumps([bounds[i : i + width] for i in range(0, len(bounds), width)])), "array<array<bigint>>")
+    coarse = F.size(F.filter(runs, lambda r: F.get(r, 0) <= F.col("key"))) - 1
+    bucket = F.col("run") * width + F.size(F.filter(F.get(runs, F.col("run")), lambda b: b <= F.col("key"))) - 1
+    dealt = rows.withColumn("run", coarse).withColumn("bucket", bucket)
+    first = F.col("key") == F.get(F.get(runs, F.col("run")), F.col("bucket") - F.col("run") * width)
     below = F.when(F.col("bucket") == 0, last).otherwise(F.col("bucket") - 1)
     own, other = (F.struct(b.cast("int").alias("bucket"), F.lit(turn).alias("turn"), F.lit(asks).alias("asks")) for b, turn, asks in ((F.col("bucket"), 0, True), (below, 1, True)))
     gives = F.struct(F.col("bucket").cast("int").alias("bucket"), F.lit(0).alias("turn"), F.lit(False).alias("asks"))
@@ -96,8 +115,8 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 def compare_with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = K, rounds: int = ROUNDS) -> DataFrame:
     """Each text beside its edited form, whose last third is the next document's beginning, and beside the next document."""
-    n = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    dealt = with_next(docs, id_col, text_col).repartition(n, "bucket").withColumn("grams", winnow(F.col("text"), k, rounds))
+    n = partitions(docs.sparkSession)
+    dealt = with_next(docs, id_col, text_col).repartition(n, "bucket").withColumn("grams", winnow(F.col("text"), k, rounds))  # several ranges a partition even them out
     order = Window.partitionBy("bucket").orderBy("turn", "key", "text")
     paired = dealt.withColumn("next_text", F.lag("text").over(order)).withColumn("next_grams", F.lag("grams").over(order)).where("asks")
     length = F.char_length("text")
