@@ -4,10 +4,13 @@ Words are runs of letters and digits in lower case, a shingle is five of them. A
 shingles, where c, of 1, 4 and 16, is the largest with c + c / 2 - 1 <= S; a text's windows start at every c / 2 shingles, the template's
 at every one. An unchanged passage of c + c / 2 - 1 shingles of a template therefore holds a window of the text that equals one of the
 template's, which collides in every band, whatever the hash functions; windows of Jaccard likeness J collide in one of the bands of one
-row each with probability 1 - (1 - J) ** BANDS (0.998 at 0.8). Around each retrieved window, over as many shingles as the template has to
-either side, the share of the template's shingles that stand there is counted exactly; from `least` (0.75) on it is a match.
+row each with probability 1 - (1 - J) ** BANDS (0.998 at 0.8). A long template with scattered changes has many windows, each with that
+chance. Around each retrieved window, over as many shingles as the template has to either side, the share of the template's shingles that
+stand there is counted exactly; from `least` (0.75) on it is a match, reported from the first to the last word that it holds.
 
-Templates are a parameter of bounded size (MOST shingles in all), so they are literals of the plan; documents are never shuffled or joined.
+Templates, full licence texts or single statements, are a parameter; their shingles are one constant of the plan, whatever their number,
+and retrieval looks window minima up in hash sets. A thousand full texts are some ten megabytes in each task. Documents are never shuffled
+or joined.
 
 Edge cases: a null text is an empty one; a text or template of fewer than five words has no shingle (such a template is refused);
 repeated rows are scanned each for itself; other columns are neither read nor returned; an empty table gives an empty result.
@@ -15,15 +18,54 @@ repeated rows are scanned each for itself; other columns are neither read nor re
 
 from __future__ import annotations
 
-import re
+import json
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from causeway.llm.common import let
 
-#: Public licence statements, by name.
+#: Public licence statements and texts, by name.
+WARRANTY = """THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF
+MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY
+CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE
+SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."""
+BSD_CONDITIONS = """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following
+conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following
+disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer
+in the documentation and/or other materials provided with the distribution."""
+BSD_WARRANTY = """THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING,
+BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE
+COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT
+NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY
+THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF
+THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."""
 LICENSES = {
+    "MIT-text": """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files
+    (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish,
+    distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the
+    following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the
+    Software. """ + WARRANTY,
+    "BSD-2-text": BSD_CONDITIONS + " " + BSD_WARRANTY,
+    "BSD-3-text": BSD_CONDITIONS + """ 3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote
+    products derived from this software without specific prior written permission. """ + BSD_WARRANTY,
+    "ISC-text": """Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that
+    the above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL
+    WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE
+    FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN
+    ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.""",
+    "Unlicense-text": """This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile,
+    sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any
+    means. In jurisdictions that recognize copyright laws, the author or authors of this software dedicate any and all copyright interest in the
+    software to the public domain. We make this dedication for the benefit of the public at large and to the detriment of our heirs and successors.
+    We intend this dedication to be an overt act of relinquishment in perpetuity of all present and future rights to this software under copyright
+    law. """ + WARRANTY,
+    "zlib-text": """This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any
+    damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial
+    applications, and to alter it and redistribute it freely, subject to the following restrictions: 1. The origin of this software must not be
+    misrepresented; you must not claim that you wrote the original software. If you use this software in a product, an acknowledgment in the product
+    documentation would be appreciated but is not required. 2. Altered source versions must be plainly marked as such, and must not be misrepresented
+    as being the original software. 3. This notice may not be removed or altered from any source distribution.""",
     "MIT": "Released under the MIT License.",
     "MIT-notice": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files",
     "Apache-2.0": "Licensed under the Apache License, Version 2.0",
@@ -41,7 +83,7 @@ LICENSES = {
     "CC-BY-NC-4.0": "Licensed under CC BY-NC 4.0.",
 }
 WORD = r"[\p{L}\p{N}]+"
-K, BANDS, CLASSES, MOST = 5, 4, (1, 4, 16), 50_000
+K, BANDS, CLASSES = 5, 4, (1, 4, 16)
 
 
 def class_of(shingles: int) -> int:
@@ -77,8 +119,6 @@ def template_tables(spark: SparkSession, templates: dict[str, str]) -> tuple[dic
             found = r["s"] if c == 1 else r[f"m{c}_{j}"][: len(r["s"]) - c + 1]
             for x in found:
                 keys.setdefault((c, j), {}).setdefault(x, set()).add(r["name"])
-    if sum(map(len, shingles.values())) > MOST:
-        raise ValueError(f"templates hold more than {MOST} shingles")
     return shingles, keys
 
 
@@ -95,29 +135,31 @@ def scan_licenses(docs: DataFrame, templates: dict[str, str] = LICENSES, id_col:
     shingles, keys = template_tables(docs.sparkSession, templates)
     names = sorted(shingles)
 
+    constant = lambda rows, kind: F.from_json(F.lit(json.dumps(rows)), kind)  # noqa: E731  folded to one literal
+    own = constant([shingles[n] for n in names], "array<array<bigint>>")
+    labels = constant(names, "array<string>")
+
     def candidates(s: Column) -> Column:
         """(window start, template's number), one for each window that collides in a band."""
         kinds: list[Column] = []
         for (c, j), table in sorted(keys.items()):
             stride = max(1, c // 2)
             known = sorted(table)
-            lookup = F.create_map(*[x for k in known for x in (F.lit(k), F.array(*[F.lit(names.index(n)) for n in sorted(table[k])]))])
+            those = constant([sorted(names.index(n) for n in table[k]) for k in known], "array<array<int>>")
             mins = s if c == 1 else let(_hashed(s, j), _strided(c, stride))
-            kinds.append(let(mins, _hits(known, lookup, stride)))
+            kinds.append(let(mins, _hits(known, constant(known, "array<bigint>"), those, stride)))
         return F.array_distinct(F.concat(*kinds))
 
     def verified(s: Column, hit: Column) -> Column:
-        """The shares of the hit's template; only that template's branch is evaluated."""
-        out = None
-        for number, name in enumerate(names):
-            own = shingles[name]
-            size = len(own)
+        """The span around the hit that holds its template's shingles, and their share."""
+
+        def of(mine: Column) -> Column:
+            size = F.size(mine)
             first = F.greatest(hit["at"] - size, F.lit(0))
-            span = F.slice(s, first + 1, F.lit(2 * size + max(CLASSES)))
-            literal = F.array(*[F.lit(x) for x in own])
-            share = _share(span, literal, first, name, size)
-            out = F.when(hit["t"] == number, share) if out is None else out.when(hit["t"] == number, share)
-        return out
+            span = F.slice(s, first + 1, size * 2 + max(CLASSES))
+            return let(span, lambda a: _share(a, mine, first, F.get(labels, hit["t"])))
+
+        return let(F.get(own, hit["t"]), of)
 
     whole = lambda s: F.array_distinct(F.filter(F.transform(candidates(s), lambda hit: verified(s, hit)), lambda m: m["share"] >= least))
     text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
@@ -131,19 +173,17 @@ def _strided(c: int, stride: int):
     return lambda h: minima(h, c, stride)
 
 
-def _hits(known: list[int], lookup: Column, stride: int):
+def _hits(known: list[int], sorted_known: Column, those: Column, stride: int):
     def hits(m: Column) -> Column:
         places = F.filter(F.sequence(F.lit(0), F.size(m) - 1), lambda i: F.get(m, i).isin(known))
-        some = F.flatten(F.transform(places, lambda i: F.transform(F.element_at(lookup, F.get(m, i)), lambda t: F.struct((i * stride).alias("at"), t.alias("t")))))
-        return F.when((F.size(m) > 0) & F.arrays_overlap(m, F.array(*[F.lit(k) for k in known])), some).otherwise(F.array().cast("array<struct<at:int,t:int>>"))
+        templates = lambda i: F.get(those, F.array_position(sorted_known, F.get(m, i)).cast("int") - 1)
+        some = F.flatten(F.transform(places, lambda i: F.transform(templates(i), lambda t: F.struct((i * stride).alias("at"), t.alias("t")))))
+        return F.when(F.size(m) > 0, some).otherwise(F.array().cast("array<struct<at:int,t:int>>"))
 
     return hits
 
 
-def _share(span: Column, literal: Column, first: Column, name: str, size: int) -> Column:
-    def of(a: Column) -> Column:
-        places = F.filter(F.sequence(F.lit(0), F.size(a) - 1), lambda i: F.array_contains(literal, F.get(a, i)))
-        start, end = first + F.element_at(places, 1), first + F.element_at(places, -1) + K
-        return F.struct(start.cast("int").alias("first"), end.cast("int").alias("last"), F.lit(name).alias("name"), (F.size(F.array_intersect(a, literal)) / float(size)).alias("share"))
-
-    return let(span, of)
+def _share(a: Column, mine: Column, first: Column, name: Column) -> Column:
+    places = F.filter(F.sequence(F.lit(0), F.size(a) - 1), lambda i: F.array_contains(mine, F.get(a, i)))
+    shared = F.size(F.array_intersect(a, mine)) / F.size(mine).cast("double")
+    return let(places, lambda p: F.struct((first + F.element_at(p, 1)).cast("int").alias("first"), (first + F.element_at(p, -1) + K).cast("int").alias("last"), name.alias("name"), shared.alias("share")))
