@@ -4,8 +4,10 @@ Each source has a rate: its target share of all characters, times `epochs` times
 occurs as often as a Poisson variable with its source's rate, which comes from inverting the distribution at a uniform that the seed and
 the id determine: any executor, and any retry, gives the same copies. All copies are then ordered by another hash: a global shuffle.
 
-The counts behind the rates cover all rows. The rates, one row a source, are joined as a literal map while there are at most `few`
-sources, and else by a join whose side of documents is salted, so that a source with a third of all rows spreads over many tasks.
+The counts behind the rates cover all rows. The rates, one row a source, are literals of the plan while there are at most `few` sources and
+their thresholds at most TABLE numbers together, and else come by a join whose side of documents is salted, so that a source with a third of
+all rows spreads over many tasks; a source's thresholds then come from its rate, with as many steps as the rate asks for. A document that
+is drawn very often is copied in two steps with a shuffle between, PIECE copies a row at most, so no task writes all of its copies.
 
 Edge cases: a null source is a source; a null id hashes as the empty string; repeated rows have the same uniform and so the same number
 of copies; null and empty texts weigh one character; an empty table gives an empty result; other columns are carried along, whatever
@@ -14,12 +16,14 @@ their names, except that `copy` and `shuffle_key` are replaced.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from causeway.llm.common import let
+from causeway.llm.common import let, unused
 
-FEW, SALTS = 1000, 64
+FEW, SALTS, TABLE, PIECE = 1000, 64, 20_000, 1000
 
 
 def uniform(key: Column) -> Column:
@@ -63,26 +67,35 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", source_col: str = "sour
     u = uniform(F.concat(F.lit(seed + "|"), ids))
     base = docs.drop("copy", "shuffle_key")
     count = lambda rate: F.when(rate > 0, let(u, lambda x: F.size(F.filter(thresholds(rate), lambda c: c <= x)))).otherwise(0)
-    if len(known) <= few:
+    size = sum(math.ceil(r["__rate"] + 12 * math.sqrt(r["__rate"]) + 30) for r in known if r["__rate"] > 0)
+    taken = {c: unused(base, c) for c in ("u", "n", "salt", "source", "rate", "piece")}
+    source = F.col(f"`{source_col}`")
+    if len(known) <= few and size <= TABLE:
         drawn = F.lit(0)
         for r in known:
             if r["__rate"] > 0:
                 cuts = poisson_thresholds(r["__rate"])
-                drawn = F.when(F.col(f"`{source_col}`").eqNullSafe(F.lit(r["__source"])), F.size(F.filter(F.array(*[F.lit(c) for c in cuts]), lambda c: c <= F.col("__u")))).otherwise(drawn)
-        counted = base.withColumn("__u", u).withColumn("__n", drawn).drop("__u")
+                drawn = F.when(source.eqNullSafe(F.lit(r["__source"])), F.size(F.filter(F.array(*[F.lit(c) for c in cuts]), lambda c: c <= F.col(taken["u"])))).otherwise(drawn)
+        counted = base.withColumn(taken["u"], u).withColumn(taken["n"], drawn).drop(taken["u"])
+    else:
+        salted = table.select(F.col("__source").alias(taken["source"]), F.col("__rate").alias(taken["rate"]), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias(taken["salt"]))
+        left = base.withColumn(taken["salt"], F.pmod(F.xxhash64(ids), F.lit(SALTS)).cast("int"))
+        same = left[source_col].eqNullSafe(salted[taken["source"]]) & (left[taken["salt"]] == salted[taken["salt"]])
+        counted = left.join(salted, same).drop(salted[taken["salt"]]).withColumn(taken["n"], count(F.col(taken["rate"]))).drop(taken["salt"], taken["source"], taken["rate"])
+    n, piece = F.col(taken["n"]), F.col(taken["piece"])
+    drawn_rows = counted.where(n > 0)
+    if len(known) > few or any(r["__rate"] > PIECE / 4 for r in known):  # else no draw comes near PIECE
+        pieces = drawn_rows.withColumn(taken["piece"], F.explode(F.sequence(F.lit(0), F.floor((n - 1) / PIECE).cast("int")))).repartition(F.xxhash64(ids, piece))
+        steps = F.sequence(piece * PIECE + 1, F.least(n, (piece + 1) * PIECE))
+        copies = pieces.withColumn("copy", F.explode(steps)).drop(taken["piece"], taken["n"])
     else:
-        salted = table.select("*", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("__salt"))
-        left = base.withColumn("__salt", F.pmod(F.xxhash64(ids), F.lit(SALTS)).cast("int"))
-        counted = left.join(salted, left[source_col].eqNullSafe(salted["__source"]) & (left["__salt"] == salted["__salt"])).drop(salted["__salt"]).withColumn("__n", count(F.col("__rate"))).drop("__salt", "__source", "__rate")
-    copies = counted.where("__n > 0").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("__n")))).drop("__n")
+        copies = drawn_rows.withColumn("copy", F.explode(F.sequence(F.lit(1), n))).drop(taken["n"])
     key = F.conv(F.substring(F.md5(F.concat(F.lit(seed + "#"), ids, F.lit("#"), F.col("copy").cast("string"))), 1, 15), 16, 10).cast("long")
     return copies.withColumn("shuffle_key", key).orderBy("shuffle_key", F.col(f"`{id_col}`"), "copy")
 
 
 def poisson_thresholds(rate: float) -> list[float]:
     """As thresholds(), on the driver for one source; stops where the sum no longer changes."""
-    import math
-
     log, out = -rate, [math.exp(-rate)]
     for k in range(1, math.ceil(rate + 12 * math.sqrt(rate) + 30) + 1):
         log += math.log(rate / k)
