@@ -1,9 +1,9 @@
 """Toxicity: a counterfactual-regularised classifier.
 
 A document is the set of its lower-case words and of their first three to seven letters, which catch inflected forms. Those that enough
-documents of the labelled sample hold, the most telling `vocabulary` of them, make the vocabulary. The weights minimise logistic loss plus an L2 penalty plus `fairness` times the mean squared change of the score's
-logit when each identity term in a labelled text gives way to another of its group, so a neutral mention of a group moves the score as
-little as any other. The change is that of the whole text's logit: over all features that the swap takes away or brings in, first letters
+documents of the labelled sample hold, the most telling `vocabulary` of them, make the vocabulary. The weights minimise logistic loss plus an
+L2 penalty plus `fairness` times the mean squared change of the score's logit when each identity term in a labelled text gives way to another
+of its group, so a neutral mention of a group moves the score as little as any other. The change is that of the whole text's logit: over all features that the swap takes away or brings in, first letters
 included and those that another word of the text holds too left out; terms outside the vocabulary count with weight 0.
 
 Training reads labelled rows alone, at most about `bound` of each class (a documented sample: rows whose hash falls under a rate; the
@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from causeway.llm.common import by_value
+from causeway.llm.common import by_value, unused
 
 by_value(__name__)
 
@@ -157,7 +157,7 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
 def toxicity_scores(docs: DataFrame, weights: dict[str, float], intercept: float, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
     """id_col, the columns named in carry and score, the probability of label 1, for each row of docs."""
-    kept = docs.select(F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("__text"), *[F.col(f"`{c}`") for c in (id_col, *carry)])
+    kept = docs.select(F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias(unused(docs, "whole_text")), *[F.col(f"`{c}`") for c in (id_col, *carry)])
     schema = T.StructType([*kept.schema.fields[1:], T.StructField("score", T.DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -188,8 +188,9 @@ def score_documents(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id",
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.5) -> DataFrame:
-    """The rows of docs whose score is below threshold."""
-    rest = tuple(c for c in docs.columns if c != id_col)
-    scored = toxicity_scores(docs.withColumnRenamed("score", "__score"), *learn(docs, labels, id_col, text_col), id_col, text_col, tuple("__score" if c == "score" else c for c in rest))
-    kept = scored.where(F.col("score") < threshold).drop("score")
-    return kept.withColumnRenamed("__score", "score").select(*[F.col(f"`{c}`") for c in docs.columns])
+    """The rows of docs whose score is below threshold, with all their columns, whatever their names."""
+    other = unused(docs, "given_score")  # a column `score` of docs steps aside
+    given = {c: other if c == "score" else c for c in docs.columns}
+    moved = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in given.items()])
+    scored = toxicity_scores(moved, *learn(docs, labels, id_col, text_col), given[id_col], given[text_col], tuple(n for c, n in given.items() if c != id_col))
+    return scored.where(F.col("score") < threshold).select(*[F.col(f"`{n}`").alias(c) for c, n in given.items()])
