@@ -21,7 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from causeway.llm.common import by_value
@@ -157,10 +157,11 @@ class Packer:
         return pieces
 
 
-def pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = 2, tokens: int = 4096, segments: int = 64, loss: int | None = None, pool: int = 256, loss_from_col: str | None = None) -> DataFrame:
+def pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = 2, tokens: int = 4096, segments: int = 64, loss: int | None = None, pool: int = 256, loss_from_col: str | None = None, prompt_col: str | None = None) -> DataFrame:
     """A row for each piece, as in SCHEMA: positions start to start + length of a document's ids stand at `offset` of sequence_id.
 
-    loss_from_col names the first position of each text's ids that bears loss, the end of its prompt; without it, or where it is null, all do.
+    prompt_col names a text whose ids stand before the text's own and bear no loss; loss_from_col the first position of each text's own ids that
+    does. Without them, or where they are null, all do.
     """
     names = [x.split()[0] for x in SCHEMA.split(", ")]
 
@@ -182,8 +183,9 @@ def pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col:
             return out
 
         for b in batches:
-            for key, text, bears in zip(b.column(0).to_pylist(), b.column(1), b.column(2).to_pylist(), strict=True):
-                for pieces in packer.add(key, words.encode(text.as_buffer().to_pybytes()) + end, bears):
+            for key, text, bears, prompt in zip(b.column(0).to_pylist(), b.column(1), b.column(2).to_pylist(), b.column(3), strict=True):
+                before = words.encode(prompt.as_buffer().to_pybytes())
+                for pieces in packer.add(key, before + words.encode(text.as_buffer().to_pybytes()) + end, len(before) // 4 + bears):
                     note(pieces)
                 if len(rows) > 20_000:
                     yield batch()
@@ -192,6 +194,12 @@ def pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col:
         if rows:
             yield batch()
 
-    text = F.encode(F.coalesce(F.col(f"`{text_col}`"), F.lit("")), "UTF-8")
+    coded = lambda c: F.encode(F.coalesce(F.col(f"`{c}`") if c else F.lit(""), F.lit("")), "UTF-8")
     bears = F.coalesce(F.col(f"`{loss_from_col}`").cast("long"), F.lit(0)) if loss_from_col else F.lit(0)
-    return docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), text.alias("text"), bears.cast("long").alias("loss_from")).mapInArrow(run, SCHEMA)
+    return docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), coded(text_col).alias("text"), bears.cast("long").alias("loss_from"), coded(prompt_col).alias("prompt")).mapInArrow(run, SCHEMA)
+
+
+def answers(conversations: DataFrame, id_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text", role: str = "assistant") -> DataFrame:
+    """id_col, turn_col, prompt and text: each turn of the role as an answer, the turn before it, if there is one, as its prompt. A null prompt or text is empty."""
+    before = F.lag(text_col).over(Window.partitionBy(id_col).orderBy(turn_col, role_col, text_col))
+    return conversations.select(id_col, turn_col, role_col, F.coalesce(before, F.lit("")).alias("prompt"), F.coalesce(text_col, F.lit("")).alias("text")).where(F.col(role_col) == role).drop(role_col)

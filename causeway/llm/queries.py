@@ -62,6 +62,14 @@ def op8_packed_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path(packing.TOKENIZER))
 
 
+def packed_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Answers with their prompts in sequences of at most 1024 tokens, 16 segments and 512 tokens that bear loss."""
+    import public_tokenizers
+
+    given = packing.answers(table(spark, sf_dir, "conversations")).withColumn("example", F.col("conv_id") * 1000 + F.col("turn"))
+    return packing.pack(given, public_tokenizers.path(packing.TOKENIZER), "example", tokens=1024, segments=16, loss=512, prompt_col="prompt").withColumnRenamed("doc_id", "example")
+
+
 def op9_jaccard_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.jaccard_components(table(spark, sf_dir, "documents"))
 
@@ -77,7 +85,7 @@ def op10_exact_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_winnowed_fingerprints, op2_license_matches, op3_secret_spans, op4_toxicity_scores, op5_backoff_scores, op6_source_mix, op7_embedding_components, op8_packed_pieces, op9_jaccard_components, op9_jaccard_links, op10_exact_repeats)}
+    return {f.__name__: f for f in (op1_winnowed_fingerprints, op2_license_matches, op3_secret_spans, op4_toxicity_scores, op5_backoff_scores, op6_source_mix, op7_embedding_components, op8_packed_pieces, packed_conversations, op9_jaccard_components, op9_jaccard_links, op10_exact_repeats)}
 
 
 def oracle_sql() -> dict[str, str]:
