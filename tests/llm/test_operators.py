@@ -9,7 +9,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
-from causeway.llm import components, embedding_join, fingerprints, language_model, licenses, mixing, ngram_join, packing, queries, repeats, secrets, toxicity
+from causeway.llm import components, embedding_join, fingerprints, grams, language_model, licenses, mixing, ngram_join, packing, queries, repeats, secrets, toxicity
 from pyspark.sql import functions as F
 
 from tests.llm.conftest import hard_rows
@@ -36,6 +36,31 @@ def test_fingerprints_cover_every_window(docs):
             assert all(any(p <= x < p + 8 for x in places) for p in range(grams - 7))
 
 
+def test_minima_and_likeness_against_brute_force(docs, spark, tmp_path):
+    """Minima of all windows, rightmost of equals, from the hashes of all grams (a window of one); likeness as a share of sets; places in the text."""
+    texts = [(i, t) for i, t, _ in hard_rows() if i is not None and i not in (60, 61, 7)]
+    table = spark.createDataFrame(texts, "doc_id long, text string")
+    text = F.coalesce("text", F.lit(""))
+    rows = {r.doc_id: r for r in table.select("doc_id", fingerprints.winnow(text, rounds=0).alias("every"), fingerprints.winnow(text).alias("kept"), fingerprints.located(text, fingerprints.winnow(text)).alias("at")).collect()}
+    kept = {}
+    for i, t in texts:
+        every = [(g.hash, g.place) for g in rows[i].every]
+        windows = [every[k : k + 8] for k in range(max(1, len(every) - 7))] if every else []
+        want = sorted({min(w, key=lambda g: (g[0], -g[1])) for w in windows}, key=lambda g: g[1])
+        assert [(g.hash, g.place) for g in rows[i].kept] == want
+        assert all((t or "")[a.first : a.last].strip() == (t or "")[a.first : a.last] for a in rows[i].at)
+        assert len(rows[i].at) == len(want) and all(a.first < b.first for a, b in zip(rows[i].at, rows[i].at[1:]))
+        kept[i] = {g[0] for g in want}
+    table.write.parquet(str(tmp_path / "documents.parquet"))
+    order = sorted(kept, reverse=True)
+    alike = lambda a, b: len(a & b) / len(a | b) if a | b else 1.0
+    out = {r.doc_id: r for r in queries.op1_winnowed_fingerprints(spark, str(tmp_path)).collect()}
+    for a, b in zip(order, order[1:] + order[:1]):
+        assert out[a].near_next == pytest.approx(alike(kept[a], kept[b]))
+        edited = {int(h, 16) for h in out[a].edited_fingerprint.split(",") if h}
+        assert out[a].near_edited == pytest.approx(alike(kept[a], edited))
+
+
 def test_equal_grams_keep_the_rightmost(spark):
     grams = spark.createDataFrame([("aa " * 40,)], "t string").select(fingerprints.winnow(F.col("t"))).first()[0]
     assert [g.place for g in grams] == list(range(7, 36)) and len({g.hash for g in grams}) == 1
@@ -91,11 +116,53 @@ def test_licenses(docs):
     assert found[80] == {"MIT"} and "GPL-3.0" in found[81]
 
 
-def test_long_template_with_changes(spark):
+def shingles_of(text):
+    w = re.findall(r"[^\W_]+", text.lower())
+    return [tuple(w[i : i + 5]) for i in range(len(w) - 4)]
+
+
+def test_recall_of_edited_templates(spark):
+    """Every template, with words replaced, dropped and put in, between prose: found wherever a brute-force scan finds it, at the same share."""
+    r = np.random.default_rng(7)
+    rows = []
+    for name, text in licenses.LICENSES.items():
+        for share in (0.0, 0.02, 0.04, 0.3):
+            for _ in range(3):
+                w = []
+                for x in text.split():
+                    u = r.random()
+                    w += [] if u < share / 3 else [f"z{r.integers(10**6)}"] if u < 2 * share / 3 else [x, f"y{r.integers(10**6)}"] if u < share else [x]
+                around = [" ".join(f"p{r.integers(10**5)}" for _ in range(40)) for _ in range(2)]
+                rows.append((len(rows), name, around[0] + " " + " ".join(w) + " " + around[1]))
+    found = {x.doc_id: {} for x in spark.createDataFrame(rows, "doc_id long, name string, text string").collect()}
+    for x in licenses.scan_licenses(spark.createDataFrame(rows, "doc_id long, name string, text string")).collect():
+        for m in x.found:
+            found[x.doc_id][m.name] = max(m.share, found[x.doc_id].get(m.name, 0.0))
+    hits = truths = 0
+    missed = []
+    for i, name, text in rows:
+        have = set(shingles_of(text))
+        for other, template in licenses.LICENSES.items():
+            mine = set(shingles_of(template))
+            if len(mine & have) >= 0.75 * len(mine):
+                truths += 1
+                hits += other in found[i]
+                missed += [(name, other, len(mine & have) / len(mine))] if other not in found[i] else []
+                assert other != name or other not in found[i] or found[i][other] == pytest.approx(len(mine & have) / len(mine))
+            else:
+                assert other not in found[i], (name, other)
+    assert truths > 150 and hits >= 0.97 * truths, (hits, truths, missed)
+
+
+def test_spans_hold_the_template(spark):
     text = " ".join(f"w{i}" for i in range(200))
     changed = text.replace("w50 ", "other ").replace("w120 ", "")
-    out = licenses.scan_licenses(spark.createDataFrame([(1, "before it " + changed + " after", ), (2, " ".join(f"w{i}" for i in range(100)))], "doc_id long, text string"), {"long": text}).collect()
-    assert [len(r.found) > 0 for r in sorted(out)] == [True, False]
+    out = licenses.scan_licenses(spark.createDataFrame([(1, "before it " + changed + " after"), (2, " ".join(f"w{i}" for i in range(100)))], "doc_id long, text string"), {"long": text}).collect()
+    a, b = sorted(out)
+    assert b.found == [] and {(m.first, m.last) for m in a.found} == {(2, 201)} and all(m.share > 0.9 for m in a.found)
+    many = {f"t{i}": " ".join(f"t{i}w{k}" for k in range(300)) for i in range(250)}  # 74,000 shingles
+    one = licenses.scan_licenses(spark.createDataFrame([(1, many["t77"])], "doc_id long, text string"), many).first()
+    assert {m.name for m in one.found} == {"t77"}
     with pytest.raises(ValueError, match="fewer"):
         licenses.template_tables(spark, {"short": "only three words"})
 
@@ -118,6 +185,40 @@ def test_secrets(docs):
     assert linked == {"ident", "endpoint"}
 
 
+def linked_spans(text, scope=200):
+    """Weak parts near a strong part of another class, or near parts of both others, pair by pair."""
+    flags = lambda p: (p.removeprefix("(?i)"), re.I if p.startswith("(?i)") else 0)
+    parts = [(m.start(), k, m.end()) for k, (_, _, _, p, least, g) in enumerate(secrets.KINDS) for m in re.finditer(*flags(p)[:1], text, flags(p)[1] | re.ASCII) if len(m.group(g)) >= least]
+    near = lambda p, c, strong: any(secrets.KINDS[q[1]][1] == c and secrets.KINDS[q[1]][2] >= strong and abs(q[0] - p[0]) <= scope for q in parts)
+    out = []
+    for p in parts:
+        own, strong = secrets.KINDS[p[1]][1], secrets.KINDS[p[1]][2]
+        a, b = [c for c in secrets.CLASSES if c != own]
+        if not strong and (near(p, a, True) or near(p, b, True) or near(p, a, False) and near(p, b, False)):
+            out.append(p)
+    return sorted(out)
+
+
+def test_linking_against_all_pairs(spark, tmp_path):
+    r = np.random.default_rng(9)
+    bits = ["user: amy", "login = bob_7", "http://h.example/a", "10.0.0.1", "password=hunter2x", "AKIA" + "A1B2C3D4E5F6G7H8", "deadbeef" * 3, "Ab1" * 12, "plain words here", "x " * 90, "y" * 150]
+    rows = [(i, " ".join(bits[k] for k in r.integers(0, len(bits), r.integers(1, 25)))) for i in range(120)] + [(900, None), (901, "")]
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    out = {x.doc_id: x for x in secrets.scan_secrets(table).collect()}
+    for i, text in rows:
+        assert [tuple(p) for p in out[i].linked] == linked_spans(text or ""), text
+        assert sorted(tuple(p) for p in out[i].strong) == base_spans(text)
+    assert sum(len(x.linked) for x in out.values()) > 100
+    table.write.parquet(str(tmp_path / "documents.parquet"))
+    for x in queries.op3_secret_spans(spark, str(tmp_path)).collect():
+        base = base_spans(dict(rows)[x.doc_id])
+        shown = lambda parts: ",".join(f"{secrets.KINDS[k][0]}:{a}:{b}" for a, k, b in sorted(parts))
+        assert x.base_sha256 == hashlib.sha256(shown(base).encode()).hexdigest() and x.spans == shown(base + linked_spans(dict(rows)[x.doc_id] or ""))
+        assert (x.n_assign, x.n_access, x.n_hex) == tuple(sum(p[1] == k for p in base) for k in range(3))
+    odd = spark.createDataFrame([(1, "token = abcdefgh", "a", "b", "c")], "doc_id long, text string, found string, clean string, __key string")
+    assert tuple(secrets.redact(odd).first()) == (1, "[REDACTED]", "a", "b", "c")
+
+
 def test_weak_parts_alone_are_not_reported(spark):
     far = "user: bob " + "x " * 300 + "http://h.example/a"
     rows = [(1, "see http://h.example/a and 10.0.0.1"), (2, far), (3, "user: bob password=hunter2x " + "y " * 300 + " login: amy")]
@@ -173,8 +274,16 @@ def test_swapped_sentences_score_alike(spark):
         logit = lambda text: sum(w.get(f, 0.0) for f in {f for x in toxicity.words_of(text) for f in toxicity.features_of(x)})
         return max(abs(logit("some muslims came here") - logit(f"some {o} came here")) for o in ("christians", "jews", "hindus"))
 
-    free, fair = toxicity.learn(docs, table, fairness=0.0)[0], toxicity.learn(docs, table)[0]
+    (free, free_at), (fair, fair_at) = toxicity.learn(docs, table, fairness=0.0), toxicity.learn(docs, table)
     assert gap(free) > 1 and gap(fair) < 0.2 * gap(free)
+    # scores of whole sentences under every swap, and neutral mentions that score as toxic
+    groups = ["muslims", "christians", "jews", "hindus", "buddhists", "atheists"]
+    mentions = spark.createDataFrame([(i, f"some {g} came here w{k} kind and left") for i, (g, k) in enumerate((g, k) for g in groups for k in range(20))], "doc_id long, text string")
+    scores = lambda w, at: {r.doc_id: r.score for r in toxicity.toxicity_scores(mentions, w, at).collect()}
+    change = lambda s: max(abs(s[a] - s[b]) for a in range(20) for b in range(a, 120, 20))
+    unfair, even = scores(free, free_at), scores(fair, fair_at)
+    assert change(unfair) > 0.1 and change(even) < 0.25 * change(unfair) + 0.01
+    assert sum(x >= 0.5 for x in even.values()) <= sum(x >= 0.5 for x in unfair.values()) and not any(x >= 0.5 for x in even.values())
 
 
 def test_swaps_change_what_no_other_word_holds():
@@ -192,11 +301,39 @@ def test_toxicity_edges(docs, none, spark):
     assert toxicity.drop_toxic(docs, labels, threshold=2.0).columns == docs.columns
 
 
+# packed messages
+
+
+@pytest.mark.parametrize("parts", [1, 7, 51, 65_536, 70_000, 1_000_003])
+def test_packed_values_survive_any_number_of_partitions(parts):
+    r = np.random.default_rng(4)
+    values = np.concatenate([r.integers(0, 1 << 63, 5000).astype(np.uint64) * np.uint64(2), np.array([0, (1 << 64) - 1], np.uint64)])
+    keys = np.repeat(np.arange(1668), 3)[: len(values)] * 7 - 99
+    part = grams.part_of(values, parts)
+    assert part.max() < parts and len(np.unique(part)) > 0.9 * parts * (1 - (1 - 1 / parts) ** len(values))
+    got = {}
+    for p, own in grams.dealt(part, parts):
+        k, v, e = grams.unpacked(grams.packed(keys[own], values[own], np.full(len(own), 300)))
+        got.update(zip(zip(k.tolist(), grams.whole(v, p, parts).tolist()), e.tolist(), strict=True))
+    assert got == {(k, v): 300 for k, v in zip(keys.tolist(), grams.identity(values, parts).tolist(), strict=True)}
+    assert (grams.part_of(grams.identity(values, parts), parts) == part).all() and len(np.unique(grams.identity(values, parts))) == len(np.unique(values))
+    assert sorted(h for h, _ in grams.homed(keys, values, parts)) == sorted(set((keys.astype(np.uint64) % np.uint64(parts)).tolist()))
+
+
+def test_heavy_grams_are_those_of_a_good_share(spark):
+    rows = [(f"x{i} y{i} the same five words z{i}",) for i in range(400)] + [("",), ("one",)]
+    found = grams.heavy(spark.createDataFrame(rows, "text string").repartition(3), (1, 5), floor=100)
+    assert {n: len(v) for n, v in found.items()} == {1: 4, 5: 0}
+    assert len(grams.heavy(spark.createDataFrame(rows, "text string"), (4,), floor=100, most=1000)[4]) == 1
+    assert not len(grams.heavy(spark.createDataFrame(rows, "text string"), (1,), floor=401)[1])
+
+
 # 5
 
 
-def test_backoff(docs):
-    out = Counter((r.doc_id, r.n_words, round(r.log_score, 5)) for r in language_model.stupid_backoff(docs).collect())
+@pytest.mark.parametrize("floor", [10**9, 3])
+def test_backoff(docs, floor):
+    out = Counter((r.doc_id, r.n_words, round(r.log_score, 5)) for r in language_model.stupid_backoff(docs, floor=floor).collect())
     counts, own, total = [Counter() for _ in range(3)], [], 0
     for _, text, _ in hard_rows():
         w = words(text)
@@ -256,6 +393,8 @@ def test_mixing(docs):
         assert Counter((r.doc_id, r.text, r.source) for r in out) == +want
         assert [r.shuffle_key for r in out] == sorted(r.shuffle_key for r in out)
         assert set(mixed.columns) == {*docs.columns, "shuffle_key"}
+    many = Counter(r.doc_id for r in mixing.mix_sources(docs.where("source = 'd'"), epochs=2500.0).collect())
+    assert len(many) == 5 and all(2200 < n < 2800 for n in many.values())
     only = mixing.mix_sources(docs, targets={"b": 1.0}, epochs=0.5)
     assert {r.source for r in only.collect()} <= {"b"}
 
@@ -289,11 +428,18 @@ def test_embedding_links(spark):
     assert Counter((r.vec_id, r.n_links, r.component_id) for r in out) == want
 
 
-def test_distant_intervals_are_skipped():
-    at = np.arange(16.0)[:, None]
-    assert set(embedding_join.interval_pairs(at, at + 0.5, 0.75)) == {(i, j) for i in range(16) for j in (i, i + 1) if j < 16}
-    assert len(set(embedding_join.interval_pairs(at, at + 0.5, 99.0))) == 136
-    assert embedding_join.embedding_links.__doc__
+@pytest.mark.parametrize("n", [1, 7, 16, 70])
+def test_distant_blocks_are_skipped(spark, n):
+    leaves = spark.createDataFrame([(i, float(i), 0.0, i + 0.5, 1.0) for i in range(n)], "block long, low0 double, low1 double, high0 double, high1 double")
+    near = {(r.a, r.b) for r in embedding_join.near_pairs(leaves, 2, 0.75).collect()}
+    assert near == {(i, j) for i in range(n) for j in (i, i + 1) if j < n}
+    assert embedding_join.near_pairs(leaves, 2, 99.0).count() == n * (n + 1) // 2
+
+
+def test_hubs(spark):
+    edges = [(5, 10 + i) for i in range(3000)] + [(10 + i, 5000 + i) for i in range(0, 3000, 3)] + [(9000 + i, 9001 + i) for i in range(200)]
+    out = {r.node: r.component for r in components.components(spark.createDataFrame(edges, "u long, v long")).collect()}
+    assert out == {**{x: 5 for e in edges[:4000] for x in e}, **{9000 + i: 9000 for i in range(201)}}
 
 
 def test_components(spark):
@@ -347,6 +493,29 @@ def test_packing_takes_prompts(spark):
     assert sum(r.length for r in out) == sum(n for n in {r.doc_id: r.doc_tokens for r in out}.values())
 
 
+def test_packed_answers_bind_the_loss_limit(spark):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(public_tokenizers.path(packing.TOKENIZER))
+    count = lambda t: len(tokenizer.encode(t, add_special_tokens=False).ids)
+    given = {r.conv_id * 1000 + r.turn: r for r in packing.answers(spark.read.parquet(f"{SF}/conversations.parquet")).collect()}
+    out = queries.packed_conversations(spark, SF).collect()
+    tokens, loss, segments = Counter(), Counter(), Counter()
+    for p in out:
+        tokens[p.sequence_id] += p.length
+        loss[p.sequence_id] += p.loss_tokens
+        segments[p.sequence_id] += 1
+    assert max(tokens.values()) <= 1024 and 256 < max(loss.values()) <= 512 and max(segments.values()) <= 16
+    mine = Counter()
+    for p in out:
+        mine[p.example] += p.loss_tokens
+    assert mine == {k: count(r.text) + 1 for k, r in given.items()}
+    assert sum(p.length for p in out) == sum(count(r.prompt) + count(r.text) + 1 for r in given.values())
+    rows = spark.createDataFrame([(1, 0, "user", "hi"), (1, 1, "assistant", None), (2, 0, "assistant", "alone"), (2, 1, None, "x")], "conv_id long, turn long, role string, text string")
+    assert sorted(tuple(r) for r in packing.answers(rows).collect()) == [(1, 1, "hi", ""), (2, 0, "", "alone")]
+
+
 def test_packing_limits_hold_at_once():
     packer = packing.Packer(tokens=128, segments=5, loss=50, pool=8)
     r = np.random.default_rng(1)
@@ -376,12 +545,12 @@ def test_jaccard_components(docs):
         for a, b in links:
             label[a] = label[b] = min(label[a], label[b])
     want = Counter((i, len(s), None if c == 10**9 else c) for (i, _, _), s, c in zip(hard_rows(), sets, label))
-    for rounds in (0, 2):
-        out = ngram_join.jaccard_components(docs, rounds=rounds)
+    for rounds, floor in ((0, 10**9), (2, 3), (1, 10)):
+        out = ngram_join.jaccard_components(docs, rounds=rounds, floor=floor)
         assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in out.collect()) == want
     kept = ngram_join.keep_one(docs)
     assert kept.columns == docs.columns
-    assert Counter(r.doc_id for r in kept.collect()) == Counter({i for (i, _, _), c in zip(hard_rows(), label) if i == c}) + Counter([None, None])
+    assert Counter(r.doc_id for r in kept.collect()) == Counter({i for (i, _, _), c in zip(hard_rows(), label) if i == c}) + Counter([None, None, 61])  # two unlike texts under 61
 
 
 def test_jaccard_links_are_all_links(docs, none, spark):
@@ -423,6 +592,20 @@ def test_groups_of_near_copies(spark):
     assert out == dict(enumerate(label))
 
 
+@pytest.mark.parametrize("floor", [10**9, 50])
+def test_a_shingle_in_every_text(spark, floor):
+    r = np.random.default_rng(8)
+    line = "this line stands in all of them"
+    texts = [line + " " + " ".join(f"w{x}" for x in r.integers(0, 10**6, 12)) for _ in range(150)]
+    rows = list(enumerate(texts + texts[:100]))  # twins
+    table = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    out = {x.doc_id: x.component_id for x in ngram_join.jaccard_components(table, floor=floor).collect()}
+    assert out == {i: i % 150 for i in range(250)}
+    mixed = [(1, "a b c d e f g"), (1, "q r s t u v w"), (2, "a b c d e f g"), (3, "q r s t u v w"), (1, "a b c d e f g"), (4, None), (4, ""), (5, None)]
+    kept = ngram_join.keep_one(spark.createDataFrame(mixed, "doc_id long, text string")).collect()
+    assert sorted((x.doc_id, x.text or "") for x in kept) == [(1, "a b c d e f g"), (1, "q r s t u v w"), (4, ""), (5, "")]
+
+
 # 10
 
 
@@ -436,8 +619,9 @@ def test_repeats(docs):
     for i, w in rows:
         gone = {j for k in range(len(w) - 12) if first[tuple(w[k : k + 13])] < i for j in range(k, k + 13)}
         want[None if i == 10**9 else i, len(w), len(gone), b" ".join(x for j, x in enumerate(w) if j not in gone).decode()] += 1
-    out = repeats.repeats(docs).collect()
-    assert Counter((r.doc_id, r.n_words, sum(s.last - s.first for s in r.spans), r.kept) for r in out) == want
+    for floor in (10**9, 5):
+        out = repeats.repeats(docs, floor=floor).collect()
+        assert Counter((r.doc_id, r.n_words, sum(s.last - s.first for s in r.spans), r.kept) for r in out) == want
     assert sum(k[2] for k in want) > 300
 
 
