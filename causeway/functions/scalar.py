@@ -51,7 +51,8 @@ def safe_filename(text: Column, most: int = 100) -> Column:
 
 
 def plain_hyphens(text: Column) -> Column:
-    return F.regexp_replace(text, "[‐‑‒–—―−]", "-")
+    """The dashes that stand for a hyphen."""
+    return F.regexp_replace(text, r"[\u2010-\u2015\u2212\uFE58\uFE63\uFF0D]", "-")
 
 
 def first_number(text: Column, most: float = 100_000.0) -> Column:
@@ -64,6 +65,19 @@ def category_codes(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(r"\b[a-z]+(?:_[a-z0-9]+){2,}\b"), F.lit(0))
 
 
+def response_text(text: Column, marker: str) -> Column:
+    """An answer without its reasoning: what follows the last `final` channel's message tag up to the next tag, else what follows the marker."""
+    channel = F.regexp_extract(text, r"(?s)<\|channel\|>final<\|message\|>(.*?)(?:<\|(?:end|return|start|channel|message)\|>|\z)", 1)
+    return F.when(channel != "", F.trim(channel)).otherwise(after_marker(text, marker))
+
+
+def last_tokens(text: Column, most: int) -> Column:
+    """The last `most` runs of non-blank characters, joined by one space; the text itself if it has no more."""
+    words = F.filter(F.split(text, r"\s+"), lambda w: w != "")
+    n = F.size(words)
+    return F.when(n <= most, text).otherwise(F.array_join(F.slice(words, F.greatest(n - most + 1, F.lit(1)), F.lit(most)), " "))
+
+
 def after_marker(text: Column, marker: str) -> Column:
     """What follows the first marker, in any case; the whole text without one."""
     at = F.locate(marker.lower(), F.lower(text))
@@ -91,17 +105,28 @@ def chunks(ids: Column, size: int, overlap: int, most: int | None = None) -> Col
     return F.slice(out, 1, most) if most else out
 
 
+#: The coefficients of the n-gram hash.
+BASE, STEP, ORDER = 1_000_003, 9_176, 19_260_817
+
+
 def ngram_buckets(ids: Column, buckets: int, orders: tuple[int, ...] = (1, 2, 3)) -> Column:
-    """Distinct polynomial hash buckets of the n-grams of token ids."""
+    """Distinct buckets, in order, of the n-grams of token ids: one id times BASE plus STEP, or each times BASE + STEP * its place (from 1), plus ORDER times n. Bucket 0 where there is no n-gram.
+
+    Ids below 2^40 can't overflow.
+    """
 
     def bucket(i: Column, n: int) -> Column:
-        h = F.lit(n).cast("long")
+        at = lambda j: F.get(ids, i + j).cast("long")
+        if n == 1:
+            return F.pmod(at(0) * BASE + STEP, F.lit(buckets).cast("long"))
+        h = F.lit(ORDER * n).cast("long")
         for j in range(n):
-            h = F.pmod(h * F.lit(1_000_003) + F.get(ids, i + j), F.lit(2_147_483_647))
-        return F.pmod(h, F.lit(buckets))
+            h = h + at(j) * (BASE + STEP * (j + 1))
+        return F.pmod(h, F.lit(buckets).cast("long"))
 
     each = [F.when(F.size(ids) >= n, _grams(ids, n, bucket)).otherwise(F.array().cast("array<bigint>")) for n in orders]
-    return F.array_distinct(F.concat(*each))
+    found = F.array_sort(F.array_distinct(F.concat(*each)))
+    return F.when(F.size(found) == 0, F.array(F.lit(0).cast("long"))).otherwise(found)
 
 
 def _grams(ids: Column, n: int, bucket) -> Column:

@@ -4,6 +4,14 @@ from __future__ import annotations
 
 import math
 
+import pandas as pd
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
+from causeway.functions.workers import by_value
+
+by_value(__name__)
+
 
 def normal_cdf(x: float) -> float:
     return 0.5 * math.erfc(-x / math.sqrt(2))
@@ -54,7 +62,10 @@ def mcnemar_p(b: int, c: int) -> tuple[float, float]:
     return raw, min(1.0, raw)
 
 
-def rosenbaum(positive: int, negative: int, gammas: tuple[float, ...] = (1.0, 1.1, 1.2, 1.3, 1.5, 1.75, 2.0, 3.0)) -> list[tuple[float, float, float]]:
+GAMMAS = (1.0, 1.1, 1.2, 1.3, 1.5, 1.75, 2.0, 3.0)
+
+
+def rosenbaum(positive: int, negative: int, gammas: tuple[float, ...] = GAMMAS) -> list[tuple[float, float, float]]:
     """gamma and twice the sign test's lower tail at gamma / (1 + gamma) and at 1 / (1 + gamma); ties are left out before."""
     n, out = positive + negative, []
     for g in gammas:
@@ -62,3 +73,28 @@ def rosenbaum(positive: int, negative: int, gammas: tuple[float, ...] = (1.0, 1.
         p = [2 * binomial_cdf(negative, n, q) if n else 1.0 for q in (high, low)]
         out.append((g, *(p if g == 1 else [min(1.0, x) for x in p])))
     return out
+
+
+# the same as columns, for tables of a few results: Arrow batches, one call a row
+
+
+def _column(f, *args: Column) -> Column:
+    def run(*xs: pd.Series) -> pd.Series:
+        return pd.Series([None if any(pd.isna(v) for v in row) else float(f(*row)) for row in zip(*xs, strict=True)], dtype="float64")
+
+    signature = {1: lambda a: run(a), 2: lambda a, b: run(a, b), 3: lambda a, b, c: run(a, b, c)}[len(args)]
+    hints = {1: ["a"], 2: ["a", "b"], 3: ["a", "b", "c"]}[len(args)]
+    signature.__annotations__ = {**{h: pd.Series for h in hints}, "return": pd.Series}
+    return F.pandas_udf(signature, "double")(*args)
+
+
+def t_two_sided_column(t: Column, df: Column) -> Column:
+    return _column(t_two_sided, t.cast("double"), df.cast("double"))
+
+
+def mcnemar_p_column(b: Column, c: Column) -> Column:
+    return _column(lambda x, y: mcnemar_p(int(x), int(y))[0], b, c)
+
+
+def rosenbaum_column(up: Column, down: Column, gamma: Column, side: str) -> Column:
+    return _column(lambda u, d, g: rosenbaum(int(u), int(d), (g,))[0][1 if side == "plus" else 2], up, down, gamma)

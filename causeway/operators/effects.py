@@ -2,10 +2,20 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from causeway.functions.hashrand import poisson1
+from causeway.functions import tails
+from causeway.functions.hashrand import poisson_weights
+from causeway.functions.scalar import clever_covariate
+from causeway.functions.workers import by_value
+from causeway.operators.quantiles import quantiles
+
+by_value(__name__)
 
 
 def _arm(t: str, value: int, x: Column) -> Column:
@@ -49,8 +59,8 @@ def overlap(df: DataFrame, treatment: str, propensity: str, bins: int = 50) -> D
 
 def winsorized(df: DataFrame, propensity: str, q: float) -> DataFrame:
     """The propensity clipped to its exact q and 1 - q quantiles (linear), as `e`."""
-    cuts = df.agg(F.percentile(propensity, F.array(F.lit(q), F.lit(1 - q))).alias("__q"))
-    return df.join(F.broadcast(cuts)).withColumn("e", F.greatest(F.least(F.col(propensity), F.col("__q")[1]), F.col("__q")[0])).drop("__q")
+    cuts = quantiles(df, propensity, [q, 1 - q]).withColumnRenamed("q", "__q")
+    return df.join(F.broadcast(cuts)).withColumn("e", F.greatest(F.least(F.col(propensity), F.col("__q")[1]), F.col("__q")[0])).drop("__q")  # one row
 
 
 def hajek(t: Column, y: Column, e: Column, w: Column | None = None) -> Column:
@@ -64,19 +74,73 @@ def ate_ipw(df: DataFrame, treatment: str, outcome: str, propensity: str, q: flo
     return winsorized(df, propensity, q).agg(hajek(t, y, F.col("e")).alias("ate"), F.count_if(t == 1).alias("n_treated"), F.count_if(t == 0).alias("n_control"))
 
 
-def bootstrap_ipw(df: DataFrame, key: str, treatment: str, outcome: str, propensity: str, draws: int, q: float = 0.01, level: float = 0.95) -> DataFrame:
-    """Poisson bootstrap (an approximation of the multinomial one): every draw in one pass, its weights from a hash of draw and key."""
-    t, y = F.col(treatment).cast("double"), F.col(outcome).cast("double")
-    each = winsorized(df, propensity, q).select(key, t.alias("t"), y.alias("y"), "e").withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(draws)))).withColumn("w", poisson1(F.col("draw"), F.col(key)).cast("double")).where("w > 0")
-    ates = each.groupBy("draw").agg(hajek(F.col("t"), F.col("y"), F.col("e"), F.col("w")).alias("ate"))
+DRAWS = 1000
+
+
+def drawn_sums(df: DataFrame, key: Column, terms: list[Column], draws: int = DRAWS, seed: int = 0) -> DataFrame:
+    """draw (from 1) and s, the sums of the terms over a Poisson bootstrap sample (an approximation of the multinomial one).
+
+    A row's weight in a draw comes from a hash of its key (long) and the draw, so retries agree. No row is multiplied: each task adds up its
+    rows' weighted terms for all draws in NumPy and gives one row a draw.
+    """
+    width = len(terms)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((draws, width))
+        for b in batches:
+            keys = b.column(0).to_numpy(zero_copy_only=False)
+            x = np.stack([b.column(i + 1).to_numpy(zero_copy_only=False) for i in range(width)], 1)
+            for at in range(0, len(keys), 512):
+                total += poisson_weights(keys[at : at + 512], draws, seed).T @ x[at : at + 512]
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(1, draws + 1, dtype=np.int32)), pa.array(list(total), pa.list_(pa.float64()))], ["draw", "s"])
+
+    rows = df.select(F.coalesce(key.cast("long"), F.lit(-1)), *[F.coalesce(t.cast("double"), F.lit(0.0)) for t in terms])
+    named = rows.toDF("k", *[f"t{i}" for i in range(width)]).mapInArrow(run, "draw int, s array<double>")
+    return named.groupBy("draw").agg(F.array(*[F.sum(F.get("s", i)) for i in range(width)]).alias("s"))
+
+
+def interval(draws: DataFrame, statistic: Column, level: float = 0.95) -> DataFrame:
+    """se (sample), and lower and upper percentiles, of a statistic of the draws' sums `s`; a draw without it is left out."""
     tail = (1 - level) / 2
-    return ates.agg(F.stddev_samp("ate").alias("se"), F.percentile("ate", F.lit(tail)).alias("lower"), F.percentile("ate", F.lit(1 - tail)).alias("upper"))
+    each = draws.select(statistic.alias("x")).where("x is not null")  # a row for each draw
+    return each.agg(F.stddev_samp("x").alias("se"), F.percentile("x", F.lit(tail)).alias("lower"), F.percentile("x", F.lit(1 - tail)).alias("upper"))
+
+
+def _ratio(a: int, b: int) -> Column:
+    return F.try_divide(F.get("s", a), F.get("s", b))
+
+
+def bootstrap_ipw(df: DataFrame, key: str, treatment: str, outcome: str, propensity: str, draws: int = DRAWS, q: float = 0.01, level: float = 0.95) -> DataFrame:
+    """se, lower and upper of ate_ipw(); the quantiles that clip stay those of all rows."""
+    t, y, e = F.col(treatment).cast("double"), F.col(outcome).cast("double"), F.col("e")
+    terms = [t * y / e, t / e, (1 - t) * y / (1 - e), (1 - t) / (1 - e)]
+    return interval(drawn_sums(winsorized(df, propensity, q), F.col(key), terms, draws), _ratio(0, 1) - _ratio(2, 3), level)
+
+
+def bootstrap_stratified(df: DataFrame, key: str, treatment: str, outcome: str, propensity: str, k: int = 5, draws: int = DRAWS, level: float = 0.95) -> DataFrame:
+    """se, lower and upper of ate_stratified(); the strata stay those of all rows."""
+    y = F.col(outcome).cast("double")
+    cell = lambda s, a: (F.col("stratum") == s) & (F.col(treatment) == a)
+    terms = [F.when(cell(s, a), x).otherwise(0.0) for s in range(k) for a in (1, 0) for x in (F.lit(1.0), y)]
+    g = lambda s, a, x: F.get("s", 4 * s + 2 * (1 - a) + x)
+    both = lambda s: (g(s, 1, 0) > 0) & (g(s, 0, 0) > 0)
+    n = lambda s: F.when(both(s), g(s, 1, 0) + g(s, 0, 0)).otherwise(0.0)
+    difference = lambda s: F.when(both(s), F.try_divide(g(s, 1, 1), g(s, 1, 0)) - F.try_divide(g(s, 0, 1), g(s, 0, 0))).otherwise(0.0)
+    top, bottom = sum((n(s) * difference(s) for s in range(1, k)), n(0) * difference(0)), sum((n(s) for s in range(1, k)), n(0))
+    return interval(drawn_sums(strata_of(df, propensity, k), F.col(key), terms, draws), F.try_divide(top, bottom), level)
+
+
+def bootstrap_matched(outcomes: DataFrame, draws: int = DRAWS, level: float = 0.95) -> DataFrame:
+    """se, lower and upper of the mean pair difference, over pairs."""
+    number = lambda c: F.coalesce(F.col(c).cast("long"), F.lit(0))
+    pair = number("treated_id").bitwiseXOR(F.shiftleft(number("control_id"), 31))
+    return interval(drawn_sums(outcomes, pair, [F.lit(1.0), F.col("y1") - F.col("y0")], draws), _ratio(1, 0), level)
 
 
 def strata_of(df: DataFrame, propensity: str, k: int) -> DataFrame:
     """stratum: which of k runs between exact quantiles a row's propensity is in; closed below, the last closed above."""
-    cuts = df.agg(F.percentile(propensity, F.array(*[F.lit(i / k) for i in range(1, k)])).alias("__q"))
-    return df.join(F.broadcast(cuts)).withColumn("stratum", F.size(F.filter("__q", lambda c: c <= F.col(propensity)))).drop("__q")
+    cuts = quantiles(df, propensity, [i / k for i in range(1, k)]).withColumnRenamed("q", "__q")
+    return df.join(F.broadcast(cuts)).withColumn("stratum", F.size(F.filter("__q", lambda c: c <= F.col(propensity)))).drop("__q")  # one row
 
 
 def ate_stratified(df: DataFrame, treatment: str, outcome: str, propensity: str, k: int = 5) -> DataFrame:
@@ -104,11 +168,39 @@ def att_matched(outcomes: DataFrame) -> DataFrame:
 
 
 def mcnemar(outcomes: DataFrame) -> DataFrame:
-    """Discordant pairs and the statistic: none 0, under 25 without and else with continuity correction."""
+    """Discordant pairs, the statistic (none 0, under 25 without and else with continuity correction), and p, exact under 25 pairs and then not capped at 1."""
     one = outcomes.agg(F.count_if((F.col("y1") == 1) & (F.col("y0") == 0)).alias("b"), F.count_if((F.col("y1") == 0) & (F.col("y0") == 1)).alias("c"))
     n, d = (F.col("b") + F.col("c")).cast("double"), F.abs(F.col("b") - F.col("c")).cast("double")
-    return one.withColumn("statistic", F.when(n == 0, 0.0).when(n < 25, d * d / n).otherwise((d - 1) * (d - 1) / n))
+    out = one.withColumn("statistic", F.when(n == 0, 0.0).when(n < 25, d * d / n).otherwise((d - 1) * (d - 1) / n))
+    return out.withColumn("p", tails.mcnemar_p_column(F.col("b"), F.col("c")))
+
+
+def paired_t(outcomes: DataFrame) -> DataFrame:
+    """mean, t and the two-sided p with n - 1 degrees of freedom."""
+    d = F.col("y1") - F.col("y0")
+    one = outcomes.agg(F.avg(d).alias("mean"), (F.avg(d) / (F.stddev_samp(d) / F.sqrt(F.count("*").cast("double")) + 1e-10)).alias("t"), F.count("*").alias("n"))
+    return one.withColumn("p", tails.t_two_sided_column(F.col("t"), (F.col("n") - 1).cast("double")))
+
+
+def rosenbaum(outcomes: DataFrame) -> DataFrame:
+    """gamma, p_plus, p_minus of the sign test on pairs, from two counts."""
+    n = outcomes.agg(F.count_if(F.col("y1") > F.col("y0")).alias("up"), F.count_if(F.col("y1") < F.col("y0")).alias("down"))
+    grid = F.explode(F.array(*[F.lit(g) for g in tails.GAMMAS]))
+    return n.select("*", grid.alias("gamma")).select("gamma", *[tails.rosenbaum_column(F.col("up"), F.col("down"), F.col("gamma"), side).alias(f"p_{side}") for side in ("plus", "minus")])
 
 
 def overlap_weights(e: Column) -> Column:
+    """e (1 - e), at least 1e-4, before it is divided by its mean."""
     return F.greatest(e * (1 - e), F.lit(1e-4))
+
+
+def with_overlap_weights(df: DataFrame, propensity: str, out: str = "weight") -> DataFrame:
+    """df with overlap weights whose mean is 1."""
+    w = overlap_weights(F.col(propensity))
+    return df.join(F.broadcast(df.agg(F.avg(w).alias("__w")))).withColumn(out, w / F.col("__w")).drop("__w")  # one row
+
+
+def targeted_moment(y: Column, t: Column, e: Column, factual: Column) -> Column:
+    """The squared mean of residual times clever covariate, as an aggregate."""
+    m = F.avg((y - factual) * clever_covariate(t, e))
+    return m * m

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from causeway.functions.scalar import ngram_buckets, tokens
 from causeway.functions.workers import by_value
+from causeway.operators.quantiles import quantiles
 
 by_value(__name__)
 
@@ -55,14 +56,14 @@ def tfidf(df: DataFrame, key: str, text: str, least: int = 5, most: float = 0.95
     """key, term, weight: words and word pairs, sublinear tf, smoothed idf, unit length; terms in too few or too many rows are left out."""
     words = F.regexp_extract_all(F.lower(F.col(text)), F.lit("[a-z0-9_]{2,}"), F.lit(0))
     pairs = lambda w: F.when(F.size(w) > 1, F.zip_with(F.slice(w, F.lit(1), F.size(w) - 1), F.slice(w, F.lit(2), F.size(w) - 1), lambda a, b: F.concat_ws(" ", a, b))).otherwise(F.array().cast("array<string>"))
-    bags = df.select(key, words.alias("w"))
-    tf = bags.select(key, F.explode(F.concat("w", pairs(F.col("w")))).alias("term")).groupBy(key, "term").agg(F.count("*").alias("tf"))
+    tf = df.select(key, F.explode(F.concat(words, pairs(words))).alias("term")).groupBy(key, "term").agg(F.count("*").alias("tf"))
     n = df.agg(F.count("*").alias("__n"))
-    df_ = tf.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("total")).join(F.broadcast(n)).where((F.col("df") >= least) & (F.col("df") <= F.col("__n") * most))
-    kept = df_.orderBy(F.desc("total"), "term").limit(size)
-    raw = tf.join(kept, "term").select(key, "term", ((1 + F.ln("tf")) * (F.ln((1 + F.col("__n")) / (1 + F.col("df"))) + 1)).alias("x"))
-    norm = raw.groupBy(key).agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("norm"))
-    return raw.join(norm, key).select(key, "term", (F.col("x") / F.col("norm")).alias("weight"))
+    counted = tf.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("total")).join(F.broadcast(n)).where((F.col("df") >= least) & (F.col("df") <= F.col("__n") * most))
+    kept = counted.orderBy(F.desc("total"), "term").limit(size).select("term", (F.ln((1 + F.col("__n")) / (1 + F.col("df"))) + 1).alias("idf"))
+    raw = tf.join(F.broadcast(kept), "term").select(key, F.struct("term", ((1 + F.ln("tf")) * F.col("idf")).alias("x")).alias("v"))  # kept: `size` rows at most
+    rows = raw.groupBy(key).agg(F.collect_list("v").alias("v"))  # at most `size` terms of a document
+    norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, e: s + e["x"] * e["x"]))
+    return rows.withColumn("norm", norm).select(key, "norm", F.explode("v").alias("e")).select(key, "e.term", (F.col("e.x") / F.col("norm")).alias("weight"))
 
 
 def hashed_ngrams(df: DataFrame, key: str, ids: str, buckets: int, orders: tuple[int, ...] = (1, 2, 3), least: int = 1) -> DataFrame:
@@ -73,20 +74,31 @@ def hashed_ngrams(df: DataFrame, key: str, ids: str, buckets: int, orders: tuple
     return long.join(kept, "bucket").select(key, "bucket")
 
 
-def purity(long: DataFrame, units: DataFrame, key: str, feature: str, treatment: str, outcome: str, alpha: float = 0.5, beta: float = 1.0, gamma: float = 1.0, least: int = 10, least_arm: int = 3) -> DataFrame:
-    """feature, te_difference, control_difference, score: how far a feature's presence changes the effect and not the control outcome; null where a gate fails."""
+def purity(long: DataFrame, units: DataFrame, key: str, feature: str, treatment: str, outcome: str, alpha: float = 1.0, beta: float = 2.0, gamma: float = 1.0, least: int = 20, least_arm: int = 5) -> DataFrame:
+    """feature, n, te_difference, control_difference, score: how far a feature's presence raises the effect beyond what it does to the control outcome.
+
+    score = max(0, te - gamma |control|) * (smallest of the four cells) ** alpha * (1 - share of rows) ** beta, null where there are too few
+    rows with or without the feature or in a cell, or the difference isn't positive. A mean over no rows counts as 0.
+    """
     t, y = F.col(treatment), F.col(outcome).cast("double")
     arms = [F.count_if(t == a).alias(f"n{a}") for a in (0, 1)] + [F.coalesce(F.sum(F.when(t == a, y)), F.lit(0.0)).alias(f"s{a}") for a in (0, 1)]
-    total = units.agg(*[F.count_if(t == a).alias(f"all_n{a}") for a in (0, 1)], *[F.sum(F.when(t == a, y)).alias(f"all_s{a}") for a in (0, 1)])
-    with_ = long.join(units.select(key, treatment, outcome), key).groupBy(feature).agg(*arms).join(F.broadcast(total))
-    inside = [F.try_divide(F.col(f"s{a}"), F.col(f"n{a}")) for a in (0, 1)]
-    outside = [F.try_divide(F.col(f"all_s{a}") - F.col(f"s{a}"), F.col(f"all_n{a}") - F.col(f"n{a}")) for a in (0, 1)]
-    te = F.abs((inside[1] - inside[0]) - (outside[1] - outside[0]))
+    total = units.agg(*[F.count_if(t == a).alias(f"all_n{a}") for a in (0, 1)], *[F.coalesce(F.sum(F.when(t == a, y)), F.lit(0.0)).alias(f"all_s{a}") for a in (0, 1)])
+    with_ = long.join(units.select(key, treatment, outcome), key).groupBy(feature).agg(*arms).join(F.broadcast(total))  # one row
+    one = F.lit(1)
+    inside = [F.col(f"s{a}") / F.greatest(F.col(f"n{a}"), one) for a in (0, 1)]
+    outside = [(F.col(f"all_s{a}") - F.col(f"s{a}")) / F.greatest(F.col(f"all_n{a}") - F.col(f"n{a}"), one) for a in (0, 1)]
+    te = (inside[1] - inside[0]) - (outside[1] - outside[0])
     control = inside[0] - outside[0]
-    count, smallest = F.col("n0") + F.col("n1"), F.least(F.col("n0"), F.col("n1"), F.col("all_n0") - F.col("n0"), F.col("all_n1") - F.col("n1"))
-    share = count / (F.col("all_n0") + F.col("all_n1"))
-    score = F.greatest(te - gamma * F.abs(control), F.lit(0.0)) * F.pow(smallest.cast("double"), F.lit(alpha)) * F.pow(1 - share, F.lit(beta))
-    return with_.select(feature, te.alias("te_difference"), control.alias("control_difference"), F.when((count >= least) & (smallest >= least_arm) & (te > 0), score).alias("score"))
+    count, rows = F.col("n0") + F.col("n1"), F.col("all_n0") + F.col("all_n1")
+    smallest = F.least(F.col("n0"), F.col("n1"), F.col("all_n0") - F.col("n0"), F.col("all_n1") - F.col("n1"))
+    score = F.greatest(te - gamma * F.abs(control), F.lit(0.0)) * F.pow(F.greatest(smallest, one).cast("double"), F.lit(alpha)) * F.pow(1 - count / rows, F.lit(beta))
+    good = (count >= least) & (count <= rows - least) & (smallest >= least_arm) & (te > 0)
+    return with_.select(feature, count.alias("n"), te.alias("te_difference"), control.alias("control_difference"), F.when(good, score).alias("score"))
+
+
+def purest(scored: DataFrame, feature: str, top: int = 1) -> DataFrame:
+    """The `top` features with the largest scores of purity(), ties by feature."""
+    return scored.where("score is not null").orderBy(F.desc("score"), feature).limit(top)
 
 
 def normalization(df: DataFrame, columns: list[str]) -> dict[str, tuple[float, float]]:
@@ -122,11 +134,13 @@ def extraction_summary(df: DataFrame, columns: list[str], top: int = 8) -> DataF
 
 def imputation(df: DataFrame, continuous: list[str], categorical: list[str]) -> DataFrame:
     """feature, value: exact median, or the most frequent value, the first in order of equals."""
-    wide = df.agg(*[F.percentile(c, F.lit(0.5)).cast("string").alias(c) for c in continuous])
-    medians = wide.select(F.explode(F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).alias("value")) for c in continuous])).alias("x")).select("x.*")
+    medians = None
+    for c in continuous:
+        one = quantiles(df, c, [0.5]).select(F.lit(c).alias("feature"), F.get("q", 0).cast("string").alias("value"))
+        medians = one if medians is None else medians.unionByName(one)
     long = df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).cast("string").alias("value")) for c in categorical])).alias("x")).select("x.*").where("value is not null")
     modes = long.groupBy("feature", "value").agg(F.count("*").alias("n")).groupBy("feature").agg(F.min_by("value", F.struct(-F.col("n"), "value")).alias("value"))
-    return medians.unionByName(modes)
+    return modes if medians is None else medians.unionByName(modes)
 
 
 def parsed_json(text: Column, schema: str) -> Column:

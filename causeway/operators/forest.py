@@ -1,8 +1,10 @@
 """Cross-fitted nuisances and an honest causal forest with intervals.
 
-Nuisances: for each fold a Spark ML model fitted on the other folds scores it. Forest: each bag draws a half sample of at most `most` rows
-by hash; its trees split one half of theirs to spread the residual-on-residual effect and estimate leaves on the other (honesty). A bag is
-one task. The trees, bounded by their number and depth, are broadcast to score rows in Arrow batches; the spread between bags gives the interval.
+Nuisances: for each fold a Spark ML model (linear or a forest) fitted on the other folds scores it. Causal forest: each bag draws a subsample by
+hash, half of the rows while those are few and n ** 0.7 of them beyond 20,000, so bags grow with the table as subsampled forests ask; its
+trees split one half of theirs to spread the residual-on-residual effect and estimate leaves on the other (honesty). A bag is one task. The
+trees, bounded by their number and depth, travel with the scoring function; the spread between bags gives the interval. Effects are scored
+out of fold: a fold's rows by a forest that has not seen them.
 """
 
 from __future__ import annotations
@@ -22,26 +24,22 @@ from causeway.functions.workers import by_value
 by_value(__name__)
 
 
-def crossfit(df: DataFrame, key: str, treatment: str, outcome: str, features: list[str], k: int = 3, binary_outcome: bool = True, seed: int = 42, clip: tuple[float, float] = (0.01, 0.99)) -> DataFrame:
-    """df with cv_fold, e_hat and m_hat, predicted by models that saw other folds only. A fold whose training rows have one class gets their mean."""
-    from pyspark.ml.classification import LogisticRegression
+def crossfit(df: DataFrame, key: str, treatment: str, outcome: str, features: list[str], k: int = 3, binary_outcome: bool = True, seed: int = 42, clip: tuple[float, float] = (0.01, 0.99), learner: str = "linear", fold: str | None = None) -> DataFrame:
+    """df with cv_fold, e_hat and m_hat, predicted by models that saw other folds only. A fold whose training rows have one class gets their mean.
+
+    learner: linear (logistic for classes) or forest. fold names a column of folds from 1 to k to use instead of drawing them. Training reads
+    cached rows, the result is computed from df when it is asked for.
+    """
     from pyspark.ml.feature import VectorAssembler
-    from pyspark.ml.functions import vector_to_array
-    from pyspark.ml.regression import LinearRegression
 
-    folded = df.withColumn("cv_fold", F.floor(uniform(F.lit(seed), F.col(key)) * k).cast("int") + 1)
+    folded = df.withColumn("cv_fold", F.col(fold).cast("int") if fold else F.floor(uniform(F.lit(seed), F.col(key)) * k).cast("int") + 1)
     ready = VectorAssembler(inputCols=features, outputCol="__x").transform(folded).persist()
     try:
         parts = []
         for f in range(1, k + 1):
             train, test = ready.where(F.col("cv_fold") != f), ready.where(F.col("cv_fold") == f)
             for target, out, binary in ((treatment, "e_hat", True), (outcome, "m_hat", binary_outcome)):
-                n, mean, kinds = train.agg(F.count("*"), F.avg(target), F.countDistinct(target)).first()
-                if not n or kinds < 2:
-                    test = test.withColumn(out, F.lit(float(mean or 0.0)))
-                    continue
-                model = (LogisticRegression if binary else LinearRegression)(featuresCol="__x", labelCol=target, regParam=1.0 / n, maxIter=50, predictionCol="__p", **({"probabilityCol": "__q", "rawPredictionCol": "__r"} if binary else {})).fit(train)
-                test = model.transform(test).withColumn(out, vector_to_array("__q")[1] if binary else F.col("__p")).drop("__p", "__q", "__r")
+                test = scored(train, test, target, out, binary, learner, seed)
             parts.append(test)
         out = parts[0]
         for p in parts[1:]:
@@ -51,6 +49,23 @@ def crossfit(df: DataFrame, key: str, treatment: str, outcome: str, features: li
         ready.unpersist()
 
 
+def scored(train: DataFrame, test: DataFrame, target: str, out: str, binary: bool, learner: str = "linear", seed: int = 42) -> DataFrame:
+    """test with `out`, the probability or value of target by a model of train; both have the vector __x."""
+    from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
+    from pyspark.ml.functions import vector_to_array
+    from pyspark.ml.regression import LinearRegression, RandomForestRegressor
+
+    n, mean, kinds = train.agg(F.count("*"), F.avg(target), F.countDistinct(target)).first()
+    if not n or kinds < 2:
+        return test.withColumn(out, F.lit(float(mean or 0.0)))
+    named = dict(featuresCol="__x", labelCol=target, predictionCol="__p") | (dict(probabilityCol="__q", rawPredictionCol="__r") if binary else {})
+    if learner == "forest":
+        model = (RandomForestClassifier if binary else RandomForestRegressor)(numTrees=40, maxDepth=6, minInstancesPerNode=10, seed=seed, **named)
+    else:
+        model = (LogisticRegression if binary else LinearRegression)(regParam=1.0 / n, maxIter=50, **named)
+    return model.fit(train).transform(test).withColumn(out, vector_to_array("__q")[1] if binary else F.col("__p")).drop("__p", "__q", "__r")
+
+
 @dataclass
 class Tree:
     """Nodes by number: the feature and threshold of inner ones, children, and the effect of leaves."""
@@ -116,10 +131,10 @@ def grow(x: np.ndarray, ry: np.ndarray, rt: np.ndarray, r: np.random.Generator,
     return Tree(np.array(c[0]), np.array(c[1], float), np.array(c[2]), np.array(c[3]), np.array(c[4], float))
 
 
-def fit_forest(df: DataFrame, key: str, y: str, t: str, m: str, e: str, x: list[str], bags: int = 24, trees: int = 4, depth: int = 8, leaf: int = 20, most: int = 20_000, seed: int = 1) -> list[list[Tree]]:
+def fit_forest(df: DataFrame, key: str, y: str, t: str, m: str, e: str, x: list[str], bags: int = 24, trees: int = 4, depth: int = 8, leaf: int = 20, few: int = 20_000, seed: int = 1) -> list[list[Tree]]:
     """Trees by bag. Rows with a null or non-finite value in any used column are left out."""
     n = max(1, df.count())
-    rate = min(0.5, most / n)
+    rate = min(0.5, max(few, n**0.7) / n)
     rows = df.select(F.col(key).alias("__key"), (F.col(y) - F.col(m)).cast("double").alias("__ry"), (F.col(t) - F.col(e)).cast("double").alias("__rt"), *[F.col(c).cast("double").alias(f"__x{i}") for i, c in enumerate(x)]).dropna()
     bagged = rows.withColumn("__bag", F.explode(F.sequence(F.lit(0), F.lit(bags - 1)))).where(uniform(F.lit(seed), F.col("__bag"), F.col("__key")) < rate)
 
@@ -158,3 +173,13 @@ def predict_forest(df: DataFrame, forest: list[list[Tree]], x: list[str], level_
             yield pdf.assign(pred_ite=tau, pred_ite_lower=tau - level_z * sd, pred_ite_upper=tau + level_z * sd)
 
     return df.mapInPandas(run, schema)
+
+
+def out_of_fold(df: DataFrame, key: str, y: str, t: str, x: list[str], k: int, **how) -> DataFrame:
+    """df (with cv_fold, e_hat and m_hat) with pred_ite and its interval, each fold's from a forest of the other folds."""
+    out = None
+    for f in range(1, k + 1):
+        trees = fit_forest(df.where(F.col("cv_fold") != f), key, y, t, "m_hat", "e_hat", x, **how)
+        part = predict_forest(df.where(F.col("cv_fold") == f), trees, x) if trees else df.where(F.col("cv_fold") == f).withColumns({c: F.lit(None).cast("double") for c in ("pred_ite", "pred_ite_lower", "pred_ite_upper")})
+        out = part if out is None else out.unionByName(part)
+    return out

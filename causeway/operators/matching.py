@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from causeway.functions.workers import by_value
+from causeway.operators.quantiles import cumulative
 
 by_value(__name__)
 
@@ -24,16 +25,53 @@ def band_pairs(df: DataFrame, key: str, treatment: str, score: str, caliper: flo
     return out.select("treated_id", "control_id", "distance")
 
 
+SALTS = 64
+
+
+def _smallest_ids(control: DataFrame, key: str, score: str, k: int) -> DataFrame:
+    """score, ids: the k smallest ids of each score, in order. A score that many rows share is cut in SALTS parts first."""
+    salted = control.withColumn("__salt", F.pmod(F.xxhash64(key), F.lit(SALTS)))
+    for by in ([score, "__salt"], [score]):
+        turn = F.row_number().over(Window.partitionBy(*by).orderBy(key))
+        salted = salted.withColumn("__r", turn).where(F.col("__r") <= k).drop("__r")
+    return salted.groupBy(score).agg(F.sort_array(F.collect_list(key)).alias("ids"))
+
+
 def nearest(df: DataFrame, key: str, treatment: str, score: str, k: int = 1, caliper: float = 0.05) -> DataFrame:
     """The k nearest controls of each treated row within caliper, with replacement; ties go to the smaller id. rank from 1.
 
-    Of controls with one score only the k smallest ids can be among them, so no more of each score are joined.
+    Distinct scores are put in order by ranges; the k control scores on either side of a treated score, found by their places in that order,
+    hold its k nearest controls, so the work grows with the rows and not with how many are within caliper.
+    """
+    rows = df.where(F.col(score).isNotNull() & ~F.isnan(F.col(score).cast("double"))).select(F.col(key).alias("__k"), F.col(treatment).alias("__t"), F.col(score).cast("double").alias("__s"))
+    control = _smallest_ids(rows.where("__t = 0").select("__k", "__s"), "__k", "__s", k)
+    treated = rows.where("__t = 1")
+    scores = treated.select("__s").distinct().withColumn("ids", F.lit(None).cast(control.schema["ids"].dataType)).unionByName(control).groupBy("__s").agg(F.max("ids").alias("ids"), F.count(F.when(F.col("ids").isNull(), 1)).alias("asks"))
+    placed = cumulative(scores.withColumn("has", F.col("ids").isNotNull().cast("int")), "__s", ["has"])
+    there = placed.where("has = 1").select(F.col("has_below").alias("at"), F.col("__s").alias("there"), "ids")
+    asks = placed.where("asks > 0").select("__s", F.explode(F.sequence(F.col("has_below") - k, F.col("has_below") + k - 1)).alias("at"))
+    near = asks.join(there, "at").withColumn("distance", F.abs(F.col("there") - F.col("__s"))).where(F.col("distance") <= caliper)
+    options = near.select("__s", F.explode("ids").alias("control_id"), "distance").groupBy("__s").agg(F.slice(F.sort_array(F.collect_list(F.struct("distance", "control_id"))), 1, k).alias("best"))  # 2 k^2 at most
+    out = treated.select(F.col("__k").alias("treated_id"), "__s").join(options, "__s")
+    return out.select("treated_id", F.posexplode("best").alias("rank", "b")).select("treated_id", "b.control_id", "b.distance", (F.col("rank") + 1).alias("rank"))
+
+
+def sorted_pairs(df: DataFrame, key: str, treatment: str, score: str, low: float = 0.05, high: float = 0.95, caliper: float = 0.05) -> DataFrame:
+    """treated_id, control_id, distance: each treated row with the nearest control by score, with replacement, within [low, high].
+
+    If an arm has no row there all finite scores count; if no pair is within caliper the nearest controls are taken whatever their distance;
+    an arm without any row raises. Ties go to the smaller id.
     """
-    first = Window.partitionBy(score).orderBy(key)
-    control = df.where(F.col(treatment) == 0).select(key, treatment, score).withColumn("__r", F.row_number().over(first)).where(F.col("__r") <= k).drop("__r")
-    few = df.where(F.col(treatment) == 1).select(key, treatment, score).unionByName(control)
-    order = Window.partitionBy("treated_id").orderBy("distance", "control_id")
-    return band_pairs(few, key, treatment, score, caliper).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    finite = df.where(F.col(score).isNotNull() & ~F.isnan(F.col(score).cast("double")) & (F.abs(F.col(score).cast("double")) < float("inf")))
+    inside = F.col(score).between(low, high)
+    n = finite.agg(*[F.count_if((F.col(treatment) == a) & c).alias(f"n{a}{i}") for a in (0, 1) for i, c in ((0, F.lit(True)), (1, inside))]).first()
+    if not n["n00"] or not n["n10"]:
+        raise ValueError("matching needs a treated and a control row")
+    rows = finite.where(inside) if n["n01"] and n["n11"] else finite
+    found = nearest(rows, key, treatment, score, 1, caliper if caliper > 0 else float("inf"))
+    if caliper > 0 and found.isEmpty():
+        found = nearest(rows, key, treatment, score, 1, float("inf"))
+    return found.drop("rank")
 
 
 def greedy(df: DataFrame, key: str, treatment: str, score: str, block: list[str], k: int = 1, caliper: float | None = None, seed: int = 42) -> DataFrame:

@@ -2,38 +2,28 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-RANGES = 256
-
-
-def _cumulative(counts: DataFrame, value: str, columns: list[str]) -> DataFrame:
-    """For each distinct value the sums of columns over smaller ones. Ranges of the value between approximate percentiles keep tasks small."""
-    cuts = counts.agg(F.percentile_approx(value, [i / RANGES for i in range(1, RANGES)], 10_000).alias("__q"))
-    ranged = counts.join(F.broadcast(cuts)).withColumn("__r", F.size(F.filter("__q", lambda c: c <= F.col(value)))).drop("__q")
-    sums = ranged.groupBy("__r").agg(*[F.sum(c).alias(f"__s_{c}") for c in columns])
-    over = Window.orderBy("__r").rowsBetween(Window.unboundedPreceding, -1)  # a row for each range
-    before = sums.select("__r", *[F.coalesce(F.sum(f"__s_{c}").over(over), F.lit(0)).alias(f"__p_{c}") for c in columns])
-    local = Window.partitionBy("__r").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
-    return ranged.join(F.broadcast(before), "__r").select(value, *columns, *[(F.col(f"__p_{c}") + F.coalesce(F.sum(c).over(local), F.lit(0))).alias(f"{c}_below") for c in columns])
-
+from causeway.functions import tails
+from causeway.operators.quantiles import cumulative
 
 def auroc(df: DataFrame, label: str, score: str) -> DataFrame:
     """Share of positive and negative pairs in order, ties half; null with one class only."""
     counts = df.where(F.col(label).isNotNull() & F.col(score).isNotNull()).groupBy(F.col(score).cast("double").alias("v")).agg(F.count_if(F.col(label) == 1).alias("p"), F.count_if(F.col(label) == 0).alias("n"))
-    out = _cumulative(counts, "v", ["p", "n"]).agg(F.sum(F.col("p") * (F.col("n_below") + F.col("n") / 2.0)).alias("u"), F.sum("p").alias("p"), F.sum("n").alias("n"))
+    out = cumulative(counts, "v", ["p", "n"]).agg(F.sum(F.col("p") * (F.col("n_below") + F.col("n") / 2.0)).alias("u"), F.sum("p").alias("p"), F.sum("n").alias("n"))
     return out.select(F.when((F.col("p") > 0) & (F.col("n") > 0), F.col("u") / F.col("p") / F.col("n")).alias("auroc"), F.col("p").alias("n_positive"), F.col("n").alias("n_negative"))
 
 
 def average_ranks(df: DataFrame, value: str, out: str) -> DataFrame:
     counts = df.groupBy(F.col(value)).agg(F.count("*").alias("c"))
-    ranks = _cumulative(counts, value, ["c"]).select(value, (F.col("c_below") + (F.col("c") + 1) / 2.0).alias(out))
+    ranks = cumulative(counts, value, ["c"]).select(value, (F.col("c_below") + (F.col("c") + 1) / 2.0).alias(out))
     return df.join(ranks, value)
 
 
 def safe_corr(a: Column, b: Column) -> Column:
-    """Pearson as an aggregate; null where either side is constant or there are fewer than two rows."""
+    """Pearson over rows that have both, as an aggregate; null where either side is constant or there are fewer than two such rows."""
+    a, b = F.when(b.isNotNull(), a), F.when(a.isNotNull(), b)
     spread = F.stddev_pop(a) * F.stddev_pop(b)
     return F.when((F.count(F.when(a.isNotNull() & b.isNotNull(), 1)) >= 2) & (spread > 0), F.covar_pop(a, b) / F.nullif(spread, F.lit(0.0)))
 
@@ -43,6 +33,23 @@ def effect_metrics(df: DataFrame, pred: str, true: str, lower: str, upper: str)
     return df.agg(F.avg((p - t) * (p - t)).alias("mse"), F.avg(F.abs(p - t)).alias("mae"), safe_corr(p, t).alias("corr"), F.abs(F.avg(p) - F.avg(t)).alias("ate_bias"), F.avg(t.between(F.col(lower), F.col(upper)).cast("double")).alias("coverage"), F.avg(F.col(upper) - F.col(lower)).alias("width"))
 
 
+def rank_corr(df: DataFrame, a: str, b: str) -> DataFrame:
+    """One row: spearman, Pearson's correlation of average ranks; null where either side is constant."""
+    both = df.where(F.col(a).isNotNull() & F.col(b).isNotNull()).select(F.col(a).alias("__a"), F.col(b).alias("__b"))
+    ranks = average_ranks(average_ranks(both, "__a", "__ra"), "__b", "__rb")
+    return ranks.agg(safe_corr(F.col("__ra"), F.col("__rb")).alias("spearman"))
+
+
+def all_effect_metrics(df: DataFrame, pred: str, true: str, lower: str, upper: str, propensity: str, treatment: str, y0: str, y1: str, true_y0: str, true_y1: str) -> DataFrame:
+    """One row: effect_metrics(), both mean effects, spearman, the propensity's AUROC, and the squared errors of both arms' means."""
+    error = lambda p, t: F.avg((F.col(p) - F.col(t)) * (F.col(p) - F.col(t)))
+    rest = df.agg(F.avg(pred).alias("ate_pred"), F.avg(true).alias("ate_true"), error(y0, true_y0).alias("y0_mse"), error(y1, true_y1).alias("y1_mse"), F.sqrt(error(pred, true)).alias("pehe"))
+    out = effect_metrics(df, pred, true, lower, upper)
+    for one in (rest, rank_corr(df, pred, true), auroc(df, treatment, propensity).select(F.col("auroc").alias("propensity_auroc"))):
+        out = out.join(F.broadcast(one))  # one row each
+    return out
+
+
 def r_loss(y: Column, t: Column, m: Column, e: Column, tau: Column) -> Column:
     d = y - m - tau * (t - e)
     return F.avg(d * d)
@@ -55,13 +62,16 @@ def group_summary(df: DataFrame, groups: list[str], metrics: list[str]) -> DataF
 
 
 def welch(df: DataFrame, group: str, metric: str) -> DataFrame:
-    """t and degrees of freedom for each unordered pair of groups with two rows or more each."""
+    """t, degrees of freedom, two-sided p and stars (at 0.05, 0.01 and 0.001) for each unordered pair of groups with two rows or more each.
+
+    Groups are configurations, a short list: pairs grow with its square.
+    """
     g = df.where(F.col(metric).isNotNull()).groupBy(F.col(group).alias("g")).agg(F.avg(metric).alias("m"), F.var_samp(metric).alias("v"), F.count("*").alias("n")).where("n >= 2")
     a, b = (g.select(*[F.col(c).alias(f"{c}_{s}") for c in ("g", "m", "v", "n")], F.lit(1).alias("one")) for s in "ab")
     sa, sb = F.col("v_a") / F.col("n_a"), F.col("v_b") / F.col("n_b")
     t = F.try_divide(F.col("m_a") - F.col("m_b"), F.sqrt(sa + sb))
     df_ = F.try_divide((sa + sb) * (sa + sb), sa * sa / (F.col("n_a") - 1) + sb * sb / (F.col("n_b") - 1))
-    return a.join(b, (a["one"] == b["one"]) & (F.col("g_a") < F.col("g_b"))).select(F.col("g_a").alias("group_a"), F.col("g_b").alias("group_b"), t.alias("t"), df_.alias("df"))
+    return a.join(b, (a["one"] == b["one"]) & (F.col("g_a") < F.col("g_b"))).select(F.col("g_a").alias("group_a"), F.col("g_b").alias("group_b"), t.alias("t"), df_.alias("df")).withColumn("p", tails.t_two_sided_column(F.col("t"), F.col("df"))).withColumn("stars", F.when(F.col("p") < 0.001, "***").when(F.col("p") < 0.01, "**").when(F.col("p") < 0.05, "*").otherwise(""))
 
 
 def crosstab(df: DataFrame, row: str, column: str) -> DataFrame:

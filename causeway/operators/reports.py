@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from causeway.operators.metrics import safe_corr
+from causeway.operators.quantiles import quantiles
+
 
 def prediction_summary(df: DataFrame, effect: str, lower: str, upper: str, propensity: str) -> DataFrame:
     """Spread of the effects (sample), share of rows whose interval leaves out 0, mean propensity."""
@@ -13,9 +16,12 @@ def prediction_summary(df: DataFrame, effect: str, lower: str, upper: str, prope
     return df.agg(F.avg(x).alias("mean"), F.stddev_samp(x).alias("std"), F.min(x).alias("min"), F.max(x).alias("max"), F.avg(away).alias("share_significant"), F.avg(propensity).alias("mean_propensity"))
 
 
-def effect_summary(df: DataFrame, effect: str) -> DataFrame:
+def effect_summary(df: DataFrame, effect: str, lower: str | None = None, upper: str | None = None) -> DataFrame:
+    """Mean, spread (population), range, exact median and signs of the effects, and with intervals the share in percent that leave out 0."""
     x = F.col(effect)
-    return df.agg(F.avg(x).alias("ate"), F.stddev_pop(x).alias("std"), F.min(x).alias("min"), F.max(x).alias("max"), F.percentile(effect, F.lit(0.5)).alias("median"), F.count_if(x > 0).alias("n_positive"), F.count_if(x < 0).alias("n_negative"))
+    away = [(100.0 * F.avg(((F.col(lower) > 0) | (F.col(upper) < 0)).cast("double"))).alias("percent_significant")] if lower else []
+    one = df.agg(F.avg(x).alias("ate"), F.stddev_pop(x).alias("std"), F.min(x).alias("min"), F.max(x).alias("max"), F.count_if(x > 0).alias("n_positive"), F.count_if(x < 0).alias("n_negative"), *away)
+    return one.join(F.broadcast(quantiles(df, effect, [0.5]).select(F.get("q", 0).alias("median"))))  # one row
 
 
 def strict_group_summary(df: DataFrame, groups: list[str], metric: str, keep_null_groups: bool = False) -> DataFrame:
@@ -32,6 +38,14 @@ def extraction_accuracy(df: DataFrame, categorical: dict[str, tuple[str, str]],
     return long.groupingSets([[F.col("feature"), F.col("category")], [F.col("feature")]], "feature", "category").agg(F.avg(hit).alias("accuracy"), F.count("*").alias("n"))
 
 
+def extraction_errors(df: DataFrame, continuous: dict[str, tuple[str, str]]) -> DataFrame:
+    """feature, correlation, mae, rmse, n, coverage of extracted against true numbers; coverage is the share of true values that were extracted."""
+    rows = F.array(*[F.struct(F.lit(name).alias("feature"), F.col(found).cast("double").alias("found"), F.col(true).cast("double").alias("true")) for name, (found, true) in continuous.items()])
+    long = df.select(F.explode(rows).alias("x")).select("x.*").where("true is not null")
+    d = F.col("found") - F.col("true")
+    return long.groupBy("feature").agg(safe_corr(F.col("found"), F.col("true")).alias("correlation"), F.avg(F.abs(d)).alias("mae"), F.sqrt(F.avg(d * d)).alias("rmse"), F.count("found").alias("n"), (F.count("found") / F.count("*")).alias("coverage"))
+
+
 def regression_by_arm(df: DataFrame, treatment: str, truth: str, predicted: str) -> DataFrame:
     """R squared and root mean squared error in each arm."""
     means = df.groupBy(treatment).agg(F.avg(truth).alias("__m"))
@@ -70,9 +84,10 @@ def top_rows(df: DataFrame, metric: str, n: int, key: str, largest: bool = True)
     return good.orderBy(F.desc(metric) if largest else F.asc(metric), key).limit(n)
 
 
-def stat_pooling(df: DataFrame, key: str, vector: str) -> DataFrame:
-    """key, dim, mean, std (population), max, min over the rows of a key, element by element."""
-    long = df.select(key, F.posexplode(vector).alias("dim", "x")).withColumn("x", F.col("x").cast("double"))
+def stat_pooling(df: DataFrame, key: str, vector: str, mask: str | None = None) -> DataFrame:
+    """key, dim, mean, std (population), max, min over the rows of a key whose mask, if there is one, isn't 0, element by element."""
+    rows = df.where(F.col(mask) != 0) if mask else df
+    long = rows.select(key, F.posexplode(vector).alias("dim", "x")).withColumn("x", F.col("x").cast("double"))
     return long.groupBy(key, "dim").agg(F.avg("x").alias("mean"), F.stddev_pop("x").alias("std"), F.max("x").alias("max"), F.min("x").alias("min"))
 
 

@@ -1,49 +1,334 @@
-"""Feature search: which proposals may be tried, and which candidate is taken."""
+"""Feature search: which proposals may be tried, how candidates compare, what is told to the agent, and the search itself."""
 
 from __future__ import annotations
 
+import json
+import re
+from collections.abc import Callable
+from dataclasses import dataclass, replace
+from typing import Any, Protocol
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Words by which a proposal would read the treatment, the outcome or what came after.
-LEAKAGE = ("outcome", "response to treatment", "survival", "treatment received", "post treatment", "after treatment", "progression", "death", "follow up", "toxicity from treatment")
-BASELINE = ("baseline", "prior to treatment", "before treatment", "pre treatment", "at diagnosis")
+from causeway.operators.encoding import FeatureSpec
+
+#: Terms by which a proposal would read the outcome or what came after treatment, and what makes it a baseline variable.
+POST_TREATMENT = ("post-treatment", "post treatment", "after treatment", "after therapy", "after systemic therapy", "post therapy", "future imaging", "follow-up imaging")
+OUTCOME = (
+    "treatment response", "response to", "response category", "objective response", "radiographic response", "complete response", "partial response", "stable disease", "progressive disease",
+    "survival", "progression-free", "progression free", "overall survival", "mortality", "death", "recurrence", "relapse", "toxicity", "adverse event",
+)
+RATIONALE = ("post-treatment", "post treatment", "after treatment", "after therapy", "future imaging", "survival after", "progression after", "toxicity after")
+SAFE = (
+    "age", "sex", "gender", "race", "ethnicity", "smoking", "pack year", "ecog", "performance status", "comorbidity", "histology", "stage", "tumor", "metastasis", "metastatic",
+    "biomarker", "pdl1", "pd l1", "egfr", "alk", "kras", "ros1", "braf", "met", "ret", "ntrk", "lab", "laboratory", "neutrophil", "lymphocyte", "albumin", "hemoglobin", "creatinine", "ldh",
+)
+ANCHORS = ("baseline", "pre-treatment", "pre treatment", "pretreatment", "before treatment", "prior to treatment", "at diagnosis", "at presentation", "treatment initiation")
+
+LEAK = "post_treatment_or_outcome_leakage"
 
 
 def plain(text: Column) -> Column:
     """Lower case, - and _ as spaces, white space squeezed."""
-    return F.trim(F.regexp_replace(F.regexp_replace(F.lower(text), "[_-]+", " "), r"\s+", " "))
+    return F.trim(F.regexp_replace(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), "[_-]+", " "), r"\s+", " "))
+
 
+def holds(text: Column, terms: tuple[str, ...]) -> Column:
+    squeezed = sorted({re.sub(r"[_-]+", " ", t) for t in terms})
+    return F.exists(F.array(*[F.lit(t) for t in squeezed]), lambda t: F.contains(text, t))
 
-def leakage(name: Column, description: Column) -> Column:
-    """Why a proposal leaks, or null: a term in the name always does, one in the description unless it is anchored before treatment."""
-    terms = F.array(*[F.lit(t) for t in LEAKAGE])
-    hit = lambda x: F.exists(terms, lambda t: F.contains(x, t))
-    anchored = F.exists(F.array(*[F.lit(t) for t in BASELINE]), lambda t: F.contains(plain(description), t))
-    return F.when(hit(plain(name)), "name").when(hit(plain(F.coalesce(description, F.lit("")))) & ~anchored, "description")
 
+def leakage(name: Column, description: Column, rationale: Column | None = None, risk: Column | None = None) -> Column:
+    """Why a proposal leaks, or null.
 
-def reviewed(proposals: DataFrame, known: list[str], most_added: int) -> DataFrame:
-    """proposals (pos, action, name, kind, n_categories, roles, description) with `reason`, null where accepted: rules in order, then a cap on accepted additions."""
+    A high stated risk; a term after treatment in the name or description; an outcome in the name; one in the description, unless the name is a
+    safe concept and the description anchors it before treatment; or a rationale that says it comes after treatment.
+    """
+    own, why = plain(name), plain(rationale if rationale is not None else F.lit(""))
+    target = F.trim(F.concat_ws(" ", own, plain(description)))
+    allowed = holds(target, ANCHORS) & holds(own, SAFE)
+    leaks = holds(target, POST_TREATMENT) | holds(own, OUTCOME) | (holds(target, OUTCOME) & ~allowed) | holds(why, RATIONALE)
+    return F.when((risk if risk is not None else F.lit("")) == "high", "high_leakage_risk").when(leaks, LEAK)
+
+
+def reviewed(proposals: DataFrame, known: list[str], most_added: int, most_removed: int | None = None) -> DataFrame:
+    """proposals (pos, action, name, kind, n_categories, roles, description, and rationale and leakage_risk if present) with `reason`, null where accepted, none where nothing is proposed.
+
+    Rules in order, then caps on accepted additions and removals; most_removed 0 allows neither removals nor changes of roles. A proposal list
+    is an agent's short answer.
+    """
     valid_roles = F.array(F.lit("confounder"), F.lit("effect_modifier"))
     repeat = F.row_number().over(Window.partitionBy("name").orderBy("pos")) > 1
+    extra = {c: F.col(c) if c in proposals.columns else None for c in ("rationale", "leakage_risk")}
+    leak = leakage(F.col("name"), F.col("description"), extra["rationale"], extra["leakage_risk"])
+    add, remove = F.col("action") == "add", F.col("action") == "remove"
+    bad_roles = (F.size("roles") == 0) | (F.size(F.array_except("roles", valid_roles)) > 0)
     reason = (
-        F.when(~F.col("action").isin("add", "remove", "update_role"), "action")
-        .when(~F.col("name").rlike("^[a-z][a-z0-9_]{1,63}$"), "name")
-        .when((F.col("action") == "add") & F.col("name").isin(known), "known")
-        .when((F.col("action") != "add") & ~F.col("name").isin(known), "unknown")
-        .when(F.col("__repeat"), "repeated")
-        .when((F.col("action") == "add") & leakage(F.col("name"), F.col("description")).isNotNull(), "leakage")
-        .when((F.col("action") == "add") & ~F.col("kind").isin("categorical", "continuous"), "kind")
-        .when((F.size("roles") == 0) | (F.size(F.array_except("roles", valid_roles)) > 0), "roles")
-        .when((F.col("kind") == "categorical") & ~F.col("n_categories").between(1, 8), "categories")
+        F.when(F.col("action") == "none", "none")
+        .when(~F.col("action").isin("add", "remove", "update_role") | F.col("action").isNull(), "invalid_action")
+        .when(~F.coalesce(F.col("name").rlike("^[a-z][a-z0-9_]*$"), F.lit(False)), "invalid_name")
+        .when(leak.isNotNull(), leak)
+        .when(add & (F.col("name").isin(known) | F.col("__repeat")), "duplicate_feature")
+        .when(add & ~F.coalesce(F.col("kind").isin("categorical", "continuous"), F.lit(False)), "invalid_type")
+        .when(add & bad_roles, "invalid_roles")
+        .when(add & (F.col("kind") == "categorical") & (F.col("n_categories") == 0), "missing_categories")
+        .when(add & (F.col("kind") == "categorical") & (F.col("n_categories") > 8), "too_many_categories")
+        .when(add & (F.coalesce("description", F.lit("")) == ""), "missing_description")
+        .when(~add & F.lit(most_removed == 0), "removal_or_role_update_not_allowed_yet")
+        .when(~add & ~F.col("name").isin(known), "unknown_existing_feature")
+        .when(~add & ~remove & bad_roles, "invalid_roles")
     )
-    first = proposals.withColumn("__repeat", repeat).withColumn("reason", reason)
-    added = F.count_if(F.col("reason").isNull() & (F.col("action") == "add")).over(Window.orderBy("pos"))  # an agent's short list
-    return first.withColumn("reason", F.when(F.col("reason").isNull() & (F.col("action") == "add") & (added > most_added), "cap").otherwise(F.col("reason"))).drop("__repeat")
+    out = proposals.withColumn("__repeat", repeat).withColumn("reason", reason).drop("__repeat")
+    for action, most, name in (("add", most_added, "too_many_additions"), ("remove", most_removed, "too_many_removals")):
+        if most is not None:
+            mine = F.col("reason").isNull() & (F.col("action") == action)
+            so_far = F.count_if(mine).over(Window.orderBy("pos"))  # an agent's short list
+            out = out.withColumn("reason", F.when(mine & (so_far > most), name).otherwise(F.col("reason")))
+    return out
 
 
 def accepted(candidates: DataFrame, least_gain: float, most_auroc_drop: float, least_share: float) -> DataFrame:
     """The passing candidate (name, pos, gain, outcome_drop, treatment_drop, share_better) with the largest gain, the first of equals."""
     ok = (F.col("gain") >= least_gain) & (F.col("outcome_drop") <= most_auroc_drop) & (F.col("treatment_drop") <= most_auroc_drop) & (F.col("share_better") >= least_share)
     return candidates.where(ok).orderBy(F.desc("gain"), "pos").limit(1)
+
+
+def compared(metrics: DataFrame, least_gain: float = 0.01, most_outcome_drop: float = 0.02, most_treatment_drop: float = 0.02, least_share: float = 0.6) -> DataFrame:
+    """Each candidate against the baseline, from rows (candidate, fold, r_loss, outcome_auroc, treatment_auroc); the baseline's candidate is null.
+
+    Means over all folds of either; the share of common folds in which the candidate's loss is strictly less; what isn't measured counts as no change.
+    """
+    base = metrics.where("candidate is null")
+    means = lambda df: [F.avg(c).alias(f"{c}_{df}") for c in ("r_loss", "outcome_auroc", "treatment_auroc")]
+    b = base.agg(*means("b"))
+    c = metrics.where("candidate is not null").groupBy("candidate").agg(*means("c"))
+    folds = metrics.where("candidate is not null").select("candidate", "fold", F.col("r_loss").alias("own")).join(base.select("fold", F.col("r_loss").alias("other")), "fold")
+    better = folds.where("own is not null and other is not null").groupBy("candidate").agg(F.avg((F.col("own") < F.col("other")).cast("double")).alias("improved_fold_fraction"))
+    delta = lambda m: F.coalesce(F.col(f"{m}_c") - F.col(f"{m}_b"), F.lit(0.0))
+    out = c.join(F.broadcast(b)).join(better, "candidate", "left").select(  # b: one row
+        "candidate",
+        F.coalesce((F.col("r_loss_b") - F.col("r_loss_c")) / F.greatest(F.abs("r_loss_b"), F.lit(1e-8)), F.lit(0.0)).alias("r_loss_improvement"),
+        delta("outcome_auroc").alias("outcome_auroc_delta"),
+        delta("treatment_auroc").alias("treatment_auroc_delta"),
+        F.coalesce("improved_fold_fraction", F.lit(0.0)).alias("improved_fold_fraction"),
+    )
+    passes = (F.col("r_loss_improvement") >= least_gain) & (F.col("outcome_auroc_delta") >= -most_outcome_drop) & (F.col("treatment_auroc_delta") >= -most_treatment_drop) & (F.col("improved_fold_fraction") >= least_share)
+    return out.withColumn("passes_acceptance", passes)
+
+
+# what goes to and comes from an agent: small documents on the driver
+
+
+def agent_proposals(response: str) -> list[dict]:
+    """The proposals of a response: what stands between its outermost braces, else all of it, as JSON; a bare list is the proposals themselves."""
+    text = response.strip()
+    low, high = text.find("{"), text.rfind("}")
+    parsed = json.loads(text[low : high + 1] if 0 <= low < high else text)
+    found = parsed if isinstance(parsed, list) else parsed.get("proposals", [])
+    if not isinstance(found, list):
+        raise ValueError("the response has no list of proposals")
+    return found
+
+
+def without_examples(payload: Any, name: str = "clinical_text_examples") -> Any:
+    """A copy in which, at any depth, the text examples are gone."""
+    if isinstance(payload, dict):
+        return {k: [] if k == name else without_examples(v, name) for k, v in payload.items()}
+    return [without_examples(x, name) for x in payload] if isinstance(payload, list) else payload
+
+
+FIELDS = ("action", "name", "type", "roles", "description")
+
+
+def summary_of(proposal: Any) -> dict:
+    return {k: proposal[k] for k in FIELDS if proposal.get(k) is not None} if isinstance(proposal, dict) else {"raw": str(proposal)}
+
+
+@dataclass(frozen=True)
+class Limits:
+    """What a candidate must reach."""
+
+    least_gain: float = 0.01
+    most_outcome_drop: float = 0.02
+    most_treatment_drop: float = 0.02
+    least_share: float = 0.6
+    least_coverage: float = 0.5
+    most_added: int = 3
+    most_removed: int = 1
+
+
+def failed_checks(comparison: Any, limits: Limits) -> list[str]:
+    """Why a candidate did not pass, a line for each check."""
+    if not isinstance(comparison, dict):
+        return ["candidate_evaluation_missing"]
+    out = [f"rejection_reason: {comparison['rejection_reason']}"] if comparison.get("rejection_reason") else []
+    out += [f"coverage {x.get('name', 'feature')} {x['coverage']:.4g} < required {limits.least_coverage:.4g}" for x in comparison.get("coverage_failures") or [] if isinstance(x, dict) and _number(x.get("coverage"))]
+    for name, floor, word in (("r_loss_improvement", limits.least_gain, "required"), ("outcome_auroc_delta", -limits.most_outcome_drop, "allowed"), ("treatment_auroc_delta", -limits.most_treatment_drop, "allowed"), ("improved_fold_fraction", limits.least_share, "required")):
+        if _number(x := comparison.get(name)) and x < floor:
+            out.append(f"{name} {x:.4g} < {word} {floor:.4g}")
+    return out or ["did_not_pass_acceptance_thresholds"]
+
+
+def _number(x: Any) -> bool:
+    return isinstance(x, int | float) and not isinstance(x, bool) and x == x and abs(x) != float("inf")
+
+
+MEASURES = ("r_loss_improvement", "outcome_auroc_delta", "treatment_auroc_delta", "improved_fold_fraction", "passes_acceptance", "rejection_reason", "coverage_failures")
+
+
+def feedback(decisions: list[dict], limits: Limits, most: int = 20) -> list[dict]:
+    """The latest decisions in short form: rejected proposals, and candidates as accepted, not_selected or rejected, with their measures and failed checks."""
+    out: list[dict] = []
+    for event in decisions:
+        payload, turn = event.get("payload"), event.get("iteration")
+        if event.get("event") == "agent_proposals" and isinstance(payload, dict):
+            for item in payload.get("rejected", []):
+                if isinstance(item, dict):
+                    p = item.get("proposal", {})
+                    name = (p.get("name") or p.get("action")) if isinstance(p, dict) else None
+                    out.append({"iteration": turn, "candidate_id": str(name or p), "status": "validation_rejected", "failed_checks": [str(item.get("reason", "validation_failed"))], "proposals": [summary_of(p)]})
+        elif event.get("event") == "candidate_evaluations" and isinstance(payload, list):
+            for item in payload:
+                if isinstance(item, dict):
+                    c = item.get("comparison", {})
+                    status = "accepted" if item.get("accepted") else "not_selected" if c.get("passes_acceptance") else "rejected"
+                    entry = {"iteration": turn, "candidate_id": item.get("candidate_id"), "status": status, "proposals": [summary_of(p) for p in item.get("proposals", [])], "metrics": {k: c[k] for k in MEASURES if k in c}}
+                    if status != "accepted":
+                        entry["failed_checks"] = ["passed_thresholds_but_lower_ranked"] if status == "not_selected" else failed_checks(c, limits)
+                    out.append(entry)
+    return out[-most:]
+
+
+def decision_log(lines: DataFrame) -> DataFrame:
+    """outer_fold, iteration, rejected, candidates: JSON lines (value) of a search's decisions rolled up by turn; malformed lines and turns without either are left out."""
+    item = "struct<candidate_id:string,accepted:boolean,comparison:struct<passes_acceptance:boolean,rejection_reason:string>,proposals:array<struct<action:string,name:string>>>"
+    head = F.from_json("value", "struct<event:string,outer_fold:int,iteration:int,payload:string>")
+    events = lines.select(head.alias("h"), F.get_json_object("value", "$.payload").alias("p")).where("h.event is not null")
+    rejected = F.from_json("p", "struct<rejected:array<struct<proposal:struct<action:string,name:string>,reason:string>>>")["rejected"]
+    each = events.select(
+        F.coalesce("h.outer_fold", F.lit(0)).alias("outer_fold"),
+        F.coalesce("h.iteration", F.lit(0)).alias("iteration"),
+        F.when(F.col("h.event") == "agent_proposals", F.transform(rejected, lambda r: F.concat_ws(": ", r["proposal"]["name"], r["reason"]))).alias("rejected"),
+        F.when(F.col("h.event") == "candidate_evaluations", F.transform(F.from_json("p", f"array<{item}>"), lambda c: F.concat_ws(" ", c["candidate_id"], F.when(c["accepted"], "accepted").when(c["comparison"]["passes_acceptance"], "passed").otherwise(F.coalesce(c["comparison"]["rejection_reason"], F.lit("rejected")))))).alias("candidates"),
+    )
+    out = each.groupBy("outer_fold", "iteration").agg(*[F.array_sort(F.flatten(F.collect_list(c))).alias(c) for c in ("rejected", "candidates")])
+    return out.where((F.size("rejected") > 0) | (F.size("candidates") > 0))
+
+
+# start strategies
+
+
+def interleaved(left: list, right: list) -> list:
+    both = [x for pair in zip(left, right, strict=False) for x in pair]
+    n = min(len(left), len(right))
+    return both + left[n:] + right[n:]
+
+
+def starting_specs(confounders: list[FeatureSpec], modifiers: list[FeatureSpec], distractors: list[FeatureSpec], count: int, strategy: str) -> list[FeatureSpec]:
+    """The first `count` of an ordering of true and distracting features; of one name the first definition with all roles."""
+    from causeway.operators.encoding import merged
+
+    orders = {
+        "true_first": confounders + modifiers + distractors,
+        "modifiers_first": modifiers + distractors + confounders,
+        "mixed": interleaved(confounders, modifiers) + distractors,
+        "distractors": distractors + modifiers + confounders,
+        "none": [],
+    }
+    if strategy not in orders:
+        raise ValueError(f"unknown strategy {strategy}: {', '.join(sorted(orders))}")
+    return merged(orders[strategy])[: max(0, count)]
+
+
+def specs_of(metadata: dict, section: str = "features") -> list[FeatureSpec]:
+    """Feature specs of a dataset's metadata: one section, or all of them by `features`, which falls back to both others."""
+    from causeway.operators.encoding import merged
+
+    if section not in ("features", "confounders", "effect_modifiers"):
+        raise ValueError(f"unknown section {section}")
+    roles = {"confounders": ("confounder",), "effect_modifiers": ("effect_modifier",)}
+    parts = [section] if section != "features" or metadata.get("features") is not None else ["confounders", "effect_modifiers"]
+    return merged([FeatureSpec(x["name"], x["type"], tuple(x.get("categories") or ()), tuple(x.get("roles") or roles.get(p, ("confounder", "effect_modifier"))), x.get("description", "")) for p in parts for x in metadata.get(p, [])])
+
+
+def exact_counts(specs: list[FeatureSpec], total: int | None, confounders: int | None = None, modifiers: int | None = None) -> list[FeatureSpec]:
+    """The first subset, in order, with these numbers of features and of either role; raises where there is none.
+
+    Without counts of roles the first `total` are taken. Feature lists are short (a dozen), so subsets are simply tried.
+    """
+    from itertools import combinations
+
+    counts = lambda some: (len(some), sum("confounder" in s.roles for s in some), sum("effect_modifier" in s.roles for s in some))
+    want = (total, confounders, modifiers)
+    fits = lambda some: all(w is None or w == n for w, n in zip(want, counts(some), strict=True))
+    if fits(specs):
+        return list(specs)
+    if total is not None:
+        for some in combinations(specs, total):
+            if fits(some):
+                return list(some)
+    raise ValueError(f"no {want} (features, confounders, modifiers) among {counts(specs)}")
+
+
+# the search
+
+
+class Agent(Protocol):
+    """Gives proposals for a context of current features, feedback and text examples."""
+
+    def propose(self, context: dict) -> list[dict]: ...
+
+
+def applied(specs: list[FeatureSpec], proposals: list[dict]) -> list[FeatureSpec]:
+    """The specs after validated proposals."""
+    out = list(specs)
+    for p in proposals:
+        if p["action"] == "add":
+            out.append(FeatureSpec(p["name"], p.get("type") or "continuous", tuple(p.get("categories") or ()), tuple(p["roles"]), p.get("description") or ""))
+        elif p["action"] == "remove":
+            out = [s for s in out if s.name != p["name"]]
+        elif p["action"] == "update_role":
+            out = [replace(s, roles=tuple(p["roles"])) if s.name == p["name"] else s for s in out]
+    return out
+
+
+PROPOSAL = "pos int, action string, name string, kind string, n_categories int, roles array<string>, description string, rationale string, leakage_risk string"
+
+
+def search(df: DataFrame, specs: list[FeatureSpec], agent: Agent, ensure: Callable[[DataFrame, list[FeatureSpec]], DataFrame], evaluate: Callable[[DataFrame, list[FeatureSpec], int], DataFrame], turns: int = 3, limits: Limits | None = None, patience: int = 2, examples: list[str] | None = None) -> tuple[list[FeatureSpec], list[dict]]:
+    """The specs that the search ends with, and its decisions.
+
+    In each turn the agent proposes, proposals are reviewed, each valid one alone is a candidate; `ensure` adds a candidate's columns to df,
+    `evaluate(df, specs, turn)` gives its inner folds' rows (fold, r_loss, outcome_auroc, treatment_auroc). The best candidate that passes
+    becomes the baseline; `patience` turns without one end the search. Only short lists and metric rows are on the driver.
+    """
+    limits = limits or Limits()
+    spark, decisions, idle = df.sparkSession, [], 0
+    df = ensure(df, specs)
+    for turn in range(turns):
+        context = {"iteration": turn, "features": [{"name": s.name, "type": s.kind, "roles": list(s.roles)} for s in specs], "feedback": feedback(decisions, limits), "clinical_text_examples": examples or []}
+        raw = agent.propose(context)
+        rows = [(i, p.get("action"), p.get("name"), p.get("type"), len(p.get("categories") or []), p.get("roles") or [], p.get("description"), " ".join(filter(None, [p.get("rationale"), p.get("expected_signal")])), p.get("leakage_risk")) for i, p in enumerate(raw)]
+        reasons = {r["pos"]: r["reason"] for r in reviewed(spark.createDataFrame(rows, PROPOSAL), [s.name for s in specs], limits.most_added, limits.most_removed).collect()}
+        decisions.append({"iteration": turn, "event": "agent_proposals", "payload": {"rejected": [{"proposal": raw[i], "reason": r} for i, r in sorted(reasons.items()) if r]}})
+        valid = [raw[i] for i, r in sorted(reasons.items()) if r is None]
+        trials: dict[str, tuple[list[FeatureSpec], DataFrame]] = {}
+        metrics = evaluate(df, specs, turn).withColumn("candidate", F.lit(None).cast("string"))
+        for p in valid:
+            own = applied(specs, [p])
+            wide = ensure(df, own)
+            trials[f"{p['action']}:{p['name']}"] = (own, wide)
+            metrics = metrics.unionByName(evaluate(wide, own, turn).withColumn("candidate", F.lit(f"{p['action']}:{p['name']}")))
+        found = [r.asDict() for r in compared(metrics, limits.least_gain, limits.most_outcome_drop, limits.most_treatment_drop, limits.least_share).collect()] if trials else []
+        passing = [c for name in trials for c in found if c["candidate"] == name and c["passes_acceptance"]]
+        best = max(passing, key=lambda c: c["r_loss_improvement"], default=None)  # the first of equals
+        decisions.append({"iteration": turn, "event": "candidate_evaluations", "payload": [{"candidate_id": c["candidate"], "accepted": c is best, "comparison": c, "proposals": [p for p in valid if f"{p['action']}:{p['name']}" == c["candidate"]]} for c in found]})
+        if best is None:
+            idle += 1
+            if idle >= patience:
+                break
+            continue
+        idle = 0
+        specs, df = trials[best["candidate"]]
+    return specs, without_examples(decisions)

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from causeway.functions.hashrand import uniform
+from causeway.operators import quantiles
 
 UNKNOWN, PADDING = 1, 0
 
@@ -113,11 +114,49 @@ def first_rows(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
 
 def balanced_batches(df: DataFrame, key: str, bin_col: str, treatment: str, size: int, epoch: int = 0, seed: int = 3) -> DataFrame:
     """key, bin, batch: batches of size / 2 rows of either arm within a bin, in an order that a hash of the epoch gives; the shorter arm repeats to fill."""
-    half = size // 2
-    order = Window.partitionBy(bin_col, treatment).orderBy(uniform(F.lit(seed), F.lit(epoch), F.col(key)), key)
-    ranked = df.where(F.col(bin_col) >= 0).select(key, bin_col, treatment, (F.row_number().over(order) - 1).alias("__i"))
+    half, n = size // 2, quantiles.parts(df)
+    hashed = df.where(F.col(bin_col) >= 0).select(key, bin_col, treatment, uniform(F.lit(seed), F.lit(epoch), F.col(key)).alias("__u")).withColumn("__b", F.floor(F.col("__u") * n).cast("int"))
+    ranked = quantiles.row_numbers(hashed, "__b", [F.col("__u"), F.col(key)], [bin_col, treatment]).select(key, bin_col, treatment, (F.col("__rn") - 1).alias("__i"))
     sizes = ranked.groupBy(bin_col).agg(F.count_if(F.col(treatment) == 1).alias("__a"), F.count_if(F.col(treatment) == 0).alias("__b")).where("__a > 0 AND __b > 0").withColumn("__m", F.ceil(F.greatest("__a", "__b") / half).cast("int"))
-    both = ranked.join(sizes, bin_col).withColumn("__n", F.when(F.col(treatment) == 1, F.col("__a")).otherwise(F.col("__b")))
+    both = ranked.join(F.broadcast(sizes), bin_col).withColumn("__n", F.when(F.col(treatment) == 1, F.col("__a")).otherwise(F.col("__b")))  # a row for each bin
     turns = F.sequence(F.lit(0), F.floor((F.col("__m") * half - 1 - F.col("__i")) / F.col("__n")).cast("int"))
     each = both.withColumn("__k", F.explode(turns)).withColumn("batch", F.floor((F.col("__i") + F.col("__k") * F.col("__n")) / half).cast("int"))
     return each.select(key, F.col(bin_col).alias("bin"), "batch", treatment)
+
+
+def chunk_grid(chunks: Column, length: int, count: int, pad: int = PADDING) -> tuple[Column, Column, Column]:
+    """(ids, token_mask, chunk_mask) of one row's chunks: count by length ids, missing ones padded, with masks of real tokens and of real chunks."""
+    n = F.least(F.size(chunks), F.lit(count))
+    blank = lambda x: F.array_repeat(F.array_repeat(F.lit(x), length), F.lit(count) - n)
+    cut = F.slice(chunks, 1, count)
+    ids = F.concat(F.transform(cut, lambda c: padded(c, length, pad)[0]), blank(pad))
+    mask = F.concat(F.transform(cut, lambda c: padded(c, length, pad)[1]), blank(0))
+    return ids, mask, F.concat(F.array_repeat(F.lit(1), n), F.array_repeat(F.lit(0), F.lit(count) - n))
+
+
+def attention_pooled(df: DataFrame, key: str, position: str, vector: str, score: Column) -> DataFrame:
+    """key, pooled: each key's vectors weighted by the softmax of score over them, null scores left out. Sums by element, so a key may have any number of vectors."""
+    rows = df.withColumn("__s", score.cast("double")).where("__s is not null")
+    top = rows.groupBy(key).agg(F.max("__s").alias("__top"))
+    each = rows.join(top, key).withColumn("__w", F.exp(F.col("__s") - F.col("__top"))).select(key, "__w", F.posexplode(vector).alias("dim", "x"))
+    sums = each.groupBy(key, "dim").agg((F.sum(F.col("__w") * F.col("x")) / F.sum("__w")).alias("v"))
+    return sums.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("dim", "v"))), lambda p: p["v"]).alias("pooled"))
+
+
+def ordered(df: DataFrame, row_id: str) -> DataFrame:
+    """The table in the order that rows were read, by the id they got then."""
+    return df.orderBy(row_id)
+
+
+def joined_by_row(a: DataFrame, b: DataFrame, row_id: str) -> DataFrame:
+    """Columns side by side by row id; raises where one side lacks a row, which a join by position would hide."""
+    out = a.join(b, row_id)
+    if (n := a.count()) != b.count() or n != out.count():
+        raise ValueError("both tables must have the same rows")
+    return out
+
+
+def stacked(*vectors: Column | None) -> Column:
+    """Feature vectors end to end; absent and null ones are skipped."""
+    empty = F.array().cast("array<double>")
+    return F.concat(empty, *[F.coalesce(v.cast("array<double>"), empty) for v in vectors if v is not None])

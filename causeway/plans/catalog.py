@@ -2,41 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from causeway.functions import notes, scalar
+from causeway.functions import hashrand, scalar
 from causeway.functions.hashrand import uniform
 from causeway.operators import cohort, effects, encoding, extraction, forest, matching, metrics, reports, search, simulation, tables
 from causeway.plans import cohorts
 from causeway.plans.cohorts import LABELLED_SQL, ORDERS_SQL
+from causeway.plans.registry import QUERIES, SQL, binomial_cdf_sql, erfc_sql, query, rounded, t_two_sided_sql, u
 from causeway.sources.tables import table
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-SQL: dict[str, str] = {}
-
-
-def query(sql: str | None = None, *ctes: str):
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql is not None:
-            SQL[f.__name__] = (f"WITH {', '.join(ctes)} " if ctes else "") + sql
-        return f
-
-    return add
-
-
-def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
-    return df.select(*[F.round(c, digits).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
-
-
-def u(*parts: str) -> str:
-    """hashrand.uniform() as SQL."""
-    return f"(CAST(CAST('0x' || substr(md5(concat_ws('|', {', '.join(parts)})), 1, 8) AS UBIGINT) AS DOUBLE) / 4294967296.0)"
-
-
 # sources and cohorts
 
 
@@ -127,91 +103,158 @@ def a6_stratified(spark, d):
     return rounded(effects.ate_stratified(cohorts.orders(spark, d), "t", "y", "e"), 4)
 
 
-def _poisson_sql() -> str:
-    p, total, out = 0.36787944117144233, 0.0, []
+def _drawn_sql(base: str, key: str) -> str:
+    """The rows of base for each of 1000 draws with w, hashrand.poisson_weights() as SQL: products and sums modulo 2^64 from halves of 32 bits."""
+    low = 4294967295
+
+    def times(x: str, m: int) -> str:
+        first = f"(({x}) & {low}) * {m & low}::UBIGINT"
+        upper = f"(((({x}) >> 32) * {m & low}::UBIGINT) & {low}) + (((({x}) & {low}) * {m >> 32}::UBIGINT) & {low}) + (({first}) >> 32)"
+        return f"((({upper}) & {low}) * 4294967296::UBIGINT + (({first}) & {low}))"
+
+    def plus(x: str, y: str) -> str:
+        lower = f"((({x}) & {low}) + (({y}) & {low}))"
+        return f"((((({x}) >> 32) + (({y}) >> 32) + ({lower} >> 32)) & {low}) * 4294967296::UBIGINT + ({lower} & {low}))"
+
+    p, total, cuts = 0.36787944117144233, 0.0, []
     for k in range(12):
         p = p if k == 0 else p / k
         total += p
-        out.append(f"CAST({u('draw', 'unit_id')} >= {total!r}::DOUBLE AS INTEGER)")
-    return " + ".join(out)
+        cuts.append(f"CAST(q >= {total!r}::DOUBLE AS INTEGER)")
+    x = f"SELECT *, {times(f'CAST({key} AS UBIGINT)', hashrand.KEY)} AS k0 FROM {base}"
+    x = f"SELECT a.*, draw, {plus('k0', 'd0')} AS v0 FROM ({x}) a, (SELECT draw, {times('CAST(draw AS UBIGINT)', hashrand.DRAW)} AS d0 FROM range(1, 1001) AS r(draw))"
+    x = f"SELECT *, {times('xor(v0, v0 >> 30)', hashrand.FIRST)} AS v1 FROM ({x})"
+    x = f"SELECT *, {times('xor(v1, v1 >> 27)', hashrand.SECOND)} AS v2 FROM ({x})"
+    x = f"SELECT *, CAST(xor(v2, v2 >> 31) >> 11 AS DOUBLE) / 9007199254740992.0 AS q FROM ({x})"
+    return f"(SELECT *, {' + '.join(cuts)} AS w FROM ({x}))"
 
 
 @query(
-    f"SELECT round(stddev_samp(ate), 4) AS se, round(quantile_cont(ate, 0.025), 4) AS lower, round(quantile_cont(ate, 0.975), 4) AS upper FROM (SELECT draw, {HAJEK.format(w='w * ')} AS ate FROM (SELECT *, {_poisson_sql()} AS w FROM winsor, range(1, 21) AS r(draw)) WHERE w > 0 GROUP BY draw)",
+    f"SELECT round(stddev_samp(ate), 4) AS se, round(quantile_cont(ate, 0.025), 4) AS lower, round(quantile_cont(ate, 0.975), 4) AS upper "
+    f"FROM (SELECT draw, {HAJEK.format(w='w * ')} AS ate FROM {_drawn_sql('winsor', 'unit_id')} WHERE w > 0 GROUP BY draw)",
     ORDERS_SQL,
     WINSOR,
 )
 def a8_bootstrap(spark, d):
-    return rounded(effects.bootstrap_ipw(cohorts.orders(spark, d), "unit_id", "t", "y", "e", 20), 4)
+    return rounded(effects.bootstrap_ipw(cohorts.orders(spark, d), "unit_id", "t", "y", "e"), 4)
 
 
-# matching
+STRATA = "strata AS (SELECT unit_id, t, y, len(list_filter(q, lambda c: c <= e)) AS s FROM units, (SELECT quantile_cont(e, [0.2, 0.4, 0.6, 0.8]) AS q FROM units))"
+
 
-PAIRS = "pairs AS (SELECT * FROM (SELECT a.unit_id AS treated_id, b.unit_id AS control_id, abs(a.e - b.e) AS distance, row_number() OVER (PARTITION BY a.unit_id ORDER BY abs(a.e - b.e), b.unit_id) AS rank FROM small a JOIN small b ON a.t = 1 AND b.t = 0 AND abs(a.e - b.e) <= 0.0005) WHERE rank <= {k})"
-SMALL = "small AS (SELECT * FROM units WHERE status = 'P')"
+@query(
+    "SELECT round(stddev_samp(ate), 4) AS se, round(quantile_cont(ate, 0.025), 4) AS lower, round(quantile_cont(ate, 0.975), 4) AS upper FROM ("
+    "SELECT draw, sum(n * (m1 - m0)) / sum(n) AS ate FROM (SELECT draw, s, sum(w * y) FILTER (t = 1) / sum(w) FILTER (t = 1) AS m1, sum(w * y) FILTER (t = 0) / sum(w) FILTER (t = 0) AS m0, sum(w) AS n "
+    f"FROM {_drawn_sql('strata', 'unit_id')} WHERE w > 0 GROUP BY draw, s) WHERE m1 IS NOT NULL AND m0 IS NOT NULL GROUP BY draw)",
+    ORDERS_SQL,
+    STRATA,
+)
+def a6_stratified_interval(spark, d):
+    return rounded(effects.bootstrap_stratified(cohorts.orders(spark, d), "unit_id", "t", "y", "e"), 4)
 
 
-def _small(spark, d):
-    return cohorts.orders(spark, d).where("status = 'P'")
+# matching
+
+NEAR = "a.t = 1 AND b.t = 0 AND b.e BETWEEN a.e - 0.000501 AND a.e + 0.000501 AND abs(a.e - b.e) <= 0.0005"
+PAIRS = (
+    "pairs AS MATERIALIZED (SELECT * FROM (SELECT a.unit_id AS treated_id, b.unit_id AS control_id, abs(a.e - b.e) AS distance, "
+    f"row_number() OVER (PARTITION BY a.unit_id ORDER BY abs(a.e - b.e), b.unit_id) AS rank FROM units a JOIN units b ON {NEAR}) WHERE rank <= {{k}})"
+)
 
 
-@query("SELECT count(*) AS n, round(sum(abs(a.e - b.e)), 6) AS total FROM small a JOIN small b ON a.t = 1 AND b.t = 0 AND abs(a.e - b.e) <= 0.0005", ORDERS_SQL, SMALL)
+@query(f"SELECT count(*) AS n, round(sum(abs(a.e - b.e)), 6) AS total FROM units a JOIN units b ON {NEAR}", ORDERS_SQL, also="j6_band_pairs_all")
 def j6_band_pairs(spark, d):
-    return rounded(matching.band_pairs(_small(spark, d), "unit_id", "t", "e", 0.0005).agg(F.count("*").alias("n"), F.sum("distance").alias("total")))
+    return rounded(matching.band_pairs(cohorts.orders(spark, d), "unit_id", "t", "e", 0.0005).agg(F.count("*").alias("n"), F.sum("distance").alias("total")))
 
 
-@query("SELECT treated_id, control_id, round(distance, 9) AS distance, CAST(rank AS INTEGER) AS rank FROM pairs", ORDERS_SQL, SMALL, PAIRS.format(k=3))
+@query("SELECT treated_id, control_id, round(distance, 9) AS distance, CAST(rank AS INTEGER) AS rank FROM pairs", ORDERS_SQL, PAIRS.format(k=3), also="j3_nearest_controls_all")
 def j3_nearest_controls(spark, d):
-    return rounded(matching.nearest(_small(spark, d), "unit_id", "t", "e", 3, 0.0005).select("treated_id", "control_id", "distance", "rank"), 9)
+    return rounded(matching.nearest(cohorts.orders(spark, d), "unit_id", "t", "e", 3, 0.0005).select("treated_id", "control_id", "distance", "rank"), 9)
+
+
+@query(
+    "SELECT count(*) AS n_pairs, count(DISTINCT control_id) AS n_controls, round(avg(distance), 9) AS mean_distance FROM ("
+    "SELECT a.unit_id, b.unit_id AS control_id, abs(a.e - b.e) AS distance, row_number() OVER (PARTITION BY a.unit_id ORDER BY abs(a.e - b.e), b.unit_id) AS r "
+    "FROM units a JOIN units b ON a.t = 1 AND b.t = 0 AND a.e BETWEEN 0.05 AND 0.95 AND b.e BETWEEN a.e - 0.00101 AND a.e + 0.00101 AND b.e BETWEEN 0.05 AND 0.95 AND abs(a.e - b.e) <= 0.001) WHERE r = 1",
+    ORDERS_SQL,
+)
+def j5_sorted_pairs(spark, d):
+    pairs = matching.sorted_pairs(cohorts.orders(spark, d), "unit_id", "t", "e", caliper=0.001)
+    return rounded(pairs.agg(F.count("*").alias("n_pairs"), F.countDistinct("control_id").alias("n_controls"), F.avg("distance").alias("mean_distance")), 9)
 
 
-def _outcomes(spark, d, y, cohort=_small):
-    units = cohort(spark, d)
+def _outcomes(spark, d, y):
+    units = cohorts.orders(spark, d)
     return effects.pair_outcomes(matching.nearest(units, "unit_id", "t", "e", 1, 0.0005), units, "unit_id", y)
 
 
 OUTCOMES = "outcomes AS (SELECT treated_id, control_id, a.{y} AS y1, b.{y} AS y0 FROM pairs JOIN units a ON a.unit_id = treated_id JOIN units b ON b.unit_id = control_id)"
 
 
-@query("SELECT round(avg(y1 - y0), 4) AS att, count(*) AS n_pairs, round(avg(y1 - y0) / (stddev_samp(y1 - y0) / sqrt(count(*)) + 1e-10), 6) AS t_statistic, count(DISTINCT treated_id) AS n_treated, count(DISTINCT control_id) AS n_control FROM outcomes", ORDERS_SQL, SMALL, PAIRS.format(k=1), OUTCOMES.format(y="y"))
+@query(
+    "SELECT round(avg(y1 - y0), 4) AS att, count(*) AS n_pairs, round(avg(y1 - y0) / (stddev_samp(y1 - y0) / sqrt(count(*)) + 1e-10), 6) AS t_statistic, count(DISTINCT treated_id) AS n_treated, count(DISTINCT control_id) AS n_control FROM outcomes",
+    ORDERS_SQL,
+    PAIRS.format(k=1),
+    OUTCOMES.format(y="y"),
+    also="a4_att_matched_all",
+)
 def a4_att_matched(spark, d):
     out = effects.att_matched(_outcomes(spark, d, "y"))
     return out.withColumn("att", F.round("att", 4)).withColumn("t_statistic", F.round("t_statistic", 6))
 
 
-@query("SELECT b, c, round(CASE WHEN b + c = 0 THEN 0 WHEN b + c < 25 THEN (b - c) * (b - c) / (b + c) ELSE (abs(b - c) - 1) * (abs(b - c) - 1) / (b + c) END, 6) AS statistic FROM (SELECT count(*) FILTER (y1 = 1 AND y0 = 0) AS b, count(*) FILTER (y1 = 0 AND y0 = 1) AS c FROM outcomes)", ORDERS_SQL, SMALL, PAIRS.format(k=1), OUTCOMES.format(y="y_high"))
-def a9_mcnemar(spark, d):
-    return rounded(effects.mcnemar(_outcomes(spark, d, "y_high")))
-
-
-# the same over all orders: their SQL would be a join of all pairs, so tests hold them against brute force
+@query(
+    "SELECT round(stddev_samp(x), 4) AS se, round(quantile_cont(x, 0.025), 4) AS lower, round(quantile_cont(x, 0.975), 4) AS upper FROM (SELECT draw, sum(w * (y1 - y0)) / sum(w) AS x FROM "
+    f"{_drawn_sql('outcomes', 'xor(CAST(treated_id AS UBIGINT), CAST(control_id AS UBIGINT) << 31)')} WHERE w > 0 GROUP BY draw)",
+    ORDERS_SQL,
+    PAIRS.format(k=1),
+    OUTCOMES.format(y="y"),
+)
+def a4_att_interval(spark, d):
+    return rounded(effects.bootstrap_matched(_outcomes(spark, d, "y")), 4)
 
 
-@query()
-def j6_band_pairs_all(spark, d):
-    return rounded(matching.band_pairs(cohorts.orders(spark, d), "unit_id", "t", "e", 0.0005).agg(F.count("*").alias("n"), F.sum("distance").alias("total")))
+DISCORDANT = "counts AS (SELECT count(*) FILTER (y1 > y0) AS b, count(*) FILTER (y1 < y0) AS c FROM outcomes)"
 
 
-@query()
-def j3_nearest_controls_all(spark, d):
-    return rounded(matching.nearest(cohorts.orders(spark, d), "unit_id", "t", "e", 3, 0.0005).select("treated_id", "control_id", "distance", "rank"), 9)
+@query(
+    "SELECT b, c, round(CASE WHEN b + c = 0 THEN 0 WHEN b + c < 25 THEN (b - c) * (b - c) / (b + c) ELSE (abs(b - c) - 1) * (abs(b - c) - 1) / (b + c) END, 6) AS statistic, "
+    f"round(CASE WHEN b + c = 0 THEN 1 WHEN b + c < 25 THEN 2 * {binomial_cdf_sql('least(b, c)', 'b + c', '0.5')} ELSE {erfc_sql('sqrt((abs(b - c) - 1) * (abs(b - c) - 1) / (b + c) / 2)')} END, 6) AS p FROM counts",
+    ORDERS_SQL,
+    PAIRS.format(k=1),
+    OUTCOMES.format(y="y_high"),
+    DISCORDANT,
+    also="a9_mcnemar_all",
+)
+def a9_mcnemar(spark, d):
+    return rounded(effects.mcnemar(_outcomes(spark, d, "y_high")))
 
 
-@query()
-def a4_att_matched_all(spark, d):
-    out = effects.att_matched(_outcomes(spark, d, "y", cohorts.orders))
-    return out.withColumn("att", F.round("att", 4)).withColumn("t_statistic", F.round("t_statistic", 6))
+@query(
+    f"SELECT round(m, 4) AS mean, round(t, 6) AS t, n, round({t_two_sided_sql('t', 'n - 1.0')}, 6) AS p FROM (SELECT avg(y1 - y0) AS m, avg(y1 - y0) / (stddev_samp(y1 - y0) / sqrt(count(*)) + 1e-10) AS t, count(*) AS n FROM outcomes)",
+    ORDERS_SQL,
+    PAIRS.format(k=1),
+    OUTCOMES.format(y="y"),
+)
+def a10_paired_t(spark, d):
+    out = effects.paired_t(_outcomes(spark, d, "y"))
+    return out.select(F.round("mean", 4).alias("mean"), F.round("t", 6).alias("t"), "n", F.round("p", 6).alias("p"))
 
 
-@query()
-def a9_mcnemar_all(spark, d):
-    return rounded(effects.mcnemar(_outcomes(spark, d, "y_high", cohorts.orders)))
+def _bound_sql(q: str) -> str:
+    p = f"2 * {binomial_cdf_sql('c', 'b + c', q)}"
+    return f"round(CASE WHEN b + c = 0 THEN 1 WHEN gamma = 1 THEN {p} ELSE least(1, {p}) END, 6)"
 
 
-@query()
-def a2_balance_change_all(spark, d):
-    units = cohorts.orders(spark, d)
-    return rounded(effects.balance_change(units, matching.nearest(units, "unit_id", "t", "e", 1, 0.0005), "unit_id", "t", ["c_acctbal"]))
+@query(
+    f"SELECT gamma, {_bound_sql('gamma / (1 + gamma)')} AS p_plus, {_bound_sql('1 / (1 + gamma)')} AS p_minus FROM counts, (SELECT unnest([1.0::DOUBLE, 1.1, 1.2, 1.3, 1.5, 1.75, 2.0, 3.0]) AS gamma)",
+    ORDERS_SQL,
+    PAIRS.format(k=1),
+    OUTCOMES.format(y="y_high"),
+    DISCORDANT,
+)
+def a9_a11_sensitivity(spark, d):
+    return rounded(effects.rosenbaum(_outcomes(spark, d, "y_high")))
 
 
 # metrics
@@ -249,10 +292,10 @@ def a25_group_summary(spark, d):
     return metrics.group_summary(cohorts.orders(spark, d), ["c_mktsegment", "status"], ["e"])
 
 
-@query("SELECT a.g AS group_a, b.g AS group_b, round((a.m - b.m) / sqrt(a.v / a.n + b.v / b.n), 6) AS t, round(pow(a.v / a.n + b.v / b.n, 2) / (pow(a.v / a.n, 2) / (a.n - 1) + pow(b.v / b.n, 2) / (b.n - 1)), 4) AS df FROM g a JOIN g b ON a.g < b.g", ORDERS_SQL, "g AS (SELECT c_mktsegment AS g, avg(y) AS m, var_samp(y) AS v, count(*) AS n FROM units GROUP BY 1 HAVING count(*) >= 2)")
+@query("SELECT group_a, group_b, round(t, 6) AS t, round(df, 4) AS df, round(p, 6) AS p, CASE WHEN p < 0.001 THEN '***' WHEN p < 0.01 THEN '**' WHEN p < 0.05 THEN '*' ELSE '' END AS stars FROM (SELECT *, " + t_two_sided_sql("t", "df") + " AS p FROM (SELECT a.g AS group_a, b.g AS group_b, (a.m - b.m) / sqrt(a.v / a.n + b.v / b.n) AS t, pow(a.v / a.n + b.v / b.n, 2) / (pow(a.v / a.n, 2) / (a.n - 1) + pow(b.v / b.n, 2) / (b.n - 1)) AS df FROM g a JOIN g b ON a.g < b.g))", ORDERS_SQL, "g AS (SELECT c_mktsegment AS g, avg(y) AS m, var_samp(y) AS v, count(*) AS n FROM units GROUP BY 1 HAVING count(*) >= 2)")
 def a26_welch(spark, d):
     out = metrics.welch(cohorts.orders(spark, d), "c_mktsegment", "y")
-    return out.withColumn("t", F.round("t", 6)).withColumn("df", F.round("df", 4))
+    return out.withColumn("t", F.round("t", 6)).withColumn("df", F.round("df", 4)).withColumn("p", F.round("p", 6))
 
 
 @query("SELECT c_mktsegment, status, count(*) AS n, CAST(grouping(c_mktsegment) AS INTEGER) AS all_rows, CAST(grouping(status) AS INTEGER) AS all_columns FROM units GROUP BY CUBE (c_mktsegment, status)", ORDERS_SQL)
@@ -281,9 +324,9 @@ def t3_vocabulary(spark, d):
     return encoding.vocabulary(table(spark, d, "documents"), "text", 500)
 
 
-@query("SELECT doc_id, sha1(trim(regexp_replace(text, '\\s+', ' ', 'g'))) AS text_hash FROM documents WHERE lang = 'en'")
+@query("SELECT doc_id, sha1(trim(regexp_replace(text, '[ \\t\\n\\x0B\\f\\r]+', ' ', 'g'))) AS text_hash FROM documents", also="f4_text_hash_all")
 def f4_text_hash(spark, d):
-    return table(spark, d, "documents").where("lang = 'en'").select("doc_id", scalar.normalized_hash(F.col("text")).alias("text_hash"))
+    return table(spark, d, "documents").select("doc_id", scalar.normalized_hash(F.col("text")).alias("text_hash"))
 
 
 @query("SELECT page_id, substr(regexp_replace(url, '[^\\p{L}\\p{N}._-]', '_', 'g'), 1, 100) AS name FROM pages")
@@ -309,74 +352,30 @@ def ids(text: str = "text") -> Column:
 IDS = f"list_transform({TOKENS}, lambda w: CAST(CAST('0x' || substr(md5(w), 1, 6) AS UBIGINT) AS BIGINT) % 1000)"
 
 
-@query("SELECT doc_id, i, to_json(c) AS chunk FROM (SELECT doc_id, unnest(range(0, greatest(len(x), 1), 48)) AS i, x[i + 1 : i + 64] AS c FROM (SELECT doc_id, " + IDS + " AS x FROM documents WHERE lang = 'de'))")
+@query("SELECT doc_id, i, to_json(c) AS chunk FROM (SELECT doc_id, unnest(range(0, greatest(len(x), 1), 48)) AS i, x[i + 1 : i + 64] AS c FROM (SELECT doc_id, " + IDS + " AS x FROM documents))", also="w4_chunks_all")
 def w4_chunks(spark, d):
-    each = table(spark, d, "documents").where("lang = 'de'").select("doc_id", ids().alias("x")).select("doc_id", F.posexplode(scalar.chunks(F.col("x"), 64, 16)).alias("i", "c"))
+    each = table(spark, d, "documents").select("doc_id", ids().alias("x")).select("doc_id", F.posexplode(scalar.chunks(F.col("x"), 64, 16)).alias("i", "c"))
     return each.select("doc_id", (F.col("i") * 48).cast("long").alias("i"), F.concat(F.lit("["), F.array_join(F.col("c").cast("array<string>"), ","), F.lit("]")).alias("chunk"))
 
 
-@query("SELECT doc_id, list_aggregate(x[1:16] || x[greatest(len(x) - 15, 17):], 'sum') AS checksum FROM (SELECT doc_id, " + IDS + " AS x FROM documents) WHERE len(x) > 32")
+@query(
+    "SELECT doc_id, CAST(coalesce(list_aggregate(CASE WHEN len(x) <= 32 THEN x ELSE x[1:16] || x[len(x) - 15:] END, 'sum'), 0) AS BIGINT) AS checksum FROM (SELECT doc_id, " + IDS + " AS x FROM documents)",
+    also="p10_token_window_all",
+)
 def p10_token_window(spark, d):
-    x = table(spark, d, "documents").select("doc_id", ids().alias("x")).where(F.size("x") > 32)
-    return x.select("doc_id", F.aggregate(scalar.token_window(F.col("x"), 32, "head_tail"), F.lit(0).cast("long"), lambda a, b: a + b).cast("decimal(38,0)").alias("checksum"))
+    x = table(spark, d, "documents").select("doc_id", ids().alias("x"))
+    return x.select("doc_id", F.aggregate(scalar.token_window(F.col("x"), 32, "head_tail"), F.lit(0).cast("long"), lambda a, b: a + b).alias("checksum"))
 
 
 @query(
     "SELECT doc_id, term, round(x / sqrt(sum(x * x) OVER (PARTITION BY doc_id)), 6) AS weight FROM (SELECT doc_id, term, (1 + ln(tf)) * (ln((1 + n) / (1 + df)) + 1) AS x FROM tf JOIN kept USING (term))",
-    "docs AS (SELECT doc_id, regexp_extract_all(lower(text), '[a-z0-9_]{2,}') AS w FROM documents WHERE lang = 'en')",
+    "docs AS (SELECT doc_id, regexp_extract_all(lower(text), '[a-z0-9_]{2,}') AS w FROM documents)",
     "tf AS (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest(w) AS term FROM docs UNION ALL SELECT doc_id, a || ' ' || b FROM (SELECT doc_id, unnest(w[1 : len(w) - 1]) AS a, unnest(w[2 : len(w)]) AS b FROM docs WHERE len(w) > 1)) GROUP BY ALL)",
-    "kept AS (SELECT term, count(*) AS df, sum(tf) AS total, (SELECT count(*) FROM docs) AS n FROM tf GROUP BY term HAVING count(*) >= 5 AND count(*) <= 0.95 * (SELECT count(*) FROM docs) ORDER BY total DESC, term LIMIT 300)",
+    "kept AS (SELECT term, count(*) AS df, sum(tf) AS total, (SELECT count(*) FROM docs) AS n FROM tf GROUP BY term HAVING count(*) >= 5 AND count(*) <= 0.95 * (SELECT count(*) FROM docs) ORDER BY total DESC, term LIMIT 10000)",
+    also="m1_tfidf_all",
 )
 def m1_tfidf(spark, d):
-    return rounded(encoding.tfidf(table(spark, d, "documents").where("lang = 'en'"), "doc_id", "text", size=300))
-
-
-# text queries over all documents and turns with the reference's own limits; too slow or too large for SQL, so tests hold them against brute force
-
-
-@query()
-def f4_text_hash_all(spark, d):
-    return table(spark, d, "documents").select("doc_id", scalar.normalized_hash(F.col("text")).alias("text_hash"))
-
-
-@query()
-def w4_chunks_all(spark, d):
-    each = table(spark, d, "documents").select("doc_id", ids().alias("x")).select("doc_id", F.posexplode(scalar.chunks(F.col("x"), 64, 16)).alias("i", "c"))
-    return each.select("doc_id", (F.col("i") * 48).cast("long").alias("i"), F.concat(F.lit("["), F.array_join(F.col("c").cast("array<string>"), ","), F.lit("]")).alias("chunk"))
-
-
-@query()
-def p10_token_window_all(spark, d):
-    x = table(spark, d, "documents").select("doc_id", ids().alias("x"))
-    return x.select("doc_id", F.aggregate(scalar.token_window(F.col("x"), 32, "head_tail"), F.lit(0).cast("long"), lambda a, b: a + b).alias("checksum"))
-
-
-@query()
-def m1_tfidf_all(spark, d):
-    return rounded(encoding.tfidf(table(spark, d, "documents"), "doc_id", "text", size=10_000))
-
-
-@query()
-def m4_hashed_ngrams_all(spark, d):
-    return encoding.hashed_ngrams(table(spark, d, "documents").select("doc_id", ids().alias("x")), "doc_id", "x", 32_768, (1, 2, 3), 5)
-
-
-@query()
-def f2_token_ids_all(spark, d):
-    docs = table(spark, d, "documents")
-    out = tables.token_ids(docs.select("doc_id", scalar.tokens(F.col("text")).alias("x")), "doc_id", "x", encoding.vocabulary(docs, "text", 50_000))
-    return out.select("doc_id", F.concat(F.lit("["), F.array_join(F.col("ids").cast("array<string>"), ","), F.lit("]")).alias("ids"))
-
-
-@query()
-def f25_byte_ids_all(spark, d):
-    x = table(spark, d, "conversations").select("conv_id", "turn", tables.byte_ids(F.col("text"), 512 * 128).alias("b"))
-    return x.select("conv_id", "turn", F.aggregate("b", F.lit(0).cast("long"), lambda a, b: a + b).alias("checksum"))
-
-
-@query()
-def f23_prompt_all(spark, d):
-    return table(spark, d, "conversations").select("conv_id", "turn", F.concat(F.lit("Ask: "), F.substring("text", 1, 8000)).alias("prompt"))
+    return rounded(encoding.tfidf(table(spark, d, "documents"), "doc_id", "text"))
 
 
 # encoding
@@ -407,15 +406,30 @@ def a21_imputation(spark, d):
     return out.select("feature", number.alias("number"), F.when(number.isNull(), F.col("value")).alias("value"))
 
 
-@query(
-    "SELECT term, round(abs((s1 / n1 - s0 / n0) - ((all_s1 - s1) / (all_n1 - n1) - (all_s0 - s0) / (all_n0 - n0))), 6) AS te_difference, round(s0 / n0 - (all_s0 - s0) / (all_n0 - n0), 6) AS control_difference FROM (SELECT term, count(*) FILTER (t = 0) AS n0, count(*) FILTER (t = 1) AS n1, coalesce(sum(y) FILTER (t = 0), 0) AS s0, coalesce(sum(y) FILTER (t = 1), 0) AS s1 FROM (SELECT DISTINCT doc_id, t, y, unnest(" + TOKENS + ") AS term FROM labelled) GROUP BY term), (SELECT count(*) FILTER (t = 0) AS all_n0, count(*) FILTER (t = 1) AS all_n1, sum(y) FILTER (t = 0) AS all_s0, sum(y) FILTER (t = 1) AS all_s1 FROM labelled) WHERE least(n0, n1, all_n0 - n0, all_n1 - n1) >= 3 AND n0 + n1 >= 10",
-    LABELLED_SQL,
+PURITY = (
+    "scored AS (SELECT *, greatest(0, te - abs(control)) * greatest(smallest, 1) * pow(1 - n / (all_n0 + all_n1), 2) AS raw, n >= 10 AND n <= all_n0 + all_n1 - 10 AND smallest >= 3 AND te > 0 AS good FROM (SELECT *, n0 + n1 AS n, "
+    "(s1 / greatest(n1, 1) - s0 / greatest(n0, 1)) - ((all_s1 - s1) / greatest(all_n1 - n1, 1) - (all_s0 - s0) / greatest(all_n0 - n0, 1)) AS te, "
+    "s0 / greatest(n0, 1) - (all_s0 - s0) / greatest(all_n0 - n0, 1) AS control, least(n0, n1, all_n0 - n0, all_n1 - n1) AS smallest FROM "
+    "(SELECT term, count(*) FILTER (t = 0) AS n0, count(*) FILTER (t = 1) AS n1, coalesce(sum(y) FILTER (t = 0), 0) AS s0, coalesce(sum(y) FILTER (t = 1), 0) AS s1 FROM (SELECT DISTINCT doc_id, t, y, unnest("
+    + TOKENS
+    + ") AS term FROM labelled) GROUP BY term), (SELECT count(*) FILTER (t = 0) AS all_n0, count(*) FILTER (t = 1) AS all_n1, sum(y) FILTER (t = 0) AS all_s0, sum(y) FILTER (t = 1) AS all_s1 FROM labelled)))"
 )
-def a30_purity(spark, d):
+
+
+def _purity(spark, d):
     units = cohorts.labelled(spark, d)
     long = units.select("doc_id", F.explode(F.array_distinct(scalar.tokens(F.col("text")))).alias("term"))
-    out = encoding.purity(long, units, "doc_id", "term", "t", "y")
-    return rounded(out.where("score is not null or te_difference = 0").select("term", "te_difference", "control_difference"))
+    return encoding.purity(long, units, "doc_id", "term", "t", "y", least=10, least_arm=3)
+
+
+@query("SELECT term, n, round(te, 6) AS te_difference, round(control, 6) AS control_difference, round(CASE WHEN good THEN raw END, 6) AS score FROM scored", LABELLED_SQL, PURITY)
+def a30_purity(spark, d):
+    return rounded(_purity(spark, d))
+
+
+@query("SELECT term, round(raw, 6) AS score FROM scored WHERE good AND raw > 0 ORDER BY round(raw, 6) DESC, term LIMIT 20", LABELLED_SQL, PURITY)
+def t5_purest_terms(spark, d):
+    return encoding.purest(rounded(_purity(spark, d)).where("score > 0"), "term", 20).select("term", "score")
 
 
 # simulation
@@ -439,14 +453,6 @@ def m17_simulated_cohort(spark, d):
     return rounded(_simulated(spark, d).drop("x1", "x2"), 9)
 
 
-@query()
-def m14_r_learner(spark, d):
-    df = _simulated(spark, d)
-    m = F.col("true_y0") + F.col("true_propensity") * F.col("true_ite")
-    found = simulation.r_learner(df.withColumn("m", m), "outcome", "treatment", "m", "true_propensity", ["x1", "x2"])
-    return spark.createDataFrame(sorted(found.items()), "term string, coefficient double")
-
-
 @query(f"SELECT conv_id, turn FROM conversations WHERE {u('17', 'conv_id', 'turn')} < 0.1")
 def t7_sampled_turns(spark, d):
     return table(spark, d, "conversations").where(uniform(F.lit(17), F.col("conv_id"), F.col("turn")) < 0.1).select("conv_id", "turn")
@@ -461,9 +467,9 @@ def s3_prediction_summary(spark, d):
     return rounded(reports.prediction_summary(df, "e", "lo", "hi", "e"), 9)
 
 
-@query("SELECT round(avg(x), 6) AS ate, round(stddev_pop(x), 6) AS std, round(min(x), 6) AS min, round(max(x), 6) AS max, round(quantile_cont(x, 0.5), 6) AS median, count(*) FILTER (x > 0) AS n_positive, count(*) FILTER (x < 0) AS n_negative FROM (SELECT e - 0.4 AS x FROM units)", ORDERS_SQL)
+@query("SELECT round(avg(x), 6) AS ate, round(stddev_pop(x), 6) AS std, round(min(x), 6) AS min, round(max(x), 6) AS max, round(quantile_cont(x, 0.5), 6) AS median, count(*) FILTER (x > 0) AS n_positive, count(*) FILTER (x < 0) AS n_negative, round(100 * avg(CAST(x - 0.1 > 0 OR x + 0.1 < 0 AS INTEGER)), 6) AS percent_significant FROM (SELECT e - 0.4 AS x FROM units)", ORDERS_SQL)
 def a33_effect_summary(spark, d):
-    return rounded(reports.effect_summary(cohorts.orders(spark, d).withColumn("x", F.col("e") - 0.4), "x"))
+    return rounded(reports.effect_summary(cohorts.orders(spark, d).withColumn("x", F.col("e") - 0.4).withColumns({"lo": F.col("x") - 0.1, "hi": F.col("x") + 0.1}), "x", "lo", "hi"))
 
 
 @query("SELECT g, round(avg(y), 4) AS mean, round(stddev_samp(y), 4) AS std, count(*) AS n FROM (SELECT nullif(status, 'P') AS g, y FROM units) WHERE g IS NOT NULL GROUP BY g", ORDERS_SQL)
@@ -514,9 +520,16 @@ def m24_stat_pooling(spark, d):
     return rounded(reports.stat_pooling(table(spark, d, "embeddings"), "label", "embedding"))
 
 
-@query("SELECT covariate, round(b, 6) AS smd_before, round(a, 6) AS smd_after, round(CASE WHEN b = 0 THEN 0 ELSE (b - a) / b END, 6) AS smd_reduction FROM (SELECT 'c_acctbal' AS covariate, (SELECT abs(avg(c_acctbal) FILTER (t = 1) - avg(c_acctbal) FILTER (t = 0)) / sqrt((var_samp(c_acctbal) FILTER (t = 1) + var_samp(c_acctbal) FILTER (t = 0)) / 2) FROM small) AS b, (SELECT abs(avg(x.c_acctbal) - avg(z.c_acctbal)) / sqrt((var_samp(x.c_acctbal) + var_samp(z.c_acctbal)) / 2) FROM pairs JOIN units x ON x.unit_id = treated_id JOIN units z ON z.unit_id = control_id) AS a)", ORDERS_SQL, SMALL, PAIRS.format(k=1))
+@query(
+    "SELECT covariate, round(b, 6) AS smd_before, round(a, 6) AS smd_after, round(CASE WHEN b = 0 THEN 0 ELSE (b - a) / b END, 6) AS smd_reduction FROM (SELECT 'c_acctbal' AS covariate, "
+    "(SELECT abs(avg(c_acctbal) FILTER (t = 1) - avg(c_acctbal) FILTER (t = 0)) / sqrt((var_samp(c_acctbal) FILTER (t = 1) + var_samp(c_acctbal) FILTER (t = 0)) / 2) FROM units) AS b, "
+    "(SELECT abs(avg(x.c_acctbal) - avg(z.c_acctbal)) / sqrt((var_samp(x.c_acctbal) + var_samp(z.c_acctbal)) / 2) FROM pairs JOIN units x ON x.unit_id = treated_id JOIN units z ON z.unit_id = control_id) AS a)",
+    ORDERS_SQL,
+    PAIRS.format(k=1),
+    also="a2_balance_change_all",
+)
 def a2_balance_change(spark, d):
-    units = _small(spark, d)
+    units = cohorts.orders(spark, d)
     return rounded(effects.balance_change(units, matching.nearest(units, "unit_id", "t", "e", 1, 0.0005), "unit_id", "t", ["c_acctbal"]))
 
 
@@ -555,14 +568,6 @@ def j4_optimal_pairs(spark, d):
     return matching.optimal(cohorts.orders(spark, d), "unit_id", "t", "e", ["c_mktsegment", "band"], caliper=0.05)
 
 
-@query()
-def a9_a11_sensitivity(spark, d):
-    from causeway.functions import tails
-
-    n = _outcomes(spark, d, "y_high", cohorts.orders).agg(F.count_if(F.col("y1") > F.col("y0")).alias("up"), F.count_if(F.col("y1") < F.col("y0")).alias("down")).first()
-    return spark.createDataFrame(tails.rosenbaum(n["up"], n["down"]), "gamma double, p_plus double, p_minus double")
-
-
 @query()
 def m6_crossfit_nuisances(spark, d):
     return forest.crossfit(_simulated(spark, d), "unit_id", "treatment", "outcome", ["x1", "x2"]).select("unit_id", "cv_fold", "e_hat", "m_hat")
@@ -570,42 +575,46 @@ def m6_crossfit_nuisances(spark, d):
 
 @query()
 def m7_causal_forest(spark, d):
+    """Each fold's effects by a forest of the other folds."""
     fitted = forest.crossfit(_simulated(spark, d), "unit_id", "treatment", "outcome", ["x1", "x2"])
-    trees = forest.fit_forest(fitted, "unit_id", "outcome", "treatment", "m_hat", "e_hat", ["x1", "x2"], bags=8)
-    return forest.predict_forest(fitted.select("unit_id", "x1", "x2", "e_hat", "m_hat", "true_ite"), trees, ["x1", "x2"])
+    return forest.out_of_fold(fitted.select("unit_id", "x1", "x2", "cv_fold", "e_hat", "m_hat", "treatment", "outcome", "true_ite"), "unit_id", "outcome", "treatment", ["x1", "x2"], 3, bags=8).drop("treatment", "outcome", "cv_fold")
 
 
-@query()
-def f9_note_fields(spark, d):
-    """The parsers of clinical text over conversations, each of which returns null or empty where nothing fits."""
-    t = F.col("text")
-    out = table(spark, d, "conversations").select("conv_id", "turn", notes.timeline(t).alias("timeline"), notes.encounter(t).alias("encounter"), notes.hospitalization(t).alias("stay"), notes.lab_components(t).alias("labs"), notes.age(t).alias("age"), notes.percent_band(t).alias("band"), notes.mentions(t).alias("mentions"))
-    return out.select("conv_id", "turn", F.to_json(F.struct("timeline", "encounter", "stay", "labs", "age", "band", "mentions")).alias("fields"))
-
-
-@query()
+@query(r"""SELECT event_id, props, TRY_CAST(regexp_extract(props, '"k"\D{0,20}(-?\d+(?:\.\d+)?)', 1) AS DOUBLE) AS explicit_feat_k, false AS explicit_feat_k_missing FROM events""")
 def v2_extracted_features(spark, d):
     specs = [encoding.FeatureSpec("k", "continuous")]
     return extraction.extract(table(spark, d, "events").select("event_id", "props"), "props", specs, extraction.KeywordProvider(specs))
 
 
-@query("SELECT part.p_partkey AS p_partkey, CASE WHEN contains(lower(p_name), 'survival') OR contains(lower(p_name), 'outcome') THEN 'name' END AS reason FROM (SELECT p_partkey, CASE WHEN p_partkey % 9 = 0 THEN 'overall_Survival' WHEN p_partkey % 7 = 0 THEN 'Outcome' ELSE 'ecog-status' END AS p_name FROM part) part")
-def p12_leakage_guard(spark, d):
-    name = F.when(F.col("p_partkey") % 9 == 0, "overall_Survival").when(F.col("p_partkey") % 7 == 0, "Outcome").otherwise("ecog-status")
-    return table(spark, d, "part").select("p_partkey", search.leakage(name, F.lit("at baseline")).alias("reason"))
+PROMPT_SPECS = [encoding.FeatureSpec("ecog_status", "categorical", ("0", "1", "2"), description="performance status at baseline"), encoding.FeatureSpec("age", "continuous")]
 
 
-@query("SELECT conv_id, turn, 'Ask: ' || substr(text, 1, 200) AS prompt FROM conversations")
+@query(
+    "SELECT conv_id, turn, 'Extract these features, as known before treatment, and answer with one flat JSON object; use null where the text doesn''t say.\n"
+    "- ecog_status (categorical: one of 0, 1, 2): performance status at baseline\n- age (continuous): age\n\nText:\n' || substr(text, 1, 8000) AS prompt FROM conversations".replace("\\n", "' || chr(10) || '"),
+    also="f23_prompt_all",
+)
 def f23_prompt(spark, d):
-    return table(spark, d, "conversations").select("conv_id", "turn", F.concat(F.lit("Ask: "), F.substring("text", 1, 200)).alias("prompt"))
+    from causeway.functions import notes
+
+    return table(spark, d, "conversations").select("conv_id", "turn", notes.extraction_prompt(F.col("text"), PROMPT_SPECS).alias("prompt"))
+
+
+def _gram_sql(n: int) -> str:
+    if n == 1:
+        return "(x[i] * 1000003 + 9176)"
+    return "(" + " + ".join(f"x[i + {j}] * {1_000_003 + 9_176 * (j + 1)}" for j in range(n)) + f" + {19_260_817 * n})"
 
 
 @query(
-    "SELECT doc_id, bucket FROM (SELECT doc_id, bucket, count(*) OVER (PARTITION BY bucket) AS c FROM (SELECT DISTINCT doc_id, ((1 * 1000003::BIGINT + unnest(x)) % 2147483647) % 512 AS bucket FROM (SELECT doc_id, " + IDS + " AS x FROM documents WHERE lang = 'es') UNION SELECT doc_id, ((((2 * 1000003::BIGINT + x[i]) % 2147483647) * 1000003 + x[i + 1]) % 2147483647) % 512 FROM (SELECT doc_id, x, unnest(range(1, len(x))) AS i FROM (SELECT doc_id, " + IDS + " AS x FROM documents WHERE lang = 'es')))) WHERE c >= 2 AND c <= (SELECT count(*) FROM documents WHERE lang = 'es') - 2"
+    "SELECT doc_id, bucket FROM (SELECT doc_id, bucket, count(*) OVER (PARTITION BY bucket) AS c FROM (SELECT doc_id, CAST(0 AS BIGINT) AS bucket FROM x WHERE len(x) = 0 UNION "
+    + " UNION ".join(f"SELECT doc_id, {_gram_sql(n)} % 32768 AS bucket FROM (SELECT doc_id, x, unnest(range(1, len(x) - {n - 2})) AS i FROM x WHERE len(x) >= {n})" for n in (1, 2, 3))
+    + ")) WHERE c >= 5 AND c <= (SELECT count(*) FROM documents) - 5",
+    "x AS (SELECT doc_id, " + IDS + " AS x FROM documents)",
+    also="m4_hashed_ngrams_all",
 )
 def m4_hashed_ngrams(spark, d):
-    docs = table(spark, d, "documents").where("lang = 'es'").select("doc_id", ids().alias("x"))
-    return encoding.hashed_ngrams(docs, "doc_id", "x", 512, (1, 2), 2)
+    return encoding.hashed_ngrams(table(spark, d, "documents").select("doc_id", ids().alias("x")), "doc_id", "x", 32_768, (1, 2, 3), 5)
 
 
 @query("SELECT covariate, mean, std, n FROM (SELECT 'y' AS covariate, round(avg(y), 4) AS mean, round(greatest(stddev_pop(y), 1e-6), 4) AS std, count(*) AS n FROM units UNION ALL SELECT 'e', round(avg(e), 4), round(greatest(stddev_pop(e), 1e-6), 4), count(*) FROM units)", ORDERS_SQL)
@@ -618,17 +627,26 @@ def a22_normalization(spark, d):
 # shapes of tables
 
 
-@query("SELECT doc_id, to_json(list_transform(list_transform(x, w -> coalesce(m[w], 1)), i -> i)) AS ids FROM (SELECT doc_id, TOKENS[1:20] AS x FROM documents WHERE lang = 'fr'), (SELECT map_from_entries(list({k: token, v: token_id})) AS m FROM vocab)".replace("TOKENS", TOKENS).replace("w ->", "lambda w:").replace("i -> i", "lambda i: i"), VOCABULARY)
+@query(
+    "SELECT doc_id, '[' || coalesce(string_agg(coalesce(token_id, 1), ',' ORDER BY i), '') || ']' AS ids FROM documents LEFT JOIN (SELECT doc_id AS d, unnest(x) AS token, generate_subscripts(x, 1) AS i FROM (SELECT doc_id, "
+    + TOKENS
+    + " AS x FROM documents)) ON d = doc_id LEFT JOIN big USING (token) GROUP BY doc_id",
+    VOCABULARY.replace("vocab AS", "big AS").replace("<= 498", "<= 49998"),
+    also="f2_token_ids_all",
+)
 def f2_token_ids(spark, d):
     docs = table(spark, d, "documents")
-    out = tables.token_ids(docs.where("lang = 'fr'").select("doc_id", scalar.tokens(F.col("text")).alias("x")), "doc_id", "x", encoding.vocabulary(docs, "text", 500), 20)
+    out = tables.token_ids(docs.select("doc_id", scalar.tokens(F.col("text")).alias("x")), "doc_id", "x", encoding.vocabulary(docs, "text", 50_000))
     return out.select("doc_id", F.concat(F.lit("["), F.array_join(F.col("ids").cast("array<string>"), ","), F.lit("]")).alias("ids"))
 
 
-@query("SELECT conv_id, turn, sum(b) AS checksum FROM (SELECT conv_id, turn, CAST('0x' || substr(hex(encode(text)), CAST(2 * i + 1 AS BIGINT), 2) AS INTEGER) + 1 AS b FROM (SELECT conv_id, turn, text, unnest(range(0, least(octet_length(encode(text)), 50))) AS i FROM conversations WHERE turn = 0)) GROUP BY ALL")
+@query(
+    "SELECT conv_id, turn, CAST(coalesce(sum(CAST('0x' || substr(h, CAST(2 * i + 1 AS BIGINT), 2) AS INTEGER) + 1), 0) AS BIGINT) AS checksum FROM (SELECT conv_id, turn, h, unnest(range(0, least(length(h) // 2, 65536))) AS i FROM (SELECT conv_id, turn, hex(encode(text)) AS h FROM conversations)) GROUP BY ALL",
+    also="f25_byte_ids_all",
+)
 def f25_byte_ids(spark, d):
-    x = table(spark, d, "conversations").where("turn = 0").select("conv_id", "turn", F.explode(tables.byte_ids(F.col("text"), 50)).alias("b"))
-    return x.groupBy("conv_id", "turn").agg(F.sum("b").alias("checksum"))
+    x = table(spark, d, "conversations").select("conv_id", "turn", tables.byte_ids(F.col("text"), 512 * 128).alias("b"))
+    return x.select("conv_id", "turn", F.aggregate("b", F.lit(0).cast("long"), lambda a, b: a + b).alias("checksum"))
 
 
 @query("SELECT unit_id, round(c_acctbal * c_nationkey, 4) AS c_acctbal_x_c_nationkey, round(c_acctbal * e, 4) AS c_acctbal_x_e, round(c_nationkey * e, 6) AS c_nationkey_x_e FROM units", ORDERS_SQL)
@@ -670,7 +688,12 @@ def u5_first_rows(spark, d):
     return tables.first_rows(table(spark, d, "orders").select("o_custkey", "o_orderkey", "o_orderdate"), ["o_custkey"], ["o_orderdate", "o_orderkey"]).select("o_custkey", "o_orderkey")
 
 
-@query()
+@query(
+    "SELECT unit_id, bin, CAST((i + k * n) // 16 AS INTEGER) AS batch, t FROM (SELECT *, unnest(range(0, (ceil(m / 16.0)::BIGINT * 16 - 1 - i) // n + 1)) AS k FROM (SELECT *, "
+    f"row_number() OVER (PARTITION BY bin, t ORDER BY {u('3', '0', 'unit_id')}, unit_id) - 1 AS i, count(*) OVER (PARTITION BY bin, t) AS n FROM binned) JOIN (SELECT bin, greatest(count(*) FILTER (t = 1), count(*) FILTER (t = 0)) AS m FROM binned GROUP BY bin HAVING count(DISTINCT t) = 2) USING (bin))",
+    ORDERS_SQL,
+    "binned AS (SELECT unit_id, t, CAST((row_number() OVER (ORDER BY e, unit_id) - 1) * 8 // count(*) OVER () AS INTEGER) AS bin FROM units)",
+)
 def y1_balanced_batches(spark, d):
     return tables.balanced_batches(cohort.propensity_bins(cohorts.orders(spark, d), "unit_id", "t", "e", 8), "unit_id", "bin", "t", 32)
 
@@ -687,8 +710,30 @@ def a23_dataset_statistics(spark, d):
     return cohorts.labelled(spark, d).agg(F.count("*").alias("n"), F.round(F.avg("t"), 6).alias("treatment_rate"), F.round(F.avg("y"), 6).alias("outcome_rate"), F.round(F.avg(n), 4).alias("mean_chars"), F.round(F.stddev_samp(n), 4).alias("std_chars"))
 
 
-@query()
+REPORT = (
+    "SELECT 'crude' AS method, round(avg(y_high) FILTER (t = 1) - avg(y_high) FILTER (t = 0), 4) AS estimate FROM units UNION ALL SELECT 'matched', round(avg(y1 - y0), 4) FROM outcomes UNION ALL "
+    f"SELECT 'weighted', round({HAJEK.format(w='').replace('* y', '* y_high')}, 4) FROM winsor JOIN units USING (unit_id, t) UNION ALL "
+    "SELECT 'stratified', round(sum(n * (m1 - m0)) / sum(n), 4) FROM (SELECT s, avg(y_high) FILTER (t = 1) AS m1, avg(y_high) FILTER (t = 0) AS m0, count(*) AS n FROM strata JOIN units USING (unit_id, t) GROUP BY s) WHERE m1 IS NOT NULL AND m0 IS NOT NULL UNION ALL "
+    "SELECT 'model, percentiles of effects', round(avg(e), 4) FROM units"
+)
+
+
+@query(REPORT, ORDERS_SQL, WINSOR, STRATA, PAIRS.format(k=1), OUTCOMES.format(y="y_high"))
 def a35_matching_report(spark, d):
     from causeway.plans import psm
 
-    return psm.report(cohorts.orders(spark, d), "unit_id", "t", "y_high", "e", ["c_acctbal"], caliper=0.0005, effect="e").estimates
+    return rounded(psm.report(cohorts.orders(spark, d), "unit_id", "t", "y_high", "e", ["c_acctbal"], caliper=0.0005, effect="e").estimates.select("method", "estimate"), 4)
+
+
+@query(
+    "SELECT method, round(estimate, 4) AS estimate, round(lower, 4) AS lower, round(upper, 4) AS upper FROM (SELECT 'model' AS method, avg(e) AS estimate, quantile_cont(e, 0.025) AS lower, quantile_cont(e, 0.975) AS upper FROM units UNION ALL "
+    "SELECT 'crude', avg(y_high) FILTER (t = 1) - avg(y_high) FILTER (t = 0), NULL, NULL FROM units)",
+    ORDERS_SQL,
+)
+def a34_method_comparison(spark, d):
+    from causeway.plans import psm
+
+    return rounded(psm.compared(cohorts.orders(spark, d), "e", {"crude": ("difference", lambda df: effects.crude(df, "t", "y_high"))}), 4)
+
+
+from causeway.plans import catalog_models, catalog_text  # noqa: E402, F401  they register their queries

@@ -9,9 +9,10 @@ from dataclasses import asdict, dataclass, field
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from causeway.functions.scalar import arm_means
-from causeway.operators import cohort, encoding, extraction, forest, reports
+from causeway.operators import cohort, encoding, extraction, reports
+from causeway.plans import arms
 
+SECTIONS = ("data", "columns", "training", "extraction")
 REMOVED = ("explicit_confounders", "confounder_forest")
 
 
@@ -26,13 +27,21 @@ class ExperimentConfig:
     outcome: str = "outcome_indicator"
     outcome_type: str = "binary"
     folds: int = 3
-    bags: int = 24
+    bags: int = 12
+    model: str = "explicit_forest"
+    options: dict = field(default_factory=dict)
     trim: list[float] | None = None
     cache: str | None = None
     seed: int = 42
 
     @classmethod
     def from_dict(cls, data: dict) -> ExperimentConfig:
+        data = dict(data)
+        for section in SECTIONS:  # nested sections name the same keys
+            inner = data.pop(section, {})
+            if both := sorted(set(inner) & set(data)):
+                raise ValueError(f"given twice: {', '.join(both)}")
+            data |= inner
         if gone := [k for k in REMOVED if k in data]:
             raise ValueError(f"no longer supported: {', '.join(gone)}; use features")
         if unknown := set(data) - set(cls.__dataclass_fields__):
@@ -40,6 +49,8 @@ class ExperimentConfig:
         out = cls(**data)
         if out.outcome_type not in ("binary", "continuous"):
             raise ValueError(f"unknown outcome_type {out.outcome_type}")
+        if out.model not in arms.MODELS:
+            raise ValueError(f"unknown model {out.model}: {', '.join(sorted(arms.MODELS))}")
         if out.folds < 2:
             raise ValueError("folds must be 2 or more")
         return out
@@ -52,7 +63,7 @@ class ExperimentConfig:
 
 
 def predict(spark: SparkSession, config: ExperimentConfig, provider: extraction.Provider | None = None) -> DataFrame:
-    """The table with cv_fold, pred_* columns and intervals; rows outside `trim` propensities are left out."""
+    """The table with cv_fold, out-of-fold pred_* columns and intervals; rows outside `trim` propensities are left out."""
     df = cohort.load_dataset(spark, config.dataset)
     cohort.validate(df, config.text, config.treatment, config.outcome)
     if not (specs := config.specs()):
@@ -60,19 +71,12 @@ def predict(spark: SparkSession, config: ExperimentConfig, provider: extraction.
     if missing := [s for s in specs if extraction.PREFIX + s.name not in df.columns]:
         asked = provider or extraction.KeywordProvider(missing)
         df = extraction.cached_extract(spark, config.cache, config.dataset, df, config.text, missing, asked) if config.cache else extraction.extract(df, config.text, missing, asked)
-    stats = encoding.normalization(df.select(*[F.col(extraction.PREFIX + s.name).alias(s.name) for s in specs if s.kind == "continuous"]), [s.name for s in specs if s.kind == "continuous"]) if any(s.kind == "continuous" for s in specs) else {}
-    named = {s.name: encoding.encoded([s], stats, extraction.PREFIX) for s in specs}
-    width = {n: [f"__{n}_{i}" for i in range(len(c))] for n, c in named.items()}
-    wide = df.select("*", *[c.alias(x) for n in named for c, x in zip(named[n], width[n], strict=True)])
-    every = [x for n in named for x in width[n]]
-    modifiers = [x for s in encoding.by_role(specs, "effect_modifier") for x in width[s.name]] or every
-    fitted = forest.crossfit(wide, config.key, config.treatment, config.outcome, every, config.folds, config.outcome_type == "binary", config.seed)
+    c = arms.Columns(config.key, config.text, config.treatment, config.outcome, config.outcome_type == "binary")
+    how = {"folds": config.folds, "prefix": extraction.PREFIX, "seed": config.seed} | ({"bags": config.bags} if "forest" in config.model else {}) | config.options
+    out = arms.run(config.model, df, c, specs, **how)
     if config.trim:
-        fitted = cohort.trim_by_propensity(fitted, *config.trim, "e_hat")
-    trees = forest.fit_forest(fitted, config.key, config.outcome, config.treatment, "m_hat", "e_hat", modifiers, bags=config.bags, seed=config.seed)
-    out = forest.predict_forest(fitted, trees, modifiers)
-    y0, y1 = arm_means(F.col("m_hat"), F.col("e_hat"), F.col("pred_ite"), config.outcome_type == "binary")
-    return out.withColumns({"pred_y0_prob": y0, "pred_y1_prob": y1}).withColumnsRenamed({"e_hat": "pred_propensity_prob", "pred_ite": "pred_ite_prob"}).drop("m_hat", *every)
+        out = cohort.trim_by_propensity(out, *config.trim, "pred_propensity")
+    return out.withColumnsRenamed({"pred_y0": "pred_y0_prob", "pred_y1": "pred_y1_prob", "pred_propensity": "pred_propensity_prob", "pred_ite": "pred_ite_prob"}).drop("pred_outcome")
 
 
 def run(spark: SparkSession, config: ExperimentConfig, provider: extraction.Provider | None = None) -> dict:

@@ -67,6 +67,40 @@ def test_known_effect_is_recovered(spark):
     assert found["intercept"] == pytest.approx(1.0, abs=1e-3) and found["x2"] == pytest.approx(0.5, abs=1e-3) and found["x1"] == pytest.approx(0.0, abs=1e-3)
 
 
+def test_statistics_edges(spark):
+    from causeway.operators import cohort, effects, metrics, quantiles
+
+    rows = [(i, i % 2, [0.2, 0.2, 0.5, None, 0.9][i % 5]) for i in range(50)]
+    df = spark.createDataFrame(rows, "id long, t int, e double")
+    known = [e for _, _, e in rows if e is not None]
+    q = quantiles.quantiles(df, "e", [0.0, 0.3, 0.77, 1.0]).first().q
+    assert q == pytest.approx(list(np.quantile(known, [0.0, 0.3, 0.77, 1.0])))
+    assert quantiles.quantiles(df.limit(0), "e", [0.5]).first().q == [None]
+    got = {(p.treated_id, p["rank"]): p.control_id for p in matching.nearest(df, "id", "t", "e", 3, 0.0).collect()}
+    want = {}
+    for i, t, e in rows:
+        if t == 1 and e is not None:
+            for r, (_, c) in enumerate(sorted((abs(e - f), j) for j, u, f in rows if u == 0 and f is not None and f == e)[:3]):
+                want[i, r + 1] = c
+    assert got == want
+    with pytest.raises(ValueError, match="treated and a control"):
+        matching.sorted_pairs(df.where("t = 1"), "id", "t", "e")
+    far = spark.createDataFrame([(1, 1, 0.1), (2, 0, 0.9), (3, 0, 0.8)], "id long, t int, e double")
+    assert [(p.treated_id, p.control_id) for p in matching.sorted_pairs(far, "id", "t", "e", caliper=0.05).collect()] == [(1, 3)]  # nothing within the caliper
+    w = effects.poisson_weights(np.arange(4000), 200)
+    assert abs(w.mean() - 1) < 0.01 and abs(w.var() - 1) < 0.02 and abs(np.corrcoef(w[:, 0], w[:, 1])[0, 1]) < 0.05
+    with pytest.raises(ValueError, match="folds"):
+        cohort.folds(df.limit(3), "id", 5)
+    alone = cohort.folds(df.withColumn("s", (F.col("id") == 0).cast("int")), "id", 5, strata=["s"])  # a stratum of one row: dealt as without
+    assert [r["count"] for r in alone.groupBy("cv_fold").count().collect()] == [10] * 5
+    nested = cohort.nested_folds(df.select("id"), "id", 3, 2).toPandas()
+    assert len(nested) == 100 and nested.groupby("id").size().eq(2).all() and set(nested.inner_fold) == {1, 2}
+    with pytest.raises(ValueError, match="prediction"):
+        cohort.out_of_fold(df, [df.select("id").limit(3)], "id")
+    c = df.select(metrics.safe_corr(F.col("e"), F.lit(1.0)).alias("x")).first()
+    assert c.x is None
+
+
 def test_specs():
     both = encoding.FeatureSpec("ecog", "categorical", ("0", "1"))
     assert encoding.by_role([both], "confounder") == [both] and encoding.merged([both, both]) == [both]

@@ -1,8 +1,10 @@
 """Text parsers and search rules on small vectors."""
 
+import json
+
 import pytest
 from causeway.functions import notes, scalar
-from causeway.operators import search
+from causeway.operators import encoding, search
 from pyspark.sql import functions as F
 
 
@@ -11,26 +13,56 @@ def one(spark, f, text):
 
 
 def test_timeline(spark):
-    text = "<clinical_note> seen at 50\nmore text\n<imaging_report> CT\n<empty>\n<ngs_report> KRAS"
+    text = "<1% and > before <clinical_note> seen at 50\nmore <b> text\n<imaging_report> CT\n<empty>\n<ngs_report> KRAS"
     events = one(spark, notes.timeline, text)
-    assert [(e.event_type, e.event_text) for e in events] == [("clinical_note", "seen at 50\nmore text"), ("imaging_report", "CT"), ("ngs_report", "KRAS")]
+    assert [(e.event_type, e.event_text) for e in events] == [("clinical_note", "seen at 50\nmore <b> text"), ("imaging_report", "CT"), ("ngs_report", "KRAS")]
     masked = one(spark, lambda t: notes.masked_timeline(notes.timeline(t), 1), text)
-    assert "[BEGIN TARGET EVENT]\n<imaging_report> CT\n[END TARGET EVENT]" in masked
-    assert one(spark, notes.note_type, "imaging_report") == "imaging report" and one(spark, notes.note_type, "x") == "clinical document"
-    assert one(spark, notes.timeline, "") == []
-
-
-def test_fields(spark):
-    e = one(spark, notes.encounter, "Visit At age 61.5 for C34.90 lung cancer, CPT 99213.")
-    assert e.timepoint == "At age 61.5" and e.icd10 == ["C34.90"] and e.cpt == ["99213"]
-    h = one(spark, notes.hospitalization, "Admitted. LOS: 4 days. Discharged to home with aid. Later")
-    assert h.days == 4 and h.disposition == "home with aid"
-    labs = one(spark, notes.lab_components, "WBC 11.2 K/uL (H), Hemoglobin 9.8 g/dL (L); none")
-    assert [(x.name, x.value, x.unit, x.flag) for x in labs] == [("WBC", 11.2, "K/uL", "H"), ("Hemoglobin", 9.8, "g/dL", "L")]
+    assert "\n<BEGIN EVENT CORRESPONDING TO SYNTHETIC NOTE> <imaging_report> CT <END EVENT CORRESPONDING TO SYNTHETIC NOTE>\n" in masked
+    assert one(spark, notes.note_type, "imaging_report") == "imaging/radiology report" and one(spark, notes.note_type, "x") == "clinical document"
+    assert one(spark, notes.timeline, "") == [] and one(spark, notes.timeline, "no tags") == []
+
+
+def test_structured_events(spark):
+    e = one(spark, notes.encounter, "At age 62, outpatient oncology visit for cough. DX: c34.90 (lung), Z51.11 (chemo).\nCPT: 99214 (visit), 96413 (infusion), 12345 no.")
+    assert e.timepoint == "At age 62" and e.encounter_type == "outpatient oncology visit"
+    assert [tuple(c) for c in e.dx_codes] == [("C34.90", "lung"), ("Z51.11", "chemo")] and [tuple(c) for c in e.cpt_codes] == [("99214", "visit"), ("96413", "infusion")]
+    h = one(spark, notes.hospitalization, "At age 63, admitted for febrile neutropenia. Principal DX: D70.1 (Agranulocytosis). LOS: 4 days. Discharge: home. More")
+    assert tuple(h) == ("At age 63", "febrile neutropenia", "D70.1", "Agranulocytosis", "4", "home")
+    lab = one(spark, notes.lab_result, "At age 62, CBC: WBC 8.2 k/uL (normal), Hgb 11.5 g/dL (LOW).\nTumor Markers: CA 19-9 40 U/mL (high).")
+    assert [(p.name, [tuple(c) for c in p.components]) for p in lab.panels] == [("Complete Blood Count (CBC)", [("WBC", "8.2", "k/uL", "normal"), ("Hgb", "11.5", "g/dL", "low")]), ("Tumor Markers", [("CA 19-9", "40", "U/mL", "high")])]
+    assert [p.name for p in one(spark, notes.lab_result, "Cr 0.9 mg/dL (normal)").panels] == ["Laboratory Results"] and one(spark, notes.lab_result, "none").panels == []
+    p = one(spark, notes.pro_assessment, "At age 63, EORTC QLQ-C30: Physical Function 60, Role Function 40. PRO-CTCAE: Nausea severity 2, Fatigue 3.")
+    assert [(i.name, [tuple(s) for s in i.scores]) for i in p.instruments] == [("EORTC QLQ-C30", [("Physical Function", "60"), ("Role Function", "40")]), ("PRO-CTCAE", [("Nausea", "2"), ("Fatigue", "3")])]
+    assert one(spark, lambda t: notes.structured_event_text(F.lit("other"), t), "x") is None
+    assert one(spark, lambda t: notes.structured_event_text(F.lit("encounter"), t), "") == "Encounter Record"
+
+
+def test_markers(spark):
     assert one(spark, notes.age, "A 61-year-old, now 63 year old; age: 70") == 63 and one(spark, notes.age, "none") is None
-    assert [one(spark, notes.percent_band, f"PD-L1 TPS {x}%") for x in ("0.5", "20", "80")] == ["<1%", "1-49%", ">=50%"]
-    found = one(spark, notes.mentions, "Stage: IV\n| Name | Value |\n|---|---|\n| ECOG | 1 |\nStage: IV\nplain")
-    assert [(m.label, m.value) for m in found] == [("Stage", "IV"), ("Name", "Value"), ("ECOG", "1")]
+    assert one(spark, notes.age, "At age 50.5, pre-treatment, a 61-year-old; the patient is now 70 years old") == 70
+    assert one(spark, notes.age, "At age 40. At age 41.5") == 41.5
+    assert [one(spark, notes.percent_band, f"PD-L1 TPS {x}%") for x in ("0.5", "20", "80", "<1", "≥50", ">60")] == ["<1%", "1-49%", "≥50%", "<1%", "≥50%", "≥50%"]
+    assert one(spark, notes.percent_band, "in the 1-49% band") == "1-49%" and one(spark, notes.percent_band, "none") is None
+    assert one(spark, notes.marker_features, "72 year old, PD‑L1 20%") == [0.5, 0.0, 0.0, 1.0, 0.0, 0.0] and one(spark, notes.marker_features, "") == [0.0, 1.0, 0.0, 0.0, 0.0, 1.0]
+
+
+def test_mentions(spark):
+    found = one(spark, notes.mentions, "Stage: IV\n| Name | Value |\n|---|---|\n| ECOG | 1 |\nstage: iv\n- **Smoking**: 20 pack years\nA: x\nAge: 60 Sex: female\nplain")
+    got = [(m.label, m.value, m.source) for m in found]
+    assert ("Stage", "IV", "inline") in got and ("ECOG", "1", "table") in got and ("Name", "Value", "table") in got
+    assert got[0] == ("Smoking", "20 pack years", "inline") and sum(m.label.lower() == "stage" for m in found) == 1 and not any(m.label == "A" for m in found)
+    assert ("Age", "60", "inline") in got and ("Sex", "female", "inline") in got
+    assert one(spark, notes.mentions, "") == []
+
+
+def test_prompts_round_trip(spark):
+    specs = [encoding.FeatureSpec("age", "continuous", description="Age"), encoding.FeatureSpec("stage", "categorical", ("i_a", "iv"), description="Stage")]
+    df = spark.createDataFrame([(61.5, "i_a")], "age double, stage string")
+    p = df.select(notes.characteristics_prompt(specs).alias("p"))
+    assert p.first()[0].split("\n")[0] == "- Age: 62 years old (use this exact age)"
+    assert tuple(p.select(*notes.stated_values(F.col("p"), specs)).first()) == (62.0, "i a")
+    assert tuple(spark.createDataFrame([("x",)], "p string").select(*notes.stated_values(F.col("p"), specs)).first()) == (None, "unknown")
+    assert notes.feature_list(specs).split("\n")[1] == "- stage (categorical): Stage. Roles: [confounder, effect_modifier]. Categories: [i_a, iv]"
 
 
 def test_chunks_and_windows(spark):
@@ -41,9 +73,68 @@ def test_chunks_and_windows(spark):
         scalar.chunks(F.col("a"), 4, 4)
 
 
-def test_review_and_choice(spark):
-    rows = [(1, "add", "ecog_status", "categorical", 3, ["confounder"], "status at baseline"), (2, "add", "overall_survival", "continuous", 0, ["confounder"], ""), (3, "add", "age", "continuous", 0, ["confounder"], ""), (4, "add", "weight", "continuous", 0, [], ""), (5, "drop", "x", "continuous", 0, ["confounder"], ""), (6, "add", "albumin", "continuous", 0, ["effect_modifier"], "before treatment, not after treatment"), (7, "add", "height", "continuous", 0, ["confounder"], "")]
-    out = search.reviewed(spark.createDataFrame(rows, "pos int, action string, name string, kind string, n_categories int, roles array<string>, description string"), ["age"], 2)
-    assert {r["pos"]: r["reason"] for r in out.collect()} == {1: None, 2: "leakage", 3: "known", 4: "roles", 5: "action", 6: None, 7: "cap"}
+def test_ngram_buckets(spark):
+    ids = [5, 7, 11]
+    want = {(i * 1_000_003 + 9_176) % 97 for i in ids} | {(a * (1_000_003 + 9_176) + b * (1_000_003 + 18_352) + 19_260_817 * 2) % 97 for a, b in ((5, 7), (7, 11))} | {(5 * 1_009_179 + 7 * 1_018_355 + 11 * 1_027_531 + 19_260_817 * 3) % 97}
+    r = spark.createDataFrame([(ids, [])], "a array<int>, e array<int>").select(scalar.ngram_buckets(F.col("a"), 97).alias("a"), scalar.ngram_buckets(F.col("e"), 97).alias("e")).first()
+    assert r.a == sorted(want) and r.e == [0]
+
+
+# search
+
+
+def test_agent_documents():
+    assert search.agent_proposals('Sure: {"proposals": [{"name": "a"}]} done') == [{"name": "a"}] and search.agent_proposals('[1, 2]') == [1, 2]
+    with pytest.raises(ValueError, match="list"):
+        search.agent_proposals('{"proposals": 3}')
+    assert search.without_examples({"a": [{"clinical_text_examples": ["x"], "b": 1}]}) == {"a": [{"clinical_text_examples": [], "b": 1}]}
+    limits = search.Limits()
+    checks = search.failed_checks({"r_loss_improvement": 0.001, "outcome_auroc_delta": -0.5, "coverage_failures": [{"name": "x", "coverage": 0.1}]}, limits)
+    assert checks == ["coverage x 0.1 < required 0.5", "r_loss_improvement 0.001 < required 0.01", "outcome_auroc_delta -0.5 < allowed -0.02"]
+    assert search.failed_checks({}, limits) == ["did_not_pass_acceptance_thresholds"] and search.failed_checks(None, limits) == ["candidate_evaluation_missing"]
+    decisions = [
+        {"iteration": 0, "event": "agent_proposals", "payload": {"rejected": [{"proposal": {"name": "death", "action": "add"}, "reason": search.LEAK}]}},
+        {"iteration": 0, "event": "candidate_evaluations", "payload": [{"candidate_id": "a", "accepted": True, "comparison": {"passes_acceptance": True}}, {"candidate_id": "b", "comparison": {"passes_acceptance": True}}, {"candidate_id": "c", "comparison": {"r_loss_improvement": 0.0}}]},
+    ]
+    assert [(x["candidate_id"], x["status"]) for x in search.feedback(decisions, limits)] == [("death", "validation_rejected"), ("a", "accepted"), ("b", "not_selected"), ("c", "rejected")]
+    assert len(search.feedback(decisions * 9, limits)) == 20
+    json.dumps(search.feedback(decisions, limits))
+    with pytest.raises(ValueError, match="no "):
+        search.exact_counts([encoding.FeatureSpec("a", "continuous")], 2)
+    with pytest.raises(ValueError, match="unknown strategy"):
+        search.starting_specs([], [], [], 3, "x")
+
+
+class Scripted:
+    """Proposes one thing a turn and notes what it was told."""
+
+    def __init__(self, turns):
+        self.turns, self.seen = turns, []
+
+    def propose(self, context):
+        self.seen.append(context)
+        return self.turns[min(len(self.seen), len(self.turns)) - 1]
+
+
+def test_search_finds_the_hidden_feature(spark):
+    df = spark.createDataFrame([(i, f"text {i}") for i in range(20)], "id long, text string")
+    ensured = []
+
+    def ensure(d, specs):
+        ensured.append([s.name for s in specs])
+        return d.withColumns({f"explicit_feat_{s.name}": F.lit(1.0) for s in specs})
+
+    def evaluate(d, specs, turn):
+        loss = 0.5 if any(s.name == "hidden_modifier" for s in specs) else 1.0
+        return spark.createDataFrame([(f, loss + f / 100, 0.7, 0.7) for f in (1, 2)], "fold int, r_loss double, outcome_auroc double, treatment_auroc double")
+
+    add = lambda name, **more: {"action": "add", "name": name, "type": "continuous", "roles": ["effect_modifier"], "description": "at baseline", **more}
+    agent = Scripted([[add("noise"), add("survival_time")], [add("hidden_modifier"), add("other")], [add("noise2")]])
+    specs, decisions = search.search(df, [encoding.FeatureSpec("age", "continuous")], agent, ensure, evaluate, turns=4, examples=["secret text"])
+    assert [s.name for s in specs] == ["age", "hidden_modifier"] and ["age", "hidden_modifier"] in ensured
+    assert [f["status"] for f in agent.seen[1]["feedback"]] == ["validation_rejected", "rejected"] and agent.seen[0]["clinical_text_examples"] == ["secret text"]
+    assert "secret text" not in json.dumps(decisions) and len(agent.seen) == 4
+    tried = [c["candidate_id"] for e in decisions if e["event"] == "candidate_evaluations" for c in e["payload"]]
+    assert "add:survival_time" not in tried and "add:hidden_modifier" in tried
     c = spark.createDataFrame([("a", 1, 0.1, 0.0, 0.0, 1.0), ("b", 2, 0.3, 0.2, 0.0, 1.0), ("c", 3, 0.1, 0.0, 0.0, 0.9)], "name string, pos int, gain double, outcome_drop double, treatment_drop double, share_better double")
     assert [r["name"] for r in search.accepted(c, 0.01, 0.02, 0.6).collect()] == ["a"]

@@ -50,7 +50,7 @@ def test_matching_covers_all_orders(spark, arms):
 def test_queries_without_sql_cover_all_orders(spark, arms):
     a, b = arms
     report = {r.method: r.estimate for r in catalog.QUERIES["a35_matching_report"](spark, SF).collect()}
-    assert report["crude"] == pytest.approx(a.y_high.mean() - b.y_high.mean())
+    assert report["crude"] == pytest.approx(a.y_high.mean() - b.y_high.mean(), abs=1e-4)
     few = {k: len(g) for k, g in b.groupby(["c_mktsegment", "band"])}
     most = sum(min(len(g), few.get(k, 0)) for k, g in a.groupby(["c_mktsegment", "band"]))
     found = catalog.QUERIES["j4_optimal_pairs"](spark, SF).collect()
@@ -97,12 +97,11 @@ def test_document_queries_cover_all_texts(spark, texts):
     assert {r.doc_id: r.checksum for r in all_of(spark, "p10_token_window_all")} == {i: sum(x if len(x) <= 32 else x[:16] + x[-16:]) for i, x in ids.items()}
 
     def bucket(gram):
-        h = len(gram)
-        for g in gram:
-            h = (h * 1_000_003 + g) % 2_147_483_647
+        n = len(gram)
+        h = gram[0] * 1_000_003 + 9_176 if n == 1 else sum(g * (1_000_003 + 9_176 * (j + 1)) for j, g in enumerate(gram)) + 19_260_817 * n
         return h % 32_768
 
-    found = {i: {bucket(x[k : k + n]) for n in (1, 2, 3) for k in range(len(x) - n + 1)} for i, x in ids.items()}
+    found = {i: {bucket(x[k : k + n]) for n in (1, 2, 3) for k in range(len(x) - n + 1)} or {0} for i, x in ids.items()}
     often = Counter(b for x in found.values() for b in x)
     assert {(r.doc_id, r.bucket) for r in all_of(spark, "m4_hashed_ngrams_all")} == {(i, b) for i, x in found.items() for b in x if 5 <= often[b] <= len(ids) - 5}
     words = {i: tokens_of(t) for i, t in texts.items()}
@@ -126,9 +125,17 @@ def test_tfidf_covers_all_texts(spark, texts):
     assert got.keys() == want.keys() and all(abs(got[k] - v) < 2e-6 for k, v in want.items()) and len(kept) > 300
 
 
+HEAD = """Extract these features, as known before treatment, and answer with one flat JSON object; use null where the text doesn't say.
+- ecog_status (categorical: one of 0, 1, 2): performance status at baseline
+- age (continuous): age
+
+Text:
+"""
+
+
 def test_turn_queries_cover_all_turns(spark):
     turns = {(r.conv_id, r.turn): r.text for r in spark.read.parquet(f"{SF}/conversations.parquet").select("conv_id", "turn", "text").collect()}
     assert {(r.conv_id, r.turn): r.checksum for r in all_of(spark, "f25_byte_ids_all")} == {k: sum(b + 1 for b in t.encode()[: 512 * 128]) for k, t in turns.items()}
-    assert {(r.conv_id, r.turn): r.prompt for r in all_of(spark, "f23_prompt_all")} == {k: "Ask: " + t[:8000] for k, t in turns.items()}
+    assert {(r.conv_id, r.turn): r.prompt for r in all_of(spark, "f23_prompt_all")} == {k: HEAD + t[:8000] for k, t in turns.items()}
     few = spark.createDataFrame([("",), ("aé",)], "t string").select(tables.byte_ids(F.col("t"), 2).alias("b")).collect()
     assert [r.b for r in few] == [[], [98, 196]]
