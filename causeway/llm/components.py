@@ -1,7 +1,7 @@
 """Connected components by alternating large-star and small-star steps, each a few joins and aggregations; nothing comes to the driver but counts.
 
-A node with a thousandth of all edges or more is a hub. There are 2000 hubs at most, so their least neighbours are broadcast and their edges
-stay where they are; edges of other nodes meet theirs in a shuffle, where no key has more than a thousandth.
+A node with a thousandth of all edges or more (and a hundred at least) is a hub. There are 2000 hubs at most, so where there are any their
+least neighbours are broadcast and their edges stay where they are; edges of other nodes meet theirs in a shuffle, where no key has more.
 """
 
 from __future__ import annotations
@@ -14,8 +14,10 @@ from causeway.llm.common import checkpointed
 HUBS = 1000
 
 
-def _with_least(edges: DataFrame, least: DataFrame, bound: int) -> DataFrame:
-    """edges (u, v) with m of least (u, m, n)."""
+def _with_least(edges: DataFrame, least: DataFrame, bound: int | None) -> DataFrame:
+    """edges (u, v) with m of least (u, m, n). bound: the degree of a hub, None where there is none."""
+    if bound is None:
+        return edges.join(least.select("u", "m"), "u")
     hubs, others = least.where(F.col("n") >= bound), least.where(F.col("n") < bound)
     marked = edges.join(F.broadcast(hubs.select("u", "m")), "u", "left")  # 2 * HUBS rows at most
     rest = marked.where("m is null").drop("m").join(others.select("u", "m"), "u")
@@ -25,17 +27,18 @@ def _with_least(edges: DataFrame, least: DataFrame, bound: int) -> DataFrame:
 def components(edges: DataFrame) -> DataFrame:
     """edges: u, v (long). Returns node, component: the smallest node it reaches, for each node with an edge. Self-loops and repeats may occur."""
     now = checkpointed(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
-    before = (now.count(), None)
+    before = None
     while True:
-        bound = max(100, before[0] // HUBS)
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count("*").alias("n"))
-        large = _with_least(both.where("v > u"), least, bound).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h"))
+        n, state, degree = least.agg(F.sum("n"), F.sum("h"), F.max("n")).first()
+        if not n or (n, state) == before:
+            break
+        before = (n, state)
+        bound = max(100, n // (2 * HUBS))
+        hub = bound if degree >= bound else None
+        large = _with_least(both.where("v > u"), least, hub).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
-        small = _with_least(large, least, bound).select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
+        small = _with_least(large, least, hub).select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
         now = checkpointed(small)
-        state = tuple(now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
-        if state == before:
-            break
-        before = state
     return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())

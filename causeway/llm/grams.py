@@ -14,7 +14,7 @@ from causeway.llm.common import by_value
 by_value(__name__)
 
 BYTES = 1 << 20  # of text hashed at once, unless one text is longer
-FLUSH = 2 << 20  # values that a map task holds before it sends them
+FLUSH = 1 << 20  # values that a map task holds before it sends them
 HEAVY, FLOOR = 1 << 16, 1000
 BASE = np.uint64(0x9E3779B97F4A7C15)
 

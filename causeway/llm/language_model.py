@@ -38,10 +38,22 @@ BACKOFF = 0.4
 MESSAGE = "part int, kind int, message binary"
 
 
-def distinct(identities: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Where one of each kind stands, in order of what it is, the kind of each, and how often each occurs."""
-    _, first, kind, often = np.unique(identities, return_index=True, return_inverse=True, return_counts=True)
-    return first, kind, often
+def distinct(identities: np.ndarray, starts: np.ndarray, texts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of the n-grams that start at `starts`, each in the text of that number: one start for each kind in each text, by text and what it is, its text, how often it occurs there, and the kind at each start."""
+    order = np.argsort(identities[starts])
+    order = order[np.argsort(texts[order], kind="stable")]
+    same, text = identities[starts[order]], texts[order]
+    new = np.concatenate([[True], (same[1:] != same[:-1]) | (text[1:] != text[:-1])])[: len(order)]
+    first = np.flatnonzero(new)
+    kind = np.empty(len(order), np.int64)
+    kind[order] = np.cumsum(new) - 1
+    return starts[order[first]], text[first], np.diff(np.append(first, len(order))), kind
+
+
+def windows(ends: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The starts of all n-grams within a text, and their texts' numbers."""
+    starts, counts = grams.own_windows(ends, n)
+    return starts, np.repeat(np.arange(len(counts), dtype=np.uint16 if len(counts) < 1 << 16 else np.uint32), counts)  # 16 bits: the stable sort is a radix sort
 
 
 def hot_counts(texts: DataFrame, floor: int) -> tuple[int, dict[int, tuple[np.ndarray, np.ndarray]]]:
@@ -91,42 +103,41 @@ def stupid_backoff(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 for part, data, bounds in grams.slices(batch, 2):
                     words, ends = hasher.words(data, bounds)
                     values, same, known = every(words, n)
-                    for i, key in enumerate(part.column(1).to_pylist()):
-                        own = slice(ends[i], max(ends[i], ends[i + 1] - n + 1))
-                        first, _, often = distinct(same[own])
-                        rest = known[own][first] == 0
-                        if rest.any() and box.add(key, values[own][first[rest]], often[rest]):
-                            yield from grams.sent(box.flush())
+                    places, texts, often, _ = distinct(same, *windows(ends, n))
+                    if box.add(part.column(1), places, texts, often, values, known):
+                        yield from grams.sent(box.flush())
             yield from grams.sent(box.flush())
 
         return run
 
-    def others(same: np.ndarray, known: np.ndarray, counts: pa.Scalar) -> np.ndarray:
-        """Of some n-grams of a text in turn, how often other texts hold each. same, known: as of every()."""
-        if not len(same):
-            return np.zeros(0, np.int64)
-        first, kind, often = distinct(same)
-        total = known[first]
+    def others(same: np.ndarray, known: np.ndarray, starts: np.ndarray, texts: np.ndarray, counts: pa.Array) -> np.ndarray:
+        """At each place where an n-gram starts how often other texts hold it, 0 elsewhere. same, known: as of every(); counts: each text's answers."""
+        out = np.zeros(len(same), np.int64)
+        places, text, often, kind = distinct(same, starts, texts)
+        total = known[places]
         rest = np.flatnonzero(total == 0)
         if len(rest):
-            total[rest] = grams.large(counts.as_buffer(), len(rest))[0]
-        return (total - often)[kind]
+            own, asked = np.unique(text[rest], return_counts=True)
+            total[rest] = np.concatenate([grams.large(counts[int(i)].as_buffer(), int(m))[0] for i, m in zip(own, asked, strict=True)])
+        out[starts] = (total - often)[kind]
+        return out
+
+    def candidates(two: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The starts of trigrams both of whose bigrams other texts hold, and their texts' numbers."""
+        starts, texts = windows(ends, 3)
+        good = (two[starts] > 0) & (two[starts + 1] > 0)
+        return starts[good], texts[good]
 
     def ask_again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher, box = grams.Hasher(), Question(parts)
         for batch in batches:
             for part, data, bounds in grams.slices(batch, 2):
                 words, ends = hasher.words(data, bounds)
-                (_, same2, known2), (values3, same3, known3) = every(words, 2), every(words, 3)
-                for i, (key, counts) in enumerate(zip(part.column(1).to_pylist(), part.column(4), strict=True)):
-                    a, b = ends[i], ends[i + 1]
-                    if b - a > 2:
-                        two = others(same2[a : b - 1], known2[a : b - 1], counts) > 0
-                        asked = a + np.flatnonzero(two[:-1] & two[1:])
-                        first, _, often = distinct(same3[asked])
-                        rest = known3[asked[first]] == 0
-                        if rest.any() and box.add(key, values3[asked[first[rest]]], often[rest]):
-                            yield from grams.sent(box.flush())
+                (_, same2, known2), (values, same, known) = every(words, 2), every(words, 3)
+                two = others(same2, known2, *windows(ends, 2), part.column(4))
+                places, texts, often, _ = distinct(same, *candidates(two, ends))
+                if box.add(part.column(1), places, texts, often, values, known):
+                    yield from grams.sent(box.flush())
         yield from grams.sent(box.flush())
 
     def add_up(part: int, kinds: list, messages: list) -> Iterator[tuple]:
@@ -171,24 +182,19 @@ def stupid_backoff(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             for part, data, bounds in grams.slices(batch, 2):
                 words, ends = hasher.words(data, bounds)
                 (_, same1, known1), (_, same2, known2), (_, same3, known3) = (every(words, n) for n in (1, 2, 3))
-                one, two, three = (np.zeros(len(words), np.int64) for _ in range(3))  # what other texts hold, at the first word of each n-gram
-                for i, (singles, pairs, more) in enumerate(zip(*[part.column(c) for c in (3, 4, 5)], strict=True)):
-                    a, b = ends[i], ends[i + 1]
-                    if b > a:
-                        one[a:b] = others(same1[a:b], known1[a:b], singles)
-                        two[a : b - 1] = others(same2[a : b - 1], known2[a : b - 1], pairs)
-                        asked = a + np.flatnonzero((two[a : b - 2] > 0) & (two[a + 1 : b - 1] > 0)) if b - a > 2 else np.zeros(0, np.int64)
-                        three[asked] = others(same3[asked], known3[asked], more)
+                one = others(same1, known1, *windows(ends, 1), part.column(3))  # what other texts hold, at the first word of each n-gram
+                two = others(same2, known2, *windows(ends, 2), part.column(4))
+                three = others(same3, known3, *candidates(two, ends), part.column(5))
                 sizes = np.diff(ends)
                 at = np.arange(len(words)) - np.repeat(ends[:-1], sizes)  # place in the text
                 rest = np.maximum(1, everything - np.repeat(sizes, sizes))
                 p = np.where(at == 0, 1.0, np.where(at == 1, BACKOFF, BACKOFF**2)) * np.where(one > 0, one, BACKOFF) / rest
                 if len(words) > 1:
-                    seen = (at[1:] > 0) & (two[:-1] > 0)
-                    p[1:] = np.where(seen, np.where(at[1:] == 1, 1.0, BACKOFF) * two[:-1] / np.maximum(one[:-1], 1), p[1:])
+                    seen = (at[1:] > 0) & (two[: len(words) - 1] > 0)
+                    p[1:] = np.where(seen, np.where(at[1:] == 1, 1.0, BACKOFF) * two[: len(words) - 1] / np.maximum(one[:-1], 1), p[1:])
                 if len(words) > 2:
-                    seen = (at[2:] > 1) & (three[:-2] > 0)
-                    p[2:] = np.where(seen, three[:-2] / np.maximum(two[:-2], 1), p[2:])
+                    seen = (at[2:] > 1) & (three[: len(words) - 2] > 0)
+                    p[2:] = np.where(seen, three[: len(words) - 2] / np.maximum(two[: len(words) - 2], 1), p[2:])
                 logs = np.log(p)
                 sums = [float(logs[a:b].sum()) for a, b in zip(ends[:-1], ends[1:], strict=True)]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sizes.astype(np.int64)), pa.array(sums, pa.float64())], ["id", "n_words", "log_score"])
@@ -209,17 +215,20 @@ class Question:
 
     def __init__(self, parts: int, most: int = grams.FLUSH):
         self.parts, self.most = parts, most
-        self.keys, self.values, self.often, self.held = [], [], [], 0
-
-    def add(self, key: int, values: np.ndarray, often: np.ndarray) -> bool:
-        self.keys.append(key), self.values.append(values), self.often.append(often.astype(np.uint32))
-        self.held += len(values)
+        self.rows, self.held = [], 0
+
+    def add(self, keys: pa.Array, places: np.ndarray, texts: np.ndarray, often: np.ndarray, values: np.ndarray, known: np.ndarray) -> bool:
+        """The n-grams at places, in the texts of those numbers, whose count isn't known. True if it is time to flush."""
+        rest = known[places] == 0
+        own = keys.to_numpy(zero_copy_only=False)[texts[rest]]
+        self.rows.append((own, values[places[rest]], often[rest].astype(np.uint32)))
+        self.held += len(own)
         return self.held >= self.most
 
     def flush(self) -> Iterator[tuple[int, int, bytes]]:
         if self.held:
-            keys = np.repeat(np.array(self.keys, np.int64), [len(v) for v in self.values])
-            values, often = np.concatenate(self.values), np.concatenate(self.often)
+            keys, values, often = (np.concatenate(x) for x in zip(*self.rows, strict=True))
+            self.rows.clear()
             for p, own in grams.dealt(grams.part_of(values, self.parts), self.parts):
                 yield p, 0, grams.packed(keys[own], values[own], often[own])
-        self.keys, self.values, self.often, self.held = [], [], [], 0
+        self.rows, self.held = [], 0

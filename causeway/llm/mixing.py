@@ -59,16 +59,16 @@ def rates(docs: DataFrame, source_col: str = "source", text_col: str = "text", t
     return weighted.join(F.broadcast(totals)).select("__source", rate.alias("__rate"))
 
 
-def mix_sources(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", targets: dict[str, float] | None = None, temperature: float = 0.5, epochs: float = 1.0, seed: str = "mix-1", few: int = FEW) -> DataFrame:
-    """docs with each row as often as drawn, `copy` (from 1) and `shuffle_key`, in order of shuffle_key."""
+def mix_sources(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", targets: dict[str, float] | None = None, temperature: float = 0.5, epochs: float = 1.0, seed: str = "mix-1", few: int = FEW, keep: bool = False) -> DataFrame:
+    """docs with each row as often as drawn, `copy` (from 1) and `shuffle_key`, in order of shuffle_key. keep: no columns are added, those of docs stay, whatever their names."""
     table = rates(docs, source_col, text_col, targets, temperature, epochs)
     known = table.limit(few + 1).collect()
     ids = F.coalesce(F.col(f"`{id_col}`").cast("string"), F.lit(""))
     u = uniform(F.concat(F.lit(seed + "|"), ids))
-    base = docs.drop("copy", "shuffle_key")
+    base = docs if keep else docs.drop("copy", "shuffle_key")
     count = lambda rate: F.when(rate > 0, let(u, lambda x: F.size(F.filter(thresholds(rate), lambda c: c <= x)))).otherwise(0)
     size = sum(math.ceil(r["__rate"] + 12 * math.sqrt(r["__rate"]) + 30) for r in known if r["__rate"] > 0)
-    taken = {c: unused(base, c) for c in ("u", "n", "salt", "source", "rate", "piece")}
+    taken = {c: unused(base, c) for c in ("u", "n", "salt", "source", "rate", "piece", "copy", "shuffle_key")}
     source = F.col(f"`{source_col}`")
     if len(known) <= few and size <= TABLE:
         drawn = F.lit(0)
@@ -87,11 +87,12 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", source_col: str = "sour
     if len(known) > few or any(r["__rate"] > PIECE / 4 for r in known):  # else no draw comes near PIECE
         pieces = drawn_rows.withColumn(taken["piece"], F.explode(F.sequence(F.lit(0), F.floor((n - 1) / PIECE).cast("int")))).repartition(F.xxhash64(ids, piece))
         steps = F.sequence(piece * PIECE + 1, F.least(n, (piece + 1) * PIECE))
-        copies = pieces.withColumn("copy", F.explode(steps)).drop(taken["piece"], taken["n"])
+        copies = pieces.withColumn(taken["copy"], F.explode(steps)).drop(taken["piece"], taken["n"])
     else:
-        copies = drawn_rows.withColumn("copy", F.explode(F.sequence(F.lit(1), n))).drop(taken["n"])
-    key = F.conv(F.substring(F.md5(F.concat(F.lit(seed + "#"), ids, F.lit("#"), F.col("copy").cast("string"))), 1, 15), 16, 10).cast("long")
-    return copies.withColumn("shuffle_key", key).orderBy("shuffle_key", F.col(f"`{id_col}`"), "copy")
+        copies = drawn_rows.withColumn(taken["copy"], F.explode(F.sequence(F.lit(1), n))).drop(taken["n"])
+    key = F.conv(F.substring(F.md5(F.concat(F.lit(seed + "#"), ids, F.lit("#"), F.col(taken["copy"]).cast("string"))), 1, 15), 16, 10).cast("long")
+    out = copies.withColumn(taken["shuffle_key"], key).orderBy(taken["shuffle_key"], F.col(f"`{id_col}`"), taken["copy"])
+    return out.drop(taken["shuffle_key"], taken["copy"]) if keep else out
 
 
 def poisson_thresholds(rate: float) -> list[float]:
