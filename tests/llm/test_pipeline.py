@@ -79,3 +79,29 @@ def test_stages(spark, tmp_path):
         fill[p.sequence_id] += p.length
     assert lengths == Counter({i: n[i] * c for i, c in Counter(r.doc_id for r in mixed).items()})
     assert all(x <= 4096 and x & (x - 1) == 0 for x in fill.values())
+
+
+def test_stages_take_hard_rows_and_empty_tables(spark, docs, none, tmp_path):
+    """Nulls, repeated rows, ties, very long texts and clashing names go through every stage; so does a table without rows."""
+    from pyspark.sql import functions as F
+
+    from tests.llm.conftest import prose
+
+    import random
+
+    long = spark.createDataFrame([(500, prose(random.Random(1), 60_000), "a", "k", 1.5, 7, 1)], docs.schema)
+    start = docs.unionByName(long).withColumns({"shuffle_key": F.lit("mine"), "__u": F.lit("own"), "clean": F.lit(None).cast("string"), "found": F.lit(2), "given_score": F.lit(3.0)})
+    labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(10, 48)], "doc_id long, toxic int")
+    labels.write.parquet(str(tmp_path / "labels.parquet"))
+    sizes = []
+    for table in (start, start.limit(0)):
+        one = table
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            stage(spark, one, str(tmp_path)).write.parquet(str(tmp_path / f"{name}-{len(sizes)}"))
+            one = spark.read.parquet(str(tmp_path / f"{name}-{len(sizes)}"))
+            assert one.columns == start.columns, name
+            sizes.append(one.count())
+            if sizes[-1]:
+                assert one.where("shuffle_key = 'mine' and `__u` = 'own' and clean is null and found = 2 and given_score = 3.0 and score = 1.5 and copy = 7").count() == sizes[-1], name
+        sizes.append(corpus_pipeline.STAGES[-1][1](spark, one, str(tmp_path)).count())
+    assert all(sizes[:5]) and not any(sizes[5:])
