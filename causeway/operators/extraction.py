@@ -14,6 +14,7 @@ from pyspark.sql import types as T
 
 from causeway.functions.workers import by_value
 from causeway.operators.encoding import FeatureSpec
+from causeway.sources.tables import exists
 
 by_value(__name__)
 
@@ -78,9 +79,9 @@ def parse(response: str | None, specs: list[FeatureSpec]) -> dict[str, str | flo
     return out
 
 
-def extract(df: DataFrame, text: str, specs: list[FeatureSpec], provider: Provider, retries: int = 3) -> DataFrame:
+def extract(df: DataFrame, text: str, specs: list[FeatureSpec], provider: Provider, retries: int = 3, prefix: str = PREFIX) -> DataFrame:
     """df with a value column and a missing flag for each spec. An incomplete answer is asked again; the one with fewest missing values is kept."""
-    fields = [f for s in specs for f in (T.StructField(PREFIX + s.name, T.DoubleType() if s.kind == "continuous" else T.StringType()), T.StructField(f"{PREFIX}{s.name}_missing", T.BooleanType()))]
+    fields = [f for s in specs for f in (T.StructField(prefix + s.name, T.DoubleType() if s.kind == "continuous" else T.StringType()), T.StructField(f"{prefix}{s.name}_missing", T.BooleanType()))]
     schema = T.StructType([*df.schema.fields, *fields])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -100,13 +101,23 @@ def extract(df: DataFrame, text: str, specs: list[FeatureSpec], provider: Provid
             out = pdf.copy()
             for s in specs:
                 values = [b[s.name] for b in best]
-                out[PREFIX + s.name] = pd.Series(values, index=pdf.index, dtype="float64" if s.kind == "continuous" else "object")
-                out[f"{PREFIX}{s.name}_missing"] = [v is None for v in values]
+                out[prefix + s.name] = pd.Series(values, index=pdf.index, dtype="float64" if s.kind == "continuous" else "object")
+                out[f"{prefix}{s.name}_missing"] = [v is None for v in values]
             yield out
 
     return df.mapInPandas(run, schema)
 
 
+def extract_in_turn(df: DataFrame, key: str, servers: int, text: str, specs: list[FeatureSpec], provider: Provider, **how) -> DataFrame:
+    """extract() by as many tasks as there are servers, rows dealt to them in turn by their number `key`, which tells their order afterwards too."""
+    return extract(df.repartitionById(servers, F.pmod(F.col(key), F.lit(servers)).cast("int")), text, specs, provider, **how)
+
+
+def remaining(df: DataFrame, done: DataFrame, key: str) -> DataFrame:
+    """The rows that an earlier, broken run has not written yet."""
+    return df.join(done.select(key).distinct(), key, "left_anti")
+
+
 def cache_key(dataset: str, specs: list[FeatureSpec], provider: str, **limits) -> str:
     """Twelve digits of the dataset's and twelve of the configuration's md5."""
     config = json.dumps({"specs": [[s.name, s.kind, list(s.categories), list(s.roles), s.description] for s in specs], "provider": provider, **limits}, sort_keys=True)
@@ -118,13 +129,9 @@ def cached_extract(spark: SparkSession, folder: str, dataset: str, df: DataFrame
     n = df.count() if rows is None else rows
     path = f"{folder.rstrip('/')}/{cache_key(f'{dataset}#{n}', specs, provider.name)}"
     wanted = {PREFIX + s.name + x for s in specs for x in ("", "_missing")}
-    from pyspark.errors import AnalysisException
-
-    try:
+    if exists(spark, f"{path}/_SUCCESS"):  # the writer's mark: a run that broke off left none
         old = spark.read.parquet(path)
         if wanted <= set(old.columns) and old.count() == n:
             return old
-    except AnalysisException:  # nothing there yet
-        pass
     extract(df, text, specs, provider).write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from causeway.functions.hashrand import uniform
 from causeway.operators import reports
+from causeway.sources.tables import exists
 
 
 def write_json(df: DataFrame, path: str, mode: str = "overwrite") -> None:
@@ -31,9 +32,7 @@ def save_result(spark: SparkSession, result: dict, folder: str, keys: list[str])
 
 def finished(spark: SparkSession, folder: str, keys: list[str]) -> DataFrame | None:
     """The keys of the documents of save_result(), or None before the first."""
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(folder)
-    if not path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path):
+    if not exists(spark, folder):
         return None
     return spark.read.text(folder, recursiveFileLookup=True).select(*[F.get_json_object("value", f"$.{k}").alias(k) for k in keys]).distinct()
 
@@ -124,8 +123,4 @@ class VectorCache:
 
     def valid(self, rows: int) -> bool:
         """Whether there is a cache of exactly these many rows."""
-        jvm = self.spark.sparkContext._jvm
-        path = jvm.org.apache.hadoop.fs.Path(f"{self.path}/metadata/_SUCCESS")
-        if not path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(path):
-            return False
-        return self.spark.read.json(f"{self.path}/metadata").first()["n"] == rows
+        return exists(self.spark, f"{self.path}/metadata/_SUCCESS") and self.spark.read.json(f"{self.path}/metadata").first()["n"] == rows

@@ -38,6 +38,13 @@ def test_best_partial_answer_is_kept(spark):
     assert (r.explicit_feat_stage, r.explicit_feat_size, r.explicit_feat_never_missing) == ("III", 12.5, True)
 
 
+def test_servers_take_turns_and_broken_runs_go_on(spark):
+    df = spark.createDataFrame([(i, f"age {i} and ecog 1") for i in range(20)], "id long, t string")
+    done = extraction.extract_in_turn(df, "id", 3, "t", SPECS, extraction.KeywordProvider(SPECS), prefix="explicit_conf_")
+    assert done.rdd.getNumPartitions() == 3 and {r.id: (r.explicit_conf_age, r.explicit_conf_ecog) for r in done.collect()} == {i: (float(i), "1") for i in range(20)}
+    assert sorted(r.id for r in extraction.remaining(df, done.where("id < 15"), "id").collect()) == [15, 16, 17, 18, 19]
+
+
 def test_cache_key():
     a = extraction.cache_key("d", SPECS, "p")
     assert len(a) == 25 and a == extraction.cache_key("d", SPECS, "p")
