@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from causeway.llm import embedding_join, fingerprints, language_model, licenses, mixing, ngram_join, oracles, packing, repeats, secrets, toxicity
+from causeway.llm import embedding_join, fingerprints, hard_negatives, language_model, licenses, mixing, ngram_join, oracles, packing, pivot_search, repeats, secrets, source_divergence, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -84,10 +84,23 @@ def op10_exact_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", removed.alias("n_removed"), F.sha2("kept", 256).alias("kept_sha256"), F.array_join(F.transform("spans", lambda s: F.concat_ws(":", s["first"].cast("string"), s["last"].cast("string"))), ",").alias("spans"))
 
 
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_divergence.source_divergence(table(spark, sf_dir, "documents"))
+
+
+def op12_pivot_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pivot_search.search(table(spark, sf_dir, "embeddings"))
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.hard_negatives(table(spark, sf_dir, "embeddings").withColumn("label", label))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_winnowed_fingerprints, op2_license_matches, op3_secret_spans, op4_toxicity_scores, op5_backoff_scores, op6_source_mix, op7_embedding_components, op8_packed_pieces, packed_conversations, op9_jaccard_components, op9_jaccard_links, op10_exact_repeats)}
+    return {f.__name__: f for f in (op1_winnowed_fingerprints, op2_license_matches, op3_secret_spans, op4_toxicity_scores, op5_backoff_scores, op6_source_mix, op7_embedding_components, op8_packed_pieces, packed_conversations, op9_jaccard_components, op9_jaccard_links, op10_exact_repeats, op11_source_divergence, op12_pivot_search, op13_hard_negatives)}
 
 
 def oracle_sql() -> dict[str, str]:
     """The other operators' results come from hashes, a classifier, regular expressions or a tokenizer that DuckDB lacks; tests hold them against brute force."""
-    return {"op5_backoff_scores": oracles.OP5, "op6_source_mix": oracles.OP6, "op7_embedding_components": oracles.OP7, "op9_jaccard_components": oracles.OP9, "op10_exact_repeats": oracles.OP10}
+    return {"op5_backoff_scores": oracles.OP5, "op6_source_mix": oracles.OP6, "op7_embedding_components": oracles.OP7, "op9_jaccard_components": oracles.OP9, "op10_exact_repeats": oracles.OP10, "op11_source_divergence": oracles.OP11, "op12_pivot_search": oracles.OP12, "op13_hard_negatives": oracles.OP13}
