@@ -19,6 +19,8 @@ Scores beyond 2^61 count as 2^61, with their sign.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -32,6 +34,25 @@ by_value(__name__)
 DIGIT, STRIPE = 10, 16  # bits of a digit, blocks of a task
 
 
+STATE = ("grp", "win", "pos", "low", "high", "low_now", "upto", "need")
+
+
+def narrowed(shift: int, k: int):
+    """Windows as the next pass sees them: from the bucket that holds the k-th score; all of them from `low` on where there are fewer than k."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            low, low_now, upto, need = (b.column(c).to_numpy() for c in ("low", "low_now", "upto", "need"))
+            digit, above = (b.column(c).fill_null(0).to_numpy() for c in ("digit", "above"))
+            missed = b.column("digit").is_null().to_numpy(zero_copy_only=False)
+            top = np.where(missed, low, upto - (digit << shift))
+            bottom = np.where(missed, low, np.maximum(low_now, top - (1 << shift) + 1))
+            rest = np.where(missed, k, need - above).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([*[b.column(c) for c in STATE[:5]], pa.array(bottom), pa.array(top), pa.array(rest)], list(STATE))
+
+    return run
+
+
 def top_in_windows(v: vb.Vectors, blocks: DataFrame, groups: DataFrame, windows: DataFrame, k: int, same: bool) -> DataFrame:
     """grp, win, rank, id, rid, score: each window's k highest scores among rows with the anchor's label (same), or with another.
 
@@ -106,10 +127,9 @@ def top_in_windows(v: vb.Vectors, blocks: DataFrame, groups: DataFrame, windows:
         summed = counts.withColumn("upto_here", upto_here).join(state.select("grp", "win", "need"), ["grp", "win"]).where(F.col("upto_here") >= F.col("need"))
         first = summed.groupBy("grp", "win").agg(F.min(F.struct("digit", "n", "upto_here")).alias("hit"))
         joined = state.join(first, ["grp", "win"], "left")
-        missed = F.col("hit").isNull()  # fewer than asked for: all rows from `low` on
-        top = F.col("upto") - F.col("hit.digit") * (1 << shift)
-        bottom = F.greatest("low_now", top - (1 << shift) + 1)
-        state = checkpointed(joined.select("grp", "win", "pos", "low", "high", F.when(missed, F.col("low")).otherwise(bottom).alias("low_now"), F.when(missed, F.col("low")).otherwise(top).alias("upto"), F.when(missed, F.lit(k)).otherwise(F.col("need") - F.col("hit.upto_here") + F.col("hit.n")).cast("int").alias("need")))
+        told = joined.select(*STATE, F.col("hit.digit").alias("digit"), (F.col("hit.upto_here") - F.col("hit.n")).alias("above"))
+        now = told.mapInArrow(narrowed(shift, k), "grp long, win int, pos int, low long, high long, low_now long, upto long, need int")
+        state = checkpointed(spark.createDataFrame(now.rdd, now.schema, verifySchema=False))  # a plan without a past: size estimates multiply at joins, a checkpoint keeps them, and a pass joins three times
     rows = asked(state, None, "grp long, win int, id long, rid long, score long")
     rank = F.row_number().over(Window.partitionBy("grp", "win").orderBy(F.desc("score"), "id", "rid"))
     return checkpointed(rows.withColumn("rank", rank).where(F.col("rank") <= k).select("grp", "win", "rank", "id", "rid", "score"))
