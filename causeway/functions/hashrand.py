@@ -34,14 +34,21 @@ def poisson1(*parts: Column | str | int) -> Column:
 KEY, DRAW, FIRST, SECOND = 0x9E3779B97F4A7C15, 0xD1B54A32D192ED03, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB
 
 
-def poisson_weights(keys, draws: int, seed: int = 0):
-    """Rows by draws: Poisson weights with mean 1, by inversion at the upper 53 bits of a mixture of key and draw. For worker functions."""
+def uniforms(keys, draws):
+    """Rows by draws, in [0, 1): the upper 53 bits of a mixture of key and draw. For worker functions."""
     import numpy as np
 
-    x = keys.astype(np.int64).view(np.uint64)[:, None] * np.uint64(KEY) + np.arange(1 + seed * draws, 1 + (seed + 1) * draws, dtype=np.uint64)[None] * np.uint64(DRAW)
+    x = keys.astype(np.int64).view(np.uint64)[:, None] * np.uint64(KEY) + np.asarray(draws).astype(np.uint64)[None] * np.uint64(DRAW)
     for shift, multiplier in ((30, FIRST), (27, SECOND)):
         x = (x ^ (x >> np.uint64(shift))) * np.uint64(multiplier)
-    u = ((x ^ (x >> np.uint64(31))) >> np.uint64(11)).astype(float) / float(1 << 53)
+    return ((x ^ (x >> np.uint64(31))) >> np.uint64(11)).astype(float) / float(1 << 53)
+
+
+def poisson_weights(keys, draws: int, seed: int = 0):
+    """Rows by draws: Poisson weights with mean 1, by inversion of uniforms(). For worker functions."""
+    import numpy as np
+
+    u = uniforms(keys, np.arange(1 + seed * draws, 1 + (seed + 1) * draws, dtype=np.uint64))
     out = np.zeros(u.shape, np.uint8)
     p, total = 0.36787944117144233, 0.0
     for k in range(12):

@@ -1,17 +1,15 @@
 """Cross-fitted nuisances and an honest causal forest with intervals.
 
 Nuisances: for each fold a Spark ML model (linear or a forest) fitted on the other folds scores it. Causal forest: each bag draws a subsample by
-hash, half of the rows while those are few and n ** 0.7 of them beyond 20,000, so bags grow with the table as subsampled forests ask; its
-trees split one half of theirs to spread the residual-on-residual effect and estimate leaves on the other (honesty). A bag is one task. The
-trees, bounded by their number and depth, travel with the scoring function; the spread between bags gives the interval. Effects are scored
-out of fold: a fold's rows by a forest that has not seen them.
+hash, half of all rows whatever their number; its trees split one half of theirs to spread the residual-on-residual effect and estimate leaves
+on the other (honesty). They are grown level by level from histograms (`tree_growth`), so no task holds a bag. The trees, bounded by their number
+and depth, travel with the scoring function; the spread between bags gives the interval. Effects are scored out of fold: a fold's rows by a
+forest that has not seen them.
 """
 
 from __future__ import annotations
 
-import pickle
 from collections.abc import Iterator
-from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -20,6 +18,8 @@ from pyspark.sql import functions as F
 
 from causeway.functions.hashrand import uniform
 from causeway.functions.workers import by_value
+from causeway.operators import tree_growth
+from causeway.operators.tree_growth import Tree
 
 by_value(__name__)
 
@@ -66,95 +66,23 @@ def scored(train: DataFrame, test: DataFrame, target: str, out: str, binary: boo
     return model.fit(train).transform(test).withColumn(out, vector_to_array("__q")[1] if binary else F.col("__p")).drop("__p", "__q", "__r")
 
 
-@dataclass
-class Tree:
-    """Nodes by number: the feature and threshold of inner ones, children, and the effect of leaves."""
-
-    feature: np.ndarray
-    threshold: np.ndarray
-    left: np.ndarray
-    right: np.ndarray
-    effect: np.ndarray
-
-    def predict(self, x: np.ndarray) -> np.ndarray:
-        at = np.zeros(len(x), np.int64)
-        for _ in range(64):
-            inner = self.feature[at] >= 0
-            if not inner.any():
-                break
-            go = x[np.arange(len(x)), np.maximum(self.feature[at], 0)] <= self.threshold[at]
-            at = np.where(inner, np.where(go, self.left[at], self.right[at]), at)
-        return self.effect[at]
-
-
-def grow(x: np.ndarray, ry: np.ndarray, rt: np.ndarray, r: np.random.Generator, depth: int, leaf: int) -> Tree:
-    """One honest tree on residuals of outcome and treatment."""
-    split = r.permutation(len(x))
-    a, b = split[: len(x) // 2], split[len(x) // 2 :]
-    nodes: list[list] = []
-    tries = max(1, int(np.ceil(np.sqrt(x.shape[1]))) + 1)
-
-    def effect(rows: np.ndarray, default: float) -> float:
-        d = (rt[rows] ** 2).sum()
-        return float((rt[rows] * ry[rows]).sum() / d) if d > 1e-9 else default
-
-    def build(ia: np.ndarray, ib: np.ndarray, level: int, above: float) -> int:
-        own = effect(ib, above) if len(ib) else above
-        me = len(nodes)
-        nodes.append([-1, 0.0, -1, -1, own])
-        if level >= depth or len(ia) < 2 * leaf or len(ib) < 2 * leaf:
-            return me
-        # gradients of the local effect: splitting their mean apart is splitting effects apart
-        g = rt[ia] * (ry[ia] - rt[ia] * effect(ia, 0.0))
-        best = (0.0, -1, 0.0)
-        for f in r.choice(x.shape[1], min(tries, x.shape[1]), replace=False):
-            order = np.argsort(x[ia, f], kind="stable")
-            v, s = x[ia, f][order], np.cumsum(g[order])
-            n = np.arange(1, len(ia) + 1)
-            ok = (n >= leaf) & (n <= len(ia) - leaf) & (v != np.append(v[1:], v[-1]))
-            gain = np.where(ok, s**2 / n + (s[-1] - s) ** 2 / np.maximum(len(ia) - n, 1), -1.0)
-            k = int(gain.argmax())
-            if gain[k] > best[0]:
-                best = (float(gain[k]), int(f), float(v[k]))
-        if best[1] < 0:
-            return me
-        la, lb = x[ia, best[1]] <= best[2], x[ib, best[1]] <= best[2]
-        if min(lb.sum(), (~lb).sum()) < leaf:
-            return me
-        nodes[me][:2] = best[1], best[2]
-        nodes[me][2] = build(ia[la], ib[lb], level + 1, own)
-        nodes[me][3] = build(ia[~la], ib[~lb], level + 1, own)
-        return me
-
-    build(a, b, 0, effect(np.arange(len(x)), 0.0))
-    c = list(zip(*nodes, strict=True))
-    return Tree(np.array(c[0]), np.array(c[1], float), np.array(c[2]), np.array(c[3]), np.array(c[4], float))
-
-
-def fit_forest(df: DataFrame, key: str, y: str, t: str, m: str, e: str, x: list[str], bags: int = 24, trees: int = 4, depth: int = 8, leaf: int = 20, few: int = 20_000, seed: int = 1) -> list[list[Tree]]:
-    """Trees by bag. Rows with a null or non-finite value in any used column are left out."""
-    n = max(1, df.count())
-    rate = min(0.5, max(few, n**0.7) / n)
-    rows = df.select(F.col(key).alias("__key"), (F.col(y) - F.col(m)).cast("double").alias("__ry"), (F.col(t) - F.col(e)).cast("double").alias("__rt"), *[F.col(c).cast("double").alias(f"__x{i}") for i, c in enumerate(x)]).dropna()
-    bagged = rows.withColumn("__bag", F.explode(F.sequence(F.lit(0), F.lit(bags - 1)))).where(uniform(F.lit(seed), F.col("__bag"), F.col("__key")) < rate)
-
-    def train(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.replace([np.inf, -np.inf], np.nan).dropna().sort_values("__key")
-        bag = int(pdf["__bag"].iloc[0]) if len(pdf) else 0
-        r = np.random.default_rng([seed, bag])
-        a = pdf[[f"__x{i}" for i in range(len(x))]].to_numpy(float)
-        grown = []
-        for _ in range(trees):
-            rows = r.permutation(len(a))[: max(1, int(len(a) * 0.7))]
-            grown.append(grow(a[rows], pdf["__ry"].to_numpy()[rows], pdf["__rt"].to_numpy()[rows], r, depth, leaf))
-        return pd.DataFrame({"bag": [bag], "trees": [pickle.dumps([g.__dict__ for g in grown])]})
-
-    found = bagged.groupBy("__bag").applyInPandas(train, "bag int, trees binary").orderBy("bag").collect()
-    return [[Tree(**g) for g in pickle.loads(bytes(r["trees"]))] for r in found]
+def fit_forest(df: DataFrame, key: str, y: str, t: str, m: str, e: str, x: list[str], bags: int = 24, trees: int = 4, depth: int = 6, leaf: int = 20, seed: int = 1, grid: list[tuple[int, int]] | None = None) -> list[list[Tree]]:
+    """Trees by bag. Rows with a null or non-finite value in any used column are left out; a table without rows gives no tree.
+
+    grid: pairs of depth and leaf to choose from by the residual loss on rows outside of a bag; the trees are grown once, as deep as any pair asks.
+    """
+    if grid:
+        depth, leaf = max(d for d, _ in grid), min(n for _, n in grid)
+    names = [f"__x{i}" for i in range(len(x))]
+    rows = df.select(F.col(key).cast("long").alias("__key"), (F.col(y) - F.col(m)).cast("double").alias("__ry"), (F.col(t) - F.col(e)).cast("double").alias("__rt"), *[F.col(c).cast("double").alias(n) for c, n in zip(x, names, strict=True)]).dropna()
+    if rows.isEmpty():
+        return []
+    forest, table = tree_growth.grow(rows, names, bags, trees, depth, leaf, seed)
+    return tree_growth.tuned(forest, table, names, grid, seed)[0] if grid else forest
 
 
 def predict_forest(df: DataFrame, forest: list[list[Tree]], x: list[str], level_z: float = 1.959963984540054) -> DataFrame:
-    """df with pred_ite, pred_ite_lower and pred_ite_upper. The variance between bags, less what their few trees add, gives the interval."""
+    """df with pred_ite, pred_ite_lower and pred_ite_upper. The variance between bags, less what their few trees add, gives the interval; a quarter of it at least, as the difference of two noisy numbers can be near 0."""
     from pyspark.sql import types as T
 
     packed = [[g.__dict__ for g in bag] for bag in forest]
@@ -169,7 +97,7 @@ def predict_forest(df: DataFrame, forest: list[list[Tree]], x: list[str], level_
             tau = means.mean(0)
             within = each.var(1, ddof=1).mean(0) / each.shape[1] if each.shape[1] > 1 else 0.0
             between = means.var(0, ddof=1) if len(own) > 1 else np.zeros(len(a))
-            sd = np.sqrt(np.maximum(between - within, between / len(own)))
+            sd = np.sqrt(np.maximum(between - within, between / 4))
             yield pdf.assign(pred_ite=tau, pred_ite_lower=tau - level_z * sd, pred_ite_upper=tau + level_z * sd)
 
     return df.mapInPandas(run, schema)

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from causeway.functions.scalar import arm_means
-from causeway.operators import cohort, encoding, forest, metrics, simulation, textmodels
+from causeway.operators import cohort, encoding, forest, metrics, shared_layer, simulation, textmodels
 from causeway.operators.encoding import FeatureSpec
 
 PREDICTED = ("cv_fold", "pred_propensity", "pred_outcome", "pred_ite", "pred_ite_lower", "pred_ite_upper", "pred_y0", "pred_y1")
@@ -135,6 +135,24 @@ def two_models(df: DataFrame, c: Columns, specs: list[FeatureSpec], folds: int =
     return _union(parts)
 
 
+def shared_outcomes(df: DataFrame, c: Columns, specs: list[FeatureSpec], folds: int = 3, prefix: str = "", dims: int = 0, seed: int = 42, **how) -> DataFrame:
+    """Both arms' outcomes and the propensity from one shared representation of features and the text's leading dimensions (`shared_layer`). The interval is not estimated (null)."""
+    dealt = cohort.folds(df, c.key, folds, seed)
+    parts = []
+    for f in range(1, folds + 1):
+        train = dealt.where(F.col("cv_fold") != f)
+        wide, names = _matrix(train, dealt, specs, prefix)
+        if dims:
+            wide = textmodels.text_svd(train, wide, c.key, c.text, dims, seed=seed)
+        w = [x for s in specs for x in names[s.name]] + [f"svd_{i}" for i in range(dims)]
+        model = shared_layer.fit(wide.where(F.col("cv_fold") != f), c.key, c.treatment, c.outcome, w, binary=c.binary, seed=seed + f, **how)
+        test = shared_layer.scored(wide.where(F.col("cv_fold") == f), model, w)
+        none, e = F.lit(None).cast("double"), F.col("pred_propensity")
+        test = test.withColumns({"pred_ite": F.col("pred_y1") - F.col("pred_y0"), "pred_ite_lower": none, "pred_ite_upper": none, "pred_outcome": e * F.col("pred_y1") + (1 - e) * F.col("pred_y0")})
+        parts.append(test.select(*df.columns, *PREDICTED))
+    return _union(parts)
+
+
 def linear_effects(df: DataFrame, c: Columns, specs: list[FeatureSpec], folds: int = 3, prefix: str = "", dims: int = 0, learner: str = "linear", seed: int = 42) -> DataFrame:
     """An R-learner: nuisances on everything, then a linear effect of the modifiers by residuals, from moments of the other folds alone. The interval is not estimated (null)."""
     dealt = cohort.folds(df, c.key, folds, seed)
@@ -189,6 +207,7 @@ MODELS: dict[str, Callable[..., DataFrame]] = {
     "tfidf_forest": tfidf_forest,
     "best_attainable": best_attainable,
     "two_models": two_models,
+    "shared_outcomes": shared_outcomes,
     "linear_effects": linear_effects,
     "contrastive_effects": contrastive_effects,
 }

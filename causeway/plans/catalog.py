@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from causeway.functions import hashrand, scalar
 from causeway.functions.hashrand import uniform
-from causeway.operators import cohort, effects, encoding, extraction, forest, matching, metrics, reports, search, simulation, tables
+from causeway.operators import cohort, effects, encoding, extraction, forest, line_matching, matching, metrics, reports, search, simulation, tables
 from causeway.plans import cohorts
 from causeway.plans.cohorts import LABELLED_SQL, ORDERS_SQL
 from causeway.plans.registry import QUERIES, SQL, binomial_cdf_sql, erfc_sql, query, rounded, t_two_sided_sql, u
@@ -568,6 +568,18 @@ def j4_optimal_pairs(spark, d):
     return matching.optimal(cohorts.orders(spark, d), "unit_id", "t", "e", ["c_mktsegment", "band"], caliper=0.05)
 
 
+@query()
+def j3_w3_greedy_global(spark, d):
+    """Over the whole table, without blocks."""
+    return line_matching.greedy(cohorts.orders(spark, d), "unit_id", "t", "e", caliper=0.01)
+
+
+@query()
+def j4_optimal_global(spark, d):
+    """Every treated order, with the least total distance over the whole table."""
+    return line_matching.optimal(cohorts.orders(spark, d), "unit_id", "t", "e")
+
+
 @query()
 def m6_crossfit_nuisances(spark, d):
     return forest.crossfit(_simulated(spark, d), "unit_id", "treatment", "outcome", ["x1", "x2"]).select("unit_id", "cv_fold", "e_hat", "m_hat")
