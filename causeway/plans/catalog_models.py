@@ -383,7 +383,7 @@ def m13_shared_outcomes(spark, d):
     out = None
     for name in ("shared_outcomes", "two_models"):
         one = arms.against_truth(arms.run(name, df, COHORT, specs, folds=2, dims=5), COHORT)
-        one = one.select(F.lit(name).alias("model"), *[F.round(c, 3).alias(c) for c in ("corr", "rmse", "ate_bias")])
+        one = one.select(F.lit(name).alias("model"), *[F.round(c, 3).alias(c) for c in ("corr", "pehe", "ate_bias")])
         out = one if out is None else out.unionByName(one)
     return out
 
