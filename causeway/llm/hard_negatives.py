@@ -128,8 +128,10 @@ def top_in_windows(v: vb.Vectors, blocks: DataFrame, groups: DataFrame, windows:
         first = summed.groupBy("grp", "win").agg(F.min(F.struct("digit", "n", "upto_here")).alias("hit"))
         joined = state.join(first, ["grp", "win"], "left")
         told = joined.select(*STATE, F.col("hit.digit").alias("digit"), (F.col("hit.upto_here") - F.col("hit.n")).alias("above"))
-        now = told.mapInArrow(narrowed(shift, k), "grp long, win int, pos int, low long, high long, low_now long, upto long, need int")
-        state = checkpointed(spark.createDataFrame(now.rdd, now.schema, verifySchema=False))  # a plan without a past: size estimates multiply at joins, a checkpoint keeps them, and a pass joins three times
+        now = told.mapInArrow(narrowed(shift, k), "grp long, win int, pos int, low long, high long, low_now long, upto long, need int").persist()
+        now.count()  # estimates of size multiply at joins, a checkpoint keeps them, and a pass joins three times: a filled cache has the true size
+        state = checkpointed(now)
+        now.unpersist()
     rows = asked(state, None, "grp long, win int, id long, rid long, score long")
     rank = F.row_number().over(Window.partitionBy("grp", "win").orderBy(F.desc("score"), "id", "rid"))
     return checkpointed(rows.withColumn("rank", rank).where(F.col("rank") <= k).select("grp", "win", "rank", "id", "rid", "score"))
