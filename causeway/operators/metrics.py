@@ -79,6 +79,13 @@ def crosstab(df: DataFrame, row: str, column: str) -> DataFrame:
     return df.cube(row, column).agg(F.count("*").alias("n"), F.grouping(row).alias("all_rows"), F.grouping(column).alias("all_columns"))
 
 
+def pivot(df: DataFrame, row: str, column: str, values: list, measure: str) -> DataFrame:
+    """A row for each value of row; for each of values of column the mean of measure and how many it is of, as <value>_mean and <value>_n. Null and NaN measures don't count; a combination without any has a null mean."""
+    m = F.when(~F.isnan(F.col(measure).cast("double")), F.col(measure).cast("double"))
+    cell = lambda v: F.when(F.col(column).eqNullSafe(F.lit(v)), m)
+    return df.groupBy(row).agg(*[a for v in values for a in (F.avg(cell(v)).alias(f"{v}_mean"), F.count(cell(v)).alias(f"{v}_n"))])
+
+
 def fold_metrics(df: DataFrame, metrics: list[str]) -> DataFrame:
     """metric, mean and population std over finite values."""
     long = df.select(F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).cast("double").alias("value")) for m in metrics])).alias("x")).select("x.*")

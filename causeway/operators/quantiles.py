@@ -18,8 +18,13 @@ def ranged(df: DataFrame, value: str, out: str, weight: str | None = None) -> Da
     """df with `out`, the number of the row's range of value; null values are in the first."""
     n = parts(df)
     cuts = df.agg(F.percentile_approx(F.col(value).cast("double"), [i / n for i in range(1, n)], max(10_000, 20 * n)).alias("__q"))
-    at = F.size(F.filter("__q", lambda c: c <= F.col(value).cast("double")))
-    return df.join(F.broadcast(cuts)).withColumn(out, F.coalesce(at, F.lit(0))).drop("__q")
+    step = max(1, int(n**0.5))
+    v = F.col(value).cast("double")
+    below = lambda some: F.size(F.filter(some, lambda c: c <= v))
+    runs = F.filter("__q", lambda _, i: i % step == 0)  # each run's first cut, so a row meets two runs' worth of cuts and not all
+    one = df.join(F.broadcast(cuts.withColumn("__runs", runs)))
+    run = F.greatest(below(F.col("__runs")) - 1, F.lit(0))
+    return one.withColumn("__run", run).withColumn(out, F.coalesce(F.col("__run") * step + below(F.slice("__q", F.col("__run") * step + 1, F.lit(step))), F.lit(0))).drop("__q", "__runs", "__run")
 
 
 def row_numbers(df: DataFrame, bucket: str, order: list[Column], within: list[str] | None = None) -> DataFrame:

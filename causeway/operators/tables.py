@@ -72,6 +72,18 @@ def long_features(df: DataFrame, key: str, names: list[str], prefix: str = "expl
     return df.select(key, F.explode(F.array(*rows)).alias("x")).select(key, "x.*")
 
 
+def continuous_stats(df: DataFrame, columns: list[str], prefix: str = "") -> DataFrame:
+    """feature, mean, std: of what can be read as a finite number and whose <column>_missing, where there is one, isn't true. std over a sample, 1e-6 at least; 0 and 1 without any number."""
+    aggs = []
+    for c in columns:
+        own = f"{prefix}{c}"
+        x = F.expr(f"try_cast(`{own}` AS double)")
+        seen = ~F.coalesce(F.col(f"`{own}_missing`").cast("boolean"), F.lit(False)) if f"{own}_missing" in df.columns else F.lit(True)
+        x = F.when(seen & ~F.isnan(x) & (F.abs(x) < float("inf")), x)
+        aggs.append(F.struct(F.lit(c).alias("feature"), F.coalesce(F.avg(x), F.lit(0.0)).alias("mean"), F.when(F.count(x) == 0, 1.0).otherwise(F.greatest(F.coalesce(F.stddev_samp(x), F.lit(1e-6)), F.lit(1e-6))).alias("std")))
+    return df.agg(F.array(*aggs).alias("x")).select(F.explode("x").alias("x")).select("x.*")
+
+
 def category_shares(df: DataFrame, column: str, categories: list[str]) -> DataFrame:
     """category, share over the declared categories; equal shares if none occurs."""
     counts = df.agg(*[F.count_if(F.col(column) == c).alias(f"c{i}") for i, c in enumerate(categories)])

@@ -12,9 +12,10 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from causeway.functions.scalar import arm_means
-from causeway.operators import cohort, encoding, forest, metrics, shared_layer, simulation, textmodels
+from causeway.functions.scalar import arm_means, sigmoid
+from causeway.operators import cohort, effect_nets, encoding, forest, matching, metrics, shared_layer, simulation, textmodels
 from causeway.operators.encoding import FeatureSpec
+from causeway.operators.store_tables import kept
 
 PREDICTED = ("cv_fold", "pred_propensity", "pred_outcome", "pred_ite", "pred_ite_lower", "pred_ite_upper", "pred_y0", "pred_y1")
 
@@ -200,6 +201,64 @@ def contrastive_effects(df: DataFrame, c: Columns, specs: list[FeatureSpec], fol
     return _union(parts)
 
 
+def pair_contrast(df: DataFrame, c: Columns, specs: list[FeatureSpec], folds: int = 3, prefix: str = "", dims: int = 0, caliper: float = 0.05, learner: str = "linear", seed: int = 42, **how) -> DataFrame:
+    """A head trained on pairs of the other folds that are matched by propensity (`effect_nets`). The interval is not estimated (null)."""
+    dealt = cohort.folds(df, c.key, folds, seed)
+    parts = []
+    for f in range(1, folds + 1):
+        train = dealt.where(F.col("cv_fold") != f)
+        wide, names = _matrix(train, dealt, specs, prefix)
+        if dims:
+            wide = textmodels.text_svd(train, wide, c.key, c.text, dims, seed=seed)
+        w = [x for s in specs for x in names[s.name]] + [f"svd_{i}" for i in range(dims)]
+        own = wide.where(F.col("cv_fold") != f).drop("cv_fold")
+        fitted = forest.crossfit(own, c.key, c.treatment, c.outcome, w, folds, c.binary, seed + f, learner=learner)
+        pairs = matching.sorted_pairs(fitted, c.key, c.treatment, "e_hat", caliper=caliper)
+        model = effect_nets.fit_pairs(pairs, own, c.key, c.outcome, w, seed=seed + f, **how)
+        test = effect_nets.scored(_nuisances(own, wide.where(F.col("cv_fold") == f), c, w, learner, seed), model, w, ["__mu0", "__mu1"])
+        none = F.lit(None).cast("double")
+        test = test.withColumns({"pred_ite": sigmoid(F.col("__mu1")) - sigmoid(F.col("__mu0")), "pred_ite_lower": none, "pred_ite_upper": none})
+        parts.append(finished(test, c).select(*df.columns, *PREDICTED))
+    return _union(parts)
+
+
+def residual_modifier(df: DataFrame, c: Columns, specs: list[FeatureSpec], mode: str = "additive", folds: int = 3, prefix: str = "", dims: int = 8, learner: str = "linear", bags: int = 12, seed: int = 42, **how) -> DataFrame:
+    """What the text adds to the effect that the features give, in one of three ways.
+
+    base: the effect forest on features alone. additive: to it a net's residual effect from the text's leading dimensions, trained on what the base
+    leaves over out of fold. replacing: a forest on the features and the net's code. Intervals are those of the forest, moved by what the net adds.
+    """
+    if mode not in ("base", "additive", "replacing"):
+        raise ValueError(f"unknown mode {mode}")
+    dealt = cohort.folds(df, c.key, folds, seed)
+    text = [f"svd_{i}" for i in range(dims)]
+    parts = []
+    for f in range(1, folds + 1):
+        train = dealt.where(F.col("cv_fold") != f)
+        wide, names = _matrix(train, dealt, specs, prefix)
+        wide = textmodels.text_svd(train, wide, c.key, c.text, dims, seed=seed)
+        w = [x for s in specs for x in names[s.name]]
+        own = kept(wide.where(F.col("cv_fold") != f).drop("cv_fold"))
+        options = dict(bags=bags, seed=seed)
+        fitted = forest.crossfit(own, c.key, c.treatment, c.outcome, w + text, folds, c.binary, seed + f, learner=learner)
+        test = _nuisances(own, wide.where(F.col("cv_fold") == f), c, w + text, learner, seed)
+        if mode == "base":
+            trees, x = forest.fit_forest(fitted, c.key, c.outcome, c.treatment, "m_hat", "e_hat", w, **options), w
+        else:
+            base = forest.out_of_fold(fitted, c.key, c.outcome, c.treatment, w, folds, **options)
+            model = effect_nets.fit_residual(base, c.key, c.outcome, c.treatment, "m_hat", "e_hat", "pred_ite", text, seed=seed + f, **how)
+            codes = [f"__code{i}" for i in range(model.net.code)]
+            test = effect_nets.scored(test, model, text, ["__more"], "__code")
+            x = w + codes if mode == "replacing" else w
+            seen = effect_nets.scored(fitted, model, text, ["__more"], "__code")
+            trees = forest.fit_forest(seen, c.key, c.outcome, c.treatment, "m_hat", "e_hat", x, **options)
+        test = forest.predict_forest(test, trees, x)
+        if mode == "additive":
+            test = test.withColumns({n: F.col(n) + F.col("__more") for n in ("pred_ite", "pred_ite_lower", "pred_ite_upper")})
+        parts.append(finished(test, c).select(*df.columns, *PREDICTED))
+    return _union(parts)
+
+
 #: The estimators by the name that a configuration gives.
 MODELS: dict[str, Callable[..., DataFrame]] = {
     "explicit_forest": explicit_forest,
@@ -209,6 +268,8 @@ MODELS: dict[str, Callable[..., DataFrame]] = {
     "two_models": two_models,
     "shared_outcomes": shared_outcomes,
     "linear_effects": linear_effects,
+    "pair_contrast": pair_contrast,
+    "residual_modifier": residual_modifier,
     "contrastive_effects": contrastive_effects,
 }
 

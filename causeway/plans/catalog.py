@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from causeway.functions import hashrand, scalar
 from causeway.functions.hashrand import uniform
-from causeway.operators import cohort, effects, encoding, extraction, forest, line_matching, matching, metrics, reports, search, simulation, tables
+from causeway.operators import cohort, effect_nets, effects, encoding, extraction, forest, line_matching, matching, metrics, reports, search, simulation, tables
 from causeway.plans import cohorts
 from causeway.plans.cohorts import LABELLED_SQL, ORDERS_SQL
 from causeway.plans.registry import QUERIES, SQL, binomial_cdf_sql, erfc_sql, query, rounded, t_two_sided_sql, u
@@ -162,12 +162,12 @@ PAIRS = (
 )
 
 
-@query(f"SELECT count(*) AS n, round(sum(abs(a.e - b.e)), 6) AS total FROM units a JOIN units b ON {NEAR}", ORDERS_SQL, also="j6_band_pairs_all")
+@query(f"SELECT count(*) AS n, round(sum(abs(a.e - b.e)), 6) AS total FROM units a JOIN units b ON {NEAR}", ORDERS_SQL)
 def j6_band_pairs(spark, d):
     return rounded(matching.band_pairs(cohorts.orders(spark, d), "unit_id", "t", "e", 0.0005).agg(F.count("*").alias("n"), F.sum("distance").alias("total")))
 
 
-@query("SELECT treated_id, control_id, round(distance, 9) AS distance, CAST(rank AS INTEGER) AS rank FROM pairs", ORDERS_SQL, PAIRS.format(k=3), also="j3_nearest_controls_all")
+@query("SELECT treated_id, control_id, round(distance, 9) AS distance, CAST(rank AS INTEGER) AS rank FROM pairs", ORDERS_SQL, PAIRS.format(k=3))
 def j3_nearest_controls(spark, d):
     return rounded(matching.nearest(cohorts.orders(spark, d), "unit_id", "t", "e", 3, 0.0005).select("treated_id", "control_id", "distance", "rank"), 9)
 
@@ -196,7 +196,6 @@ OUTCOMES = "outcomes AS (SELECT treated_id, control_id, a.{y} AS y1, b.{y} AS y0
     ORDERS_SQL,
     PAIRS.format(k=1),
     OUTCOMES.format(y="y"),
-    also="a4_att_matched_all",
 )
 def a4_att_matched(spark, d):
     out = effects.att_matched(_outcomes(spark, d, "y"))
@@ -224,7 +223,6 @@ DISCORDANT = "counts AS (SELECT count(*) FILTER (y1 > y0) AS b, count(*) FILTER
     PAIRS.format(k=1),
     OUTCOMES.format(y="y_high"),
     DISCORDANT,
-    also="a9_mcnemar_all",
 )
 def a9_mcnemar(spark, d):
     return rounded(effects.mcnemar(_outcomes(spark, d, "y_high")))
@@ -304,6 +302,11 @@ def a27_crosstab(spark, d):
     return out.withColumn("all_rows", F.col("all_rows").cast("int")).withColumn("all_columns", F.col("all_columns").cast("int"))
 
 
+@query("SELECT c_mktsegment, " + ", ".join(f"round(avg(y) FILTER (status = '{v}'), 4) AS \"{v}_mean\", count(y) FILTER (status = '{v}') AS \"{v}_n\"" for v in "FOP") + " FROM units GROUP BY c_mktsegment", ORDERS_SQL)
+def a27_pivot_means(spark, d):
+    return rounded(metrics.pivot(cohorts.orders(spark, d), "c_mktsegment", "status", list("FOP"), "y"), 4)
+
+
 # text
 
 
@@ -324,7 +327,7 @@ def t3_vocabulary(spark, d):
     return encoding.vocabulary(table(spark, d, "documents"), "text", 500)
 
 
-@query("SELECT doc_id, sha1(trim(regexp_replace(text, '[ \\t\\n\\x0B\\f\\r]+', ' ', 'g'))) AS text_hash FROM documents", also="f4_text_hash_all")
+@query("SELECT doc_id, sha1(trim(regexp_replace(text, '[ \\t\\n\\x0B\\f\\r]+', ' ', 'g'))) AS text_hash FROM documents")
 def f4_text_hash(spark, d):
     return table(spark, d, "documents").select("doc_id", scalar.normalized_hash(F.col("text")).alias("text_hash"))
 
@@ -339,6 +342,14 @@ def f8_first_number(spark, d):
     return table(spark, d, "events").select("event_id", scalar.first_number(F.col("props")).alias("number"))
 
 
+@query(
+    "SELECT 'p_size' AS feature, round(avg(p_size), 6) AS mean, round(stddev_samp(p_size), 6) AS std FROM part UNION ALL SELECT 'p_retailprice', round(avg(p_retailprice), 6), round(stddev_samp(p_retailprice), 6) FROM part "
+    "UNION ALL SELECT 'p_name', coalesce(round(avg(TRY_CAST(p_name AS DOUBLE)), 6), 0), coalesce(round(stddev_samp(TRY_CAST(p_name AS DOUBLE)), 6), 1) FROM part"
+)
+def a20_continuous_stats(spark, d):
+    return rounded(tables.continuous_stats(table(spark, d, "part"), ["p_size", "p_retailprice", "p_name"]))
+
+
 @query("SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events")
 def h1_json_response(spark, d):
     return table(spark, d, "events").select("event_id", encoding.parsed_json(F.concat(F.lit("Answer: "), F.col("props"), F.lit(" done")), "k long")["k"].alias("k"))
@@ -352,7 +363,7 @@ def ids(text: str = "text") -> Column:
 IDS = f"list_transform({TOKENS}, lambda w: CAST(CAST('0x' || substr(md5(w), 1, 6) AS UBIGINT) AS BIGINT) % 1000)"
 
 
-@query("SELECT doc_id, i, to_json(c) AS chunk FROM (SELECT doc_id, unnest(range(0, greatest(len(x), 1), 48)) AS i, x[i + 1 : i + 64] AS c FROM (SELECT doc_id, " + IDS + " AS x FROM documents))", also="w4_chunks_all")
+@query("SELECT doc_id, i, to_json(c) AS chunk FROM (SELECT doc_id, unnest(range(0, greatest(len(x), 1), 48)) AS i, x[i + 1 : i + 64] AS c FROM (SELECT doc_id, " + IDS + " AS x FROM documents))")
 def w4_chunks(spark, d):
     each = table(spark, d, "documents").select("doc_id", ids().alias("x")).select("doc_id", F.posexplode(scalar.chunks(F.col("x"), 64, 16)).alias("i", "c"))
     return each.select("doc_id", (F.col("i") * 48).cast("long").alias("i"), F.concat(F.lit("["), F.array_join(F.col("c").cast("array<string>"), ","), F.lit("]")).alias("chunk"))
@@ -360,7 +371,6 @@ def w4_chunks(spark, d):
 
 @query(
     "SELECT doc_id, CAST(coalesce(list_aggregate(CASE WHEN len(x) <= 32 THEN x ELSE x[1:16] || x[len(x) - 15:] END, 'sum'), 0) AS BIGINT) AS checksum FROM (SELECT doc_id, " + IDS + " AS x FROM documents)",
-    also="p10_token_window_all",
 )
 def p10_token_window(spark, d):
     x = table(spark, d, "documents").select("doc_id", ids().alias("x"))
@@ -372,7 +382,6 @@ def p10_token_window(spark, d):
     "docs AS (SELECT doc_id, regexp_extract_all(lower(text), '[a-z0-9_]{2,}') AS w FROM documents)",
     "tf AS (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest(w) AS term FROM docs UNION ALL SELECT doc_id, a || ' ' || b FROM (SELECT doc_id, unnest(w[1 : len(w) - 1]) AS a, unnest(w[2 : len(w)]) AS b FROM docs WHERE len(w) > 1)) GROUP BY ALL)",
     "kept AS (SELECT term, count(*) AS df, sum(tf) AS total, (SELECT count(*) FROM docs) AS n FROM tf GROUP BY term HAVING count(*) >= 5 AND count(*) <= 0.95 * (SELECT count(*) FROM docs) ORDER BY total DESC, term LIMIT 10000)",
-    also="m1_tfidf_all",
 )
 def m1_tfidf(spark, d):
     return rounded(encoding.tfidf(table(spark, d, "documents"), "doc_id", "text"))
@@ -526,7 +535,6 @@ def m24_stat_pooling(spark, d):
     "(SELECT abs(avg(x.c_acctbal) - avg(z.c_acctbal)) / sqrt((var_samp(x.c_acctbal) + var_samp(z.c_acctbal)) / 2) FROM pairs JOIN units x ON x.unit_id = treated_id JOIN units z ON z.unit_id = control_id) AS a)",
     ORDERS_SQL,
     PAIRS.format(k=1),
-    also="a2_balance_change_all",
 )
 def a2_balance_change(spark, d):
     units = cohorts.orders(spark, d)
@@ -604,7 +612,6 @@ PROMPT_SPECS = [encoding.FeatureSpec("ecog_status", "categorical", ("0", "1", "2
 @query(
     "SELECT conv_id, turn, 'Extract these features, as known before treatment, and answer with one flat JSON object; use null where the text doesn''t say.\n"
     "- ecog_status (categorical: one of 0, 1, 2): performance status at baseline\n- age (continuous): age\n\nText:\n' || substr(text, 1, 8000) AS prompt FROM conversations".replace("\\n", "' || chr(10) || '"),
-    also="f23_prompt_all",
 )
 def f23_prompt(spark, d):
     from causeway.functions import notes
@@ -623,7 +630,6 @@ def _gram_sql(n: int) -> str:
     + " UNION ".join(f"SELECT doc_id, {_gram_sql(n)} % 32768 AS bucket FROM (SELECT doc_id, x, unnest(range(1, len(x) - {n - 2})) AS i FROM x WHERE len(x) >= {n})" for n in (1, 2, 3))
     + ")) WHERE c >= 5 AND c <= (SELECT count(*) FROM documents) - 5",
     "x AS (SELECT doc_id, " + IDS + " AS x FROM documents)",
-    also="m4_hashed_ngrams_all",
 )
 def m4_hashed_ngrams(spark, d):
     return encoding.hashed_ngrams(table(spark, d, "documents").select("doc_id", ids().alias("x")), "doc_id", "x", 32_768, (1, 2, 3), 5)
@@ -644,7 +650,6 @@ def a22_normalization(spark, d):
     + TOKENS
     + " AS x FROM documents)) ON d = doc_id LEFT JOIN big USING (token) GROUP BY doc_id",
     VOCABULARY.replace("vocab AS", "big AS").replace("<= 498", "<= 49998"),
-    also="f2_token_ids_all",
 )
 def f2_token_ids(spark, d):
     docs = table(spark, d, "documents")
@@ -654,7 +659,6 @@ def f2_token_ids(spark, d):
 
 @query(
     "SELECT conv_id, turn, CAST(coalesce(sum(CAST('0x' || substr(h, CAST(2 * i + 1 AS BIGINT), 2) AS INTEGER) + 1), 0) AS BIGINT) AS checksum FROM (SELECT conv_id, turn, h, unnest(range(0, least(length(h) // 2, 65536))) AS i FROM (SELECT conv_id, turn, hex(encode(text)) AS h FROM conversations)) GROUP BY ALL",
-    also="f25_byte_ids_all",
 )
 def f25_byte_ids(spark, d):
     x = table(spark, d, "conversations").select("conv_id", "turn", tables.byte_ids(F.col("text"), 512 * 128).alias("b"))
@@ -710,6 +714,18 @@ def y1_balanced_batches(spark, d):
     return tables.balanced_batches(cohort.propensity_bins(cohorts.orders(spark, d), "unit_id", "t", "e", 8), "unit_id", "bin", "t", 32)
 
 
+@query(
+    "SELECT treated_id, control_id, CAST((i + k * n) // 16 AS BIGINT) AS batch, CAST((i + k * n) % 16 AS INTEGER) AS place FROM (SELECT *, unnest(range(0, ((n + 15) // 16 * 16 - 1 - i) // n + 1)) AS k FROM "
+    f"(SELECT *, row_number() OVER (ORDER BY {u('42', '0', 'treated_id', 'control_id')}, treated_id, control_id) - 1 AS i, count(*) OVER () AS n FROM pairs))",
+    ORDERS_SQL,
+    "pairs AS (SELECT treated_id, control_id FROM (SELECT a.unit_id AS treated_id, b.unit_id AS control_id, row_number() OVER (PARTITION BY a.unit_id ORDER BY abs(a.e - b.e), b.unit_id) AS r "
+    "FROM units a JOIN units b ON a.t = 1 AND b.t = 0 AND a.e BETWEEN 0.05 AND 0.95 AND b.e BETWEEN a.e - 0.00101 AND a.e + 0.00101 AND b.e BETWEEN 0.05 AND 0.95 AND abs(a.e - b.e) <= 0.001) WHERE r = 1)",
+)
+def y1_pair_batches(spark, d):
+    pairs = matching.sorted_pairs(cohorts.orders(spark, d), "unit_id", "t", "e", caliper=0.001).select("treated_id", "control_id")
+    return effect_nets.pair_batches(pairs, ["treated_id", "control_id"], 16)
+
+
 @query("SELECT a.doc_id AS doc_id, a.quality AS quality_a, b.quality AS quality_b FROM labels a JOIN labels b ON a.doc_id = b.doc_id AND a.toxic = b.toxic")
 def j1_result_join(spark, d):
     a, b = (table(spark, d, "labels").select("doc_id", "toxic", F.col("quality").alias(f"quality_{s}")) for s in "ab")

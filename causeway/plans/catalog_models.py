@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from causeway.functions import scalar
 from causeway.functions.hashrand import uniform
-from causeway.operators import cohort, effects, forest, metrics, reports, search, simulation, tables, textmodels
+from causeway.operators import cohort, effects, forest, metrics, pooling, reports, search, simulation, tables, textmodels
 from causeway.operators.encoding import FeatureSpec
 from causeway.plans import arms, cohorts, store
 from causeway.plans.cohorts import ORDERS_SQL
@@ -388,6 +388,52 @@ def m13_shared_outcomes(spark, d):
     return out
 
 
+def _found(rows):
+    """What estimators found, one row each: name, correlation with the true effects, root of the mean squared error, error of the mean effect."""
+    out = None
+    for name, predictions in rows:
+        one = arms.against_truth(predictions, COHORT).select(F.lit(name).alias("model"), *[F.round(c, 3).alias(c) for c in ("corr", "pehe", "ate_bias")])
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+X1 = [FeatureSpec("x1", "continuous", roles=("confounder", "effect_modifier"))]
+
+
+@query()
+def m15_residual_modifier(spark, d):
+    """The modifier stands in the text; the base forest knows x1 alone."""
+    df = _cohort(spark, d)
+    return _found((mode, arms.residual_modifier(df, COHORT, X1, mode, folds=2, dims=5, bags=6)) for mode in ("base", "additive", "replacing"))
+
+
+@query()
+def m12_pair_contrast(spark, d):
+    """Effects by bins of propensity, and by a head that learns from matched pairs, where text and features differ within a bin."""
+    df = _cohort(spark, d)
+    return _found([("pair_contrast", arms.pair_contrast(df, COHORT, X1, folds=2, dims=5)), ("contrastive_effects", arms.contrastive_effects(df, COHORT, X1, folds=2))])
+
+
+GATE = pooling.Gate.drawn(64, 3, 1)
+
+
+def _gate_sql() -> str:
+    dot = lambda w: f"list_dot_product(x, [{', '.join(repr(float(c)) for c in w)}])"
+    each = [f"(2 / (1 + exp(-2 * ({dot(GATE.content[:, k])} + {float(GATE.content_bias[k])!r}))) - 1) / (1 + exp(-({dot(GATE.gate[:, k])} + {float(GATE.gate_bias[k])!r}))) AS g{k}" for k in range(3)]
+    weight = (GATE.mix @ GATE.slots)[:, 0]
+    score = " + ".join(f"(g{k} - mean) / sqrt(((g0 - mean) ^ 2 + (g1 - mean) ^ 2 + (g2 - mean) ^ 2) / 3 + 1e-5) * {float(weight[k])!r}" for k in range(3))
+    return f"""WITH v AS (SELECT label, list_transform(embedding, lambda c: CAST(c AS DOUBLE)) AS x FROM embeddings WHERE embedding IS NOT NULL), g AS (SELECT label, x, {', '.join(each)} FROM v),
+    s AS (SELECT label, x, {score} AS s FROM (SELECT *, (g0 + g1 + g2) / 3 AS mean FROM g)), w AS (SELECT label, x, exp(s - max(s) OVER (PARTITION BY label)) AS w FROM s)
+    SELECT label, CAST(dim AS INTEGER) AS dim, round(sum(w * c) / sum(w), 6) AS value FROM (SELECT label, w, unnest(x) AS c, generate_subscripts(x, 1) - 1 AS dim FROM w) GROUP BY label, dim"""
+
+
+@query(_gate_sql())
+def w8_gated_pooling(spark, d):
+    """Vectors of a label pooled by a gate of three components and one slot."""
+    pooled = pooling.gated(table(spark, d, "embeddings"), "label", "embedding", GATE)
+    return pooled.select("label", F.posexplode("pooled").alias("dim", "value")).withColumn("value", F.round("value", 6))
+
+
 @query(BOUNDS)
 def m15_linear_effects(spark, d):
     return _bounds(arms.linear_effects(_cohort(spark, d), COHORT, FEATURES, folds=2))

@@ -11,14 +11,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
 
-def query(sql: str | None = None, *ctes: str, also: str | None = None):
-    """Registers a query with its SQL, if it has any, behind common table expressions; also: another name that it had before."""
+def query(sql: str | None = None, *ctes: str):
+    """Registers a query with its SQL, if it has any, behind common table expressions."""
 
     def add(f):
-        for name in filter(None, (f.__name__, also)):
-            QUERIES[name] = f
-            if sql is not None:
-                SQL[name] = (f"WITH {', '.join(ctes)} " if ctes else "") + sql
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            SQL[f.__name__] = (f"WITH {', '.join(ctes)} " if ctes else "") + sql
         return f
 
     return add

@@ -34,7 +34,7 @@ def rows(columns, data):
 
 
 QUERIES = entry.queries()
-NAMES = sorted({QUERIES[n]: n for n in sorted(entry.oracle_sql(), reverse=True)}.values())  # of a query with two names the first
+NAMES = sorted(entry.oracle_sql())
 
 
 @pytest.mark.parametrize("name", NAMES)

@@ -105,3 +105,34 @@ def test_equations(spark):
     assert simulation.random_equation(["a", "b"], seed=3) == simulation.random_equation(["a", "b"], seed=3)
     specs = [encoding.FeatureSpec("x", "continuous"), encoding.FeatureSpec("g", "categorical", ("a", "b"), roles=("confounder",))]
     assert simulation.coefficient_names(specs) == ["x", "g_b"] and simulation.coefficient_names(specs, "effect_modifier") == ["x"]
+
+
+def test_pivot_and_continuous_stats(spark):
+    import pandas as pd
+    from causeway.operators import metrics, tables
+
+    rows = [("a", "x", 1.0), ("a", "x", 3.0), ("a", "y", float("nan")), ("b", "x", None), ("b", None, 5.0), (None, "y", 7.0)]
+    out = {r.g: r for r in metrics.pivot(spark.createDataFrame(rows, "g string, h string, v double"), "g", "h", ["x", "y"], "v").collect()}
+    assert (out["a"].x_mean, out["a"].x_n, out["a"].y_mean, out["a"].y_n) == (2.0, 2, None, 0) and out["b"].x_n == 0 and out[None].y_mean == 7.0
+    given = [("1", False, "4"), ("2.5", False, "x"), ("9", True, None), ("odd", False, None), (None, None, None)]
+    df = spark.createDataFrame(given, "f_a string, f_a_missing boolean, f_b string")
+    got = {r.feature: (r.mean, r["std"]) for r in tables.continuous_stats(df, ["a", "b"], "f_").collect()}
+    want = pd.Series([1.0, 2.5])
+    assert got["a"] == (want.mean(), want.std()) and got["b"] == (4.0, 1e-6)
+    none = {r.feature: (r.mean, r["std"]) for r in tables.continuous_stats(df.limit(0), ["a"], "f_").collect()}
+    assert none == {"a": (0.0, 1.0)}
+
+
+def test_ranges_do_not_depend_on_how_cuts_are_searched(spark):
+    from causeway.operators import quantiles
+    from pyspark.sql import functions as F
+
+    df = spark.range(3000).select((F.pmod(F.xxhash64("id"), F.lit(700)) / 7.0).alias("v")).union(spark.sql("SELECT CAST(NULL AS DOUBLE)"))
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        for n in (8, 97, 1000):
+            spark.conf.set("spark.sql.shuffle.partitions", str(n))
+            cuts = df.agg(F.percentile_approx("v", [i / n for i in range(1, n)], max(10_000, 20 * n))).first()[0]
+            assert all(r.b == (0 if r.v is None else sum(c <= r.v for c in cuts)) for r in quantiles.ranged(df, "v", "b").collect())
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)

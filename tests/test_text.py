@@ -83,22 +83,34 @@ def test_ngram_buckets(spark):
 # search
 
 
-def test_agent_documents():
+def test_agent_documents(spark):
     assert search.agent_proposals('Sure: {"proposals": [{"name": "a"}]} done') == [{"name": "a"}] and search.agent_proposals('[1, 2]') == [1, 2]
     with pytest.raises(ValueError, match="list"):
         search.agent_proposals('{"proposals": 3}')
     assert search.without_examples({"a": [{"clinical_text_examples": ["x"], "b": 1}]}) == {"a": [{"clinical_text_examples": [], "b": 1}]}
     limits = search.Limits()
-    checks = search.failed_checks({"r_loss_improvement": 0.001, "outcome_auroc_delta": -0.5, "coverage_failures": [{"name": "x", "coverage": 0.1}]}, limits)
-    assert checks == ["coverage x 0.1 < required 0.5", "r_loss_improvement 0.001 < required 0.01", "outcome_auroc_delta -0.5 < allowed -0.02"]
-    assert search.failed_checks({}, limits) == ["did_not_pass_acceptance_thresholds"] and search.failed_checks(None, limits) == ["candidate_evaluation_missing"]
+    low = {"r_loss_improvement": 0.001, "outcome_auroc_delta": -0.51239, "improved_fold_fraction": 1.0, "rejection_reason": "late", "coverage_failures": [{"name": "x", "coverage": 0.1}, {"coverage": 0.25}, {"name": "y"}]}
+    tiny = {"r_loss_improvement": 0.0000123456, "treatment_auroc_delta": -123456.0}
+    rows = spark.createDataFrame([(i, None if c is None else json.dumps(c)) for i, c in enumerate([low, {}, None, 3, tiny, {"r_loss_improvement": 0.5}])], "i int, c string")
+    got = {r.i: r.failed for r in search.failed_checks(rows, limits).select("i", "failed").collect()}
+    assert got[0] == ["rejection_reason: late", "coverage x 0.1 < required 0.5", "coverage feature 0.25 < required 0.5", "r_loss_improvement 0.001 < required 0.01", "outcome_auroc_delta -0.5124 < allowed -0.02"]
+    assert got[1] == got[5] == ["did_not_pass_acceptance_thresholds"] and got[2] == got[3] == ["candidate_evaluation_missing"]
+    assert got[4] == ["r_loss_improvement 1.235e-05 < required 0.01", "treatment_auroc_delta -1.235e+05 < allowed -0.02"]
+    proposal = {"name": "death", "action": "add", "type": "binary", "roles": ["confounder"], "other": 1}
     decisions = [
-        {"iteration": 0, "event": "agent_proposals", "payload": {"rejected": [{"proposal": {"name": "death", "action": "add"}, "reason": search.LEAK}]}},
-        {"iteration": 0, "event": "candidate_evaluations", "payload": [{"candidate_id": "a", "accepted": True, "comparison": {"passes_acceptance": True}}, {"candidate_id": "b", "comparison": {"passes_acceptance": True}}, {"candidate_id": "c", "comparison": {"r_loss_improvement": 0.0}}]},
+        {"iteration": 0, "event": "agent_proposals", "payload": {"accepted": [], "rejected": [{"proposal": proposal, "reason": search.LEAK}, {"proposal": {"action": "remove"}}, {"proposal": "words"}, 7]}},
+        {"iteration": 0, "event": "baseline", "payload": {"r_loss": 1.0}},
+        {"iteration": 1, "event": "candidate_evaluations", "payload": [{"candidate_id": "a", "accepted": True, "proposals": [proposal], "comparison": {"passes_acceptance": True, "baseline": {"x": 1}}}, {"candidate_id": "b", "comparison": {"passes_acceptance": True}}, {"candidate_id": "c", "comparison": {"r_loss_improvement": 0.0}}]},
     ]
-    assert [(x["candidate_id"], x["status"]) for x in search.feedback(decisions, limits)] == [("death", "validation_rejected"), ("a", "accepted"), ("b", "not_selected"), ("c", "rejected")]
-    assert len(search.feedback(decisions * 9, limits)) == 20
-    json.dumps(search.feedback(decisions, limits))
+    found = search.feedback(decisions, limits)
+    assert [(x["candidate_id"], x["status"]) for x in found] == [("death", "validation_rejected"), ("remove", "validation_rejected"), ("words", "validation_rejected"), ("a", "accepted"), ("b", "not_selected"), ("c", "rejected")]
+    assert found[0]["proposals"] == [{k: v for k, v in proposal.items() if k != "other"}] and found[2]["proposals"] == [{"raw": "words"}]
+    assert [x.get("failed_checks") for x in found] == [[search.LEAK], ["validation_failed"], ["validation_failed"], None, ["passed_thresholds_but_lower_ranked"], ["r_loss_improvement 0 < required 0.01"]]
+    assert found[3]["metrics"] == {"passes_acceptance": True} and found[5]["metrics"] == {"r_loss_improvement": 0.0} and "metrics" not in found[0]
+    assert [x["instruction"] for x in found] == [search.INSTRUCTIONS[x["status"]] for x in found] and [x["iteration"] for x in found] == [0, 0, 0, 1, 1, 1]
+    latest = search.feedback(decisions * 9, limits)
+    assert len(latest) == 20 and latest[-1] == found[-1] and search.feedback([], limits) == []
+    json.dumps(latest)
     with pytest.raises(ValueError, match="no "):
         search.exact_counts([encoding.FeatureSpec("a", "continuous")], 2)
     with pytest.raises(ValueError, match="unknown strategy"):

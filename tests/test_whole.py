@@ -26,23 +26,23 @@ def test_matching_covers_all_orders(spark, arms):
     assert len(a) + len(b) == spark.read.parquet(f"{SF}/orders.parquet").count()
     d = np.abs(a.e.to_numpy()[:, None] - b.e.to_numpy()[None])
     near = d <= 0.0005
-    one = catalog.QUERIES["j6_band_pairs_all"](spark, SF).first()
+    one = catalog.QUERIES["j6_band_pairs"](spark, SF).first()
     assert one.n == near.sum() and one.total == pytest.approx(d[near].sum(), abs=1e-5)
     want = {}
     for i, tid in enumerate(a.unit_id):
         want[tid] = [(int(b.unit_id[j]), round(float(d[i, j]), 9)) for j in sorted(np.flatnonzero(near[i]), key=lambda j: (d[i, j], b.unit_id[j]))[:3]]
     got = {tid: [] for tid in a.unit_id}
-    for r in sorted(catalog.QUERIES["j3_nearest_controls_all"](spark, SF).collect(), key=lambda r: (r.treated_id, r["rank"])):
+    for r in sorted(catalog.QUERIES["j3_nearest_controls"](spark, SF).collect(), key=lambda r: (r.treated_id, r["rank"])):
         got[r.treated_id].append((r.control_id, pytest.approx(r.distance, abs=2e-9)))
     assert got == want
     y0, high0 = b.set_index("unit_id").y, b.set_index("unit_id").y_high
     pairs = [(i, want[tid][0][0]) for i, tid in enumerate(a.unit_id) if want[tid]]
-    found = catalog.QUERIES["a4_att_matched_all"](spark, SF).first()
+    found = catalog.QUERIES["a4_att_matched"](spark, SF).first()
     assert found.n_pairs == len(pairs) and found.att == pytest.approx(np.mean([a.y[i] - y0[c] for i, c in pairs]), abs=1e-3)
     up, down = (sum(a.y_high[i] - high0[c] == s for i, c in pairs) for s in (1, -1))
-    odd = catalog.QUERIES["a9_mcnemar_all"](spark, SF).first()
+    odd = catalog.QUERIES["a9_mcnemar"](spark, SF).first()
     assert (odd.b, odd.c) == (up, down)
-    change = catalog.QUERIES["a2_balance_change_all"](spark, SF).first()
+    change = catalog.QUERIES["a2_balance_change"](spark, SF).first()
     all_balance = catalog.QUERIES["a1_balance"](spark, SF).where("covariate = 'c_acctbal'").first()
     assert change.smd_before == pytest.approx(all_balance.smd, abs=1e-6)
 
@@ -90,11 +90,11 @@ def texts(spark):
 
 
 def test_document_queries_cover_all_texts(spark, texts):
-    assert {r.doc_id: r.text_hash for r in all_of(spark, "f4_text_hash_all")} == {i: hashlib.sha1(re.sub(r"[\t\n\x0b\f\r ]+", " ", t).strip(" ").encode()).hexdigest() for i, t in texts.items()}
+    assert {r.doc_id: r.text_hash for r in all_of(spark, "f4_text_hash")} == {i: hashlib.sha1(re.sub(r"[\t\n\x0b\f\r ]+", " ", t).strip(" ").encode()).hexdigest() for i, t in texts.items()}
     ids = {i: ids_of(t) for i, t in texts.items()}
-    chunks = {(r.doc_id, r.i): r.chunk for r in all_of(spark, "w4_chunks_all")}
+    chunks = {(r.doc_id, r.i): r.chunk for r in all_of(spark, "w4_chunks")}
     assert chunks == {(i, k): json.dumps(x[k : k + 64], separators=(",", ":")) for i, x in ids.items() for k in range(0, max(len(x), 1), 48)}
-    assert {r.doc_id: r.checksum for r in all_of(spark, "p10_token_window_all")} == {i: sum(x if len(x) <= 32 else x[:16] + x[-16:]) for i, x in ids.items()}
+    assert {r.doc_id: r.checksum for r in all_of(spark, "p10_token_window")} == {i: sum(x if len(x) <= 32 else x[:16] + x[-16:]) for i, x in ids.items()}
 
     def bucket(gram):
         n = len(gram)
@@ -103,12 +103,12 @@ def test_document_queries_cover_all_texts(spark, texts):
 
     found = {i: {bucket(x[k : k + n]) for n in (1, 2, 3) for k in range(len(x) - n + 1)} or {0} for i, x in ids.items()}
     often = Counter(b for x in found.values() for b in x)
-    assert {(r.doc_id, r.bucket) for r in all_of(spark, "m4_hashed_ngrams_all")} == {(i, b) for i, x in found.items() for b in x if 5 <= often[b] <= len(ids) - 5}
+    assert {(r.doc_id, r.bucket) for r in all_of(spark, "m4_hashed_ngrams")} == {(i, b) for i, x in found.items() for b in x if 5 <= often[b] <= len(ids) - 5}
     words = {i: tokens_of(t) for i, t in texts.items()}
     counts = Counter(w for x in words.values() for w in x)
     known = sorted((w for w, n in counts.items() if n >= 2), key=lambda w: (-counts[w], w.encode()))[:49_998]
     place = {w: k + 2 for k, w in enumerate(known)}
-    assert {r.doc_id: json.loads(r.ids) for r in all_of(spark, "f2_token_ids_all")} == {i: [place.get(w, 1) for w in x] for i, x in words.items()}
+    assert {r.doc_id: json.loads(r.ids) for r in all_of(spark, "f2_token_ids")} == {i: [place.get(w, 1) for w in x] for i, x in words.items()}
 
 
 def test_tfidf_covers_all_texts(spark, texts):
@@ -120,7 +120,7 @@ def test_tfidf_covers_all_texts(spark, texts):
     n = len(texts)
     kept = set(sorted((k for k, c in df.items() if 5 <= c <= 0.95 * n), key=lambda k: (-total[k], k))[:10_000])
     raw = {i: {k: (1 + math.log(c)) * (math.log((1 + n) / (1 + df[k])) + 1) for k, c in x.items() if k in kept} for i, x in tf.items()}
-    got = {(r.doc_id, r.term): r.weight for r in all_of(spark, "m1_tfidf_all")}
+    got = {(r.doc_id, r.term): r.weight for r in all_of(spark, "m1_tfidf")}
     want = {(i, k): v / math.sqrt(sum(z * z for z in x.values())) for i, x in raw.items() for k, v in x.items()}
     assert got.keys() == want.keys() and all(abs(got[k] - v) < 2e-6 for k, v in want.items()) and len(kept) > 300
 
@@ -135,7 +135,7 @@ Text:
 
 def test_turn_queries_cover_all_turns(spark):
     turns = {(r.conv_id, r.turn): r.text for r in spark.read.parquet(f"{SF}/conversations.parquet").select("conv_id", "turn", "text").collect()}
-    assert {(r.conv_id, r.turn): r.checksum for r in all_of(spark, "f25_byte_ids_all")} == {k: sum(b + 1 for b in t.encode()[: 512 * 128]) for k, t in turns.items()}
-    assert {(r.conv_id, r.turn): r.prompt for r in all_of(spark, "f23_prompt_all")} == {k: HEAD + t[:8000] for k, t in turns.items()}
+    assert {(r.conv_id, r.turn): r.checksum for r in all_of(spark, "f25_byte_ids")} == {k: sum(b + 1 for b in t.encode()[: 512 * 128]) for k, t in turns.items()}
+    assert {(r.conv_id, r.turn): r.prompt for r in all_of(spark, "f23_prompt")} == {k: HEAD + t[:8000] for k, t in turns.items()}
     few = spark.createDataFrame([("",), ("aé",)], "t string").select(tables.byte_ids(F.col("t"), 2).alias("b")).collect()
     assert [r.b for r in few] == [[], [98, 196]]
