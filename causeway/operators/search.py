@@ -204,13 +204,15 @@ def feedback_table(lines: DataFrame, limits: Limits, most: int = 20) -> DataFram
     """
     head = F.from_json("value", "event string, iteration int")
     events = lines.select("pos", head.alias("h"), F.get_json_object("value", "$.payload").alias("p"))
-    refused = events.where("h.event = 'agent_proposals'").select("pos", "h.iteration", F.posexplode(F.from_json("p", "rejected array<struct<proposal: string, reason: string>>")["rejected"]).alias("at", "x")).where("x is not null")
+    refused = events.where("h.event = 'agent_proposals'").select("pos", "h.iteration", F.posexplode(F.from_json("p", "rejected array<string>")["rejected"]).alias("at", "x")).where("x LIKE '{%'")
+    refused = refused.withColumn("x", F.from_json("x", "proposal string, reason string"))
     own = F.from_json("x.proposal", "name string, action string")
     refused = refused.select(
         "pos", "at", "iteration", F.coalesce(own["name"], own["action"], "x.proposal", F.lit("")).alias("candidate_id"), F.lit("validation_rejected").alias("status"),
         F.array(F.coalesce("x.reason", F.lit("validation_failed"))).alias("failed_checks"), F.array(_short(F.col("x.proposal"))).alias("proposals"), F.lit(None).cast("string").alias("metrics"),
     )
-    tried = events.where("h.event = 'candidate_evaluations'").select("pos", "h.iteration", F.posexplode(F.from_json("p", "array<struct<candidate_id: string, accepted: boolean, proposals: array<string>, comparison: string>>")).alias("at", "x")).where("x is not null")
+    tried = events.where("h.event = 'candidate_evaluations'").select("pos", "h.iteration", F.posexplode(F.from_json("p", "array<string>")).alias("at", "x")).where("x LIKE '{%'")
+    tried = tried.withColumn("x", F.from_json("x", "candidate_id string, accepted boolean, proposals array<string>, comparison string"))
     judged = failed_checks(tried.withColumn("c", F.col("x.comparison")), limits)
     status = F.when(F.col("x.accepted"), "accepted").when(F.col("m.passes_acceptance"), "not_selected").otherwise("rejected")
     why = F.when(status == "not_selected", F.array(F.lit("passed_thresholds_but_lower_ranked"))).when(status == "rejected", F.col("failed"))
