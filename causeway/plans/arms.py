@@ -211,8 +211,8 @@ def pair_contrast(df: DataFrame, c: Columns, specs: list[FeatureSpec], folds: in
         if dims:
             wide = textmodels.text_svd(train, wide, c.key, c.text, dims, seed=seed)
         w = [x for s in specs for x in names[s.name]] + [f"svd_{i}" for i in range(dims)]
-        own = wide.where(F.col("cv_fold") != f).drop("cv_fold")
-        fitted = forest.crossfit(own, c.key, c.treatment, c.outcome, w, folds, c.binary, seed + f, learner=learner)
+        own = kept(wide.where(F.col("cv_fold") != f).drop("cv_fold"))
+        fitted = kept(forest.crossfit(own, c.key, c.treatment, c.outcome, w, folds, c.binary, seed + f, learner=learner).select(c.key, c.treatment, "e_hat"))
         pairs = matching.sorted_pairs(fitted, c.key, c.treatment, "e_hat", caliper=caliper)
         model = effect_nets.fit_pairs(pairs, own, c.key, c.outcome, w, seed=seed + f, **how)
         test = effect_nets.scored(_nuisances(own, wide.where(F.col("cv_fold") == f), c, w, learner, seed), model, w, ["__mu0", "__mu1"])
@@ -240,7 +240,7 @@ def residual_modifier(df: DataFrame, c: Columns, specs: list[FeatureSpec], mode:
         w = [x for s in specs for x in names[s.name]]
         own = kept(wide.where(F.col("cv_fold") != f).drop("cv_fold"))
         options = dict(bags=bags, seed=seed)
-        fitted = forest.crossfit(own, c.key, c.treatment, c.outcome, w + text, folds, c.binary, seed + f, learner=learner)
+        fitted = kept(forest.crossfit(own, c.key, c.treatment, c.outcome, w + text, folds, c.binary, seed + f, learner=learner))
         test = _nuisances(own, wide.where(F.col("cv_fold") == f), c, w + text, learner, seed)
         if mode == "base":
             trees, x = forest.fit_forest(fitted, c.key, c.outcome, c.treatment, "m_hat", "e_hat", w, **options), w
