@@ -388,32 +388,6 @@ def m13_shared_outcomes(spark, d):
     return out
 
 
-def _found(rows):
-    """What estimators found, one row each: name, correlation with the true effects, root of the mean squared error, error of the mean effect."""
-    out = None
-    for name, predictions in rows:
-        one = arms.against_truth(predictions, COHORT).select(F.lit(name).alias("model"), *[F.round(c, 3).alias(c) for c in ("corr", "pehe", "ate_bias")])
-        out = one if out is None else out.unionByName(one)
-    return out
-
-
-X1 = [FeatureSpec("x1", "continuous", roles=("confounder", "effect_modifier"))]
-
-
-@query()
-def m15_residual_modifier(spark, d):
-    """The modifier stands in the text; the base forest knows x1 alone."""
-    df = _cohort(spark, d)
-    return _found((mode, arms.residual_modifier(df, COHORT, X1, mode, folds=2, dims=5, bags=6)) for mode in ("base", "additive", "replacing"))
-
-
-@query()
-def m12_pair_contrast(spark, d):
-    """Effects by bins of propensity, and by a head that learns from matched pairs, where text and features differ within a bin."""
-    df = _cohort(spark, d)
-    return _found([("pair_contrast", arms.pair_contrast(df, COHORT, X1, folds=2, dims=5)), ("contrastive_effects", arms.contrastive_effects(df, COHORT, X1, folds=2))])
-
-
 GATE = pooling.Gate.drawn(64, 3, 1)
 
 
