@@ -373,21 +373,6 @@ def m13_two_models(spark, d):
     return _bounds(arms.two_models(_cohort(spark, d), COHORT, FEATURES, folds=2))
 
 
-@query()
-def m13_shared_outcomes(spark, d):
-    """The effect bends with x1 and follows a grade that only the text holds: what the shared representation finds, beside a linear model for each arm."""
-    o = _cohort(spark, d).select("unit_id", "x1", "x2", "text").withColumn("bend", F.col("x1") * F.col("x1") - 1)
-    outcome = simulation.Equation(-1.0, {"x1": 0.3}, effect=0.6, modifiers={"x2": 0.8, "bend": 1.0})
-    df = simulation.simulate(o, simulation.Equation(0.0, {"x1": 0.6, "x2": -0.4}), outcome, positivity=(0.05, 0.95))
-    specs = [FeatureSpec("x1", "continuous", roles=("confounder", "effect_modifier"))]
-    out = None
-    for name in ("shared_outcomes", "two_models"):
-        one = arms.against_truth(arms.run(name, df, COHORT, specs, folds=2, dims=5), COHORT)
-        one = one.select(F.lit(name).alias("model"), *[F.round(c, 3).alias(c) for c in ("corr", "pehe", "ate_bias")])
-        out = one if out is None else out.unionByName(one)
-    return out
-
-
 GATE = pooling.Gate.drawn(64, 3, 1)
 
 
