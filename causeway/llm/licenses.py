@@ -5,20 +5,29 @@ shingles, where c, of 1, 4 and 16, is the largest with c + c / 2 - 1 <= S; a tex
 at every one. An unchanged passage of c + c / 2 - 1 shingles of a template therefore holds a window of the text that equals one of the
 template's, which collides in every band, whatever the hash functions; windows of Jaccard likeness J collide in one of the bands of one
 row each with probability 1 - (1 - J) ** BANDS (0.998 at 0.8). A long template with scattered changes has many windows, each with that
-chance. Around each retrieved window, over as many shingles as the template has to either side, the share of the template's shingles that
-stand there is counted exactly; from `least` (0.75) on it is a match, reported from the first to the last word that it holds.
+chance.
 
-Templates, full licence texts or single statements, are a parameter; their shingles are one constant of the plan, whatever their number,
-and retrieval looks window minima up in hash sets. A thousand full texts are some ten megabytes in each task. Documents are never shuffled
-or joined.
+A retrieved template is verified once an occurrence. Its shingles' places in the text less their places in the template are offsets; sorted,
+they fall into occurrences wherever two neighbours differ by more than a quarter of the template's shingles. Of an occurrence's shingles
+that stand twice in it the one nearest to its median offset counts. In the stretch of text that the template fills at these offsets the
+share of its shingles is counted exactly; from `least` (0.75) on it is a match, reported from the first to the last word that it holds. All
+of this is linear in the text and the template but for sorting: places come from a hash table that is one constant of the plan.
+
+Templates, full licence texts or single statements, are a parameter; their shingles are constants of the plan, some fifty bytes each in each
+task. Documents are never shuffled or joined.
 
 Edge cases: a null text is an empty one; a text or template of fewer than five words has no shingle (such a template is refused);
-repeated rows are scanned each for itself; other columns are neither read nor returned; an empty table gives an empty result.
+repeated rows are scanned each for itself; other columns are neither read nor returned; an empty table gives an empty result. A template that
+stands twice in a text gives two matches; passages of more than a quarter of it put in at one place cut an occurrence in two; of overlapping
+matches of one template the one with the larger share stays, the first of equals. Templates that hold each other (BSD-2 in BSD-3) both match.
 """
 
 from __future__ import annotations
 
 import json
+from collections import Counter
+from collections.abc import Callable
+from math import ceil
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -105,7 +114,7 @@ def minima(hashed: Column, c: int, stride: int) -> Column:
 
 
 def template_tables(spark: SparkSession, templates: dict[str, str]) -> tuple[dict[str, list[int]], dict[tuple[int, int], dict[int, set[str]]]]:
-    """Distinct shingle hashes of each template, and for each class and band the names behind each window minimum. A few rows, in the JVM."""
+    """Shingle hashes of each template in order, and for each class and band the names behind each window minimum. A few rows, in the JVM."""
     rows = spark.createDataFrame(list(templates.items()), "name string, text string").select("name", shingle_hashes(F.col("text")).alias("s"))
     each = rows.select("name", "s", *[let(_hashed("s", j), _windows(c)).alias(f"m{c}_{j}") for c in CLASSES if c > 1 for j in range(BANDS)]).collect()
     shingles: dict[str, list[int]] = {}
@@ -113,7 +122,7 @@ def template_tables(spark: SparkSession, templates: dict[str, str]) -> tuple[dic
     for r in each:
         if not r["s"]:
             raise ValueError(f"template {r['name']} has fewer than {K} words")
-        shingles[r["name"]] = sorted(set(r["s"]))
+        shingles[r["name"]] = list(r["s"])
         c = class_of(len(r["s"]))
         for j in range(BANDS if c > 1 else 1):
             found = r["s"] if c == 1 else r[f"m{c}_{j}"][: len(r["s"]) - c + 1]
@@ -122,6 +131,15 @@ def template_tables(spark: SparkSession, templates: dict[str, str]) -> tuple[dic
     return shingles, keys
 
 
+def anchors(shingles: list[int]) -> dict[int, int]:
+    """Place of each shingle that occurs once in a template; of all shingles, at their first places, where these are fewer than half."""
+    times, first = Counter(shingles), {}
+    for p, h in enumerate(shingles):
+        first.setdefault(h, p)
+    once = {h: p for h, p in first.items() if times[h] == 1}
+    return once if 2 * len(once) >= len(first) else first
+
+
 def _hashed(s: str | Column, j: int) -> Column:
     return F.transform(s, lambda x: F.xxhash64(x, F.lit(j)))
 
@@ -130,40 +148,54 @@ def _windows(c: int):
     return lambda h: minima(h, c, 1)
 
 
+def constant(rows: list, kind: str) -> Column:
+    """A value of that type, folded to one literal."""
+    return F.from_json(F.lit(json.dumps(rows)), kind)
+
+
+def hash_table(entries: list[dict], fields: str) -> Callable[[Column], Column]:
+    """A function from a hash to the entries whose `h` it is: an array of buckets, two for each entry, in the plan."""
+    n = 2 * len(entries) + 1
+    buckets: list[list[dict]] = [[] for _ in range(n)]
+    for e in entries:
+        buckets[e["h"] % n].append(e)
+    table = constant(buckets, f"array<array<struct<h:bigint,{fields}>>>")
+    return lambda x: F.filter(F.get(table, F.pmod(x, F.lit(n).cast("long")).cast("int")), lambda e: e["h"] == x)
+
+
 def scan_licenses(docs: DataFrame, templates: dict[str, str] = LICENSES, id_col: str = "doc_id", text_col: str = "text", least: float = 0.75) -> DataFrame:
     """id_col and `found` for each row: array of (first, last, name, share), the words from first to last (exclusive) hold that share of the template."""
     shingles, keys = template_tables(docs.sparkSession, templates)
     names = sorted(shingles)
-
-    constant = lambda rows, kind: F.from_json(F.lit(json.dumps(rows)), kind)  # noqa: E731  folded to one literal
-    own = constant([shingles[n] for n in names], "array<array<bigint>>")
-    labels = constant(names, "array<string>")
-
-    def candidates(s: Column) -> Column:
-        """(window start, template's number), one for each window that collides in a band."""
-        kinds: list[Column] = []
+    placed = [anchors(shingles[n]) for n in names]
+    distinct = [sorted(set(shingles[n])) for n in names]
+    own, lengths, labels = constant(distinct, "array<array<bigint>>"), constant([len(shingles[n]) for n in names], "array<int>"), constant(names, "array<string>")
+    gaps = constant([max(1, len(shingles[n]) // 4) for n in names], "array<int>")
+    needed = constant([max(1, ceil(least * len(d)) - (len(d) - len(a))) for d, a in zip(distinct, placed, strict=True)], "array<int>")
+    places = hash_table([{"h": h, "t": t, "p": p} for t, a in enumerate(placed) for h, p in a.items()], "t:int,p:int")
+
+    def retrieved(s: Column) -> Column:
+        """Numbers of the templates of which a window collides in a band."""
+        kinds = []
         for (c, j), table in sorted(keys.items()):
             stride = max(1, c // 2)
-            known = sorted(table)
-            those = constant([sorted(names.index(n) for n in table[k]) for k in known], "array<array<int>>")
-            mins = s if c == 1 else let(_hashed(s, j), _strided(c, stride))
-            kinds.append(let(mins, _hits(known, constant(known, "array<bigint>"), those, stride)))
+            behind = hash_table([{"h": h, "t": sorted(names.index(n) for n in those)} for h, those in table.items()], "t:array<int>")
+            kinds.append(let(s if c == 1 else let(_hashed(s, j), _strided(c, stride)), _hits(sorted(table), behind)))
         return F.array_distinct(F.concat(*kinds))
 
-    def verified(s: Column, hit: Column) -> Column:
-        """The span around the hit that holds its template's shingles, and their share."""
-
-        def of(mine: Column) -> Column:
-            size = F.size(mine)
-            first = F.greatest(hit["at"] - size, F.lit(0))
-            span = F.slice(s, first + 1, size * 2 + max(CLASSES))
-            return let(span, lambda a: _share(a, mine, first, F.get(labels, hit["t"])))
-
-        return let(F.get(own, hit["t"]), of)
-
-    whole = lambda s: F.array_distinct(F.filter(F.transform(candidates(s), lambda hit: verified(s, hit)), lambda m: m["share"] >= least))
+    def verified(s: Column, wanted: Column) -> Column:
+        """Matches of the wanted templates."""
+        each = lambda i: F.transform(F.filter(places(F.get(s, i)), lambda e: F.array_contains(wanted, e["t"])), lambda e: F.struct(e["t"].alias("t"), (i - e["p"]).alias("off"), i.alias("i"), e["p"].alias("p")))
+        found = F.sort_array(F.flatten(F.transform(F.sequence(F.lit(0), F.size(s) - 1), each)))
+        groups = let(found, lambda e: let(_starts(e, gaps), lambda at: F.transform(at, lambda j, k: F.slice(e, j + 1, F.coalesce(F.get(at, k + 1), F.size(e)) - j))))
+        enough = F.filter(groups, lambda g: F.size(g) >= F.get(needed, g[0]["t"]))
+        occurrences = F.transform(enough, lambda g: let(_offsets(g), lambda o: _match(s, F.get(own, o["t"]), F.get(lengths, o["t"]), o, F.get(labels, o["t"]))))
+        return F.array_sort(let(F.sort_array(F.filter(occurrences, lambda m: m["share"] >= least)), _apart))
+
+    none = F.array().cast(FOUND)
+    whole = lambda s: let(retrieved(s), lambda t: F.when(F.size(t) == 0, none).otherwise(verified(s, t)))
     text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
-    return docs.select(F.col(f"`{id_col}`"), let(shingle_hashes(text), lambda s: F.when(F.size(s) == 0, F.array().cast(FOUND)).otherwise(whole(s))).alias("found"))
+    return docs.select(F.col(f"`{id_col}`"), let(shingle_hashes(text), lambda s: F.when(F.size(s) == 0, none).otherwise(whole(s))).alias("found"))
 
 
 FOUND = "array<struct<first:int,last:int,name:string,share:double>>"
@@ -173,17 +205,39 @@ def _strided(c: int, stride: int):
     return lambda h: minima(h, c, stride)
 
 
-def _hits(known: list[int], sorted_known: Column, those: Column, stride: int):
-    def hits(m: Column) -> Column:
-        places = F.filter(F.sequence(F.lit(0), F.size(m) - 1), lambda i: F.get(m, i).isin(known))
-        templates = lambda i: F.get(those, F.array_position(sorted_known, F.get(m, i)).cast("int") - 1)
-        some = F.flatten(F.transform(places, lambda i: F.transform(templates(i), lambda t: F.struct((i * stride).alias("at"), t.alias("t")))))
-        return F.when(F.size(m) > 0, some).otherwise(F.array().cast("array<struct<at:int,t:int>>"))
+def _hits(known: list[int], behind: Callable[[Column], Column]):
+    return lambda m: F.flatten(F.flatten(F.transform(F.filter(m, lambda x: x.isin(known)), lambda x: F.transform(behind(x), lambda e: e["t"]))))
+
+
+def _starts(e: Column, gaps: Column) -> Column:
+    """Where occurrences start among sorted (template, offset, ..)."""
+    new = lambda a, b: (a["t"] != b["t"]) | (b["off"] - a["off"] > F.get(gaps, b["t"]))
+    every = F.when(F.size(e) > 0, F.sequence(F.lit(0), F.size(e) - 1)).otherwise(F.array().cast("array<int>"))
+    return F.filter(every, lambda j: (j == 0) | new(F.get(e, j - 1), F.get(e, j)))
+
+
+def _offsets(g: Column) -> Column:
+    """Template, least and greatest offset of an occurrence, each place of the template taken where it is nearest to the median offset."""
+    middle = F.get(g, F.floor(F.size(g) / 2).cast("int"))["off"]
+    near = let(middle, lambda m: F.sort_array(F.transform(g, lambda x: F.struct(x["p"].alias("p"), F.abs(x["off"] - m).alias("d"), x["off"].alias("off")))))
+    once = let(near, lambda a: F.filter(a, lambda x, k: (k == 0) | (F.get(a, k - 1)["p"] != x["p"])))
+    return let(F.transform(once, lambda x: x["off"]), lambda o: F.struct(g[0]["t"].alias("t"), F.array_min(o).alias("low"), F.array_max(o).alias("high")))
+
+
+def _match(s: Column, mine: Column, length: Column, o: Column, name: Column) -> Column:
+    """(name, first, last, share) in the stretch that the template fills at these offsets."""
+    start = F.greatest(o["low"], F.lit(0))
+
+    def of(a: Column) -> Column:
+        front, back = F.array_intersect(a, mine), let(F.reverse(a), lambda r: F.array_position(r, F.get(F.array_intersect(r, mine), 0)))
+        first = start + F.array_position(a, F.get(front, 0)) - 1
+        return F.struct(name.alias("name"), first.cast("int").alias("first"), (start + F.size(a) - back + K).cast("int").alias("last"), (F.size(front) / F.size(mine).cast("double")).alias("share"))
 
-    return hits
+    return let(F.slice(s, start + 1, o["high"] + length - start), of)
 
 
-def _share(a: Column, mine: Column, first: Column, name: Column) -> Column:
-    places = F.filter(F.sequence(F.lit(0), F.size(a) - 1), lambda i: F.array_contains(mine, F.get(a, i)))
-    shared = F.size(F.array_intersect(a, mine)) / F.size(mine).cast("double")
-    return let(places, lambda p: F.struct((first + F.element_at(p, 1)).cast("int").alias("first"), (first + F.element_at(p, -1) + K).cast("int").alias("last"), name.alias("name"), shared.alias("share")))
+def _apart(m: Column) -> Column:
+    """Of sorted matches those that no neighbour of the same name overlaps with a larger share, the first of equals, as (first, last, name, share)."""
+    over = lambda x, y: F.coalesce((x["name"] == y["name"]) & (x["first"] < y["last"]) & (y["first"] < x["last"]), F.lit(False))
+    worse = lambda x, k: (over(x, F.get(m, k - 1)) & (F.get(m, k - 1)["share"] >= x["share"])) | (over(x, F.get(m, k + 1)) & (F.get(m, k + 1)["share"] > x["share"]))
+    return F.transform(F.filter(m, lambda x, k: ~worse(x, k)), lambda x: F.struct(x["first"].alias("first"), x["last"].alias("last"), x["name"].alias("name"), x["share"].alias("share")))

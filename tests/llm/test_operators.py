@@ -4,6 +4,7 @@ import hashlib
 import itertools
 import math
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -167,6 +168,27 @@ def test_spans_hold_the_template(spark):
         licenses.template_tables(spark, {"short": "only three words"})
 
 
+def test_one_match_an_occurrence(spark):
+    """Neighbours, statements twice, texts that hold each other, doubled templates and very long ones: exact counts and spans."""
+    words = lambda t: len(re.findall(r"[^\W_]+", t))
+    mit, bsd3, between = licenses.LICENSES["MIT-text"], licenses.LICENSES["BSD-3-text"], " ".join(f"q{i}" for i in range(40))
+    n, d, long = words(mit), " ".join(f"d{i}" for i in range(50)), " ".join(f"l{i}" for i in range(5600))
+    twice = "Released under the MIT License. And on Released under the MIT License."
+    rows = [(1, f"{mit} {between} {mit}"), (2, bsd3), (3, twice), (4, f"{mit} {mit}"), (5, f"{d} {d}"), (6, f"so {long} end"), (7, " ".join([long[:3000]] + [mit] * 300)), (8, "the software is provided as is without " + mit)]
+    mine = licenses.LICENSES | {"doubled": f"{d} {d}", "long": long}
+    began = time.time()
+    found = {r.doc_id: r.found for r in licenses.scan_licenses(spark.createDataFrame(rows, "doc_id long, text string"), mine).collect()}
+    assert time.time() - began < 60
+    spans = lambda i, name: [(m.first, m.last) for m in found[i] if m.name == name]
+    assert spans(1, "MIT-text") == [(0, n), (n + 40, 2 * n + 40)] and spans(4, "MIT-text") == [(0, n), (n, 2 * n)]
+    assert spans(2, "BSD-3-text") == [(0, words(bsd3))] and len(spans(2, "BSD-2-text")) == 1 and not spans(2, "MIT-text")
+    assert spans(3, "MIT") == [(0, 5), (7, 12)]
+    assert spans(5, "doubled") == [(0, 100)] and spans(6, "long") == [(1, 5601)]
+    assert len(spans(7, "MIT-text")) == 300 and spans(8, "MIT-text") == [(7, n + 7)]
+    own = set(shingles_of(licenses.LICENSES["BSD-2-text"]))
+    assert next(m.share for m in found[2] if m.name == "BSD-2-text") == pytest.approx(len(own & set(shingles_of(bsd3))) / len(own))
+
+
 # 3
 
 BASE = [("assign", re.compile(r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""), 6, 2), ("access", re.compile(r"AKIA[A-Z0-9]+"), 20, 0), ("hex", re.compile(r"[0-9a-f]+"), 24, 0)]
