@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from causeway.functions import hashrand, scalar
 from causeway.functions.hashrand import uniform
-from causeway.operators import cohort, effect_nets, effects, encoding, extraction, forest, line_matching, matching, metrics, reports, search, simulation, tables
+from causeway.operators import cohort, effect_nets, effects, embedding, encoding, extraction, forest, line_matching, matching, metrics, reports, search, simulation, tables
 from causeway.plans import cohorts
 from causeway.plans.cohorts import LABELLED_SQL, ORDERS_SQL
 from causeway.plans.registry import QUERIES, SQL, binomial_cdf_sql, erfc_sql, query, rounded, t_two_sided_sql, u
@@ -369,6 +369,21 @@ def w4_chunks(spark, d):
     return each.select("doc_id", (F.col("i") * 48).cast("long").alias("i"), F.concat(F.lit("["), F.array_join(F.col("c").cast("array<string>"), ","), F.lit("]")).alias("chunk"))
 
 
+BUCKETS = f"list_transform({TOKENS}, lambda w: CAST(CAST('0x' || substr(md5(w), 1, 6) AS UBIGINT) AS BIGINT) % 64)"
+
+
+@query(
+    "SELECT doc_id, i, CAST(len(c) AS BIGINT) AS n_words, CAST(coalesce(list_sum(list_transform(c, lambda b: b + 1)), 0) AS BIGINT) AS checksum, CAST(coalesce(list_max(map_values(list_histogram(c))), 0) AS BIGINT) AS peak "
+    "FROM (SELECT doc_id, i // 48 AS i, x[i + 1 : i + 64] AS c FROM (SELECT doc_id, unnest(range(0, greatest(len(x), 1), 48)) AS i, x FROM (SELECT doc_id, coalesce(" + BUCKETS + ", []) AS x FROM documents)))"
+)
+def v6_chunk_vectors(spark, d):
+    """Each chunk's vector by the offline embedder, read back from half floats: its sum, its largest number and a sum weighted by place."""
+    made = embedding.embedded(table(spark, d, "documents"), "doc_id", "text", embedding.WordBuckets(64), 64, 16)
+    each = embedding.unpacked(made, "doc_id").select("doc_id", F.posexplode("vectors").alias("i", "v"))
+    total = lambda v: F.aggregate(v, F.lit(0.0), lambda s, x: s + x).cast("long")
+    return each.select("doc_id", F.col("i").cast("long").alias("i"), total("v").alias("n_words"), total(F.transform("v", lambda x, k: x * (k + 1).cast("double"))).alias("checksum"), F.array_max("v").cast("long").alias("peak"))
+
+
 @query(
     "SELECT doc_id, CAST(coalesce(list_aggregate(CASE WHEN len(x) <= 32 THEN x ELSE x[1:16] || x[len(x) - 15:] END, 'sum'), 0) AS BIGINT) AS checksum FROM (SELECT doc_id, " + IDS + " AS x FROM documents)",
 )

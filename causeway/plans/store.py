@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from causeway.functions.hashrand import uniform
-from causeway.operators import reports
+from causeway.operators import embedding, reports
 from causeway.sources.tables import exists
 
 
@@ -106,21 +106,41 @@ def dataset_statistics(df: DataFrame, treatment: str, outcome: str, text: str, n
 
 
 class VectorCache:
-    """Ragged vectors of texts under a key of what decides them: parquet with 32-bit elements, and a document that tells model, width and number."""
-
-    def __init__(self, spark: SparkSession, folder: str, **decides):
-        self.spark, self.decides = spark, decides
-        self.path = f"{folder}/{hashlib.md5(json.dumps(decides, sort_keys=True, default=str).encode()).hexdigest()[:12]}"
-
-    def save(self, df: DataFrame, key: str, vectors: str) -> None:
-        """vectors: array<array<float>>, one vector for each chunk."""
-        df.select(F.col(key).alias("key"), F.col(vectors).cast("array<array<float>>").alias("vectors")).write.mode("overwrite").parquet(f"{self.path}/vectors")
-        stats = self.load().agg(F.count("*").alias("n"), F.sum(F.size("vectors")).alias("chunks"), F.max(F.size(F.get("vectors", 0))).alias("width"))
-        write_json(stats.withColumn("decides", F.lit(json.dumps(self.decides, sort_keys=True, default=str))), f"{self.path}/metadata")
-
-    def load(self) -> DataFrame:
-        return self.spark.read.parquet(f"{self.path}/vectors")
-
-    def valid(self, rows: int) -> bool:
-        """Whether there is a cache of exactly these many rows."""
-        return exists(self.spark, f"{self.path}/metadata/_SUCCESS") and self.spark.read.json(f"{self.path}/metadata").first()["n"] == rows
+    """Ragged vectors of texts under a key of what decides them: rows of embedding.embedded() as parquet, each valid for the text whose hash it holds.
+
+    Filled in waves by hash of the key, each a job of its own that takes only texts without vectors, so a run that broke off goes on where it
+    stopped. A changed text is embedded again; vectors of texts that are gone stay and are not read.
+    """
+
+    def __init__(self, spark: SparkSession, folder: str, embedder: embedding.Embedder, size: int = 256, overlap: int = 32):
+        self.spark, self.embedder, self.size, self.overlap = spark, embedder, size, overlap
+        decides = json.dumps({"embedder": embedder.name, "width": embedder.width, "size": size, "overlap": overlap}, sort_keys=True)
+        self.path = f"{folder.rstrip('/')}/{hashlib.md5(decides.encode()).hexdigest()[:12]}"
+
+    def _stored(self, df: DataFrame, key: str) -> DataFrame:
+        kind = df.schema[key].dataType.simpleString()
+        schema = f"__key {kind}, __content string, offsets array<int>, block binary"
+        return self.spark.read.schema(schema).parquet(self.path) if exists(self.spark, self.path) else self.spark.createDataFrame([], schema)
+
+    def _with(self, df: DataFrame, key: str, text: str, stored: DataFrame, how: str) -> DataFrame:
+        own = df.withColumn("__own", embedding.text_hash(F.col(text)))
+        return own.join(stored, F.col(key).eqNullSafe(F.col("__key")) & (F.col("__own") == F.col("__content")), how).drop("__own", "__key", "__content")
+
+    def missing(self, df: DataFrame, key: str, text: str) -> DataFrame:
+        """The rows of df whose text has no vectors yet."""
+        return self._with(df, key, text, self._stored(df, key).select("__key", "__content"), "left_anti")
+
+    def fill(self, df: DataFrame, key: str, text: str, waves: int = 8) -> None:
+        given = df.select(key, text).dropDuplicates()
+        for w in range(waves):
+            todo = self.missing(given.where(F.pmod(F.xxhash64(key), F.lit(waves)) == w), key, text)
+            made = embedding.embedded(todo, key, text, self.embedder, self.size, self.overlap)
+            made.withColumnsRenamed({key: "__key", "content": "__content"}).write.mode("append").parquet(self.path)
+
+    def load(self, df: DataFrame, key: str, text: str) -> DataFrame:
+        """df with offsets and block, null where the store lacks the text."""
+        return self._with(df, key, text, self._stored(df, key).dropDuplicates(["__key", "__content"]), "left")
+
+    def valid(self, df: DataFrame, key: str, text: str) -> bool:
+        """Whether every text, as it is now, has its vectors."""
+        return self.missing(df, key, text).isEmpty()

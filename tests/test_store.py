@@ -1,8 +1,11 @@
 """Result documents, grids, datasets and caches go out and come back."""
 
+import hashlib
+import re
+
 import numpy as np
 import pytest
-from causeway.operators import encoding, forest, simulation, textmodels
+from causeway.operators import embedding, encoding, forest, simulation, textmodels
 from causeway.plans import arms, store
 from pyspark.sql import functions as F
 
@@ -43,11 +46,71 @@ def test_dataset_and_cache(spark, tmp_path):
     df = spark.createDataFrame([(1, "abc", 1, 0), (2, "abcde", 0, 1)], "id long, text string, t int, y int")
     written = store.write_dataset(df, str(tmp_path / "d"), {"treatment": {"intercept": 0.1}}, specs, "t", "y", "text")
     assert store.read_metadata(spark, str(tmp_path / "d")) == written and written["statistics"]["mean_chars"] == 4.0 and written["effect_modifiers"] == []
-    cache = store.VectorCache(spark, str(tmp_path / "c"), model="m", length=10)
-    assert not cache.valid(2)
-    cache.save(spark.createDataFrame([(1, [[0.5, 1.0]]), (2, [[1.0, 2.0], [3.0, 4.0]])], "id long, v array<array<double>>"), "id", "v")
-    assert cache.valid(2) and not cache.valid(3) and sorted(r.key for r in cache.load().collect()) == [1, 2]
-    assert store.VectorCache(spark, str(tmp_path / "c"), model="m", length=11).path != cache.path
+
+
+class Failing(embedding.WordBuckets):
+    """Breaks off at a text that holds a word."""
+
+    def __init__(self, width, word):
+        super().__init__(width)
+        self.word = word
+
+    def client(self):
+        ask, word = super().client(), self.word
+
+        def run(texts):
+            if any(word in t for t in texts):
+                raise RuntimeError("lost")
+            return ask(texts)
+
+        return run
+
+
+def test_vectors_survive_broken_runs_and_changed_texts(spark, tmp_path):
+    texts = [(i, " ".join(f"w{(i * 7 + j) % 30}" for j in range(i * 9))) for i in range(12)] + [(20, None), (21, ""), (None, "a b"), (3, "other text of one id"), (5, None)]
+    df = spark.createDataFrame([*texts, texts[2]], "id long, text string")
+    size, overlap, e = 16, 4, embedding.WordBuckets(8)
+    cache = store.VectorCache(spark, str(tmp_path / "v"), e, size, overlap)
+    assert not cache.valid(df, "id", "text") and cache.missing(df, "id", "text").count() == len(texts) + 1
+    broken = store.VectorCache(spark, str(tmp_path / "v"), Failing(8, "other"), size, overlap)
+    assert broken.path == cache.path
+    with pytest.raises(Exception, match="lost"):
+        broken.fill(df, "id", "text", waves=4)
+    left = cache.missing(df, "id", "text").count()
+    assert left > 0
+    done = cache._stored(df, "id").count()
+    cache.fill(df, "id", "text", waves=4)
+    assert cache.valid(df, "id", "text") and cache._stored(df, "id").count() == len(texts) and done < len(texts)
+    for row in cache.load(df, "id", "text").collect():
+        words = re.findall(r"[a-z0-9]+", row.text or "")
+        chunks = [words[i : i + size] for i in range(0, max(len(words), 1), size - overlap)]
+        want = np.array([np.bincount([int(hashlib.md5(w.encode()).hexdigest()[:6], 16) % 8 for w in c], minlength=8) for c in chunks])
+        assert row.offsets == [8 * i for i in range(len(chunks) + 1)]
+        assert np.array_equal(np.frombuffer(row.block, "<f2").reshape(-1, 8), want)
+    changed = df.withColumn("text", F.when(F.col("id") == 4, "new words").otherwise(F.col("text")))
+    assert [r.id for r in cache.missing(changed, "id", "text").collect()] == [4] and not cache.valid(changed, "id", "text")
+    assert cache.load(changed, "id", "text").where("block is null").count() == 1
+    assert store.VectorCache(spark, str(tmp_path / "v"), e, size, 5).path != cache.path
+    out = embedding.unpacked(cache.load(df, "id", "text"), "id")
+    assert out.where("id = 11").first().vectors[0] == [float(x) for x in np.frombuffer(cache.load(df, "id", "text").where("id = 11").first().block, "<f2")[:8]]
+    assert embedding.embedded(df.limit(0), "id", "text", e).count() == 0
+
+
+def test_vectors_keep_half_precision(spark):
+    class Normal(embedding.WordBuckets):
+        def client(self):
+            return lambda texts: np.stack([np.random.default_rng(len(t)).normal(size=8) for t in texts])
+
+    class Short(embedding.WordBuckets):
+        def client(self):
+            return lambda texts: np.zeros((len(texts), 3))
+
+    df = spark.createDataFrame([(i, "x" * (i + 1)) for i in range(5)], "id long, text string")
+    for r in embedding.unpacked(embedding.embedded(df, "id", "text", Normal(8), batch=2), "id").collect():
+        x = np.random.default_rng(r.id + 1).normal(size=8)
+        assert len(r.vectors) == 1 and np.allclose(r.vectors[0], x, rtol=1e-3) and np.array_equal(np.float32(r.vectors[0]), x.astype("f2").astype("f4"))
+    with pytest.raises(Exception, match="owes 8"):
+        embedding.embedded(df, "id", "text", Short(8)).count()
 
 
 def test_svd_finds_the_leading_directions(spark):
