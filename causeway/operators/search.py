@@ -13,7 +13,9 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from causeway.functions.workers import by_value
+from causeway.operators import cohort
 from causeway.operators.encoding import FeatureSpec
+from causeway.sources.tables import exists
 
 by_value(__name__)
 
@@ -365,3 +367,57 @@ def search(df: DataFrame, specs: list[FeatureSpec], agent: Agent, ensure: Callab
         idle = 0
         specs, df = trials[best["candidate"]]
     return specs, without_examples(decisions)
+
+
+# outer folds around the search
+
+
+def cell_losses(df: DataFrame, fold: str, columns: list[str], outcome: str, treatment: str, propensity: str) -> DataFrame:
+    """fold, r_loss, outcome_auroc and treatment_auroc (null: not measured): the R-loss of effects that differ by the columns' values.
+
+    Means of the outcome and effects of a cell come from its rows in other folds; a cell without any has those folds' mean and no effect.
+    Everything is a sum by cell and fold; rows meet these tables by one join each.
+    """
+    r, w = F.col(outcome) - F.col("__m"), F.col(treatment) - F.col(propensity)
+
+    def elsewhere(rows: DataFrame, **sums: Column) -> DataFrame:
+        """Sums by cell over the other folds, for each cell and fold."""
+        keys = [f"__c{i}" for i in range(len(columns))]
+        own = rows.groupBy(*keys, fold).agg(*[F.sum(x).alias(f"own_{n}") for n, x in sums.items()])
+        over = Window.partitionBy(*keys)  # the folds of a cell
+        return own.select(*keys, fold, *[(F.sum(f"own_{n}").over(over) - F.col(f"own_{n}")).alias(f"__{n}") for n in sums])
+
+    rows = df.withColumns({f"__c{i}": F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("")) for i, c in enumerate(columns)})
+    cells = [*[f"__c{i}" for i in range(len(columns))], fold]
+    whole = rows.groupBy(fold).agg(F.count("*").alias("n"), F.sum(outcome).alias("s")).select(fold, (F.sum("s").over(Window.partitionBy()) - F.col("s")).alias("__os"), (F.sum("n").over(Window.partitionBy()) - F.col("n")).alias("__on"))  # a row a fold
+    put = rows.join(F.broadcast(whole), fold).join(elsewhere(rows, n=F.lit(1), s=F.col(outcome)), cells)
+    put = put.withColumn("__m", F.coalesce(F.try_divide("__s", "__n"), F.try_divide("__os", "__on"), F.lit(0.0))).drop("__s", "__n", "__os", "__on")
+    judged = put.join(elsewhere(put, a=w * r, b=w * w), cells).withColumn("__tau", F.coalesce(F.try_divide("__a", "__b"), F.lit(0.0)))
+    none = F.lit(None).cast("double")
+    return judged.groupBy(fold).agg(F.avg(F.pow(r - w * F.col("__tau"), F.lit(2))).alias("r_loss")).select(F.col(fold).alias("fold"), "r_loss", none.alias("outcome_auroc"), none.alias("treatment_auroc"))
+
+
+def outer_search(df: DataFrame, key: str, specs: list[FeatureSpec], agent: Callable[[int], Agent], ensure: Callable[[DataFrame, list[FeatureSpec]], DataFrame], losses: Callable[[DataFrame, str, list[FeatureSpec]], DataFrame], folder: str, outer: int = 5, inner: int = 3, seed: int = 42, **how) -> DataFrame:
+    """outer_fold, features (names in order), held_out_loss: an independent search() for each outer fold, on the other folds' rows alone.
+
+    `losses(df, fold, specs)` judges specs by the folds in that column; inner folds are dealt anew each turn within the training rows. What is
+    found is then judged on the held-out rows by cell means and effects of the training rows. Each fold's decisions and outcome are tables under
+    `folder`, the outcome last: a run that broke off goes on with the folds without one.
+    """
+    spark, dealt = df.sparkSession, cohort.folds(df, key, outer, seed).withColumnRenamed("cv_fold", "outer_fold")
+    for f in range(1, outer + 1):
+        if exists(spark, f"{folder}/chosen/outer_fold={f}/_SUCCESS"):
+            continue
+        train = dealt.where(F.col("outer_fold") != f)
+
+        def evaluate(d: DataFrame, some: list[FeatureSpec], turn: int, f: int = f) -> DataFrame:
+            return losses(cohort.folds(d, key, inner, seed + 1000 * f + turn), "cv_fold", some)
+
+        found, decisions = search(train, specs, agent(f), ensure, evaluate, **how)
+        lines = spark.createDataFrame([(json.dumps({"outer_fold": f, **d}),) for d in decisions], "value string")
+        lines.coalesce(1).write.mode("overwrite").text(f"{folder}/decisions/outer_fold={f}")
+        halves = ensure(dealt, found).withColumn("__half", (F.col("outer_fold") == f).cast("int"))
+        judged = losses(halves, "__half", found).where("fold = 1")
+        out = judged.select(F.array(*[F.lit(s.name) for s in found]).cast("array<string>").alias("features"), F.col("r_loss").alias("held_out_loss"))
+        out.write.mode("overwrite").parquet(f"{folder}/chosen/outer_fold={f}")
+    return spark.read.parquet(f"{folder}/chosen").select("outer_fold", "features", "held_out_loss")
