@@ -401,8 +401,10 @@ def outer_search(df: DataFrame, key: str, specs: list[FeatureSpec], agent: Calla
     """outer_fold, features (names in order), held_out_loss: an independent search() for each outer fold, on the other folds' rows alone.
 
     `losses(df, fold, specs)` judges specs by the folds in that column; inner folds are dealt anew each turn within the training rows. What is
-    found is then judged on the held-out rows by cell means and effects of the training rows. Each fold's decisions and outcome are tables under
-    `folder`, the outcome last: a run that broke off goes on with the folds without one.
+    found is then judged on the held-out rows, cross-fitted in two halves: their means are those of the training rows, but the training rows'
+    residuals, from which effects come, are taken around means of the held-out half. So the choice of features is free of held-out rows and
+    held_out_loss is not wholly free of their outcomes. Each fold's decisions and outcome are tables under `folder`, the outcome last: a run that
+    broke off goes on with the folds without one.
     """
     spark, dealt = df.sparkSession, cohort.folds(df, key, outer, seed).withColumnRenamed("cv_fold", "outer_fold")
     for f in range(1, outer + 1):
