@@ -10,7 +10,8 @@ is thus found in both (the match guarantee), and the place of each kept gram, co
 tell where.
 
 A gram's 32-bit hash and its place are one long, hash first and the place counted backwards, so the minimum of a window is the least hash
-and the rightmost place; the minima of w = 2^m grams come from m rounds of pairwise minima of shifted arrays.
+and the rightmost place; the minima of w = 2^m grams come from m rounds of pairwise minima at a distance, read in place: slices would copy the
+grams six times a text.
 
 Edge cases: a null text is an empty one; without units the fingerprint is empty, with fewer than k units they are one gram together, with
 fewer than w grams their minimum is kept; two empty fingerprints are alike (1), an empty and another not at all (0); repeated rows are
@@ -28,9 +29,12 @@ from pyspark.sql import functions as F
 from causeway.llm.common import let, partitions
 
 K, ROUNDS = 5, 3  # units in a gram; 2 ** ROUNDS grams in a window
-#: About a third of letters and digits, and all code points beyond ASCII.
-END = r"cfiloruxCFILORUX258\x{80}-\x{10FFFF}"
-UNIT = r"N{0,2}[E]|N{1,3}(?![^B])|N".replace("N", "[^BE]").replace("E", END).replace("B", r"\x20\x09-\x0D")
+BLANKS = " \t\n\v\f\r"
+#: About a third of letters and digits; all code points beyond ASCII end a unit too.
+ENDS = "cfiloruxCFILORUX258"
+OTHERS = "".join(rf"\x{i:02x}" for i in range(128) if chr(i) not in BLANKS + ENDS)
+#: ASCII classes as lists of characters, which Java looks up in a table, and possessive counts: what either would try again can't match, as OTHERS and the ends are disjoint.
+UNIT = r"N{0,2}+E|N{1,3}+(?![^B])|N".replace("N", f"[{OTHERS}]").replace("E", rf"[{ENDS}\x{{80}}-\x{{10FFFF}}]").replace("B", "".join(rf"\x{ord(c):02x}" for c in BLANKS))
 PLACES = (1 << 31) - 1
 
 
@@ -48,14 +52,11 @@ def winnow(text: Column, k: int = K, rounds: int = ROUNDS) -> Column:
     def minima(g: Column) -> Column:
         for shift in [1 << j for j in range(rounds)]:
             g = let(g, paired(shift))
-        return g
+        # the last windows are cut off by the end; without a whole one the first has all grams
+        return let(g, lambda a: F.slice(a, F.lit(1), F.greatest(F.size(a) - ((1 << rounds) - 1), F.least(F.size(a), F.lit(1)))))
 
     def paired(shift: int):
-        def both(a: Column) -> Column:
-            n = F.size(a) - shift
-            return F.zip_with(F.slice(a, F.lit(1), n), F.slice(a, F.lit(shift + 1), n), lambda x, y: F.least(x, y))
-
-        return lambda a: F.when(F.size(a) > shift, both(a)).when(F.size(a) > 1, F.array(F.array_min(a))).otherwise(a)
+        return lambda a: F.transform(a, lambda x, i: F.least(x, F.get(a, i + shift)))  # beyond the end null, which least passes over
 
     kept = F.array_distinct(minima(let(units, grams)))
     return F.transform(kept, lambda x: F.struct(F.shiftright(x, 31).cast("long").alias("hash"), (F.lit(PLACES) - x.bitwiseAND(F.lit(PLACES))).cast("int").alias("place")))

@@ -67,6 +67,20 @@ def test_equal_grams_keep_the_rightmost(spark):
     assert [g.place for g in grams] == list(range(7, 36)) and len({g.hash for g in grams}) == 1
 
 
+def test_minima_copy_no_grams(spark, capsys):
+    """A slice for the grams' starts and one for whole windows; the rounds of minima read in place."""
+    table = spark.createDataFrame([("é a\x0bcx\x01bbbb b\tbbc",), ("",), ("a",)], "t string")
+    table.select(fingerprints.winnow(F.col("t")).alias("kept")).explain()
+    assert capsys.readouterr().out.count("slice(") == 2
+    # units are those of the plain form of the pattern
+    end = r"cfiloruxCFILORUX258\x{80}-\x{10FFFF}"
+    plain = r"N{0,2}[E]|N{1,3}(?![^B])|N".replace("N", "[^BE]").replace("E", end).replace("B", r"\x20\x09-\x0D")
+    r = np.random.default_rng(8)
+    texts = [("".join(r.choice(list(kind), 400)),) for kind in ("ab c", "bbbbc\t", "".join(map(chr, range(128))), "b é中😀\x7f\x80\x85\u2028") for _ in range(20)]
+    units = lambda p: F.regexp_extract_all("t", F.lit(p), F.lit(0))
+    assert spark.createDataFrame(texts, "t string").where(units(plain) != units(fingerprints.UNIT)).count() == 0
+
+
 def test_text_without_blanks_survives_a_shift(spark):
     r = np.random.default_rng(3)
     kinds = {"chinese": [chr(c) for c in range(0x4E00, 0x5A00)], "base64": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", "digits": "0134679", "accents": "aeéüñzß"}
