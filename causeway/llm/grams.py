@@ -261,11 +261,16 @@ def heavy(texts: DataFrame, sizes: tuple[int, ...], fold: bool = False, most: in
 
 
 def among(values: np.ndarray, few: np.ndarray) -> np.ndarray:
-    """Of each value its place in few, which is sorted, or -1."""
-    if not len(few):
-        return np.full(len(values), -1, np.int64)
-    at = np.minimum(np.searchsorted(few, values), len(few) - 1)
-    return np.where(few[at] == values, at, -1)
+    """Of each value its place in few, which is sorted, or -1. Only values whose upper 20 bits one of few shares are searched for."""
+    out = np.full(len(values), -1, np.int64)
+    if len(few):
+        held = np.zeros(1 << 20, bool)
+        held[few >> np.uint64(44)] = True
+        some = np.flatnonzero(held[values >> np.uint64(44)])
+        own = values[some]
+        at = np.minimum(np.searchsorted(few, own), len(few) - 1)
+        out[some] = np.where(few[at] == own, at, -1)
+    return out
 
 
 def own_windows(ends: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:

@@ -364,6 +364,19 @@ def test_heavy_grams_are_those_of_a_good_share(spark):
     assert not len(grams.heavy(spark.createDataFrame(rows, "text string"), (1,), floor=401)[1])
 
 
+def test_few_values_are_searched_for_among_heavy_ones(monkeypatch):
+    r = np.random.default_rng(9)
+    few = np.unique(np.concatenate([r.integers(0, 1 << 63, 2000).astype(np.uint64) * np.uint64(2), np.array([0, (1 << 64) - 1], np.uint64)]))
+    near = np.concatenate([few + np.uint64(1), few - np.uint64(1)])  # with the upper bits of heavy ones, and wrapped around
+    values = r.permutation(np.concatenate([few[::2], near, mixed := grams.mix(np.arange(100_000, dtype=np.uint64))]))
+    places = {int(v): i for i, v in enumerate(few)}
+    searched, search = [], np.searchsorted
+    monkeypatch.setattr(np, "searchsorted", lambda a, v, *more: searched.append(len(v)) or search(a, v, *more))
+    assert grams.among(values, few).tolist() == [places.get(int(v), -1) for v in values]
+    assert sum(searched) < len(values) - 0.9 * len(mixed)
+    assert grams.among(values, few[:0]).tolist() == [-1] * len(values) and not len(grams.among(values[:0], few))
+
+
 # 5
 
 
