@@ -238,7 +238,8 @@ def heavy(texts: DataFrame, sizes: tuple[int, ...], fold: bool = False, most: in
                 values, counts = np.unique(np.concatenate([*held[n], np.zeros(0, np.uint64)]), return_counts=True)
                 total = int(counts.sum())
                 some = counts >= max(2, total // most)
-                yield pa.RecordBatch.from_arrays([pa.array(np.append(np.full(some.sum(), n), -n), pa.int32()), pa.array(np.append(values[some], np.uint64(0)).view(np.int64)), pa.array(np.append(counts[some], total), pa.int64())], ["n", "value", "times"])
+                rows = np.append(values[some], np.uint64(0)).view(np.int64), np.append(counts[some], 0), np.append(np.zeros(some.sum(), np.int64), total)  # the last: of all n-grams
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(rows[0]), n), pa.int32()), *(pa.array(x, pa.int64()) for x in rows)], ["n", "value", "times", "total"])
                 held[n].clear()
 
         for batch in batches:
@@ -252,10 +253,11 @@ def heavy(texts: DataFrame, sizes: tuple[int, ...], fold: bool = False, most: in
                     size = 0
         yield from report()
 
-    counted = texts.mapInArrow(run, "n int, value long, times long").groupBy("n", "value").agg(F.sum("times").alias("times"))
-    total = counted.where("n < 0").select((-F.col("n")).alias("n"), F.col("times").alias("total"))
+    counted = texts.mapInArrow(run, "n int, value long, times long, total long").groupBy("n", "value").agg(F.sum("times").alias("times"), F.sum("total").alias("total"))
+    # both sides pick rows by both sums: a filter on a key would go below the sums, an unused sum be dropped, and the texts be read once for each side
+    total = counted.where("total > 0 and times >= 0").select("n", "total")
     # no more than `most` values can have a share of one of `most`
-    often = counted.where((F.col("n") > 0) & (F.col("times") >= floor)).join(F.broadcast(total), "n").where(F.col("times") * most >= F.col("total"))  # total: a row for each n
+    often = counted.where((F.col("times") >= max(1, floor)) & (F.col("total") >= 0)).select("n", "value", "times").join(F.broadcast(total), "n").where(F.col("times") * most >= F.col("total"))  # total: a row for each n
     found = often.select("n", "value").collect()
     return {n: np.sort(np.array([r["value"] for r in found if r["n"] == n], np.int64).view(np.uint64)) for n in sizes}
 

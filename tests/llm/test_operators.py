@@ -364,6 +364,18 @@ def test_heavy_grams_are_those_of_a_good_share(spark):
     assert not len(grams.heavy(spark.createDataFrame(rows, "text string"), (1,), floor=401)[1])
 
 
+def test_heavy_grams_read_texts_once(spark):
+    read = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for b in batches:
+            read.add(b.num_rows)
+            yield b
+
+    texts = spark.createDataFrame([("the same five words here",)] * 40, "text string").mapInArrow(count, "text string")
+    assert len(grams.heavy(texts, (1,), floor=10)[1]) == 5 and read.value == 40
+
+
 def test_few_values_are_searched_for_among_heavy_ones(monkeypatch):
     r = np.random.default_rng(9)
     few = np.unique(np.concatenate([r.integers(0, 1 << 63, 2000).astype(np.uint64) * np.uint64(2), np.array([0, (1 << 64) - 1], np.uint64)]))
