@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from causeway.llm import grams
 from causeway.llm.common import by_value, checkpointed, partitions, unused
-from causeway.llm.components import components
+from causeway.llm.components import stars
 
 by_value(__name__)
 
@@ -282,7 +282,7 @@ def labelled_rows(docs: DataFrame, id_col: str, text_col: str, words: int, perce
     classes = checkpointed(live.groupBy("set").agg(F.min("key").alias("class"), F.min(F.struct("id", "key")).alias("least")))
     member = live.select("key", "set").join(classes, "set").select("key", "class")
     sets = checkpointed(live.join(classes.select(F.col("class").alias("key")), "key", "left_semi").dropDuplicates(["key"]).select("key", "n", "singles", "tokens"))
-    edges, tried, labelled = None, None, sets.withColumn("comp", F.col("key"))
+    state, tried, labelled = None, None, sets.withColumn("comp", F.col("key"))
     for turn in range(rounds + 1):
         posts = posted(labelled, percent, parts)
         if turn == rounds:
@@ -292,10 +292,9 @@ def labelled_rows(docs: DataFrame, id_col: str, text_col: str, words: int, perce
             pairs = checkpointed(likeliest(posts, percent, parts, turn))
             tried = pairs if tried is None else tried.unionByName(pairs)
         linked = verified(pairs, sets, percent)
-        edges = checkpointed(linked if edges is None else edges.unionByName(linked))
-        state = components(edges)
-        labelled = sets.join(state.select(F.col("node").alias("key"), "component"), "key", "left").withColumn("comp", F.coalesce("component", "key")).drop("component")
-    grouped = checkpointed(classes.select("class", "least").join(state.select(F.col("node").alias("class"), F.col("component").alias("root")), "class", "left").withColumn("root", F.coalesce("root", "class")))
+        state = stars(linked if state is None else linked.unionByName(state))  # stars stand for all links before
+        labelled = sets.join(state.select(F.col("u").alias("key"), F.col("v").alias("component")), "key", "left").withColumn("comp", F.coalesce("component", "key")).drop("component")
+    grouped = checkpointed(classes.select("class", "least").join(state.select(F.col("u").alias("class"), F.col("v").alias("root")), "class", "left").withColumn("root", F.coalesce("root", "class")))
     least = grouped.groupBy("root").agg(F.min("least").alias("first"))
     labels = grouped.join(least, "root").select("class", "first").join(member, "class").select("key", "first").distinct()
     return found.select("key", "id", "n").join(labels, "key", "left").withColumn("first", F.coalesce("first", F.struct("id", "key")))

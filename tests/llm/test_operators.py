@@ -509,6 +509,31 @@ def test_components(spark):
     assert out == {**{i: 0 for i in range(41)}, 90: 0, 100: 100, 101: 100}
 
 
+@pytest.mark.parametrize("whole", [1 << 17, 0])
+def test_components_of_hubs_and_chains(spark, monkeypatch, whole):
+    monkeypatch.setattr(components, "WHOLE", whole)  # 0: hubs alone are broadcast
+    r = np.random.default_rng(3)
+    name = [int(x) for x in r.permutation(2000)]
+    edges = [(0, i) for i in range(1, 300)] + [(i, 300) for i in range(290, 600)] + [(i, i + 1) for i in range(700, 760)] + [(int(a), int(b)) for a, b in r.integers(800, 2000, (700, 2))]
+    label = list(range(2000))
+    find = lambda i: i if label[i] == i else find(label[i])
+    for a, b in edges:
+        label[find(a)] = find(b)
+    groups = defaultdict(list)
+    for i in {i for a, b in edges if a != b for i in (a, b)}:
+        groups[find(i)].append(name[i])
+    out = components.components(spark.createDataFrame([(name[a], name[b]) for a, b in edges], "u long, v long")).collect()
+    assert len(out) == sum(map(len, groups.values())) and {r.node: r.component for r in out} == {i: min(g) for g in groups.values() for i in g}
+
+
+def test_stars_take_no_further_step(spark, monkeypatch):
+    made, write = [], components.checkpointed
+    monkeypatch.setattr(components, "checkpointed", lambda df: made.append(1) or write(df))
+    edges = [(i, i % 7) for i in range(7, 600)]
+    out = {r.node: r.component for r in components.components(spark.createDataFrame(edges, "u long, v long")).collect()}
+    assert out == {i: i % 7 for i in range(600)} and len(made) == 1
+
+
 # 8
 
 
