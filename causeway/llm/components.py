@@ -1,9 +1,9 @@
 """Connected components by alternating large-star and small-star steps, each a join and an aggregation; nothing comes to the driver but counts.
 
 The edges are done when they are stars: no node with a smaller neighbour has another one. Of a graph of up to WHOLE nodes the least neighbours
-are broadcast, so that a pair of steps costs three shuffles. In a larger one a node with a thousandth of all edges or more (and a hundred at
-least) is a hub. There are 2000 hubs at most, so where there are any their least neighbours are broadcast and their edges stay where they are;
-edges of other nodes meet theirs in a shuffle, where no key has more.
+are broadcast, so that a pair of steps costs three shuffles and the test for stars one. In a larger one a node with a thousandth of all edges
+or more (and a hundred at least) is a hub. There are 2000 hubs at most, so where there are any their least neighbours are broadcast and their
+edges stay where they are; edges of other nodes meet theirs in a shuffle, where no key has more.
 """
 
 from __future__ import annotations
