@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from causeway.functions import notes, scalar
-from causeway.operators import search, tables, textmodels
+from causeway.operators import quantiles, search, tables, textmodels
 from causeway.operators.encoding import FeatureSpec
 from causeway.plans.registry import query, u
 from causeway.sources.tables import table
@@ -143,7 +143,8 @@ def f21_markers(spark, d):
 def f24_t6_mentions(spark, d):
     text = _text("Brand: ", F.col("p_brand"), "\n| **Size** | ", F.col("p_size"), " | x |\n|---|---|\nBRAND: ", F.lower("p_brand"), "\nplain text")
     shown = F.array_join(F.transform(notes.mentions(text), lambda m: F.concat(F.lit("["), F.concat_ws("|", m["source"], m["label"], m["value"]), F.lit("]"))), "")
-    return table(spark, d, "part").select("p_partkey", shown.alias("mentions"))
+    part = table(spark, d, "part").select("p_partkey", "p_brand", "p_size")
+    return part.repartition(quantiles.parts(part)).select("p_partkey", shown.alias("mentions"))  # a small file's rows, many tasks' work
 
 
 @query("SELECT n_nationkey, 'Name: ' || n_name || ' - 2 fine' AS cleaned FROM nation")

@@ -1,6 +1,7 @@
 """Text parsers and search rules on small vectors."""
 
 import json
+import time
 
 import pytest
 from causeway.functions import notes, scalar
@@ -55,6 +56,17 @@ def test_mentions(spark):
     assert one(spark, notes.mentions, "") == []
 
 
+def test_many_mentions_are_each_parsed_once(spark):
+    """Time is in proportion to a text's lines: it was quadratic, as the parse was repeated for each mention."""
+    lines = [f"Item {i % 150}x: grade {i % 150}" for i in range(1500)] + ["Width: １２ﬁ", "| *a b* | 7\u00a0mg | x |"]
+    began = time.monotonic()
+    found = [(m.label, m.value, m.source) for m in one(spark, lambda t: notes.mentions(t, 500), "\n".join(lines))]
+    assert time.monotonic() - began < 30
+    want = sorted(range(150), key=lambda i: (-len(f"Item {i}x"), -len(f"grade {i}"), i))
+    assert [f for f in found if f[2] == "inline"] == [(f"Item {i}x", f"grade {i}", "inline") for i in want] + [("Width", "12fi", "inline")]
+    assert ("a b", "7 mg", "table") in found and len(found) == 152
+
+
 def test_prompts_round_trip(spark):
     specs = [encoding.FeatureSpec("age", "continuous", description="Age"), encoding.FeatureSpec("stage", "categorical", ("i_a", "iv"), description="Stage")]
     df = spark.createDataFrame([(61.5, "i_a")], "age double, stage string")
