@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from causeway.functions.scalar import ngram_buckets, tokens
 from causeway.functions.workers import by_value
+from causeway.operators import terms
 from causeway.operators.quantiles import quantiles
 
 by_value(__name__)
@@ -54,16 +55,15 @@ def vocabulary(df: DataFrame, text: str, size: int = 10_000, least: int = 2) ->
 
 def tfidf(df: DataFrame, key: str, text: str, least: int = 5, most: float = 0.95, size: int = 10_000) -> DataFrame:
     """key, term, weight: words and word pairs, sublinear tf, smoothed idf, unit length; terms in too few or too many rows are left out."""
-    words = F.regexp_extract_all(F.lower(F.col(text)), F.lit("[a-z0-9_]{2,}"), F.lit(0))
-    pairs = lambda w: F.when(F.size(w) > 1, F.zip_with(F.slice(w, F.lit(1), F.size(w) - 1), F.slice(w, F.lit(2), F.size(w) - 1), lambda a, b: F.concat_ws(" ", a, b))).otherwise(F.array().cast("array<string>"))
-    tf = df.select(key, F.explode(F.concat(words, pairs(words))).alias("term")).groupBy(key, "term").agg(F.count("*").alias("tf"))
-    n = df.agg(F.count("*").alias("__n"))
-    counted = tf.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("total")).join(F.broadcast(n)).where((F.col("df") >= least) & (F.col("df") <= F.col("__n") * most))
-    kept = counted.orderBy(F.desc("total"), "term").limit(size).select("term", (F.ln((1 + F.col("__n")) / (1 + F.col("df"))) + 1).alias("idf"))
-    raw = tf.join(F.broadcast(kept), "term").select(key, F.struct("term", ((1 + F.ln("tf")) * F.col("idf")).alias("x")).alias("v"))  # kept: `size` rows at most
-    rows = raw.groupBy(key).agg(F.collect_list("v").alias("v"))  # at most `size` terms of a document
-    norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, e: s + e["x"] * e["x"]))
-    return rows.withColumn("norm", norm).select(key, "norm", F.explode("v").alias("e")).select(key, "e.term", (F.col("e.x") / F.col("norm")).alias("weight"))
+    rows, n = df.select(key, terms.lowered(F.col(text)).alias("__text")), None
+    if _repeats(df, key):  # rows of one key are one text, without pairs across them
+        rows, n = rows.groupBy(key).agg(F.array_join(F.collect_list("__text"), terms.BREAK).alias("__text")), df.count()
+    return terms.weighted(rows, key, "__text", terms.frequent(rows.select("__text"), least, most, size, n))
+
+
+def _repeats(df: DataFrame, key: str) -> bool:
+    """Whether a key, null among them, has more than one row."""
+    return not df.groupBy(key).agg(F.count("*").alias("__n")).where("__n > 1").isEmpty()
 
 
 def hashed_ngrams(df: DataFrame, key: str, ids: str, buckets: int, orders: tuple[int, ...] = (1, 2, 3), least: int = 1) -> DataFrame:
