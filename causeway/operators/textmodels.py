@@ -1,7 +1,7 @@
 """Models of text: a truncated SVD of tf-idf, random projections, candidate-variable encoders, mention slots.
 
 What a model learns is bounded by its parameters (terms times dimensions, slots): it comes to the driver and travels with the function that
-applies it. Documents only stream by.
+applies it. Documents only stream by: their terms are counted and weighted within batches (`terms`).
 """
 
 from __future__ import annotations
@@ -18,6 +18,7 @@ from pyspark.sql import types as T
 
 from causeway.functions.workers import by_value
 from causeway.operators import encoding, tables
+from causeway.operators.terms import Weights, frequent, lowered, slices
 
 by_value(__name__)
 
@@ -35,31 +36,31 @@ def normalized(text: Column) -> Column:
     return F.trim(F.regexp_replace(F.translate(F.replace(nfkc(text), F.lit("**"), F.lit(" ")), "‑‐–—", "----"), r"\s+", " "))
 
 
-def terms_of(text: Column) -> Column:
-    """Words of two characters or more, and pairs of neighbouring ones."""
-    words = F.regexp_extract_all(F.lower(text), F.lit("[a-z0-9_]{2,}"), F.lit(0))
-    pair = F.zip_with(F.slice(words, F.lit(1), F.size(words) - 1), F.slice(words, F.lit(2), F.size(words) - 1), lambda a, b: F.concat_ws(" ", a, b))
-    return F.concat(words, F.when(F.size(words) > 1, pair).otherwise(F.array().cast("array<string>")))
-
-
 def fitted_terms(train: DataFrame, text: str, least: int = 5, most: float = 0.95, size: int = 10_000) -> DataFrame:
     """term, idf, at: the terms of the training rows by their total number, ties by term; idf is smooth. A few thousand rows."""
-    docs = train.select(F.monotonically_increasing_id().alias("d"), F.explode(terms_of(F.col(text))).alias("term"))
-    counts = docs.groupBy("term").agg(F.count_distinct("d").alias("df"), F.count("*").alias("total"))
-    n = train.agg(F.count("*").alias("n"))
-    kept = counts.join(F.broadcast(n)).where((F.col("df") >= least) & (F.col("df") <= F.col("n") * most)).orderBy(F.desc("total"), "term").limit(size)
-    rows = kept.select("term", (F.ln((1 + F.col("n")) / (1 + F.col("df"))) + 1).alias("idf")).collect()
-    return train.sparkSession.createDataFrame([(r["term"], r["idf"], i) for i, r in enumerate(rows)], "term string, idf double, at int")
+    found = frequent(train.select(lowered(F.col(text))), least, most, size)
+    return train.sparkSession.createDataFrame([(t, x, i) for i, (t, x) in enumerate(found)], "term string, idf double, at int")
+
 
+def _places(known: DataFrame) -> list[tuple[str, float]]:
+    return [(r["term"], r["idf"]) for r in known.orderBy("at").collect()]
 
-def term_vectors(df: DataFrame, key: str, text: str, terms: DataFrame) -> DataFrame:
+
+def term_vectors(df: DataFrame, key: str, text: str, known: DataFrame) -> DataFrame:
     """key, at, x: the places and unit-length weights of each row's known terms; empty arrays where it has none."""
-    tf = df.select(F.col(key), F.explode(terms_of(F.col(text))).alias("term")).join(F.broadcast(terms), "term").groupBy(key, "at", "idf").agg(F.count("*").alias("tf"))
-    rows = tf.select(key, F.struct("at", ((1 + F.ln("tf")) * F.col("idf")).alias("x")).alias("v")).groupBy(key).agg(F.array_sort(F.collect_list("v")).alias("v"))
-    norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, e: s + e["x"] * e["x"]))
-    out = rows.withColumn("n", norm).select(key, F.transform("v", lambda e: e["at"]).alias("at"), F.transform("v", lambda e: e["x"] / F.col("n")).alias("x"))
-    none = lambda t: F.array().cast(f"array<{t}>")
-    return df.select(key).join(out, key, "left").select(key, F.coalesce("at", none("int")).alias("at"), F.coalesce("x", none("double")).alias("x"))
+    found, kind = _places(known), dict(df.dtypes)[key]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = Weights(found)
+        for b in batches:
+            start = 0
+            for some in slices(b.column(1)):
+                row, at, x = model.of(some)
+                ends = pa.array(np.searchsorted(row, np.arange(len(some) + 1)), pa.int32())
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(start, len(some)), pa.ListArray.from_arrays(ends, pa.array(at, pa.int32())), pa.ListArray.from_arrays(ends, pa.array(x))], [key, "at", "x"])
+                start += len(some)
+
+    return df.select(key, lowered(F.col(text)).alias("__text")).mapInArrow(run, f"`{key}` {kind}, at array<int>, x array<double>")
 
 
 def _sparse(batch: pa.RecordBatch, at: int, x: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -68,6 +69,14 @@ def _sparse(batch: pa.RecordBatch, at: int, x: int) -> tuple[np.ndarray, np.ndar
     return np.repeat(np.arange(len(batch)), lengths), batch.column(at).flatten().to_numpy(zero_copy_only=False), batch.column(x).flatten().to_numpy(zero_copy_only=False)
 
 
+def _summed(values: np.ndarray, at: np.ndarray, n: int) -> np.ndarray:
+    """Sums of rows of values by their ascending places."""
+    out, begin = np.zeros((n, values.shape[1])), np.flatnonzero(np.diff(at, prepend=-1))
+    if len(begin):
+        out[at[begin]] = np.add.reduceat(values, begin)
+    return out
+
+
 def svd_basis(vectors: DataFrame, size: int, dims: int, rounds: int = 3, seed: int = 1) -> np.ndarray:
     """size x dims: orthonormal leading right singular vectors, by randomised subspace iteration.
 
@@ -84,9 +93,9 @@ def svd_basis(vectors: DataFrame, size: int, dims: int, rounds: int = 3, seed: i
                 total = np.zeros((size, width))
                 for b in batches:
                     row, at, x = _sparse(b, 0, 1)
-                    y = np.zeros((len(b), width))
-                    np.add.at(y, row, x[:, None] * basis[at])
-                    np.add.at(total, at, x[:, None] * y[row])
+                    y = _summed(x[:, None] * basis[at], row, len(b))
+                    order = np.argsort(at, kind="stable")
+                    total += _summed((x[:, None] * y[row])[order], at[order], size)
                 some = np.flatnonzero(np.abs(total).sum(1))
                 yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array(list(total[some]), pa.list_(pa.float64()))], ["at", "s"])
 
@@ -109,8 +118,7 @@ def embedded(vectors: DataFrame, key: str, basis: np.ndarray, prefix: str = "svd
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             row, at, x = _sparse(b, 1, 2)
-            y = np.zeros((len(b), dims))
-            np.add.at(y, row, x[:, None] * basis[at])
+            y = _summed(x[:, None] * basis[at], row, len(b))
             yield pa.RecordBatch.from_arrays([b.column(0), *[pa.array(c) for c in y.T]], [key, *[f"{prefix}{i}" for i in range(dims)]])
 
     return vectors.select(key, "at", "x").mapInArrow(run, schema)
@@ -118,13 +126,26 @@ def embedded(vectors: DataFrame, key: str, basis: np.ndarray, prefix: str = "svd
 
 def text_svd(train: DataFrame, df: DataFrame, key: str, text: str, dims: int = 16, size: int = 5000, least: int = 5, seed: int = 1, prefix: str = "svd_") -> DataFrame:
     """df with `dims` columns of a truncated SVD of tf-idf, fitted on train alone."""
-    terms = fitted_terms(train, text, least, size=size).persist()
-    n = terms.count()
+    known = fitted_terms(train, text, least, size=size).persist()
+    found = _places(known)
+    n = len(found)
     if not n:
         return df.withColumns({f"{prefix}{i}": F.lit(0.0) for i in range(dims)})
-    basis = svd_basis(term_vectors(train, key, text, terms), n, min(dims, n), seed=seed)
-    out = df.join(embedded(term_vectors(df, key, text, terms), key, basis, prefix), key)
-    return out.withColumns({f"{prefix}{i}": F.lit(0.0) for i in range(min(dims, n), dims)})
+    basis = svd_basis(term_vectors(train, key, text, known), n, min(dims, n), seed=seed)
+    known.unpersist()
+
+    @F.pandas_udf(T.ArrayType(T.DoubleType()))
+    def coordinates(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        model = Weights(found)
+        for t in texts:
+            parts = []
+            for some in slices(pa.array(t, pa.string())):
+                row, at, x = model.of(some)
+                parts.append(_summed(x[:, None] * basis[at], row, len(some)))
+            yield pd.Series(list(np.concatenate(parts)) if parts else [], dtype=object)
+
+    out = df.withColumn("__svd", coordinates(lowered(F.col(text))))
+    return out.withColumns({f"{prefix}{i}": F.get("__svd", i) if i < n else F.lit(0.0) for i in range(dims)}).drop("__svd")
 
 
 def projection(model: str, hidden: int, dims: int) -> np.ndarray:
