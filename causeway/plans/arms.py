@@ -57,10 +57,13 @@ def effect_forest(df: DataFrame, c: Columns, specs: list[FeatureSpec], folds: in
             wide = textmodels.text_svd(train, wide, c.key, c.text, dims, seed=seed)
         w = [x for s in encoding.by_role(used, "confounder") for x in names[s.name]] + text or [x for s in used for x in names[s.name]] + text
         x = [n for s in encoding.by_role(used, "effect_modifier") for n in names[s.name]] or w
-        own = wide.where(F.col("cv_fold") != f).drop("cv_fold")
-        fitted = forest.crossfit(own, c.key, c.treatment, c.outcome, w, folds, c.binary, seed + f, learner=learner)
-        trees = forest.fit_forest(fitted, c.key, c.outcome, c.treatment, "m_hat", "e_hat", x, bags=bags, seed=seed, **forest_options)
-        test = _nuisances(own, wide.where(F.col("cv_fold") == f), c, w, learner, seed)
+        own = wide.where(F.col("cv_fold") != f).select(*dict.fromkeys([c.key, c.treatment, c.outcome, *w, *x])).persist()  # numbers, read some twenty times
+        try:
+            fitted = forest.crossfit(own, c.key, c.treatment, c.outcome, w, folds, c.binary, seed + f, learner=learner)
+            trees = forest.fit_forest(fitted, c.key, c.outcome, c.treatment, "m_hat", "e_hat", x, bags=bags, seed=seed, **forest_options)
+            test = _nuisances(own, wide.where(F.col("cv_fold") == f), c, w, learner, seed)
+        finally:
+            own.unpersist()
         parts.append(finished(forest.predict_forest(test, trees, x), c).select(*df.columns, *PREDICTED))
     return _union(parts)
 
