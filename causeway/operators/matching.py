@@ -25,6 +25,17 @@ def band_pairs(df: DataFrame, key: str, treatment: str, score: str, caliper: flo
     return out.select("treated_id", "control_id", "distance")
 
 
+def band_scores(df: DataFrame, treatment: str, score: str, caliper: float) -> DataFrame:
+    """treated_score, control_score, distance, n: every two scores of a treated and a control row within caliper, and how many pairs of rows have them.
+
+    The pairs of band_pairs() by their scores, so that rows that share a score are not written out against each other; membership is the score itself.
+    """
+    sizes = df.where(F.col(treatment).isin(0, 1)).groupBy(F.col(treatment).alias("__t"), F.col(score).alias("__s")).agg(F.count("*").alias("__n"))
+    keyed = sizes.select("__t", F.struct("__s", "__n").alias("__k"), "__s")
+    pairs = band_pairs(keyed, "__k", "__t", "__s", caliper)
+    return pairs.select(F.col("treated_id.__s").alias("treated_score"), F.col("control_id.__s").alias("control_score"), "distance", (F.col("treated_id.__n") * F.col("control_id.__n")).alias("n"))
+
+
 SALTS = 64
 
 

@@ -164,7 +164,8 @@ PAIRS = (
 
 @query(f"SELECT count(*) AS n, round(sum(abs(a.e - b.e)), 6) AS total FROM units a JOIN units b ON {NEAR}", ORDERS_SQL)
 def j6_band_pairs(spark, d):
-    return rounded(matching.band_pairs(cohorts.orders(spark, d), "unit_id", "t", "e", 0.0005).agg(F.count("*").alias("n"), F.sum("distance").alias("total")))
+    scores = matching.band_scores(cohorts.orders(spark, d), "t", "e", 0.0005)
+    return rounded(scores.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.sum(F.col("n") * F.col("distance")).alias("total")))
 
 
 @query("SELECT treated_id, control_id, round(distance, 9) AS distance, CAST(rank AS INTEGER) AS rank FROM pairs", ORDERS_SQL, PAIRS.format(k=3))

@@ -49,6 +49,15 @@ def test_greedy_and_optimal(spark):
     assert all(abs(e[p.treated_id] - e[p.control_id]) == pytest.approx(p.distance) for p in best)
 
 
+def test_band_scores_count_all_pairs_without_writing_them_out(spark):
+    """Half a million equal scores in each arm are 250 thousand million pairs of rows, and one of scores."""
+    rows = spark.range(1_000_000).select("id", (F.col("id") % 2).cast("int").alias("t"), F.when(F.col("id") < 10, F.col("id") / 10.0).otherwise(5.0).alias("e"))
+    got = {(r.treated_score, r.control_score): (r.n, round(r.distance, 9)) for r in matching.band_scores(rows, "t", "e", 0.1000001).collect()}
+    want = {(i / 10, j / 10): (1, 0.1) for i in range(1, 10, 2) for j in (i - 1, i + 1) if j < 10}
+    assert got == want | {(5.0, 5.0): (499_995**2, 0.0)}
+    assert matching.band_scores(rows.limit(0), "t", "e", 0.1).count() == 0
+
+
 def test_band_pairs_are_all_pairs(spark):
     r = np.random.default_rng(2)
     rows = [(i, int(i % 2), round(float(r.random()), 2)) for i in range(80)]
