@@ -49,6 +49,32 @@ def test_greedy_and_optimal(spark):
     assert all(abs(e[p.treated_id] - e[p.control_id]) == pytest.approx(p.distance) for p in best)
 
 
+def test_class_assignment_is_the_rows_assignment():
+    r = np.random.default_rng(9)
+    for trial in range(120):
+        digits = int(r.integers(1, 4))
+        a, b = (np.unique(np.round(r.random(r.integers(0, 7)), digits)) for _ in range(2))
+        often = 300 if trial % 2 else 3  # many rows of a score go by flows, few by rows
+        n, m = r.integers(1, often, len(a)), r.integers(1, often, len(b))
+        caliper = (None, 0.1, 0.3, 0.0)[trial % 4]
+        x, y = np.repeat(a, n), np.repeat(b, m)
+        pairs = matching.line_assignment(x, y, caliper)
+        taken = matching.class_assignment(a, n, b, m, caliper)
+        left, right = np.repeat(a, taken[0]), np.repeat(b, taken[1])
+        assert len(left) == len(right) == len(pairs) and (taken[0] <= n).all() and (taken[1] <= m).all()
+        assert np.abs(left - right).sum() == pytest.approx(sum(abs(x[i] - y[j]) for i, j in pairs)) and (caliper is None or (np.abs(left - right) <= caliper).all())
+
+
+def test_optimal_pairs_of_many_rows_with_equal_scores(spark):
+    """A block was a task whose time grew with the product of its arms, here 7,500 million."""
+    rows = spark.range(400_000).select("id", (F.col("id") % 4 == 0).cast("int").alias("t"), (F.floor(F.col("id") / 4) % 50 / 100.0).alias("e"), F.when(F.col("id") % 2 < 2, "x").alias("b"), F.lit(None).cast("string").alias("none"))
+    found = matching.optimal(rows, "id", "t", "e", ["b", "none"], 0.05).agg(F.count("*"), F.countDistinct("treated_id"), F.countDistinct("control_id"), F.sum("distance"), F.min(F.col("treated_id") % 4), F.max(F.col("treated_id") % 4)).first()
+    assert tuple(found) == (100_000, 100_000, 100_000, 0.0, 0, 0)
+    few = spark.createDataFrame([(1, 1, 0.1, "x"), (2, 0, None, "x"), (3, 0, float("nan"), "x"), (4, 0, 0.5, "y"), (5, 1, 0.4, "y"), (6, 1, 0.5, "y")], "id long, t int, e double, b string")
+    assert [tuple(p) for p in matching.optimal(few, "id", "t", "e", ["b"], 0.2).collect()] == [(6, 4, 0.0)]
+    assert matching.optimal(few.limit(0), "id", "t", "e", ["b"]).count() == 0
+
+
 def test_band_scores_count_all_pairs_without_writing_them_out(spark):
     """Half a million equal scores in each arm are 250 thousand million pairs of rows, and one of scores."""
     rows = spark.range(1_000_000).select("id", (F.col("id") % 2).cast("int").alias("t"), F.when(F.col("id") < 10, F.col("id") / 10.0).otherwise(5.0).alias("e"))
