@@ -7,7 +7,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from causeway.functions.scalar import ngram_buckets, tokens
+from causeway.functions.scalar import tokens
 from causeway.functions.workers import by_value
 from causeway.operators import terms
 from causeway.operators.quantiles import quantiles
@@ -66,12 +66,19 @@ def _repeats(df: DataFrame, key: str) -> bool:
     return not df.groupBy(key).agg(F.count("*").alias("__n")).where("__n > 1").isEmpty()
 
 
-def hashed_ngrams(df: DataFrame, key: str, ids: str, buckets: int, orders: tuple[int, ...] = (1, 2, 3), least: int = 1) -> DataFrame:
-    """key, bucket: each document's distinct buckets, those with at least `least` documents and at most all but `least`."""
-    long = df.select(key, F.explode(ngram_buckets(F.col(ids), buckets, orders)).alias("bucket"))
-    n = df.agg(F.count("*").alias("__n"))
-    kept = long.groupBy("bucket").agg(F.count("*").alias("c")).join(F.broadcast(n)).where((F.col("c") >= least) & (F.col("c") <= F.col("__n") - least)).select("bucket")
-    return long.join(kept, "bucket").select(key, "bucket")
+def hashed_ngrams(df: DataFrame, key: str, ids: str, buckets: int, orders: tuple[int, ...] = (1, 2, 3), least: int = 1, of=terms.array_ids) -> DataFrame:
+    """key, bucket: each document's distinct buckets, those with at least `least` documents and at most all but `least`; null ids have none.
+
+    Buckets are found within batches, once to count their documents and once to give the kept ones; only the counts come to the driver. of: what
+    makes ids and their rows of an Arrow array of the column `ids`, if that doesn't hold arrays of ids.
+    """
+    n = df.count()
+    if _repeats(df, key):  # rows of one key are one document
+        long = terms.bucketed(df, key, ids, of, buckets, orders).distinct()
+        kept = long.groupBy("bucket").agg(F.count("*").alias("c")).where((F.col("c") >= least) & (F.col("c") <= n - least)).select("bucket")
+        return long.join(F.broadcast(kept), "bucket").select(key, "bucket")  # `buckets` rows at most
+    counts = terms.bucket_rows(df.select(ids), of, buckets, orders)
+    return terms.bucketed(df, key, ids, of, buckets, orders, (counts >= least) & (counts <= n - least))
 
 
 def purity(long: DataFrame, units: DataFrame, key: str, feature: str, treatment: str, outcome: str, alpha: float = 1.0, beta: float = 2.0, gamma: float = 1.0, least: int = 20, least_arm: int = 5) -> DataFrame:

@@ -17,6 +17,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from causeway.functions.scalar import BASE, ORDER, STEP
 from causeway.functions.workers import by_value
 
 by_value(__name__)
@@ -27,6 +28,8 @@ BREAK = "\x00"  # no pair goes across it
 
 _IN_WORD = np.zeros(256, bool)
 _IN_WORD[[*range(48, 58), 95, *range(97, 123)]] = True
+_BLANK = np.zeros(256, bool)
+_BLANK[[*range(9, 14), 32]] = True
 
 
 def lowered(text: Column) -> Column:
@@ -43,6 +46,59 @@ def slices(texts: pa.Array) -> Iterator[pa.Array]:
         at = to
 
 
+def tokens(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """The distinct tokens of `scalar.tokens`, and for each occurrence its number and its text. texts: in lower case, as from slices()."""
+    offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
+    data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]]
+    starts = offsets[:-1] - offsets[0]
+    inside = _IN_WORD[data] & (data != 95)
+    first = inside.copy()
+    first[1:] &= ~inside[:-1]
+    own = starts[starts < len(data)]
+    first[own] = inside[own]
+    kept = ~_BLANK[data]
+    first |= kept & ~inside & (data & 0xC0 != 0x80)  # any other character by itself
+    begin = np.flatnonzero(first)
+    places = np.append(np.flatnonzero(first[kept]), np.count_nonzero(kept)).astype(np.int64)
+    coded = pa.LargeStringArray.from_buffers(len(begin), pa.py_buffer(places), pa.py_buffer(data[kept])).dictionary_encode()
+    row = np.repeat(np.arange(len(starts)), np.diff(np.append(np.searchsorted(begin, starts), len(begin))))
+    return coded.dictionary, coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), row
+
+
+def token_ids(modulus: int):
+    """A function of texts in lower case: each token's id, the first 24 bits of its MD5 modulo `modulus`, and its text. A batch's distinct tokens are hashed once."""
+    import hashlib
+
+    def of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        ids, rows, start = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], 0
+        for some in slices(texts):
+            distinct, code, row = tokens(some)
+            number = np.array([int.from_bytes(hashlib.md5(w.encode()).digest()[:3], "big") % modulus for w in distinct.to_pylist()], np.int64)
+            ids.append(number[code]), rows.append(row + start)
+            start += len(some)
+        return np.concatenate(ids), np.concatenate(rows)
+
+    return of
+
+
+def array_ids(ids: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Each element of arrays of ids, and its row."""
+    return ids.flatten().to_numpy(zero_copy_only=False).astype(np.int64), np.repeat(np.arange(len(ids)), pc.fill_null(pc.list_value_length(ids), 0).to_numpy(zero_copy_only=False))
+
+
+def gram_buckets(ids: np.ndarray, row: np.ndarray, has: np.ndarray, buckets: int, orders: tuple[int, ...]) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct buckets of `scalar.ngram_buckets` by row, and the rows; bucket 0 for those rows of `has` without n-gram."""
+    found = []
+    for n in orders:
+        at = np.flatnonzero(row[n - 1 :] == row[: len(row) - n + 1]) if len(row) >= n else np.zeros(0, np.int64)
+        h = ids[at] * BASE + STEP if n == 1 else sum((ids[at + j] * (BASE + STEP * (j + 1)) for j in range(n)), np.full(len(at), ORDER * n))
+        found.append(row[at] * buckets + h % buckets)
+    key = np.concatenate(found)
+    empty = np.flatnonzero(has & (np.bincount(key // buckets, minlength=len(has)) == 0))
+    key, _ = _runs(np.concatenate([key, empty * buckets]))
+    return key % buckets, key // buckets
+
+
 class Words:
     """The words of some texts: `words`, the distinct ones, and for each occurrence its number `code` and its text `row`; `left` are the occurrences that the next one follows in the same text."""
 
@@ -217,3 +273,40 @@ def weighted(df: DataFrame, key: str, text: str, terms: list[tuple[str, float]])
                 start += len(some)
 
     return df.select(key, text).mapInArrow(run, f"`{key}` {kind}, term string, weight double")
+
+
+def bucketed(df: DataFrame, key: str, value: str, of, buckets: int, orders: tuple[int, ...], kept: np.ndarray | None = None) -> DataFrame:
+    """key, bucket: each row's distinct buckets, of those in kept. of: makes ids and their rows of the values; a null value has no bucket."""
+    kind = dict(df.dtypes)[key]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            bucket, row = gram_buckets(*of(b.column(1)), b.column(1).is_valid().to_numpy(zero_copy_only=False), buckets, orders)
+            if kept is not None:
+                good = kept[bucket]
+                bucket, row = bucket[good], row[good]
+            for i in range(0, len(row), 1 << 20):
+                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(row[i : i + (1 << 20)])), pa.array(bucket[i : i + (1 << 20)])], [key, "bucket"])
+
+    return df.select(key, value).mapInArrow(run, f"`{key}` {kind}, bucket long")
+
+
+def bucket_rows(values: DataFrame, of, buckets: int, orders: tuple[int, ...]) -> np.ndarray:
+    """How many rows have each bucket. values: one column."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, n = np.zeros(buckets, np.int64), 0
+        for b in batches:
+            n += len(b)
+            total += np.bincount(gram_buckets(*of(b.column(0)), b.column(0).is_valid().to_numpy(zero_copy_only=False), buckets, orders)[0], minlength=buckets)
+        if n:
+            parts = np.array_split(total, min(PARTS, buckets))
+            yield pa.RecordBatch.from_pydict({"part": pa.array(range(len(parts)), pa.int32()), "counts": [p.tobytes() for p in parts]})
+
+    def add(group: pa.Table) -> pa.Table:
+        total = sum(np.frombuffer(c.as_buffer(), np.int64) for c in group.column("counts"))
+        return pa.table({"part": group.column("part")[:1], "counts": pa.array([total.tobytes()], pa.binary())})
+
+    schema = "part int, counts binary"
+    found = sorted((r.part, r.counts) for r in values.mapInArrow(run, schema).groupBy("part").applyInArrow(add, schema).collect())
+    return np.concatenate([np.frombuffer(c, np.int64) for _, c in found]) if found else np.zeros(buckets, np.int64)

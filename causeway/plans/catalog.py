@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from causeway.functions import hashrand, scalar
 from causeway.functions.hashrand import uniform
-from causeway.operators import cohort, effect_nets, effects, embedding, encoding, extraction, forest, line_matching, matching, metrics, reports, search, simulation, tables
+from causeway.operators import cohort, effect_nets, effects, embedding, encoding, extraction, forest, line_matching, matching, metrics, reports, search, simulation, tables, terms
 from causeway.plans import cohorts
 from causeway.plans.cohorts import LABELLED_SQL, ORDERS_SQL
 from causeway.plans.registry import QUERIES, SQL, binomial_cdf_sql, erfc_sql, query, rounded, t_two_sided_sql, u
@@ -648,7 +648,8 @@ def _gram_sql(n: int) -> str:
     "x AS (SELECT doc_id, " + IDS + " AS x FROM documents)",
 )
 def m4_hashed_ngrams(spark, d):
-    return encoding.hashed_ngrams(table(spark, d, "documents").select("doc_id", ids().alias("x")), "doc_id", "x", 32_768, (1, 2, 3), 5)
+    docs = table(spark, d, "documents").select("doc_id", F.lower("text").alias("text"))
+    return encoding.hashed_ngrams(docs, "doc_id", "text", 32_768, (1, 2, 3), 5, terms.token_ids(1000))  # the ids of ids()
 
 
 @query("SELECT covariate, mean, std, n FROM (SELECT 'y' AS covariate, round(avg(y), 4) AS mean, round(greatest(stddev_pop(y), 1e-6), 4) AS std, count(*) AS n FROM units UNION ALL SELECT 'e', round(avg(e), 4), round(greatest(stddev_pop(e), 1e-6), 4), count(*) FROM units)", ORDERS_SQL)

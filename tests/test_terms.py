@@ -6,7 +6,9 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from causeway.functions import scalar
 from causeway.operators import encoding, terms, textmodels
+from causeway.plans import catalog
 from pyspark.sql import functions as F
 
 SCHEMA = "id long, text string"
@@ -70,3 +72,24 @@ def test_svd_keeps_rows_of_one_key_and_without_one(spark, rows):
     out = textmodels.text_svd(spark.createDataFrame(rows, SCHEMA), spark.createDataFrame(more, SCHEMA), "id", "text", 3, least=2)
     assert out.count() == len(more) and out.where(F.col("svd_0").isNull()).count() == 0
     assert out.where("text is null and (svd_0 <> 0 or svd_1 <> 0)").count() == 0
+
+
+def test_buckets_within_batches_are_those_of_the_expression(spark, rows, monkeypatch):
+    monkeypatch.setattr(terms, "BYTES", 300)
+    odd = [*rows, (2000, "é\x00\x1c x　y\x0bz 中文 a_b_1 😀 don't"), (2001, " \t"), (2002, None)]
+    docs = spark.createDataFrame(odd, SCHEMA).select("id", F.lower("text").alias("text"), catalog.ids().alias("x"))
+    want = {(r.id, b) for r in docs.where("text is not null").select("id", scalar.ngram_buckets(F.col("x"), 4096).alias("b")).collect() for b in r.b}
+    often, n = Counter(b for _, b in want), len(odd)
+    want = {(i, b) for i, b in want if 2 <= often[b] <= n - 2}
+    by_text = encoding.hashed_ngrams(docs, "id", "text", 4096, least=2, of=terms.token_ids(1000))
+    for out in (by_text, encoding.hashed_ngrams(docs.where("text is not null or id = 2002"), "id", "x", 4096, least=2)):
+        got = [tuple(r) for r in out.collect()]
+        assert len(got) == len(set(got)) and set(got) == want
+    assert "Exchange" not in by_text._jdf.queryExecution().executedPlan().toString()  # each bucket of a document was a row of two shuffles
+    twice = encoding.hashed_ngrams(docs.unionByName(docs), "id", "text", 4096, least=2, of=terms.token_ids(1000))
+    assert {tuple(r) for r in twice.collect()} == {(i, b) for i, b in {(i, b) for i, b in _all(docs)} if 2 <= often[b] <= 2 * n - 2} and twice.count() == twice.distinct().count()
+    assert encoding.hashed_ngrams(docs.limit(0), "id", "x", 64).count() == 0
+
+
+def _all(docs):
+    return {(r.id, r.bucket) for r in terms.bucketed(docs, "id", "text", terms.token_ids(1000), 4096, (1, 2, 3)).collect()}
