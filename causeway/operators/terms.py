@@ -275,18 +275,30 @@ def weighted(df: DataFrame, key: str, text: str, terms: list[tuple[str, float]])
     return df.select(key, text).mapInArrow(run, f"`{key}` {kind}, term string, weight double")
 
 
+def _pieces(values: pa.Array) -> Iterator[tuple[int, pa.Array]]:
+    """Where each run of rows begins, and the run: of a quarter of BYTES of text or ids, or one row, as each of them is in several arrays at once."""
+    texts = not pa.types.is_list(values.type) and not pa.types.is_large_list(values.type)
+    sizes = pc.binary_length(values) if texts else pc.multiply(pc.list_value_length(values), 4)
+    ends, at = np.cumsum(pc.fill_null(sizes, 0).to_numpy(zero_copy_only=False).astype(np.int64)), 0
+    while at < len(values):
+        to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + BYTES // 4, "right")))
+        yield at, values.slice(at, to - at)
+        at = to
+
+
 def bucketed(df: DataFrame, key: str, value: str, of, buckets: int, orders: tuple[int, ...], kept: np.ndarray | None = None) -> DataFrame:
     """key, bucket: each row's distinct buckets, of those in kept. of: makes ids and their rows of the values; a null value has no bucket."""
     kind = dict(df.dtypes)[key]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            bucket, row = gram_buckets(*of(b.column(1)), b.column(1).is_valid().to_numpy(zero_copy_only=False), buckets, orders)
-            if kept is not None:
-                good = kept[bucket]
-                bucket, row = bucket[good], row[good]
-            for i in range(0, len(row), 1 << 20):
-                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(row[i : i + (1 << 20)])), pa.array(bucket[i : i + (1 << 20)])], [key, "bucket"])
+            for start, some in _pieces(b.column(1)):
+                bucket, row = gram_buckets(*of(some), some.is_valid().to_numpy(zero_copy_only=False), buckets, orders)
+                if kept is not None:
+                    good = kept[bucket]
+                    bucket, row = bucket[good], row[good]
+                for i in range(0, len(row), 1 << 18):
+                    yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(row[i : i + (1 << 18)] + start)), pa.array(bucket[i : i + (1 << 18)])], [key, "bucket"])
 
     return df.select(key, value).mapInArrow(run, f"`{key}` {kind}, bucket long")
 
@@ -298,7 +310,8 @@ def bucket_rows(values: DataFrame, of, buckets: int, orders: tuple[int, ...]) ->
         total, n = np.zeros(buckets, np.int64), 0
         for b in batches:
             n += len(b)
-            total += np.bincount(gram_buckets(*of(b.column(0)), b.column(0).is_valid().to_numpy(zero_copy_only=False), buckets, orders)[0], minlength=buckets)
+            for _, some in _pieces(b.column(0)):
+                total += np.bincount(gram_buckets(*of(some), some.is_valid().to_numpy(zero_copy_only=False), buckets, orders)[0], minlength=buckets)
         if n:
             parts = np.array_split(total, min(PARTS, buckets))
             yield pa.RecordBatch.from_pydict({"part": pa.array(range(len(parts)), pa.int32()), "counts": [p.tobytes() for p in parts]})
